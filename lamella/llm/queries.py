@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .near_dedup import near_duplicates
+from .packing import pack
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
 
 
+def vocabulary(name: str) -> str:
+    """Where a public vocabulary file lies; ``LAMELLA_TOKENIZERS`` names another folder."""
+    if folder := os.environ.get("LAMELLA_TOKENIZERS"):
+        return f"{folder}/{name}"
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -26,12 +37,17 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op9_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_minhash_near_dedup,
         op4_recompression_substring_dedup,
         op6_suffix_array_dedup,
+        op9_nnls_packing,
     )
 }
 
