@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .near_dedup import near_duplicates
 from .packing import pack
+from .shared import shared_folder
+from .sharding import balanced_shards
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
+from .token_store import read_ids, write_ids
 
 
 def vocabulary(name: str) -> str:
@@ -33,10 +36,20 @@ def op4_recompression_substring_dedup(spark: SparkSession, sf_dir: str) -> DataF
     return substring_dedup(table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op5_huffman_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_folder(spark, "token-ids")
+    write_ids(table(spark, sf_dir, "documents"), path, vocabulary("word_bpe_49k.json"))
+    return read_ids(spark, path, with_ids=False)
+
+
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op8_balanced_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balanced_shards(table(spark, sf_dir, "documents"))
+
+
 def op9_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -46,7 +59,9 @@ QUERIES = {
     for f in (
         op1_minhash_near_dedup,
         op4_recompression_substring_dedup,
+        op5_huffman_token_store,
         op6_suffix_array_dedup,
+        op8_balanced_label_propagation,
         op9_nnls_packing,
     )
 }
