@@ -5,9 +5,14 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .decontaminate import contained_items
+from .language_id import fit_on, identify
+from .license_scan import license_scan
 from .near_dedup import near_duplicates
 from .packing import pack
+from .quality_rules import quality_rules
 from .shared import shared_folder
 from .sharding import balanced_shards
 from .substring_dedup import substring_dedup
@@ -32,6 +37,14 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_array_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
+def op3_sentence_rule_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op4_recompression_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), with_text=False)
 
@@ -46,6 +59,13 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op7_subword_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    model = fit_on(docs.where(~held_out))
+    return identify(docs, model).select("doc_id", F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "accepted")
+
+
 def op8_balanced_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balanced_shards(table(spark, sf_dir, "documents"))
 
@@ -54,15 +74,23 @@ def op9_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op10_minhash_containment_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_minhash_near_dedup,
+        op2_suffix_array_quality_rules,
+        op3_sentence_rule_license_scan,
         op4_recompression_substring_dedup,
         op5_huffman_token_store,
         op6_suffix_array_dedup,
+        op7_subword_language_id,
         op8_balanced_label_propagation,
         op9_nnls_packing,
+        op10_minhash_containment_decontamination,
     )
 }
 
