@@ -159,7 +159,7 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id
         counts[token] = np.asarray(rows.column("n"))
         return pa.table({"lengths": pa.array([zlib.compress(code_lengths(counts).tobytes())], pa.binary())})
 
-    counts = coded.select("width", "ids").mapInArrow(count, "token int, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    counts = coded.mapInArrow(count, "token int, n long").groupBy("token").agg(F.sum("n").alias("n"))
     book = counts.withColumn("all", F.pmod("token", F.lit(1))).groupBy("all").applyInArrow(lengths_of, "lengths binary")
     books = book.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("part"), "lengths")
 
