@@ -31,6 +31,8 @@ from .shared import tasks, written
 SIGNATURE = "id long, n_shingles long, set_a long, set_b long, half_a array<long>, half_b array<long>"
 #: Members of one pivot that are verified in one run of rows.
 SALT_ROWS = 256
+#: Rows of either side of a block of unsettled pairs.
+BLOCK_ROWS = 256
 
 
 def signatures(docs: DataFrame, shingle: int = 5, halves: int = 12, hashes_per_half: int = 2) -> DataFrame:
@@ -103,6 +105,66 @@ def verify(pairs: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
     return dealt.select("id", "p", "salt", "role", "text").mapInArrow(run, "x long, p long, inter long, n_x long, n_p long")
 
 
+def unsettled_links(tested: DataFrame, parts: DataFrame, classes: DataFrame, docs: DataFrame, similarity: int, shingle: int) -> DataFrame:
+    """Links (a, b) between classes that met in a pivot's tables but lie in different components.
+
+    Of each pivot's circle only members outside the pivot's component are compared with
+    the circle, in blocks of at most ``BLOCK_ROWS`` by ``BLOCK_ROWS``; a pair is looked at if
+    its distances to the pivot differ by no more than a link allows, its sizes fit and its
+    half keys meet.  Sets are compared in full, and only links leave a block.
+    """
+    gap = 1 - similarity / 100 + 1e-9
+    lab = parts.select(F.col("id").alias("x"), F.col("component").alias("c"))
+    own = tested.select("p").distinct().select(F.col("p").alias("x"), "p", F.lit(0.0).alias("d"))
+    circle = tested.select("x", "p", (1 - F.col("inter") / (F.col("n_x") + F.col("n_p") - F.col("inter"))).alias("d")).union(own)
+    circle = circle.join(lab, "x", "left").withColumn("c", F.coalesce("c", "x"))
+    centre = lab.select(F.col("x").alias("p"), F.col("c").alias("pc"))
+    circle = circle.join(centre, "p", "left").withColumn("pc", F.coalesce("pc", "p"))
+    circle = written(circle.withColumn("outside", F.col("c") != F.col("pc")), "circle")
+    load = circle.groupBy("p").agg(F.count_if("outside").alias("r"), F.count("*").alias("n")).where("r > 0")
+    load = load.select("p", F.ceil(F.col("r") / BLOCK_ROWS).cast("int").alias("nr"), F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("nb"))
+    rows = circle.join(load, "p").withColumn("h", F.pmod(F.xxhash64("x"), F.lit(1 << 30)))
+    full = written(rows.join(classes.withColumnRenamed("id", "x"), "x").join(docs.select(F.col("id").alias("x"), "text"), "x"), "circles")
+    fields = ["p", "rb", "bb", "x", "c", "pc", "d", "half_a", "half_b", "text"]
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    outer = full.where("outside").withColumn("rb", F.pmod("h", "nr").cast("int")).withColumn("bb", every("nb")).select(*fields)
+    inner = full.withColumn("bb", F.pmod("h", "nb").cast("int")).withColumn("rb", every("nr")).select(*fields)
+
+    def sets_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        return tb.distinct(*tb.shingles(*tb.word_hashes(*tb.text_buffer(table.column("text")), lower=True), shingle))
+
+    def halves_of(table: pa.Table, name: str) -> np.ndarray:
+        return np.asarray(table.column(name).combine_chunks().flatten()).reshape(table.num_rows, -1)
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = []
+        if left.num_rows and right.num_rows:
+            (u, uf), (v, vf) = sets_of(left), sets_of(right)
+            x, y, c, e = (np.asarray(t.column(k)) for t, k in ((left, "x"), (right, "x"), (left, "c"), (right, "c")))
+            central = e == np.asarray(right.column("pc"))
+            d, f = np.asarray(left.column("d")), np.asarray(right.column("d"))
+            ua, ub, va, vb = halves_of(left, "half_a"), halves_of(left, "half_b"), halves_of(right, "half_a"), halves_of(right, "half_b")
+            n, m = np.diff(uf), np.diff(vf)
+            for i in range(left.num_rows):
+                ok = (e != c[i]) & (np.abs(f - d[i]) <= gap) & (central | (x[i] < y))
+                ok &= 100 * np.minimum(n[i], m) >= similarity * np.maximum(n[i], m)
+                ok &= (va == ua[i]).any(axis=1) & (vb == ub[i]).any(axis=1)
+                j = np.flatnonzero(ok)
+                if not len(j):
+                    continue
+                mine = u[uf[i] : uf[i + 1]]
+                theirs = v[tb.ranges(vf[j], m[j])]
+                at = np.searchsorted(mine, theirs)
+                at[at == len(mine)] = 0
+                inter = tb.segment_sum(mine[at] == theirs, np.concatenate([[0], np.cumsum(m[j])]))
+                j = j[100 * inter >= similarity * (n[i] + m[j] - inter)]
+                found += [(int(x[i]), int(k)) for k in y[j]]
+        return pa.table({"a": pa.array([k[0] for k in found], pa.int64()), "b": pa.array([k[1] for k in found], pa.int64())})
+
+    keys = ["p", "rb", "bb"]
+    return outer.groupBy(*keys).cogroup(inner.groupBy(*keys)).applyInArrow(compare, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = 75, shingle: int = 5, halves: int = 12, hashes_per_half: int = 2) -> DataFrame:
     """Returns ``id_col, n_shingles, component_id, kept, class_id, n_links`` for each row of docs.
 
@@ -143,27 +205,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = tested.where(linked).select(F.col("x").alias("a"), F.col("p").alias("b"))
     parts = written(connected_components(links), "parts")
 
-    # unsettled: members of a pivot's circle in other components, where the triangle inequality allows a link
-    lab = parts.select(F.col("id").alias("x"), F.col("component").alias("c"))
-    own = tested.select("p").distinct().select(F.col("p").alias("x"), "p", F.lit(0.0).alias("d"))
-    circle = tested.select("x", "p", (1 - F.col("inter") / (F.col("n_x") + F.col("n_p") - F.col("inter"))).alias("d")).union(own)
-    circle = circle.join(lab, "x", "left").withColumn("c", F.coalesce("c", "x"))
-    centre = lab.select(F.col("x").alias("p"), F.col("c").alias("pc"))
-    gap = 1 - similarity / 100 + 1e-9
-    circle = circle.join(centre, "p", "left").withColumn("pc", F.coalesce("pc", "p")).join(sizes.withColumnRenamed("id", "x"), "x")
-    circle = written(circle.withColumn("ring", F.floor(F.col("d") / gap).cast("int")), "circle")
-    out = circle.where("c <> pc").select("p", F.col("x").alias("u"), F.col("c").alias("uc"), F.col("d").alias("ud"), F.col("n_shingles").alias("un"), F.col("half_a").alias("ua"), F.col("half_b").alias("ub"), F.explode(F.array(F.col("ring") - 1, F.col("ring"), F.col("ring") + 1)).alias("ring"))
-    more = (
-        out.join(circle, ["p", "ring"])
-        .where(F.expr(f"uc <> c and abs(ud - d) <= {gap} and 100 * least(un, n_shingles) >= {similarity} * greatest(un, n_shingles) and (c = pc or u < x)"))
-        .where(F.arrays_overlap("ua", "half_a") & F.arrays_overlap("ub", "half_b"))
-        .select(F.least("u", "x").alias("p"), F.greatest("u", "x").alias("x"))
-        .distinct()
-        .join(tested.select("x", "p"), ["x", "p"], "left_anti")
-    )
-    more = written(more.select("x", "p"), "unsettled")
-    late = written(verify(more, plain.join(sizes.select("id"), "id", "left_semi"), shingle).where(linked), "late")
-    links = links.union(late.select(F.col("x").alias("a"), F.col("p").alias("b")))
+    late = written(unsettled_links(tested, parts, sizes, plain, similarity, shingle), "late")
+    links = links.union(late)
     whole = written(connected_components(links), "whole").withColumnRenamed("id", "rep") if late.take(1) else parts.withColumnRenamed("id", "rep")
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     by_class = classes.select("set_a", "set_b", "n_shingles", F.col("id").alias("rep")).join(whole, "rep", "left").join(degree, "rep", "left")
