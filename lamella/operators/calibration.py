@@ -46,10 +46,11 @@ def calibrate(examples: DataFrame, settings: DataFrame) -> DataFrame:
     by_cap = F.when(c("tile_cap").isNotNull(), F.greatest(F.lit(1.0), F.floor(c("tile_cap") / SAM_PX).cast("double"))).otherwise(n_need)
     n = _clip(n_need, 1.0, F.least(by_full, by_cap))
     given = c("ov_given").isNotNull() & ~c("error")
+    known = lambda v: F.when(~c("error"), v)  # noqa: E731  greatest and least skip nulls
     return df.select(
         "image_id", "n_examples", "error", "median_area", "minor_px", "section_px",
         (c("section_px") / c("z")).alias("section_px_full"), (c("minor_px") / c("z")).alias("minor_px_full"), (c("median_area") / (c("z") * c("z"))).alias("median_area_full"),
-        "ov_long", "tile_px", "tiled", "pps", "points", _clip(share, 0.15, 0.5).alias("tile_overlap"), _clip(share, 0.2, 0.6).alias("crop_overlap"),
+        "ov_long", known(c("tile_px")).alias("tile_px"), known(c("tiled")).alias("tiled"), known(c("pps")).alias("pps"), "points", known(_clip(share, 0.15, 0.5)).alias("tile_overlap"), known(_clip(share, 0.2, 0.6)).alias("crop_overlap"),
         F.when(~c("error"), F.when(deep, 0).otherwise(1)).cast("long").alias("crop_layers"), F.when(~c("error"), F.when(deep, 1).otherwise(2)).cast("long").alias("crop_downscale"),
         F.when(c("d") >= 20, 0.85).when(c("d") >= 10, 0.80).when(~c("error"), 0.75).alias("iou_threshold"), F.when(c("d") >= 20, 0.96).when(c("d") >= 10, 0.95).when(~c("error"), 0.92).alias("stability_threshold"),
         (0.5 * c("median_area")).alias("min_area"), (2.0 * c("median_area")).alias("max_area"), F.rint(0.05 * c("median_area")).alias("cleanup_floor"),

@@ -214,7 +214,7 @@ def _calibration_sql(stats: str, settings_name: str, prefix: str) -> str:
     {p}t as (select *, minor_px * 1024.0e0 / greatest(ov_long, 1) as apparent, case when n_examples = 0 then null else least(case when minor_px >= 24 then case when ov_long > 1024 then 1024.0e0 else ov_long end else floor(least(greatest(round_even(minor_px * 1024.0e0 / 24, 0), 256), ov_long)) end, cap) end as tile_px from {p}o),
     {p}p as (select *, least(greatest(ceil(tile_px * sqrt(2.0e0 / greatest(median_area, 1))), 16), 128) as pps_raw, section_px * 1024.0e0 / greatest(tile_px, 1) as d, 1.5e0 * section_px / greatest(tile_px, 1) as share, greatest(1, ceil(24.0e0 / greatest(apparent, 1e-6))) as need from {p}t),
     {p}c as (select image_id, n_examples, error, median_area, minor_px, section_px, section_px / z as section_px_full, minor_px / z as minor_px_full, median_area / (z * z) as median_area_full,
-      ov_long, tile_px, tile_px < ov_long as tiled, pps_raw as pps, median_area * (pps_raw / greatest(tile_px, 1)) ** 2 as points, least(greatest(share, 0.15e0), 0.5e0) as tile_overlap, least(greatest(share, 0.2e0), 0.6e0) as crop_overlap,
+      ov_long, tile_px, tile_px < ov_long as tiled, case when not error then pps_raw end as pps, median_area * (pps_raw / greatest(tile_px, 1)) ** 2 as points, case when not error then least(greatest(share, 0.15e0), 0.5e0) end as tile_overlap, case when not error then least(greatest(share, 0.2e0), 0.6e0) end as crop_overlap,
       case when error then null when d >= 16 then 0 else 1 end as crop_layers, case when error then null when d >= 16 then 1 else 2 end as crop_downscale, case when d >= 20 then 0.85e0 when d >= 10 then 0.8e0 when not error then 0.75e0 end as iou_threshold, case when d >= 20 then 0.96e0 when d >= 10 then 0.95e0 when not error then 0.92e0 end as stability_threshold,
       0.5e0 * median_area as min_area, 2.0e0 * median_area as max_area, round_even(0.05e0 * median_area, 0) as cleanup_floor, coalesce(batch, 16) as batch, coalesce(model, 'base_plus') as model,
       case when ov_given is not null and not error then apparent end as whole_image_section_px,

@@ -54,7 +54,7 @@ def tile_throughput(fx):
 
 @query(
     "edit_debounce",
-    """with e as (select user_id % 20 as image_id, ts, event_id as seq, value from events), g as (select *, case when lag(ts) over (partition by image_id order by ts, seq) is null or epoch_us(ts) - epoch_us(lag(ts) over (partition by image_id order by ts, seq)) >= 1500000 then 1 else 0 end as fresh from e),
+    """with e as (select user_id % 20 as image_id, ts, event_id as seq, value from events), g as (select *, case when lag(ts) over (partition by image_id order by ts, seq) is null or epoch_us(ts) - epoch_us(lag(ts) over (partition by image_id order by ts, seq)) > 1500000 then 1 else 0 end as fresh from e),
     s as (select *, sum(fresh) over (partition by image_id order by ts, seq) as sid from g) select image_id, cast(epoch_us(min(ts)) as bigint) as start_us, count(*) as n_edits, arg_max(value, seq) as value from s group by image_id, sid""",
 )
 def edit_debounce(fx):
