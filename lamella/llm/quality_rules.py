@@ -1,7 +1,7 @@
 """Quality rules: base counts, and repetition measured on a suffix array of words.
 
 Suffixes take part if their first ``least_words`` words stand elsewhere in the same
-text; all repeats of that length start at such suffixes.  They are sorted by prefix
+text, with the few places after them where such repeats end.  They are sorted by prefix
 doubling for all texts of a slice at once; longest common prefixes of neighbours
 follow from the ranks of each doubling step.  Common-prefix intervals with diverse left
 neighbours are the maximal repeats; their spans are united.  A text fails if the
@@ -33,34 +33,42 @@ def own(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def suffix_array(values: np.ndarray, first: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the suffixes whose first ``least`` values recur in their text, sorted, and the
-    common prefix of each with the next one (0 across texts)."""
+    """Places of suffixes in (text, values) order, and the common prefix of each with the next one.
+
+    Taken are the places whose first ``least`` values recur in their text and the ``least``
+    places after each, where their repeats end; so every repeat of ``least`` values and more
+    is ordered exactly.  Shorter common prefixes, and those across texts, are given as 0.
+    """
     at, to = tb.starts_of(first, least)
-    grams = own(tb.gram_hashes(values, least)[at], to)
-    again = repeated(grams)
-    place = at[again]
+    again = at[repeated(own(tb.gram_hashes(values, least)[at], to))]
+    place = np.flatnonzero(tb.covered(again, least + 1, len(values)))
     n = len(place)
     if not n:
         return place, np.zeros(0, np.int64)
+    owner = np.searchsorted(first, place, "right") - 1
     index = np.full(len(values) + 1, -1, np.int64)
     index[place] = np.arange(n)
-    levels, length = [], least
-    _, rank = np.unique(grams[again], return_inverse=True)
-    rank = rank.astype(np.int64)
-    levels.append((length, rank))
-    while True:
-        size = np.bincount(rank)
-        if (size[rank] < 2).all() or length >= len(values):
-            break
-        nxt = place + length
-        follow = index[np.minimum(nxt, len(values))]
-        second = np.where(follow >= 0, rank[np.maximum(follow, 0)] + 1, -np.arange(n))
+    ahead = [np.where(place + k < first[owner + 1], values[np.minimum(place + k, len(values) - 1)] | np.uint64(1), np.uint64(0)) for k in range(least)]
+    order = np.lexsort((*ahead[::-1], owner))
+    new = np.ones(n, bool)
+    new[1:] = owner[order][1:] != owner[order][:-1]
+    for v in ahead:
+        new[1:] |= v[order][1:] != v[order][:-1]
+    rank = np.empty(n, np.int64)
+    rank[order] = np.cumsum(new) - 1
+    levels, length = [(least, rank)], least
+    while rank.max() < n - 1:
+        follow = np.where(place + length < first[owner + 1], index[np.minimum(place + length, len(values))], -1)
+        second = np.where(follow >= 0, rank[np.maximum(follow, 0)] + 1, 0)
         order = np.lexsort((second, rank))
         r, s = rank[order], second[order]
         new = np.ones(n, bool)
         new[1:] = (r[1:] != r[:-1]) | (s[1:] != s[:-1])
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new) - 1
+        better = np.empty(n, np.int64)
+        better[order] = np.cumsum(new) - 1
+        if better.max() == rank.max():
+            break
+        rank = better
         length *= 2
         levels.append((length, rank))
     sa = np.argsort(rank, kind="stable")
@@ -71,13 +79,14 @@ def suffix_array(values: np.ndarray, first: np.ndarray, least: int) -> tuple[np.
         same = (i >= 0) & (j >= 0)
         same[same] = level[i[same]] == level[j[same]]
         off[same] += length
-    end = first[np.searchsorted(first, place, "right")]
-    live = off > 0
+    end = first[owner + 1]
+    live = owner[a] == owner[b]
     for _ in range(least - 1):
         x, y = place[a] + off, place[b] + off
         live &= (x < end[a]) & (y < end[b])
         live[live] = values[x[live]] == values[y[live]]
         off[live] += 1
+    off[off < least] = 0
     return place[sa], off
 
 

@@ -1,0 +1,326 @@
+"""The ten operators against brute-force versions, on the small tables and on edge cases."""
+
+import collections
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lamella.llm.decontaminate import contained_items
+from lamella.llm.language_id import fit_on, identify
+from lamella.llm.license_scan import SENTENCES, license_scan, normalise, split_sentences
+from lamella.llm.near_dedup import near_duplicates
+from lamella.llm.packing import pack
+from lamella.llm.quality_rules import quality_rules
+from lamella.llm.queries import QUERIES, vocabulary
+from lamella.llm.shared import shared_folder
+from lamella.llm.sharding import balanced_shards
+from lamella.llm.substring_dedup import substring_dedup
+from lamella.llm.suffix_dedup import suffix_dedup
+from lamella.llm.token_store import read_ids, write_ids
+
+WORDS = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or "")
+LOWER = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+CLASHING = "g long, id long, x long, p long, key string, n long, part int, shard int, bin int, count long, component long"
+
+
+def edge_rows(spark):
+    long = " ".join(f"w{i * i % 977}" for i in range(30_000))
+    passage = " ".join(f"passage{i}" for i in range(70))
+    rows = [
+        (None, "no id here at all"), (1, None), (2, ""), (3, " \n\t "), (4, "one"), (5, "Two words"), (6, "two WORDS"), (7, long), (8, "x " * 5000), (9, "a" * 3000), (10, passage), (11, "before " + passage + " after"),
+        (12, passage), (12, passage), (13, "é" * 700), (14, "z " + "é" * 700), (15, "same text of six words here"), (16, "same text of six words here"), (17, "Released under the MIT License.\nbye"), (18, "12345 !!"),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    extra = [F.lit(1).cast(c.split()[1]).alias(c.split()[0]) for c in CLASHING.split(", ")]
+    return docs.select("*", *extra)
+
+
+def documents(spark, small):
+    return spark.read.parquet(f"{small}/documents.parquet")
+
+
+def empty(spark):
+    return spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+@pytest.fixture(params=["small", "edge"])
+def docs(request, spark, small):
+    return documents(spark, small) if request.param == "small" else edge_rows(spark)
+
+
+def pairs_of(docs):
+    return [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+
+
+def test_near_duplicates(docs):
+    rows = pairs_of(docs)
+    got = near_duplicates(docs).collect()
+    assert len(got) == len(rows)
+    sets = {}
+    for i, t in rows:
+        w = WORDS(LOWER(t))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    ids = sorted(i for i in sets if i is not None)
+    root = {i: i for i in ids}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, i in enumerate(ids):
+        for j in ids[:a]:
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    for r in got:
+        if r.doc_id is None:
+            assert r.component_id is None and r.kept
+        else:
+            assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), find(r.doc_id), find(r.doc_id) == r.doc_id)
+
+
+def test_near_duplicates_across_components(spark):
+    """A chain whose ends do not link, and copies that are near no pivot."""
+    base = [f"t{i}" for i in range(60)]
+    texts = []
+    for k in range(40):
+        w = list(base)
+        for j in range(k):
+            w[(j * 7) % 60 - 1] = f"k{j}"
+        texts.append((k, " ".join(w)))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    test_near_duplicates(docs)
+
+
+def test_quality_rules(docs):
+    got = quality_rules(docs).collect()
+    rows = collections.Counter(pairs_of(docs))
+    assert len(got) == sum(rows.values())
+    by_id = {r.doc_id: r for r in got}
+    for i, t in rows:
+        t = t or ""
+        w, r = WORDS(t), by_id[i]
+        seen, dup = set(), 0
+        for line in t.split("\n"):
+            if WORDS(line):
+                dup += line in seen
+                seen.add(line)
+        windows = collections.Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
+        again = set()
+        for k in range(len(w) - 7):
+            if windows[tuple(w[k : k + 8])] > 1:
+                again |= set(range(k, k + 8))
+        failed = len(w) < 20 or 100 * len(again) > 30 * len(w)
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), dup, len(again), failed)
+        assert r.kept in ((False,) if failed else (True, False))
+        if len(w) < 1500:
+            places = collections.defaultdict(list)
+            for k in range(len(w) - 5):
+                places[tuple(w[k : k + 6])].append(k)
+            cover, longest = set(), 0
+            for p in places.values():
+                for a in range(len(p)):
+                    for b in range(a + 1, len(p)):
+                        k = 0
+                        while p[b] + k < len(w) and w[p[a] + k] == w[p[b] + k]:
+                            k += 1
+                        longest = max(longest, k)
+                        cover |= set(range(p[a], p[a] + k)) | set(range(p[b], p[b] + k))
+            assert (r.n_covered, r.longest_repeat) == (len(cover), longest)
+
+
+def test_quality_rules_fail_long_repeats(spark):
+    half = " ".join(f"r{i}" for i in range(60))
+    clean = " ".join(f"c{i}" for i in range(400))
+    docs = spark.createDataFrame([(1, f"{half} {half} " + " ".join(f"o{i}" for i in range(60))), (2, clean)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in quality_rules(docs).collect()}
+    assert not rows[1].kept and rows[1].longest_repeat == 60 and rows[1].n_repeats == 1 and rows[2].kept and rows[2].n_repeats == 0
+
+
+def test_license_scan(docs):
+    known = {normalise(s): n for n, s in SENTENCES}
+    by_id = {r.doc_id: r for r in license_scan(docs).collect()}
+    for i, t in pairs_of(docs):
+        want = [known[normalise(s)] for s in split_sentences(t or "") if normalise(s) in known]
+        assert by_id[i].sentence_ids == want and by_id[i].n_known_sentences == len(want)
+
+
+def test_license_rules_in_order(spark):
+    text = dict(SENTENCES)
+    mit = "\n".join(text[k] for k in ("mit-grant", "mit-notice", "mit-warranty"))
+    docs = spark.createDataFrame([(1, "MIT License\n\n" + mit), (2, text["mit-warranty"]), (3, text["bsd-grant"] + " * " + text["bsd-source"] + "\n" + text["bsd-binary"] + " " + text["bsd-endorse"]), (4, "See the GNU General Public License for more details."), (5, "Licensed under CC BY-NC 4.0. And more.")], "doc_id long, text string")
+    rows = {r.doc_id: r for r in license_scan(docs).collect()}
+    assert rows[1].licenses == ["MIT"] and len(rows[1].matches) == 1 and not rows[1].restricted
+    assert rows[2].licenses == [] and rows[2].n_known_sentences == 1
+    assert rows[4].licenses == [] and rows[5].licenses == ["CC-BY-NC-4.0"] and rows[5].restricted
+
+
+def test_substring_dedup(docs):
+    rows = sorted(pairs_of(docs), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+    got = collections.defaultdict(list)
+    for r in substring_dedup(docs).collect():
+        got[r.doc_id].append((r.n_words, r.n_removed, r.kept_sha256, r.kept_text))
+    seen, want = set(), collections.defaultdict(list)
+    for i, t in rows:
+        w = WORDS(t)
+        gone = [False] * len(w)
+        for k in range(len(w) - 19):
+            key = tuple(w[k : k + 20])
+            if key in seen:
+                gone[k : k + 20] = [True] * 20
+            seen.add(key)
+        kept = " ".join(x for x, g in zip(w, gone, strict=True) if not g)
+        want[i].append((len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest(), kept))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+
+
+def test_suffix_dedup(docs):
+    rows = pairs_of(docs)
+    count = collections.Counter()
+    for _, t in rows:
+        b = (t or "").encode()
+        count.update(b[k : k + 400] for k in range(len(b) - 399))
+    want = collections.Counter()
+    for i, t in rows:
+        b = (t or "").encode()
+        gone, end = bytearray(len(b)), 0
+        for k in range(len(b) - 399):
+            if count[b[k : k + 400]] > 1:
+                s = max(k, end)
+                gone[s : k + 400] = b"\1" * (k + 400 - s)
+                end = k + 400
+        kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
+        want[i, len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest()] += 1
+    got = suffix_dedup(docs).collect()
+    assert collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want
+    for r in got:
+        assert sum(s.end - s.start for s in r.spans) == r.n_removed and len(r.kept_text.encode()) >= r.n_bytes - r.n_removed
+
+
+def test_suffix_dedup_of_edited_copies(spark):
+    """Repeats whose ends lie anywhere around the anchors."""
+    rng = np.random.RandomState(8)
+    base = "".join(chr(97 + c) for c in rng.randint(0, 26, 1500))
+    rows = [(0, base)]
+    for k in range(1, 30):
+        a, z = sorted(rng.randint(0, 1500, 2))
+        rows.append((k, "".join(chr(65 + c) for c in rng.randint(0, 26, 60)) + base[a:z] + "".join(chr(65 + c) for c in rng.randint(0, 26, 60))))
+    test_suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+
+
+def test_token_store(docs, spark):
+    from tokenizers import Tokenizer
+
+    path = shared_folder(spark, "test-ids")
+    name = vocabulary("word_bpe_49k.json")
+    write_ids(docs, path, name)
+    plain = Tokenizer.from_file(name)
+    got = sorted(read_ids(spark, path).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == sorted((i for i, _ in pairs_of(docs)), key=lambda i: (i is None, i or 0))
+    texts, at = collections.defaultdict(list), 0
+    for i, t in pairs_of(docs):
+        texts[i].append(plain.encode(t or "", add_special_tokens=False).ids + [1])
+    for r in got:
+        assert r.start == at and r.n_tokens == len(r.ids) and r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
+        texts[r.doc_id].remove(r.ids)
+        at += r.n_tokens
+
+
+def test_language_id(spark, small):
+    docs = documents(spark, small)
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    model = fit_on(docs.where(~held))
+    rows = identify(docs, model).join(docs.where(held).select("doc_id", "lang"), "doc_id").collect()
+    right = sum(r.lang == r.lang_pred for r in rows)
+    assert right >= 0.97 * len(rows) and sum(r.accepted for r in rows) >= 0.97 * len(rows)
+    odd = {r.doc_id: r for r in identify(edge_rows(spark), model).collect()}
+    assert [odd[i].lang_pred for i in (1, 2, 3, 18)] == ["und"] * 4 and not odd[1].accepted and odd[4].lang_pred in model.languages
+    assert all(0 <= r.score <= 1 for r in odd.values())
+    assert {r.lang_pred for r in identify(docs, fit_on(empty(spark))).collect()} == {"und"}
+
+
+def test_sharding(docs):
+    rows = pairs_of(docs)
+    got = balanced_shards(docs, 5).collect()
+    assert len(got) == len(rows) and {r.law for r in got} == {"rows"}
+    count = collections.Counter(r.shard for r in got)
+    assert max(count.values()) - min(count.values()) <= 1
+    for s in count:
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(count[s]))
+    assert collections.Counter((r.doc_id, r.size, r.text_crc32) for r in got) == collections.Counter((i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t in rows)
+
+
+def test_sharding_keeps_groups_and_splits_the_largest(spark):
+    rows = [(i, f"group {i % 40}" if i < 200 else "hot" if i < 300 else f"alone {i}") for i in range(400)]
+    got = balanced_shards(spark.createDataFrame(rows, "doc_id long, text string"), 8).collect()
+    where = collections.defaultdict(set)
+    for r in got:
+        where[rows[r.doc_id][1]].add(r.shard)
+    assert collections.Counter(r.shard for r in got) == {s: 50 for s in range(8)}
+    assert len(where["hot"]) <= 4 and sum(len(where[f"group {k}"]) == 1 for k in range(40)) >= 36
+
+
+def test_packing(docs):
+    from tokenizers import Tokenizer
+
+    name = vocabulary("byte_bpe_50k.json")
+    plain = Tokenizer.from_file(name)
+    rows = pack(docs, name, window=512).collect()
+    texts = collections.Counter()
+    for i, t in pairs_of(docs):
+        texts[i, tuple(plain.encode(t or "", add_special_tokens=False).ids + [1])] += 1
+    want = collections.Counter()
+    for (i, ids), n in texts.items():
+        want[i] += n * len(ids)
+    got, lanes = collections.Counter(), collections.defaultdict(list)
+    by_id = {i: np.array(ids, "<u4") for i, ids in texts}
+    for r in rows:
+        got[r.doc_id] += r.length
+        lanes[r.sequence_id].append((r.offset, r.length))
+        ids = by_id[r.doc_id]
+        assert r.doc_tokens == len(ids) and zlib.crc32(ids[r.start : r.start + r.length].tobytes()) == r.ids_crc32
+    assert got == want
+    for lane in lanes.values():
+        at = 0
+        for offset, length in sorted(lane):
+            assert offset == at
+            at += length
+        assert at <= 512
+    assert sorted(lanes) == list(range(len(lanes)))
+
+
+def test_contained_items(docs, spark, small):
+    items = spark.read.parquet(f"{small}/benchmark.parquet")
+    more = spark.createDataFrame([(900, None), (901, ""), (902, "too few words"), (903, "same text of six words here"), (None, "no id here at all"), (904, " ".join(f"passage{i}" for i in range(10, 60)))], "item_id long, text string")
+    items = items.select("item_id", "text").union(more)
+    shingles = lambda t: {tuple(w[k : k + 5]) for w in [WORDS(LOWER(t))] for k in range(len(w) - 4)}
+    wanted = {(r.item_id): shingles(r.text) for r in items.collect() if r.item_id is not None}
+    want = collections.Counter()
+    for i, t in pairs_of(docs):
+        own = shingles(t)
+        for k, s in wanted.items():
+            if i is not None and s and 100 * len(s & own) >= 75 * len(s):
+                want[i, k, len(s & own), len(s)] += 1
+    got = collections.Counter((r.doc_id, r.item_id, r.n_shared, r.n_item) for r in contained_items(docs, items, block_items=20).collect())
+    assert got == want and want
+
+
+@pytest.mark.parametrize("operator", [near_duplicates, quality_rules, license_scan, substring_dedup, suffix_dedup, balanced_shards, lambda d: pack(d, vocabulary("byte_bpe_50k.json")), lambda d: contained_items(d, d.select(F.col("doc_id").alias("item_id"), "text"))])
+def test_empty_tables(spark, operator):
+    assert operator(empty(spark)).count() == 0
+
+
+def test_empty_token_store(spark):
+    path = shared_folder(spark, "test-ids")
+    write_ids(empty(spark), path, vocabulary("word_bpe_49k.json"))
+    assert read_ids(spark, path).count() == 0
+
+
+def test_all_ten_are_registered():
+    assert [sum(k.startswith(f"op{n}_") for k in QUERIES) for n in range(1, 11)] == [1] * 10
