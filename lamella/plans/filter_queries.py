@@ -109,7 +109,7 @@ def model_choice(fx):
 
 @query(
     "host_budget",
-    "with " + HOST + ", " + ASKED + """ select req_id, device, model, mem_budget_bytes, points_per_batch, overview_cap_px, tile_cap_px, threads,
+    "with " + HOST + ", " + ASKED + """ select req_id, device, model, mem_budget_bytes, cast(points_per_batch as bigint) as points_per_batch, cast(overview_cap_px as bigint) as overview_cap_px, cast(tile_cap_px as bigint) as tile_cap_px, cast(threads as bigint) as threads,
     device || ', ' || cast(ram_gb as bigint) || ' GB RAM, ' || model || ', batch ' || points_per_batch || ', tiles ' || tile_cap_px || ' px, overview ' || overview_cap_px || ' px' as summary from a join h using (host_id)""",
 )
 def host_budget(fx):
@@ -230,9 +230,18 @@ def examples(fx):
     return fx.sections.where("mask_id % 6 = 1").select("image_id", "polygon")
 
 
-@query("calibrate", CALIBRATED + " select * from qc")
+#: Doubles that went through medians and roots are rounded on both sides.
+ROUNDED = ("median_area", "minor_px", "section_px", "section_px_full", "minor_px_full", "median_area_full", "points", "tile_overlap", "crop_overlap", "min_area", "max_area", "whole_image_section_px")
+REPLACE = " replace (" + ", ".join([f"round({c}, 6) as {c}" for c in ROUNDED] + [f"cast({c} as bigint) as {c}" for c in ("crop_layers", "crop_downscale", "batch")]) + ")"
+
+
+def _rounded(df):
+    return df.withColumns({c: F.round(c, 6) for c in ROUNDED})
+
+
+@query("calibrate", CALIBRATED + " select *" + REPLACE + " from qc")
 def calibrate(fx):
-    return cal.calibrate(examples(fx), settings(fx).drop("is_slide"))
+    return _rounded(cal.calibrate(examples(fx), settings(fx).drop("is_slide")))
 
 
 @query(
@@ -240,10 +249,10 @@ def calibrate(fx):
     CALIBRATED + """, redo as (select st.*, recommended_overview, recommended_overview / ov_given as r from st join qc using (image_id) where is_slide and recommended_overview is not null and recommended_overview <> ov_given),
     ex2 as (select image_id, count(*) as n, median(a * r * r) as ma, median(minor_axis * r) as mi from pa join minor using (image_id, mask_id) join redo using (image_id) where a > 0 and mask_id % 6 = 1 group by image_id),
     st2 as (select image_id, coalesce(nullif(zoom, 0), 1.0e0) * r as zoom, recommended_overview as ov_given, tile_cap, batch, model, is_slide from redo), """ + _calibration_sql("ex2", "st2", "w")
-    + " select *, 1 as pass from qc where image_id not in (select image_id from redo) union all select *, 2 from wc",
+    + " select *" + REPLACE + ", 1 as pass from qc where image_id not in (select image_id from redo) union all select *" + REPLACE + ", 2 from wc",
 )
 def calibrate_two_pass(fx):
-    return cal.calibrate_two_pass(examples(fx), settings(fx))
+    return _rounded(cal.calibrate_two_pass(examples(fx), settings(fx)))
 
 
 @query(

@@ -40,7 +40,7 @@ def project_read(fx):
     return rows.select("image_id", "layer", "idx", F.posexplode("polygon").alias("k", "v")).select("image_id", "layer", "idx", F.col("k").cast("long").alias("k"), "v.x", "v.y")
 
 
-@query("project_write", "with " + PROJECT + ", g as (select image_id, layer, count(distinct idx) as n from r group by all) select image_id, coalesce(max(n) filter (layer = 'sections'), 0) as n_sections, coalesce(max(n) filter (layer = 'raw_sections'), 0) as n_raw, coalesce(max(n) filter (layer = 'fiducials'), 0) as n_fiducials, 0 as n_examples from g group by image_id")
+@query("project_write", "with " + PROJECT + ", g as (select image_id, layer, count(distinct idx) as n from r group by all) select image_id, coalesce(max(n) filter (layer = 'sections'), 0) as n_sections, coalesce(max(n) filter (layer = 'raw_sections'), 0) as n_raw, coalesce(max(n) filter (layer = 'fiducials'), 0) as n_fiducials, cast(0 as bigint) as n_examples from g group by image_id")
 def project_write(fx):
     out = projects.project_write(_project_rows(fx))
     n = lambda k: F.json_array_length(F.get_json_object("json", f"$.{k}")).cast("long")
@@ -154,7 +154,7 @@ def _metadata(fx):
 
 @query(
     "image_metadata_read",
-    """select image_id, size_x, size_y, 1 as size_c, case when image_id % 4 = 0 then null else size_s end as size_s, cast(null as bigint) as size_m, image_id % 8 / 4.0e0 as scale_x, case when image_id % 7 = 1 then null else 0.25e0 end as scale_y, 'Gray16' as pixel_type,
+    """select image_id, size_x, size_y, cast(1 as bigint) as size_c, case when image_id % 4 = 0 then null else size_s end as size_s, cast(null as bigint) as size_m, image_id % 8 / 4.0e0 as scale_x, case when image_id % 7 = 1 then null else 0.25e0 end as scale_y, 'Gray16' as pixel_type,
     case when image_id % 10 = 9 or (image_id % 4 <> 0 and size_s <> 1) then null when image_id % 3 = 0 then 7.5e0 else image_id * 1000.0e0 end as center_x_um, case when image_id % 10 = 9 or (image_id % 4 <> 0 and size_s <> 1) then null when image_id % 3 = 0 then 8.5e0 else image_id * 500.0e0 end as center_y_um from {images}""",
 )
 def image_metadata_read(fx):

@@ -128,7 +128,7 @@ def to_stage_um(fx):
 @query("from_stage_um", STAGE + " select c.image_id, c.mask_id, case when s.x is null then 0 else c.k end as k, case when s.x is null then null else c.x end as x, case when s.x is null then null else c.y end as y from s join {corners} c using (mask_id, k) where s.x is not null or c.k = 0")
 def from_stage_um(fx):
     geometry = _geometry(fx)
-    return _corner_rows(frames.from_stage_um(frames.to_stage_um(fx.sections, geometry), geometry))
+    return _corner_rows(frames.from_stage_um(frames.to_stage_um(fx.sections, geometry), geometry)).withColumns({"x": F.round("x", 6), "y": F.round("y", 6)})
 
 
 @query(
@@ -176,7 +176,7 @@ EPS = [100 + 110.0 * s for s in range(11)]
 
 @query("area_sweep_consensus", "with " + SWEEP + " select image_id, unnest(members) as idx, eps, ms as min_samples from chosen")
 def area_sweep_consensus(fx):
-    return clustering.area_sweep_consensus(indexed(fx), EPS, [1, 2, 3, 4])
+    return clustering.area_sweep_consensus(indexed(fx), EPS, [1, 2, 3, 4]).withColumn("min_samples", F.col("min_samples").cast("long"))
 
 
 IN_BAND = "bands as (" + BANDS + """), raw as (select image_id, mask_id, area from {detections} where pred_iou > 0.3), inb as (select r.* from raw r left join bands b using (image_id) where area between coalesce(min_area, 0) and coalesce(max_area, 'infinity'::double)),

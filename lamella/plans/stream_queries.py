@@ -19,7 +19,7 @@ def _events(fx):
 
 
 PARSED = "with e as (select user_id as run_id, ts, event_id, event_type as t, event_id % 9 + 1 as k, event_id % 3 = 0 as bad from events)"
-TYPES = "select run_id, event_id, case t when 'view' then 'tile' when 'click' then 'start' when 'signup' then 'tiles' when 'purchase' then 'done' else 'error' end as type, case when t in ('view', 'click') then k end as k, case when t in ('view', 'click') then 9 end as n, case t when 'view' then 2 end as n_sections, case t when 'signup' then 2 end as n_tiles from e where t in ('view', 'click', 'signup', 'purchase', 'error') and not (t = 'click' and bad)"
+TYPES = "select run_id, event_id, case t when 'view' then 'tile' when 'click' then 'start' when 'signup' then 'tiles' when 'purchase' then 'done' else 'error' end as type, case when t in ('view', 'click') then k end as k, case when t in ('view', 'click') then cast(9 as bigint) end as n, case t when 'view' then cast(2 as bigint) end as n_sections, case t when 'signup' then cast(2 as bigint) end as n_tiles from e where t in ('view', 'click', 'signup', 'purchase', 'error') and not (t = 'click' and bad)"
 
 
 def _shown(events):
@@ -37,12 +37,12 @@ def stream_parse(fx):
     return _shown(_events(fx))
 
 
-@query("stream_live_sections", PARSED + " select run_id, k, round(event_id % 100 + 0.25e0, 1) as area, 3 as n_points, 1.0e0 as x0, 4.3e0 as y1 from e where t = 'view'")
+@query("stream_live_sections", PARSED + " select run_id, k, round(event_id % 100 + 0.25e0, 1) as area, cast(3 as bigint) as n_points, 1.0e0 as x0, 4.3e0 as y1 from e where t = 'view'")
 def stream_live_sections(fx):
     return logs.live_sections(_events(fx)).select("run_id", "k", "area", F.size("polygon").cast("long").alias("n_points"), F.element_at("polygon", 1)["x"].alias("x0"), F.element_at("polygon", 2)["y"].alias("y1"))
 
 
-@query("stream_progress", PARSED + " select run_id, max(k) as k, 9 as n, count(*) as n_sections, round(greatest(0.001e0, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6) / max(k) * (9 - max(k)), 3) as eta_s from e where t = 'view' group by run_id")
+@query("stream_progress", PARSED + " select run_id, max(k) as k, cast(9 as bigint) as n, count(*) as n_sections, round(greatest(0.001e0, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6) / max(k) * (9 - max(k)), 3) as eta_s from e where t = 'view' group by run_id")
 def stream_progress(fx):
     return logs.progress(_events(fx)).withColumn("eta_s", F.round("eta_s", 3))
 
