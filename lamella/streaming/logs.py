@@ -84,10 +84,12 @@ KEPT = "run_id string, mask_id long, k long, x double, y double, area double"
 
 
 def stream_dedup(sections: DataFrame) -> DataFrame:
-    """Greedy de-duplication per run as tiles arrive.  sections(run_id, k, mask_id, x, y, area, last): ``last`` marks the end of a run.
+    """Greedy de-duplication per run as tiles arrive.  sections(run_id, k, mask_id, x, y, area, last): ``last`` marks a row of the
+    run's last tile, or with a null k that the run failed.
 
     State per run: kept centres, and tiles that came before their turn.  A tile is resolved once all
-    smaller k are there, at the end of the run whatever is waiting; so the result is the batch result if every k comes.
+    smaller k (from 0) are there, so rows may come in any order of tiles; a run is over after its last tile.
+    When it fails, what is waiting is resolved in order: partial results are kept.
     On a table the same rule is resolved by binned joins.
     """
     if not sections.isStreaming:
@@ -95,24 +97,26 @@ def stream_dedup(sections: DataFrame) -> DataFrame:
         points = cut(sections.where("mask_id is not null").select(F.struct("run_id", "mask_id").alias("id"), F.col("run_id").alias("image_id"), rank.alias("rank"), "x", "y", (0.5 * F.sqrt(F.greatest("area", F.lit(1.0)))).alias("r"), "k", "area"))
         kept = points.join(resolve(points, conflict_edges(points)), "id", "left_semi")
         return kept.select(F.col("image_id").alias("run_id"), "id.mask_id", "k", "x", "y", "area")
-    schema = "next_k long, waiting string, kx array<double>, ky array<double>"
+    schema = "next_k long, end_k long, waiting string, kx array<double>, ky array<double>"
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        next_k, waiting, kx, ky = state.get if state.exists else (0, "[]", [], [])
+        next_k, end_k, waiting, kx, ky = state.get if state.exists else (0, -1, "[]", [], [])
         held = pd.read_json(_text(waiting), orient="records") if waiting != "[]" else pd.DataFrame()
         rows = pd.concat([f for f in (held, *frames) if len(f)], ignore_index=True)
-        ended = bool(rows["last"].astype(bool).any()) if len(rows) else False
-        rows = rows[rows["mask_id"].notna()] if len(rows) else rows
+        marks = rows[rows["last"].astype(bool)] if len(rows) else rows
+        failed = bool(len(marks)) and bool(marks["k"].isna().any())
+        end_k = int(max([end_k, *marks["k"].dropna()])) if len(marks) else end_k
         kx, ky, out = list(kx), list(ky), []
-        have = set(rows["k"]) if len(rows) else set()
+        have = set(rows["k"].dropna()) if len(rows) else set()
         ready = []
         while next_k in have:
             ready.append(next_k)
             next_k += 1
-        if ended:
+        if failed:
             ready = sorted(have)
+        ended = failed or 0 <= end_k < next_k
         for k in ready:
-            tile = rows[rows["k"] == k].sort_values(["area", "mask_id"], ascending=[False, True])
+            tile = rows[(rows["k"] == k) & rows["mask_id"].notna()].sort_values(["area", "mask_id"], ascending=[False, True])
             for r in tile.itertuples():
                 reach = 0.5 * math.sqrt(max(r.area, 1))
                 if not any(abs(r.x - a) < reach and abs(r.y - b) < reach for a, b in zip(kx, ky, strict=True)):
@@ -123,7 +127,7 @@ def stream_dedup(sections: DataFrame) -> DataFrame:
             state.remove()
         else:
             rest = rows[~rows["k"].isin(ready)] if len(rows) else rows
-            state.update((int(next_k), rest.to_json(orient="records") if len(rest) else "[]", kx, ky))
+            state.update((int(next_k), end_k, rest.to_json(orient="records") if len(rest) else "[]", kx, ky))
         yield pd.DataFrame(out, columns=["run_id", "mask_id", "k", "x", "y", "area"])
 
     return sections.groupBy("run_id").applyInPandasWithState(step, KEPT, schema, "append", GroupStateTimeout.NoTimeout)

@@ -47,13 +47,20 @@ def test_stream_dedup_equals_the_table(spark, small, tmp_path, parts):
     d = Fixtures(spark, small).detections.where("image_id % 10 < 3")
     rows = d.select(F.col("tile_idx").alias("k"), F.col("image_id").cast("string").alias("run_id"), "mask_id", F.col("cx").alias("x"), F.col("cy").alias("y"), "area", F.lit(False).alias("last"))
     runs = rows.select("run_id").distinct()
-    every = runs.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(8)))).select(F.col("k").cast("long").alias("k"), "run_id", F.lit(None).cast("long").alias("mask_id"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("area"), (F.col("k") == 8).alias("last"))
-    both = rows.union(every)  # empty tiles are told, and the last one ends the run
+    every = runs.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(8)))).select(F.col("k").cast("long").alias("k"), "run_id", F.lit(None).cast("long").alias("mask_id"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("area"), (F.col("k") == 8).alias("last"))  # every tile is told
+    both = rows.union(every)
     want = {(r.run_id, r.mask_id) for r in logs.stream_dedup(rows).collect()}
     got = {(r.run_id, r.mask_id) for r in run(spark, both, logs.stream_dedup, parts, tmp_path).collect()}
     assert got == want and want
 
 
+def test_stream_dedup_keeps_what_a_failed_run_has(spark, tmp_path):
+    rows = [(2, "r", 1, 0.0, 0.0, 100.0, False), (0, "r", 2, 50.0, 50.0, 100.0, False), (2, "r", 3, 1.0, 1.0, 90.0, False), (None, "r", None, 0.0, 0.0, 0.0, True)]
+    df = spark.createDataFrame(rows, "k long, run_id string, mask_id long, x double, y double, area double, last boolean")
+    got = run(spark, df, logs.stream_dedup, 1, tmp_path).collect()
+    assert sorted(r.mask_id for r in got) == [1, 2]
+
+
 def test_debounce_gaps(spark, tmp_path):
     at = [0.0, 1.4, 3.0, 4.6]  # 1.4 s apart, then 1.6 s
     df = spark.createDataFrame([(1, t, i, "edit", f"v{i}") for i, t in enumerate(at)], "image_id long, s double, seq long, kind string, value string")
