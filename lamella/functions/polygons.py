@@ -53,17 +53,24 @@ def minor_axis(p: Column | str, most_vertices: int = 64) -> Column:
     The least rectangle has a side along an edge of the convex hull, so the directions
     of all vertex pairs are tried; ties go to the smaller short side.
     """
+    best = F.array_min(_rectangles(p, most_vertices))
+    return F.when(F.size(_c(p)) > 0, F.coalesce(best["short"], F.lit(0.0)))
+
+
+def _rectangles(p: Column | str, most_vertices: int) -> Column:
+    """(area, short side) of the enclosing rectangle along the direction of each vertex pair."""
     p = F.slice(_c(p), 1, most_vertices)
-    pairs = F.flatten(F.transform(p, lambda a: F.transform(p, lambda b: F.struct((b["x"] - a["x"]).alias("x"), (b["y"] - a["y"]).alias("y")))))
-    turns = F.filter(pairs, lambda d: (d["x"] != 0) | (d["y"] != 0))
-    unit = F.transform(turns, lambda d: F.struct((d["x"] / F.hypot(d["x"], d["y"])).alias("x"), (d["y"] / F.hypot(d["x"], d["y"])).alias("y")))
+    step = lambda a, b: F.struct((b["x"] - a["x"]).alias("x"), (b["y"] - a["y"]).alias("y"), F.hypot(b["x"] - a["x"], b["y"] - a["y"]).alias("n"))
+    pairs = F.flatten(F.transform(p, lambda a, i: F.transform(F.slice(p, i + 2, F.size(p)), lambda b: step(a, b))))
+    extent = lambda v: F.array_max(v) - F.array_min(v)
 
     def sides(d: Column) -> Column:
-        along, across = F.transform(p, lambda v: v["x"] * d["x"] + v["y"] * d["y"]), F.transform(p, lambda v: v["y"] * d["x"] - v["x"] * d["y"])
-        a, b = F.array_max(along) - F.array_min(along), F.array_max(across) - F.array_min(across)
-        return F.struct(F.round(a * b, 6).alias("area"), F.least(a, b).alias("short"))
+        along = F.transform(p, lambda v: (v["x"] * d["x"] + v["y"] * d["y"]) / d["n"])
+        across = F.transform(p, lambda v: (v["y"] * d["x"] - v["x"] * d["y"]) / d["n"])
+        return F.array(along, across)
 
-    return F.when(F.size(p) > 0, F.coalesce(F.array_min(F.transform(unit, sides))["short"], F.lit(0.0)))
+    spans = F.transform(F.filter(pairs, lambda d: d["n"] > 0), lambda d: F.transform(sides(d), extent))
+    return F.transform(spans, lambda s: F.struct(F.round(s[0] * s[1], 6).alias("area"), F.least(s[0], s[1]).alias("short")))
 
 
 def valid(p: Column | str, least: int = 3) -> Column:
@@ -113,12 +120,4 @@ def contains(p: Column | str, x: Column, y: Column) -> Column:
 
 def minor_area(p: Column | str, most_vertices: int = 64) -> Column:
     """Area of the least rectangle around the polygon (see ``minor_axis``)."""
-    p = F.slice(_c(p), 1, most_vertices)
-    pairs = F.flatten(F.transform(p, lambda a: F.transform(p, lambda b: F.struct((b["x"] - a["x"]).alias("x"), (b["y"] - a["y"]).alias("y")))))
-
-    def rectangle(d: Column) -> Column:
-        along, across = F.transform(p, lambda v: v["x"] * d["x"] + v["y"] * d["y"]), F.transform(p, lambda v: v["y"] * d["x"] - v["x"] * d["y"])
-        square = d["x"] * d["x"] + d["y"] * d["y"]
-        return F.round((F.array_max(along) - F.array_min(along)) * (F.array_max(across) - F.array_min(across)) / square, 6)
-
-    return F.coalesce(F.array_min(F.transform(F.filter(pairs, lambda d: (d["x"] != 0) | (d["y"] != 0)), rectangle)), F.lit(0.0))
+    return F.coalesce(F.array_min(_rectangles(p, most_vertices))["area"], F.lit(0.0))
