@@ -87,7 +87,7 @@ def model_resolve(requests: DataFrame, inventory: DataFrame) -> DataFrame:
 
 
 def model_config(files: DataFrame) -> DataFrame:
-    """Configuration letter and family of checkpoint files(file)."""
+    """Configuration file and family of checkpoint files(file); file names and letters are fixed values."""
     name = F.lower(F.regexp_extract("file", r"([^/]*)$", 1))
     has = lambda *parts: F.greatest(*[name.contains(p) for p in parts], F.lit(False))
     letter = F.when(has("tiny"), "t").when(has("small"), "s").when(has("base_plus", "b+", "bplus"), "b+").when(has("large"), "l").otherwise("b+")
