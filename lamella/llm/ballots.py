@@ -3,9 +3,11 @@
 Rows of documents are dealt into groups.  A group sends its fingerprints, packed as
 one binary *ballot* per bucket of the fingerprint space; a bucket sees all ballots
 about its own fingerprints and answers each with a few bits per fingerprint, in the
-order of the ballot; the answers return to the group.  A frequent fingerprint costs
-four to twelve bytes each time, whatever its key, and buckets are even because
-fingerprints are.  Groups and buckets grow in number with ``spark.sql.shuffle.partitions``.
+order of the ballot; the answers return to the group.
+
+Scale.  A group sends each fingerprint once, however often it holds it, so the most
+frequent one costs a bucket one entry per group.  Buckets are even because fingerprints
+are.  The numbers of groups and buckets follow the bytes of text, which bounds both.
 """
 
 from __future__ import annotations
@@ -21,27 +23,47 @@ from .shared import tasks
 
 BALLOT = "bucket int, g int, blob binary"
 ANSWER = "g int, bucket int, blob binary"
+#: Most bytes of text per group, and of the corpus per bucket, on average.
+GROUP_BYTES = 32 << 20
+BUCKET_BYTES = 1 << 30
 
 
-def grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(g, id, text): documents dealt into groups by a hash of their id."""
-    n = 4 * tasks(docs.sparkSession)
-    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return plain.select(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("g"), "id", "text")
+def grouped(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
+    """(g, id, text, c0, c1, ..) and the number of buckets: documents dealt into groups by a
+    hash of their id, with the columns ``carry`` beside them."""
+    text = F.col(text_col).cast("string")
+    size = docs.agg(F.sum(F.octet_length(text)).alias("s")).first()["s"] or 0
+    least = tasks(docs.sparkSession)
+    n = max(4 * least, -(-size // GROUP_BYTES))
+    # rows without an id are told apart by their text
+    of = F.pmod(F.when(F.col("id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("id")), F.lit(n))
+    beside = [F.col(c).alias(f"c{k}") for k, c in enumerate(carry)]
+    plain = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), *beside)
+    return plain.select(of.cast("int").alias("g"), "id", "text", *[f"c{k}" for k in range(len(carry))]), max(least, -(-size // BUCKET_BYTES))
 
 
 class Group:
     """The texts of one group in (id, text) order."""
 
     def __init__(self, rows: pa.Table):
-        rows = rows.select(["g", "id", "text"]).combine_chunks()
-        rows = rows.take(pc.sort_indices(rows, sort_keys=[("id", "ascending"), ("text", "ascending")]))
+        rows = rows.combine_chunks()
+        self.rows = rows = rows.take(pc.sort_indices(rows, sort_keys=[("id", "ascending"), ("text", "ascending")]))
         self.g = rows.column("g")[0].as_py()
         self.id_column = rows.column("id").combine_chunks()
         self.ids = np.asarray(pc.fill_null(self.id_column, np.iinfo(np.int64).max))
         self.buf, self.offs = tb.text_buffer(rows.column("text"))
 
 
+def text_runs(offs: np.ndarray) -> list[tuple[int, int]]:
+    """Runs of whole texts [i, j) of about ``SLICE_BYTES``; a longer text is a run alone."""
+    out, at = [], 0
+    while at < len(offs) - 1:
+        to = max(at + 1, int(np.searchsorted(offs, offs[at] + tb.SLICE_BYTES, "right")) - 1)
+        out.append((at, to))
+        at = to
+    return out
+
+
 def sent(g: int, buckets: dict[int, bytes]) -> pa.Table:
     return pa.table({"bucket": pa.array(list(buckets), pa.int32()), "g": pa.array([g] * len(buckets), pa.int32()), "blob": pa.array(list(buckets.values()), pa.binary())})
 

@@ -7,10 +7,12 @@ fingerprint bit; three such rounds give symbols of up to eight words.  What lies
 inside two equal windows gets equal symbols, because each symbol depends only on the
 words of its *context* (its own words and the neighbours that decided its form).
 
-1. Groups of documents send their top symbols; buckets answer which occur twice.
+1. Groups of documents send their distinct top symbols; buckets answer which occur
+   in two groups.
 2. A window that holds the whole context of a symbol that occurs once cannot repeat.
-   The other windows are sent as 96-bit fingerprints of all their words, which
-   verifies them; buckets answer which have an earlier occurrence (id, position).
+   Of the other windows each group sends the first of each kind, as 96-bit fingerprints
+   of all their words, which verifies them; buckets answer which have an earlier
+   occurrence in another group (by id).
 3. Each group removes the words that such windows cover.
 
 All three read one shuffle of the texts.  Windows never cross documents.
@@ -23,11 +25,9 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import textbits as tb
 from .ballots import ANSWER, BALLOT, Group, answered, deal, grouped, repeated, sent
-from .shared import tasks
 
 _FAR = 1 << 40
 #: Buckets from here on carry a group's own notes back to it.
@@ -73,6 +73,16 @@ def recompress(values: np.ndarray, first: np.ndarray, rounds: int = 3) -> tuple[
     return names, left, right
 
 
+def first_of_kind(full: np.ndarray, check: np.ndarray) -> np.ndarray:
+    """True at the first place of each (full, check)."""
+    out = np.zeros(len(full), bool)
+    order = np.lexsort((check, full))
+    new = np.ones(len(full), bool)
+    new[1:] = (full[order][1:] != full[order][:-1]) | (check[order][1:] != check[order][:-1])
+    out[order[new]] = True
+    return out
+
+
 class _Words:
     def __init__(self, rows: pa.Table, window: int):
         self.of = of = Group(rows)
@@ -83,10 +93,12 @@ class _Words:
     def candidates(self, answers: dict[int, bytes], n_buckets: int) -> np.ndarray:
         """Window starts that hold no whole context of a name that occurs once."""
         names, left, right = recompress(self.values, self.first)
-        order, to = deal(names, n_buckets)
-        twice = np.zeros(len(names), bool)
+        own, which, held = np.unique(names, return_inverse=True, return_counts=True)
+        order, to = deal(own, n_buckets)
+        twice = held > 1
         for b, bits in answers.items():
-            twice[order[to[b] : to[b + 1]]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=to[b + 1] - to[b]).astype(bool)
+            twice[order[to[b] : to[b + 1]]] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=to[b + 1] - to[b]).astype(bool)
+        twice = twice[which]
         once = np.flatnonzero(~twice & (right - left <= self.window))
         edge = np.zeros(len(self.values) + 1, np.int32)
         np.add.at(edge, np.maximum(right[once] - self.window, 0), 1)
@@ -107,14 +119,13 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Cases: null, empty and short texts have nothing removed.  Rows that repeat an id are
     ordered by their text, then arbitrarily, and count as separate documents.  Rows with a
-    null id come last in that order.  Other columns of docs are ignored.
+    null id come last, in an order fixed by their texts.  Other columns of docs are ignored.
     """
-    n_buckets = tasks(docs.sparkSession)
-    texts = grouped(docs, id_col, text_col)
+    texts, n_buckets = grouped(docs, id_col, text_col)
 
     def ask_names(rows: pa.Table) -> pa.Table:
         w = _Words(rows, window)
-        names, _, _ = recompress(w.values, w.first)
+        names = np.unique(recompress(w.values, w.first)[0])
         order, to = deal(names, n_buckets)
         small = (names[order] >> np.uint64(32)).astype("<u4")
         return sent(w.of.g, {b: small[to[b] : to[b + 1]].tobytes() for b in range(n_buckets) if to[b] < to[b + 1]})
@@ -130,9 +141,11 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         at = w.candidates(dict(zip(answers.column("bucket").to_pylist(), answers.column("blob").to_pylist(), strict=True)), n_buckets)
         full = tb.gram_hashes(w.values, window)[at]
         check = (tb.gram_hashes(tb.mix(w.values ^ _RUN), window)[at] >> np.uint64(32)).astype("<u4")
+        new = first_of_kind(full, check)
+        out = {_OWN + w.of.g: np.array([len(at)], "<i4").tobytes() + at.astype("<i4").tobytes() + np.packbits(new).tobytes()}
+        at, full, check = at[new], full[new], check[new]
         order, to = deal(full, n_buckets)
         row = (np.searchsorted(w.first, at, "right") - 1)[order]
-        out = {_OWN + w.of.g: at.astype("<i4").tobytes()}
         full, check = full[order].astype("<u8"), check[order]
         for b in range(n_buckets):
             a, z = to[b], to[b + 1]
@@ -176,11 +189,14 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         w = _Words(rows, window)
         of = w.of
         got = dict(zip(answers.column("bucket").to_pylist(), answers.column("blob").to_pylist(), strict=True))
-        at = np.frombuffer(got.pop(_OWN + of.g, b""), "<i4").astype(np.int64)
-        order, to = deal(tb.gram_hashes(w.values, window)[at], n_buckets)
-        later = np.zeros(len(at), bool)
+        note = got.pop(_OWN + of.g, bytes(4))
+        k = int(np.frombuffer(note, "<i4", 1)[0])
+        at = np.frombuffer(note, "<i4", k, 4).astype(np.int64)
+        asked = np.flatnonzero(np.unpackbits(np.frombuffer(note, np.uint8, -1, 4 + 4 * k), count=k)) if k else at
+        order, to = deal(tb.gram_hashes(w.values, window)[at[asked]], n_buckets)
+        later = np.ones(k, bool)  # what is not the first of its kind here has an earlier one here
         for b, bits in got.items():
-            later[order[to[b] : to[b + 1]]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=to[b + 1] - to[b]).astype(bool)
+            later[asked[order[to[b] : to[b + 1]]]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=to[b + 1] - to[b]).astype(bool)
         gone = tb.covered(at[later], window, len(w.values))
         start, end = w.start[~gone], w.end[~gone]
         kept_first = np.concatenate([[0], np.cumsum(~gone)])[w.first]

@@ -6,9 +6,9 @@ at the same distance, so it is enough to compare the surroundings of anchors: on
 suffix in about ``window / 2`` bytes.  An anchor's *context* is the union of the
 strings that it is the anchor of.
 
-1. Groups send each anchor's gram and a fingerprint of its context.  A gram that
-   occurs once drops out; equal contexts are repeats as a whole, and one of them
-   stands for all.
+1. Groups send their distinct contexts, by fingerprint, and for each gram how many
+   contexts it has.  A gram of one context drops out; contexts that occur twice are
+   repeats as a whole, and one of them stands for all.
 2. The distinct contexts of the grams that remain meet in buckets.  There an enhanced
    suffix array (suffixes from the anchor on, longest common prefixes) is scanned with
    a stack into the tree of common-prefix intervals.  Each interval's left contexts
@@ -16,6 +16,13 @@ strings that it is the anchor of.
    else it splits by left context.  All members of an interval take part, not just neighbours.
 3. Groups remove what is covered.
 
+A gram of many contexts (a short passage in very many texts) is split: its strings
+are told apart by how far left of the gram they start, in ``CLASSES`` classes.  All strings of
+a class share the bytes that the shortest reach to either side has, so these bytes,
+``window - window / CLASSES`` or more of them, are the class's key in place of the gram.  Two equal
+strings are in one class and share its key, so nothing is lost, and of equal contexts
+under one key a group sends one.
+
 The three steps read one shuffle of the texts.  Matches never cross documents.
 """
 
@@ -28,12 +35,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import textbits as tb
-from .ballots import ANSWER, BALLOT, Group, answered, deal, grouped, sent
-from .shared import tasks
+from .ballots import ANSWER, BALLOT, Group, answered, deal, grouped, sent, text_runs
 
 GRAM = 32
+CLASSES = 8
 _OWN = 1 << 24
 _UNIQUE, _COVERED, _OPEN, _STANDS = range(4)
+#: Added to the code of an anchor whose gram is split into classes.
+_SPLIT = 4
+_KEY = np.uint64(0x9FB21C651E98DF25)
 
 
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -51,50 +61,129 @@ class _Anchors:
     def __init__(self, rows: pa.Table, window: int):
         self.of = of = Group(rows)
         self.window = window
-        n = len(of.buf)
-        starts, _ = tb.starts_of(of.offs, window)
+        found = [self._of_texts(i, j) for i, j in text_runs(of.offs)]
+        self.place, self.low, self.high, self.gram, self.context = map(np.concatenate, zip(*found, strict=True))
+
+    def _of_texts(self, i: int, j: int) -> tuple[np.ndarray, ...]:
+        base, window = self.of.offs[i], self.window
+        buf, offs = self.of.buf[base : self.of.offs[j]], self.of.offs[i : j + 1] - base
+        starts, _ = tb.starts_of(offs, window)
         if not len(starts):
-            self.place = self.low = self.high = np.zeros(0, np.int64)
-            self.gram = self.context = np.zeros(0, np.uint64)
-            return
-        grams = tb.gram_hashes(tb.BYTE_VALUE[of.buf], GRAM)
+            none = np.zeros(0, np.int64)
+            return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        assert len(buf) < 1 << 32
+        grams = tb.gram_hashes(tb.BYTE_VALUE[buf], GRAM)
         keyed = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
         least = sliding_least(keyed, window - GRAM + 1)[starts]
         at = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
         new = np.ones(len(at), bool)
-        new[1:] = (at[1:] != at[:-1])
+        new[1:] = at[1:] != at[:-1]
         first = np.flatnonzero(new)
-        self.place, self.low = at[first], starts[first]
-        self.high = starts[np.append(first[1:], len(starts)) - 1]
-        self.gram = grams[self.place]
-        self.context = tb.mix(tb.span_hash(of.buf, self.low, self.high + window) + (self.place - self.low).astype(np.uint64))
-        assert n < 1 << 32
-
-    def read(self, answers: dict[int, bytes], n_buckets: int) -> np.ndarray:
-        order, to = deal(self.gram, n_buckets)
-        code = np.zeros(len(self.gram), np.uint8)
+        place, low = at[first], starts[first]
+        high = starts[np.append(first[1:], len(starts)) - 1]
+        context = tb.mix(tb.span_hash(buf, low, high + window) + (place - low).astype(np.uint64))
+        return place + base, low + base, high + base, grams[place], context
+
+    def span_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Fingerprints of spans that lie in one text each."""
+        out = np.zeros(len(start), np.uint64)
+        for i, j in text_runs(self.of.offs):
+            base, stop = self.of.offs[i], self.of.offs[j]
+            mine = np.flatnonzero((start >= base) & (start < stop))
+            if len(mine):
+                out[mine] = tb.span_hash(self.of.buf[base:stop], start[mine] - base, end[mine] - base)
+        return out
+
+    def codes(self, answers: dict[int, bytes], n_buckets: int, split_above: int) -> np.ndarray:
+        """For each anchor: unique gram, covered context, open context, or covered and standing for its class."""
+        gram, of_gram = np.unique(self.gram, return_inverse=True)
+        context, first, of_context, held = np.unique(self.context, return_index=True, return_inverse=True, return_counts=True)
+        kinds, seen = np.zeros(len(gram), np.int64), np.zeros(len(context), np.uint8)
+        by_gram, to_gram = deal(gram, n_buckets)
+        by_context, to_context = deal(context, n_buckets)
         for b, blob in answers.items():
-            code[order[to[b] : to[b + 1]]] = np.frombuffer(blob, np.uint8)
-        return code
-
-
-def judge_contexts(gram: np.ndarray, context: np.ndarray) -> np.ndarray:
-    """For each anchor: unique gram, covered context, open context, or covered and standing for its class."""
-    order = np.lexsort((context, gram))
-    g, c = gram[order], context[order]
-    new_g, new_c = np.ones(len(g), bool), np.ones(len(g), bool)
-    new_g[1:] = g[1:] != g[:-1]
-    new_c[1:] = new_g[1:] | (c[1:] != c[:-1])
-    class_of, gram_of = np.cumsum(new_c) - 1, np.cumsum(new_g) - 1
-    size = np.bincount(class_of)[class_of]
-    classes = np.bincount(gram_of, weights=new_c)[gram_of]
-    code = np.where(size > 1, _COVERED, np.where(classes > 1, _OPEN, _UNIQUE))
-    code[(size > 1) & new_c & (classes > 1)] = _STANDS
-    out = np.zeros(len(g), np.uint8)
-    out[order] = code
+            if b < n_buckets:
+                kinds[by_gram[to_gram[b] : to_gram[b + 1]]] = np.frombuffer(blob, "<i8")
+            else:
+                b -= n_buckets
+                seen[by_context[to_context[b] : to_context[b + 1]]] = np.frombuffer(blob, np.uint8)
+        again = ((seen > 0) | (held > 1))[of_context]
+        stands = np.zeros(len(self.gram), bool)
+        stands[first[seen != _AFTER]] = True
+        kinds = kinds[of_gram]
+        code = np.where(again, np.where(stands & (kinds > 1), _STANDS, _COVERED), np.where(kinds > 1, _OPEN, _UNIQUE))
+        return (code + _SPLIT * (kinds > split_above)).astype(np.uint8)
+
+
+#: Answers about a context: in this group only, in others too and this is the first, or not the first.
+_ALONE, _FIRST, _AFTER = range(3)
+
+
+def judge_grams(gram: np.ndarray, least: np.ndarray, most: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """For each gram of each group: 1 if all groups have one and the same context, else the sum of their counts."""
+    order = np.argsort(gram, kind="stable")
+    new = np.ones(len(gram), bool)
+    new[1:] = gram[order][1:] != gram[order][:-1]
+    at = np.flatnonzero(new)
+    same = np.minimum.reduceat(least[order], at) == np.maximum.reduceat(most[order], at)
+    kinds = np.where(same, 1, np.add.reduceat(count[order], at))
+    out = np.empty(len(gram), np.int64)
+    out[order] = kinds[np.cumsum(new) - 1]
     return out
 
 
+def judge_contexts(context: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """For each context of each group, whether others have it and whether this group is the first."""
+    order = np.lexsort((g, context))
+    new = np.ones(len(context), bool)
+    new[1:] = context[order][1:] != context[order][:-1]
+    size = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1]
+    out = np.empty(len(context), np.uint8)
+    out[order] = np.where(size == 1, _ALONE, np.where(new, _FIRST, _AFTER))
+    return out
+
+
+class _Parts:
+    """What is compared: the open anchors, those of split grams once per class of windows.
+
+    ``place, low, high, key`` as for anchors; ``same`` says that the group has an equal
+    context under the key, and ``asked`` which part stands for each.
+    """
+
+    def __init__(self, a: _Anchors, code: np.ndarray):
+        window, reach = a.window, a.window - GRAM
+        plain = np.flatnonzero((code == _OPEN) | (code == _STANDS))
+        split = np.flatnonzero(code >= _SPLIT + _OPEN)
+        self.place, self.low, self.high, self.key = a.place[plain], a.low[plain], a.high[plain], a.gram[plain]
+        self.same, self.asked = np.zeros(len(plain), bool), np.arange(len(plain))
+        if not len(split):
+            return
+        place, low, high, key = [], [], [], []
+        step = -(-(reach + 1) // CLASSES)
+        for j, least in enumerate(range(0, reach + 1, step)):
+            most = min(least + step - 1, reach)
+            at = a.place[split]
+            left, right = np.maximum(at - a.high[split], least), np.minimum(at - a.low[split], most)
+            mine = left <= right
+            at, left, right = at[mine], left[mine], right[mine]
+            place.append(at)
+            low.append(at - right)
+            high.append(at - left)
+            key.append(tb.mix(a.span_hash(at - least, at + window - most) + np.uint64(j) * _KEY))
+        place, low, high, key = map(np.concatenate, (place, low, high, key))
+        context = tb.mix(a.span_hash(low, high + window) + (place - low).astype(np.uint64))
+        order = np.lexsort((context, key))
+        new = np.ones(len(order), bool)
+        new[1:] = (key[order][1:] != key[order][:-1]) | (context[order][1:] != context[order][:-1])
+        kind = np.cumsum(new) - 1
+        asked, same = np.empty(len(order), np.int64), np.empty(len(order), bool)
+        asked[order] = order[new][kind]
+        same[order] = np.bincount(kind)[kind] > 1
+        self.asked = np.concatenate([self.asked, asked + len(plain)])
+        self.same = np.concatenate([self.same, same])
+        self.place, self.low, self.high, self.key = (np.concatenate(x) for x in ((self.place, place), (self.low, low), (self.high, high), (self.key, key)))
+
+
 def _ordered(gram: np.ndarray, rows: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order by (gram, row bytes) and the common prefix with the next one (-1 across grams)."""
     keys = np.ascontiguousarray(np.concatenate([gram.astype(">u8").view(np.uint8).reshape(-1, 8), rows], axis=1))
@@ -161,7 +250,7 @@ def repeats(gram: np.ndarray, right: np.ndarray, right_len: np.ndarray, left: np
     return lo, hi
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 400, with_text: bool = True) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 400, with_text: bool = True, carry: tuple[str, ...] = (), split_above: int = 2000) -> DataFrame:
     """Returns ``id_col, n_bytes, n_removed, n_spans, kept_sha256`` for each row, and with
     ``with_text`` also ``kept_text`` and ``spans`` (start, end in bytes).
 
@@ -169,6 +258,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     in the same text or another; overlaps count and all strings are judged on the input.
     n_spans counts the maximal removed runs.  kept_sha256 is of the remaining bytes.
     kept_text never cuts a character: a span that ends within one leaves that character.
+    The columns named in ``carry`` come along; a gram of more than ``split_above`` contexts is split.
 
     Cases: null and empty texts have no bytes; texts under ``window`` bytes lose nothing;
     rows that repeat (also in their id) count as documents of their own, so their texts go
@@ -176,36 +266,56 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     if window < 2 * GRAM:
         raise ValueError(f"window must be at least {2 * GRAM} bytes")
-    n_buckets = tasks(docs.sparkSession)
-    texts = grouped(docs, id_col, text_col)
+    texts, n_buckets = grouped(docs, id_col, text_col, carry)
 
     def answers_of(table: pa.Table) -> dict[int, bytes]:
         return dict(zip(table.column("bucket").to_pylist(), table.column("blob").to_pylist(), strict=True))
 
     def ask_grams(rows: pa.Table) -> pa.Table:
         a = _Anchors(rows, window)
-        order, to = deal(a.gram, n_buckets)
-        gram, context = a.gram[order].astype("<u8"), a.context[order].astype("<u8")
-        return sent(a.of.g, {b: gram[to[b] : to[b + 1]].tobytes() + context[to[b] : to[b + 1]].tobytes() for b in range(n_buckets) if to[b] < to[b + 1]})
+        out = {}
+        order = np.lexsort((a.context, a.gram))
+        g, c = a.gram[order], a.context[order]
+        new_g, new_c = np.ones(len(g), bool), np.ones(len(g), bool)
+        new_g[1:] = g[1:] != g[:-1]
+        new_c[1:] = new_g[1:] | (c[1:] != c[:-1])
+        at = np.flatnonzero(new_g)
+        if len(at):
+            columns = [g[at].astype("<u8"), c[at].astype("<u8"), c[np.append(at[1:], len(g)) - 1].astype("<u8"), np.add.reduceat(new_c, at, dtype="<i8")]
+            order, to = deal(columns[0], n_buckets)
+            columns = [x[order] for x in columns]
+            out = {b: b"".join(x[to[b] : to[b + 1]].tobytes() for x in columns) for b in range(n_buckets) if to[b] < to[b + 1]}
+        context = np.unique(a.context)
+        order, to = deal(context, n_buckets)
+        context = context[order].astype("<u8")
+        out |= {n_buckets + b: context[to[b] : to[b + 1]].tobytes() for b in range(n_buckets) if to[b] < to[b + 1]}
+        return sent(a.of.g, out)
 
     def judge(rows: pa.Table) -> pa.Table:
-        pairs = [np.frombuffer(x, "<u8").reshape(2, -1) for x in rows.column("blob").to_pylist()]
-        code = judge_contexts(*np.concatenate(pairs, axis=1))
-        parts = np.split(code, np.cumsum([x.shape[1] for x in pairs])[:-1])
-        return answered(rows.column("g").to_pylist(), rows.column("bucket").to_pylist(), [x.tobytes() for x in parts])
+        gs, buckets, blobs = (rows.column(c).to_pylist() for c in ("g", "bucket", "blob"))
+        if buckets[0] < n_buckets:
+            asked = [np.frombuffer(x, "<u8").reshape(4, -1) for x in blobs]
+            gram, least, most, count = np.concatenate(asked, axis=1)
+            said, sizes = judge_grams(gram, least, most, count.astype(np.int64)), [x.shape[1] for x in asked]
+        else:
+            asked = [np.frombuffer(x, "<u8") for x in blobs]
+            sizes = [len(x) for x in asked]
+            said = judge_contexts(np.concatenate(asked), np.repeat(gs, sizes))
+        return answered(gs, buckets, [x.tobytes() for x in np.split(said, np.cumsum(sizes)[:-1])])
 
     def ask_contexts(rows: pa.Table, answers: pa.Table) -> pa.Table:
         a = _Anchors(rows, window)
-        code = a.read(answers_of(answers), n_buckets)
+        code = a.codes(answers_of(answers), n_buckets, split_above)
         out = {_OWN + a.of.g: code.tobytes()}
-        pick = np.flatnonzero(code >= _OPEN)
-        order, to = deal(a.gram[pick], n_buckets)
+        p = _Parts(a, code)
+        pick = np.unique(p.asked)
+        order, to = deal(p.key[pick], n_buckets)
         pick = pick[order]
         for b in range(n_buckets):
             mine = pick[to[b] : to[b + 1]]
             if len(mine):
-                left, size = a.place[mine] - a.low[mine], a.high[mine] + window - a.low[mine]
-                out[b] = np.array([len(mine)], "<i4").tobytes() + a.gram[mine].astype("<u8").tobytes() + left.astype("<u2").tobytes() + size.astype("<u2").tobytes() + a.of.buf[tb.ranges(a.low[mine], size)].tobytes()
+                left, size = p.place[mine] - p.low[mine], p.high[mine] + window - p.low[mine]
+                out[b] = np.array([len(mine)], "<i4").tobytes() + p.key[mine].astype("<u8").tobytes() + left.astype("<u2").tobytes() + size.astype("<u2").tobytes() + a.of.buf[tb.ranges(p.low[mine], size)].tobytes()
         return sent(a.of.g, out)
 
     def compare(rows: pa.Table) -> pa.Table:
@@ -249,17 +359,21 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         code = np.frombuffer(got.pop(_OWN + of.g, b""), np.uint8)
         edge = np.zeros(n + 1, np.int32)
         if len(code):
-            whole = (code == _COVERED) | (code == _STANDS)
+            whole = np.isin(code % _SPLIT, (_COVERED, _STANDS))
             np.add.at(edge, a.low[whole], 1)
             np.add.at(edge, a.high[whole] + window, -1)
-            pick = np.flatnonzero(code >= _OPEN)
-            order, to = deal(a.gram[pick], n_buckets)
+            p = _Parts(a, code)
+            np.add.at(edge, p.low[p.same], 1)
+            np.add.at(edge, p.high[p.same] + window, -1)
+            reach = np.zeros((2, len(p.place)), np.int64)
+            pick = np.unique(p.asked)
+            order, to = deal(p.key[pick], n_buckets)
             for b, blob in got.items():
-                mine = pick[order[to[b] : to[b + 1]]]
-                lo, hi = np.frombuffer(blob, "<u2").reshape(2, -1).astype(np.int64)
-                some = lo + hi >= window
-                np.add.at(edge, (a.place[mine] - lo)[some], 1)
-                np.add.at(edge, (a.place[mine] + hi)[some], -1)
+                reach[:, pick[order[to[b] : to[b + 1]]]] = np.frombuffer(blob, "<u2").reshape(2, -1)
+            lo, hi = reach[:, p.asked]
+            some = lo + hi >= window
+            np.add.at(edge, (p.place - lo)[some], 1)
+            np.add.at(edge, (p.place + hi)[some], -1)
         gone = np.cumsum(edge[:-1]) > 0
         start_flag = gone.copy()
         start_flag[1:] &= ~gone[:-1]
@@ -292,6 +406,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             base = np.repeat(of.offs[:-1], spans)
             items = pa.StructArray.from_arrays([pa.array(s - base), pa.array(e - base)], ["start", "end"])
             out["spans"] = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(spans)]).astype(np.int32), items)
+        for k, name in enumerate(carry):
+            out[name] = of.rows.column(f"c{k}")
         return pa.table(out)
 
     grams = texts.groupBy("g").applyInArrow(ask_grams, BALLOT).groupBy("bucket").applyInArrow(judge, ANSWER)
@@ -299,4 +415,5 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     schema = f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     if with_text:
         schema += ", kept_text string, spans array<struct<start: long, end: long>>"
+    schema += "".join(f", `{name}` {docs.schema[name].dataType.simpleString()}" for name in carry)
     return texts.groupBy("g").cogroup(contexts.groupBy("g")).applyInArrow(remove, schema)

@@ -180,7 +180,8 @@ def test_substring_dedup(docs):
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
 
 
-def test_suffix_dedup(docs):
+@pytest.mark.parametrize("split_above", [2000, 0, 3])
+def test_suffix_dedup(docs, split_above):
     rows = pairs_of(docs)
     count = collections.Counter()
     for _, t in rows:
@@ -197,13 +198,14 @@ def test_suffix_dedup(docs):
                 end = k + 400
         kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
         want[i, len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest()] += 1
-    got = suffix_dedup(docs).collect()
+    got = suffix_dedup(docs, split_above=split_above).collect()
     assert collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want
     for r in got:
         assert sum(s.end - s.start for s in r.spans) == r.n_removed and len(r.kept_text.encode()) >= r.n_bytes - r.n_removed
 
 
-def test_suffix_dedup_of_edited_copies(spark):
+@pytest.mark.parametrize("split_above", [2000, 0, 3])
+def test_suffix_dedup_of_edited_copies(spark, split_above):
     """Repeats whose ends lie anywhere around the anchors."""
     rng = np.random.RandomState(8)
     base = "".join(chr(97 + c) for c in rng.randint(0, 26, 1500))
@@ -211,7 +213,7 @@ def test_suffix_dedup_of_edited_copies(spark):
     for k in range(1, 30):
         a, z = sorted(rng.randint(0, 1500, 2))
         rows.append((k, "".join(chr(65 + c) for c in rng.randint(0, 26, 60)) + base[a:z] + "".join(chr(65 + c) for c in rng.randint(0, 26, 60))))
-    test_suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    test_suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string"), split_above)
 
 
 def test_token_store(docs, spark):
