@@ -8,7 +8,7 @@ ORACLE_SQL is None and tests hold ``run`` against a brute-force version.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lamella.llm.decontaminate import contained_items
@@ -23,30 +23,44 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents whose language is told with an accepted score; lang becomes what was told."""
-    told = identify(docs, fit_on(docs)).where("accepted").select("doc_id", "lang_pred")
-    return docs.drop("lang").join(told, "doc_id").withColumnRenamed("lang_pred", "lang").select(*COLUMNS)
+    """Keeps the documents whose language is told with an accepted score; lang becomes what was told.
+
+    Each row is judged by its text: null ids and repeated rows stay rows of their own; a
+    null or letterless text goes."""
+    told = identify(docs, fit_on(docs), carry=("text", "source", "n_chars")).where("accepted")
+    return told.withColumnRenamed("lang_pred", "lang").select(*COLUMNS)
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each near-duplicate group, the one with the least id."""
-    return docs.join(near_duplicates(docs).where("kept").select("doc_id"), "doc_id").select(*COLUMNS)
+    """Keeps one document of each near-duplicate group, the one with the least id.
+
+    Of rows that repeat an id and a text one stays, that with the least other columns.
+    Rows without an id are in no group, so each text of theirs stays once."""
+    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("lang", "source", "n_chars")
+    rest = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
+    return rest.withColumn("__nth", F.row_number().over(same)).where("__nth = 1").select(*COLUMNS)
 
 
 def repeated_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes repeated strings of 400 bytes; documents stay with what is left of them."""
-    kept = suffix_dedup(docs, with_text=True).select("doc_id", "kept_text")
-    return docs.drop("text", "n_chars").join(kept, "doc_id").select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
+    """Removes repeated strings of 400 bytes; documents stay with what is left of them.
+
+    Every row stays a row, whatever its id; a null text becomes an empty one."""
+    kept = suffix_dedup(docs, carry=("lang", "source")).withColumnRenamed("kept_text", "text")
+    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that contain a benchmark item."""
-    leaks = contained_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*COLUMNS)
+    """Drops the documents that contain a benchmark item.
+
+    Rows go by their text, named by its fingerprint, so null and repeated ids do not matter."""
+    named = docs.select(*COLUMNS).withColumn("__text", F.xxhash64("text"))
+    leaks = contained_items(named, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="__text").select("__text").distinct()
+    return named.join(leaks, "__text", "left_anti").select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into sequences of 2048 tokens."""
+    """Packs what is left into sequences of 2048 tokens; every row is a document, whatever its id."""
     return pack(docs, vocabulary("byte_bpe_50k.json"))
 
 

@@ -179,12 +179,13 @@ def fit_on(docs: DataFrame, sample_rows: int = 2000, id_col: str = "doc_id", tex
     return train(sample_counts(sample).collect())
 
 
-def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Returns ``id_col, lang_pred, score, accepted`` for each row of docs; only the text decides.
 
     lang_pred is a learned language, or ``und`` if the text is null, has no letter, or nothing was
     learned; then score is 0 and the row is not accepted.  accepted: score is at least the
-    model's threshold.  Repeated rows share a result; null ids are kept.
+    model's threshold.  Repeated rows share a result; null ids are kept.  The columns named in
+    ``carry`` come along.
     """
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(model)  # BUCKETS x languages floats, whatever the corpus
@@ -201,8 +202,12 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
             ok = letters & bool(m.languages)
             score = np.where(ok, score, 0.0)
             pred = names[np.where(ok, best, len(names) - 1)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(pred.tolist(), pa.string()), pa.array(score), pa.array(ok & (score >= m.threshold))], names=["id", "lang_pred", "score", "accepted"])
+            told = [batch.column("id"), pa.array(pred.tolist(), pa.string()), pa.array(score), pa.array(ok & (score >= m.threshold))]
+            yield pa.RecordBatch.from_arrays(told + [batch.column(c) for c in beside], names=["id", "lang_pred", "score", "accepted", *beside])
 
     text = F.col(text_col).cast("string")
-    plain = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letters"))
-    return plain.mapInArrow(run, "id long, lang_pred string, score double, accepted boolean").withColumnRenamed("id", id_col)
+    beside = [f"c{k}" for k in range(len(carry))]
+    along = [F.col(c).alias(b) for c, b in zip(carry, beside, strict=True)]
+    plain = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letters"), *along)
+    schema = "id long, lang_pred string, score double, accepted boolean" + "".join(f", {b} {docs.schema[c].dataType.simpleString()}" for c, b in zip(carry, beside, strict=True))
+    return plain.mapInArrow(run, schema).select(F.col("id").alias(id_col), "lang_pred", "score", "accepted", *[F.col(b).alias(c) for c, b in zip(carry, beside, strict=True)])

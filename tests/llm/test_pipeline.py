@@ -9,6 +9,32 @@ import corpus_pipeline
 from lamella.llm.shared import written
 
 
+def test_stages_take_odd_rows(spark, small):
+    """Null ids, nulls in any column, repeated rows, clashing columns: each stage keeps to what it says."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").select(*corpus_pipeline.COLUMNS).limit(60)
+    known = docs.where("length(text) > 200").orderBy("doc_id").first()
+    leak = spark.read.parquet(f"{small}/benchmark.parquet").where("text is not null").orderBy("item_id").first().text
+    odd = [(None, known.text, None, None, None), (None, leak, None, "s", 1), (900_001, None, None, None, None), (900_002, "", "en", None, 0), (900_003, leak, "en", "s", 3), (900_003, leak, "en", "s", 3), (900_004, "12 !!", None, "s", 5)]
+    rows = docs.unionByName(docs.where(F.col("doc_id") == known.doc_id)).union(spark.createDataFrame(odd, docs.schema))
+    rows = written(rows.withColumn("id", F.lit("x")).withColumn("g", F.lit(1)).withColumn("c0", F.lit(2)).withColumn("__text", F.lit(3)), "odd")
+    stages = dict(corpus_pipeline.STAGES)
+    names = lambda df: collections.Counter((r.doc_id, r.text) for r in df.collect())
+    everything = names(rows)
+    out = {name: names(stages[name](spark, rows, small)) for name in ("language", "near_duplicate", "decontaminated")}
+    assert all(got <= everything for got in out.values())
+    assert out["language"][known.doc_id, known.text] == 2 and out["language"][None, known.text] == 1
+    assert not any(i in (900_001, 900_002, 900_004) for i, _ in out["language"])
+    assert set(out["near_duplicate"].values()) == {1} and out["near_duplicate"][None, known.text] == 1 and out["near_duplicate"][900_001, None] == 1
+    assert (900_003, leak) not in out["decontaminated"] and (None, leak) not in out["decontaminated"] and out["decontaminated"][900_001, None] == 1
+    left = stages["repeated_bytes"](spark, rows, small)
+    assert left.columns == corpus_pipeline.COLUMNS and left.count() == rows.count()
+    assert {r.text for r in left.where("doc_id in (900001, 900002)").collect()} == {""}
+    packed = stages["packed"](spark, rows, small)
+    assert packed.where("start = 0").count() == rows.count()
+    for name in stages:
+        assert stages[name](spark, rows.limit(0), small).count() == 0
+
+
 def test_stages_and_columns(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     columns, kept = docs.columns, {}
