@@ -158,7 +158,7 @@ class _Parts:
         self.same, self.asked = np.zeros(len(plain), bool), np.arange(len(plain))
         if not len(split):
             return
-        place, low, high, key = [], [], [], []
+        place, low, high, first, last, of_class = [], [], [], [], [], []
         step = -(-(reach + 1) // CLASSES)
         for j, least in enumerate(range(0, reach + 1, step)):
             most = min(least + step - 1, reach)
@@ -169,9 +169,13 @@ class _Parts:
             place.append(at)
             low.append(at - right)
             high.append(at - left)
-            key.append(tb.mix(a.span_hash(at - least, at + window - most) + np.uint64(j) * _KEY))
-        place, low, high, key = map(np.concatenate, (place, low, high, key))
-        context = tb.mix(a.span_hash(low, high + window) + (place - low).astype(np.uint64))
+            first.append(at - least)
+            last.append(at + window - most)
+            of_class.append(np.full(len(at), j, np.uint64))
+        place, low, high, first, last, of_class = map(np.concatenate, (place, low, high, first, last, of_class))
+        prints = a.span_hash(np.concatenate([first, low]), np.concatenate([last, high + window]))
+        key = tb.mix(prints[: len(place)] + of_class * _KEY)
+        context = tb.mix(prints[len(place) :] + (place - low).astype(np.uint64))
         order = np.lexsort((context, key))
         new = np.ones(len(order), bool)
         new[1:] = (key[order][1:] != key[order][:-1]) | (context[order][1:] != context[order][:-1])
