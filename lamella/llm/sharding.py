@@ -2,30 +2,38 @@
 
 Documents with equal texts are linked through their text's key, so a group is a node
 with its members' shards as votes (label propagation on the bipartite graph: no pair
-of documents is ever formed).  Each round, in Spark:
+of documents is ever formed).  Each round, in Spark, does the first of these that
+brings groups closer together (the sum of squared holdings of (group, shard) grows, so
+that the rounds end):
 
-* a group's favourite shard is the one that holds most of its members (and of those
-  with free capacity for the rest);
-* members elsewhere ask to move there, and shards admit them up to their quota,
-  larger groups first, by a running count over (shard, group) totals;
+* to free room: a group ranks its shards by how many members could be together there,
+  and asks for their room one after another until all members have a place, so that a
+  group larger than a shard fills several in one round; shards admit members up to
+  their room, larger requests first, by a running count over (shard, group) totals;
+* exchange: a group asks for its largest holdings up to a full shard each, and two
+  shards swap equal numbers of members that ask for the other one (or use what room
+  there is), so that full shards take part as well.
 
-until no group moves or the rounds are over.  Then documents without links fill the
-shards to exactly ``floor`` or ``ceil`` of rows / shards.  A group larger than a shard
-fills one shard after another.  The driver sees one row per shard only.
+The rounds go on until neither moves a member.  A group only moves to shards where it
+has members already, and shards swap in pairs, not in longer cycles.  Then documents
+without links fill the shards to exactly ``floor`` or ``ceil`` of rows / shards.  The
+driver sees one row per shard only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .packing import numbered
 from .shared import tasks, written
 
 
-def balanced_shards(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", text_col: str = "text", rounds: int = 6) -> DataFrame:
+def balanced_shards(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", text_col: str = "text", rounds: int | None = None) -> DataFrame:
     """Returns ``id_col, size, text_crc32, law, shard, slot, grown_shard`` for each row.
 
+    rounds: a caller may stop the propagation early; by default it runs until no member moves.
+
     size: UTF-8 bytes of the text plus 16.  The law is ``rows``: the shards' row counts
     differ by at most one.  slot counts 0, 1, .. within a shard in order of id.
     grown_shard is null under this law.
@@ -55,29 +63,27 @@ def balanced_shards(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id",
     grouped = rows.join(linked, "key").select("key", "members", "n")
     # a row of votes per (group, shard); members of a group are told apart by their number only
     votes = written(grouped.groupBy("key", "members", F.pmod(F.xxhash64("n"), F.lit(n_shards)).cast("int").alias("shard")).agg(F.count("*").alias("held")), "votes")
-    cap = F.element_at(F.array(*[F.lit(c) for c in capacity]), F.col("shard") + 1).cast("long")
-
-    for _ in range(rounds):
-        free = {r["shard"]: r["used"] for r in votes.groupBy("shard").agg(F.sum("held").alias("used")).collect()}  # at most n_shards rows
-        room = F.element_at(F.array(*[F.lit(max(0, capacity[s] - free.get(s, 0))).cast("long") for s in range(n_shards)]), F.col("shard") + 1)
-        # members elsewhere of each group, and where most of them can be together
-        elsewhere = F.sum("held").over(Window.partitionBy("key")) - F.col("held")
-        seen = votes.withColumn("room", room).withColumn("want", elsewhere)
-        best = F.struct(F.least("want", "room") + F.col("held"), F.col("held"), -F.col("shard"))
-        target = seen.groupBy("key", "members").agg(F.max_by(F.struct("shard", "held", "want", "room"), best).alias("t")).select("key", "members", "t.*")
-        asks = target.where("want > 0 and room > 0")
-        # quota: the largest groups first, by a two-step running sum in each target shard
-        before = _running_by(asks.withColumn("rank", -F.col("want")), "shard", ["rank", "key"], "want")
-        granted = before.select("key", F.col("shard").alias("to"), F.greatest(F.lit(0), F.least(F.col("want"), F.col("room") - F.col("before"))).cast("long").alias("grant")).where("grant > 0")
-        granted = written(granted, "granted")
-        if not granted.take(1):
+    cap = _per_shard(capacity)
+
+    used, together = _load(votes)
+    turn = 0
+    while rounds is None or turn < rounds:
+        turn += 1
+        room = _per_shard([max(0, capacity[s] - used.get(s, 0)) for s in range(n_shards)])
+        # members of a whole group ask for nothing; ties between shards fall anew each round, so that requests go both ways
+        split = votes.where("held < members").withColumn("room", room).withColumn("cap", F.greatest(cap, "held")).withColumn("tie", F.xxhash64("key", "shard", F.lit(turn)))
+        for step in (_to_room, _exchanges):
+            change = written(step(split), "moves")
+            if not change.take(1):
+                continue
+            moved = votes.union(change.select("key", "members", "shard", "held")).groupBy("key", "members", "shard").agg(F.sum("held").alias("held")).where("held > 0")
+            moved = written(moved, "votes")
+            now_used, now_together = _load(moved)
+            if now_together > together:
+                votes, used, together = moved, now_used, now_together
+                break
+        else:
             break
-        # members leave the smallest holdings first
-        leaving = votes.join(granted, "key").where("shard <> to")
-        order = Window.partitionBy("key").orderBy("held", "shard")  # at most n_shards rows of a group
-        leaving = leaving.withColumn("gone", F.greatest(F.lit(0), F.least(F.col("held"), F.col("grant") - (F.sum("held").over(order) - F.col("held")))).cast("long"))
-        change = leaving.select("key", "members", "shard", (-F.col("gone")).alias("held")).union(leaving.select("key", "members", F.col("to").alias("shard"), F.col("gone").alias("held")))
-        votes = written(votes.select("key", "members", "shard", "held").union(change).groupBy("key", "members", "shard").agg(F.sum("held").alias("held")).where("held > 0"), "votes")
 
     # shards that start over their capacity give up what is too much: smallest holdings first, back to the fillers
     over = _running_by(votes.withColumn("rank", -F.col("held")), "shard", ["rank", "key"], "held")
@@ -103,6 +109,58 @@ def balanced_shards(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id",
     return out.select(F.col("id").alias(id_col), "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def _per_shard(values: list[int]) -> Column:
+    return F.element_at(F.array(*[F.lit(v).cast("long") for v in values]), F.col("shard") + 1)
+
+
+def _load(votes: DataFrame) -> tuple[dict[int, int], int]:
+    """Members in each shard, and the sum of squared holdings; at most one row per shard is collected."""
+    square = F.col("held").cast("decimal(18,0)") * F.col("held").cast("decimal(18,0)")
+    rows = votes.groupBy("shard").agg(F.sum("held").alias("used"), F.sum(square).alias("square")).collect()
+    return {r["shard"]: r["used"] for r in rows}, sum(int(r["square"]) for r in rows)
+
+
+def _upto(value: Column, most: Column | str) -> Column:
+    return F.greatest(F.lit(0), F.least(value, F.col(most) if isinstance(most, str) else most)).cast("long")
+
+
+def _to_room(split: DataFrame) -> DataFrame:
+    """Changes of holdings (key, members, shard, held) by moves to shards with free room."""
+    by = (F.desc(F.least(F.col("members") - F.col("held"), "room") + F.col("held")), F.desc("held"), "tie", "shard")
+    order = Window.partitionBy("key").orderBy(*by)  # at most n_shards rows of a group
+    ranked = split.withColumn("place", F.row_number().over(order)).withColumn("held_to", F.sum("held").over(order)).withColumn("room_to", F.sum("room").over(order))
+    # what is left when the better shards keep their members and take as many as they have room
+    asks = ranked.withColumn("want", _upto(F.col("members") - F.col("held_to") - (F.col("room_to") - F.col("room")), "room")).where("want > 0")
+    before = _running_by(asks.select("key", "members", "shard", "want", "room", (-F.col("want")).alias("rank")), "shard", ["rank", "key"], "want")
+    granted = written(before.select("key", "members", "shard", _upto(F.col("room") - F.col("before"), "want").alias("held")).where("held > 0"), "granted")
+    # members leave the last places first, none of which asks
+    leaving = ranked.join(granted.groupBy("key").agg(F.sum("held").alias("grant")), "key")
+    gone = _upto(F.col("grant") - (F.col("members") - F.col("held_to")), "held")
+    return granted.union(leaving.select("key", "members", "shard", (-gone).alias("held")).where("held < 0"))
+
+
+def _exchanges(split: DataFrame) -> DataFrame:
+    """Changes of holdings by swaps of equal size between two shards and by moves to free room, always to a holding that is not smaller."""
+    order = Window.partitionBy("key").orderBy(F.desc("held"), "tie", "shard")  # at most n_shards rows of a group
+    goal = split.withColumn("goal", _upto(F.col("members") - (F.sum("cap").over(order) - F.col("cap")), "cap")).withColumn("more", F.col("goal") - F.col("held"))
+    goal = goal.withColumn("place", F.row_number().over(order))
+    ends = lambda side: F.sum(F.abs("more")).over(Window.partitionBy("key").orderBy("place")).alias(side)
+    asks = goal.where("more > 0").select("key", "members", "room", F.col("shard").alias("to"), F.col("more").alias("n_to"), ends("to_end"))
+    gives = goal.where("more < 0").select("key", F.col("shard").alias("of"), (-F.col("more")).alias("n_of"), ends("of_end"))
+    # asks and gives of a group, laid end to end, meet where they overlap
+    overlap = F.least("to_end", "of_end") - F.greatest(F.col("to_end") - F.col("n_to"), F.col("of_end") - F.col("n_of"))
+    flows = asks.join(gives, "key").withColumn("want", overlap).where("want > 0").select("key", "members", "of", "to", "room", "want", F.concat_ws(" ", "of", "to").alias("lane"))
+    flows = written(flows, "flows")
+    lanes = flows.groupBy("of", "to", "room", "lane").agg(F.sum("want").alias("there"))  # at most n_shards ** 2 rows
+    back = lanes.select(F.col("to").alias("of"), F.col("of").alias("to"), F.col("there").alias("back"))
+    lanes = lanes.join(back, ["of", "to"], "left").withColumn("swap", F.least("there", F.coalesce("back", F.lit(0)))).withColumn("rest", F.col("there") - F.col("swap"))
+    earlier = F.sum("rest").over(Window.partitionBy("to").orderBy(F.desc("rest"), "of")) - F.col("rest")
+    quota = lanes.select("lane", (F.col("swap") + _upto(F.col("room") - earlier, "rest")).alias("quota")).where("quota > 0")
+    before = _running_by(flows.join(quota, "lane").withColumn("rank", -F.col("want")), "lane", ["rank", "key"], "want")
+    granted = written(before.select("key", "members", "of", "to", _upto(F.col("quota") - F.col("before"), "want").alias("held")).where("held > 0"), "granted")
+    return granted.select("key", "members", F.col("to").alias("shard"), "held").union(granted.select("key", "members", "of", -F.col("held")))
+
+
 def _running_by(df: DataFrame, group: str, order: list[str], value: str) -> DataFrame:
     """Adds ``before``: the sum of ``value`` over the group's earlier rows, by partitions of ranges."""
     dealt = written(df.repartitionByRange(tasks(df.sparkSession), *order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()), "ordered")

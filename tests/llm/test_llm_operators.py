@@ -268,6 +268,25 @@ def test_sharding_keeps_groups_and_splits_the_largest(spark):
     assert len(where["hot"]) <= 4 and sum(len(where[f"group {k}"]) == 1 for k in range(40)) >= 36
 
 
+def shards_of_texts(spark, texts, n_shards):
+    got = balanced_shards(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), n_shards).collect()
+    where = collections.defaultdict(collections.Counter)
+    for r in got:
+        where[texts[r.doc_id]][r.shard] += 1
+    assert set(collections.Counter(r.shard for r in got).values()) == {len(texts) // n_shards}
+    return where
+
+
+def test_sharding_gathers_a_third_of_the_rows_in_as_few_shards_as_hold_it(spark):
+    where = shards_of_texts(spark, ["hot" if i < 800 else f"alone {i}" for i in range(2400)], 40)
+    assert sorted(where["hot"].values()) == [20] + [60] * 13
+
+
+def test_sharding_exchanges_members_of_full_shards(spark):
+    where = shards_of_texts(spark, [f"group {i % 60}" for i in range(240)], 4)  # every document is linked
+    assert sum(len(c) == 1 for c in where.values()) >= 30
+
+
 def test_packing(docs):
     from tokenizers import Tokenizer
 
