@@ -1,16 +1,21 @@
 """Licence recognition by sentence rules.
 
-A text is cut into sentences at line feeds and after ``. ! ? ;`` before white space.  A
-sentence is normalised to its lower-case runs of ASCII letters and digits (with inner
-dots, as in ``2.0``), mapped to the identifier of a known licence sentence, and the
-identifiers of a text, in order, are matched against ordered rules: the first rule
-that fits at a place takes its sentences.
+A text is cut into pieces after line feeds and after ``. ! ? ; : )`` before white space.
+A known licence sentence is a run of whole pieces without a blank line between, so that
+it may be wrapped over lines; the longest that fits at a piece is taken.  Sentences are
+compared as their lower-case runs of ASCII letters and digits (with inner dots, as in
+``2.0``), so that comment marks without letters are left out (``dnl`` and ``REM`` are
+not).  The identifiers of a text, in order, are matched against ordered rules: the first
+rule that fits at a place takes its sentences.
+
+Unknown sentences end at ``. ! ? ; :`` , at blank lines and before known sentences; list
+numbers and empty pieces are none.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Container, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -88,7 +93,8 @@ RULES: list[tuple[str, bool, tuple[str, ...]]] = [
 _ALNUM = np.zeros(256, bool)
 _ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
 _STOP = np.zeros(256, bool)
-_STOP[[ord(c) for c in ".!?;"]] = True
+_STOP[[ord(c) for c in ".!?;:)"]] = True
+_NUMBER = re.compile(rb"[^0-9A-Za-z]*(?:[0-9]{1,3}|[A-Za-z])[.)]\s*")
 
 
 def normalise(sentence: str) -> str:
@@ -96,8 +102,51 @@ def normalise(sentence: str) -> str:
     return " ".join(re.findall(r"[a-z0-9]+(?:\.[0-9]+)*", re.sub("[A-Z]", lambda m: m[0].lower(), sentence)))
 
 
-def split_sentences(text: str) -> list[str]:
-    return re.split(r"(?<=[.!?;])(?=[\x20\x09-\x0D])|\n", text)
+def split_sentences(text: str, known: Container[str] | None = None) -> list[str]:
+    """The text's known sentences (those of ``SENTENCES`` by default), and the pieces between them."""
+    known = {normalise(s) for _, s in SENTENCES} if known is None else known
+    pieces, out, k = re.split(r"(?<=[.!?;:)])(?=[\x20\x09\x0B-\x0D])|(?<=\n)", text), [], 0
+    most = max((len(s.split()) for s in known), default=0)
+    while k < len(pieces):
+        end, _ = longest_known(k, len(pieces), lambda j: normalise(pieces[j]), lambda j: not j or pieces[j - 1].endswith("\n"), known, most)
+        out.append("".join(pieces[k:end]))
+        k = end
+    return out
+
+
+def longest_known(k: int, stop: int, words: Callable[[int], str], opens_line: Callable[[int], bool], known: Container[str], most: int) -> tuple[int, str]:
+    """End and normal form of the longest known sentence of whole pieces from k, of at most ``most`` words; (k + 1, "") if there is none."""
+    end, name, run = k + 1, "", []
+    for j in range(k, stop):
+        more = words(j).split()
+        if not more and (j == k or opens_line(j)):
+            break
+        run += more
+        if len(run) > most:
+            break
+        if more and (joined := " ".join(run)) in known:
+            end, name = j + 1, joined
+    return end, name
+
+
+def sentence_places(raw: bytes, start: np.ndarray, end: np.ndarray, first: int, spans: list[tuple[int, int]]) -> list[int]:
+    """Sentence numbers of known sentences at the given runs of pieces, in a text whose pieces begin at ``first``."""
+    out, number, at, within = [], 0, first, False
+    for a, z in spans:
+        for k in range(at, a):
+            piece = raw[start[k] : end[k]]
+            if not re.search(rb"[0-9A-Za-z]", piece):
+                ends = within and (k == first or raw[start[k] - 1] == 10)
+            elif _NUMBER.fullmatch(piece):
+                continue
+            else:
+                within, ends = True, piece.rstrip()[-1] in b".!?;:"
+            if ends:
+                number, within = number + 1, False
+        number, within, at = number + within, False, z
+        out.append(number)
+        number += 1
+    return out
 
 
 def match_rules(ids: list[str], places: list[int], rules: list[tuple[str, bool, tuple[str, ...]]], gap: int) -> list[tuple[str, bool, int, int]]:
@@ -122,7 +171,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     licenses: the distinct licences in order of their first match; matches: (licence, first and last
     sentence number).  restricted: some match restricts use.
 
-    Whole texts are scanned: a fingerprint of the first two words of every sentence is
+    Whole texts are scanned: a fingerprint of the first two words from every piece on is
     looked up first, and what fits is normalised and compared in full.
 
     Cases: null and empty texts, and texts without known sentences, have empty lists and
@@ -130,7 +179,8 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     table = {normalise(s): name for name, s in (SENTENCES if sentences is None else sentences)}
     ordered = RULES if rules is None else rules
-    openings = np.unique(_openings(list(table)))
+    most = max((len(s.split()) for s in table), default=0)
+    openings = {n: np.unique(_openings([s for s in table if min(2, len(s.split())) == n], n)) for n in (1, 2)}
     kinds = "id long, n_known_sentences long, sentence_ids array<string>, licenses array<string>, restricted boolean, matches array<struct<license: string, first: long, last: long>>"
     match_type = pa.list_(pa.struct([("license", pa.string()), ("first", pa.int64()), ("last", pa.int64())]))
 
@@ -140,17 +190,27 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             n = batch.num_rows
             ids, lic, bad, hits = [[] for _ in range(n)], [[] for _ in range(n)], [False] * n, [[] for _ in range(n)]
             start, end, first = sentence_spans(buf, offs)
-            likely = np.isin(_opening_hash(buf, start, end), openings)
+            text_end = np.repeat(offs[1:], np.diff(first))
+            likely = np.zeros(len(start), bool)
+            for n_words, hashes in openings.items():
+                if len(hashes):
+                    likely |= np.isin(_opening_hash(buf, start, text_end, n_words), hashes)
             raw = buf.tobytes()
             owner = np.searchsorted(first, np.flatnonzero(likely), "right") - 1
-            found: dict[int, list[tuple[str, int]]] = {}
+            found: dict[int, list[tuple[str, int, int]]] = {}
+            words, opens_line = lambda j: normalise(raw[start[j] : end[j]].decode(errors="replace")), lambda j: raw[start[j] - 1] == 10
+            taken = 0
             for k, row in zip(np.flatnonzero(likely).tolist(), owner.tolist(), strict=True):
-                name = table.get(normalise(raw[start[k] : end[k]].decode(errors="replace")))
-                if name:
-                    found.setdefault(row, []).append((name, k - int(first[row])))
+                if k < taken:
+                    continue
+                z, known = longest_known(k, int(first[row + 1]), words, opens_line, table, most)
+                if known:
+                    found.setdefault(row, []).append((table[known], k, z))
+                    taken = z
             for row, known in found.items():
                 ids[row] = [x[0] for x in known]
-                for licence, restricts, a, z in match_rules(ids[row], [x[1] for x in known], ordered, gap):
+                places = sentence_places(raw, start, end, int(first[row]), [x[1:] for x in known])
+                for licence, restricts, a, z in match_rules(ids[row], places, ordered, gap):
                     hits[row].append({"license": licence, "first": a, "last": z})
                     bad[row] |= restricts
                 lic[row] = list(dict.fromkeys(h["license"] for h in hits[row]))
@@ -165,7 +225,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def sentence_spans(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of every sentence, as ``split_sentences`` cuts, and each text's first."""
+    """Start and end of every piece, as ``split_sentences`` cuts, and each text's first."""
     n = len(buf)
     head = np.zeros(n + 1, bool)
     if n:
@@ -175,8 +235,8 @@ def sentence_spans(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.nd
     return start, np.append(start[1:], n) if len(start) else start, np.searchsorted(start, offs)
 
 
-def _opening_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A fingerprint of the first two runs of letters and digits of each sentence."""
+def _opening_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray, n_words: int) -> np.ndarray:
+    """A fingerprint of the first one or two runs of letters and digits from each start to its end."""
     if not len(start):
         return np.zeros(0, np.uint64)
     solid = _ALNUM[buf]
@@ -192,10 +252,12 @@ def _opening_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
     a = np.searchsorted(run_start, start)
     here = np.append(run_start, [len(buf) + 1] * 2)
     one = np.where(here[a] < end, hashes[a], np.uint64(0))
+    if n_words == 1:
+        return tb.mix(one)
     two = np.where(here[np.minimum(a + 1, len(here) - 1)] < end, hashes[np.minimum(a + 1, len(hashes) - 1)], np.uint64(0))
     return tb.mix(one * np.uint64(31) + two)
 
 
-def _openings(sentences: list[str]) -> np.ndarray:
-    buf, offs = tb.text_buffer(pa.array(sentences))
-    return _opening_hash(buf, offs[:-1], offs[1:])
+def _openings(sentences: list[str], n_words: int) -> np.ndarray:
+    buf, offs = tb.text_buffer(pa.array(sentences, pa.string()))
+    return _opening_hash(buf, offs[:-1], offs[1:], n_words)

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -161,6 +162,25 @@ def test_license_rules_in_order(spark):
     assert rows[4].licenses == [] and rows[5].licenses == ["CC-BY-NC-4.0"] and rows[5].restricted
 
 
+@pytest.mark.parametrize("mark", ["", " * ", "# ", "// "])
+def test_license_headers_wrapped_over_lines(spark, mark):
+    text = dict(SENTENCES)
+    said = lambda *names: " ".join(text[k] for k in names)
+    headers = [
+        ("GPL-3.0-or-later", [said("gpl-grant"), said("gpl-hope", "gpl-see")]),
+        ("GPL-2.0-or-later", [said("gpl2-grant"), said("gpl-hope", "gpl-see")]),
+        ("BSD-2-Clause", [said("bsd-grant"), "1. " + said("bsd-source"), "2. " + said("bsd-binary")]),
+        ("BSD-3-Clause", [said("bsd-grant"), "a) " + said("bsd-source"), "b) " + said("bsd-binary"), "c) " + said("bsd-endorse")]),
+        ("MIT", ["Copyright (c) 2020 Someone", said("mit-grant"), said("mit-notice"), said("mit-warranty")]),
+        ("Apache-2.0", [said("apache2-grant", "apache2-comply", "apache2-copy"), "http://www.apache.org/licenses/LICENSE-2.0", said("apache2-warranty", "apache2-see")]),
+    ]
+    rows = [(i, "\n".join(mark + x for paragraph in paragraphs for x in [*textwrap.wrap(paragraph, 72), ""])) for i, (_, paragraphs) in enumerate(headers)]
+    got = {r.doc_id: r for r in license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (licence, _) in enumerate(headers):
+        assert got[i].licenses == [licence] and len(got[i].matches) == 1 and got[i].restricted == licence.startswith("GPL")
+        assert got[i].n_known_sentences == [3, 3, 3, 4, 3, 5][i]
+
+
 def test_substring_dedup(docs):
     rows = sorted(pairs_of(docs), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
     got = collections.defaultdict(list)
