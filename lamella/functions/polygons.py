@@ -47,30 +47,46 @@ def bbox(p: Column | str, whole: bool = False) -> Column:
     return F.struct(*[cut(v).alias(k) for k, v in values.items()])
 
 
-def minor_axis(p: Column | str, most_vertices: int = 64) -> Column:
+def convex_hull(p: Column | str) -> Column:
+    """The corners of the convex hull, in order around it; of one distinct vertex, none."""
+    p = F.array_sort(F.array_distinct(F.filter(_c(p), lambda v: v["x"].isNotNull() & v["y"].isNotNull())))
+    turn = lambda a, b, c: (b["x"] - a["x"]) * (c["y"] - a["y"]) - (b["y"] - a["y"]) * (c["x"] - a["x"])
+    # a chain that turns left only: the corners that a new vertex leaves are its first ones
+    grown = lambda s, v: F.concat(F.filter(s, lambda b, i: (i == 0) | (turn(F.get(s, i - 1), b, v) > 0)), F.array(v))
+
+    def side(points: Column) -> Column:
+        return F.transform(F.array(F.aggregate(points, F.slice(points, 1, 0), grown)), lambda c: F.slice(c, F.lit(1), F.greatest(F.size(c) - 1, F.lit(0))))[0]
+
+    return F.transform(F.array(p), lambda q: F.concat(side(q), side(F.reverse(q))))[0]
+
+
+def minor_axis(p: Column | str) -> Column:
     """Short side of the least rectangle around the polygon.
 
     The least rectangle has a side along an edge of the convex hull, so the directions
-    of all vertex pairs are tried; ties go to the smaller short side.
+    of the hull's edges are tried; ties go to the smaller short side.
     """
-    best = F.array_min(_rectangles(p, most_vertices))
+    best = F.array_min(_rectangles(p))
     return F.when(F.size(_c(p)) > 0, F.coalesce(best["short"], F.lit(0.0)))
 
 
-def _rectangles(p: Column | str, most_vertices: int) -> Column:
-    """(area, short side) of the enclosing rectangle along the direction of each vertex pair."""
-    p = F.slice(_c(p), 1, most_vertices)
-    step = lambda a, b: F.struct((b["x"] - a["x"]).alias("x"), (b["y"] - a["y"]).alias("y"), F.hypot(b["x"] - a["x"], b["y"] - a["y"]).alias("n"))
-    pairs = F.flatten(F.transform(p, lambda a, i: F.transform(F.slice(p, i + 2, F.size(p)), lambda b: step(a, b))))
+def _rectangles(p: Column | str) -> Column:
+    """(area, short side) of the enclosing rectangle along each edge of the convex hull."""
     extent = lambda v: F.array_max(v) - F.array_min(v)
 
-    def sides(d: Column) -> Column:
-        along = F.transform(p, lambda v: (v["x"] * d["x"] + v["y"] * d["y"]) / d["n"])
-        across = F.transform(p, lambda v: (v["y"] * d["x"] - v["x"] * d["y"]) / d["n"])
-        return F.array(along, across)
+    def along_edges(h: Column) -> Column:
+        step = lambda a, b: F.struct((b["x"] - a["x"]).alias("x"), (b["y"] - a["y"]).alias("y"), F.hypot(b["x"] - a["x"], b["y"] - a["y"]).alias("n"))
+        edges = F.transform(h, lambda a, i: step(a, F.get(h, (i + 1) % F.size(h))))
+
+        def sides(d: Column) -> Column:
+            along = F.transform(h, lambda v: (v["x"] * d["x"] + v["y"] * d["y"]) / d["n"])
+            across = F.transform(h, lambda v: (v["y"] * d["x"] - v["x"] * d["y"]) / d["n"])
+            return F.array(along, across)
+
+        spans = F.transform(F.filter(edges, lambda d: d["n"] > 0), lambda d: F.transform(sides(d), extent))
+        return F.transform(spans, lambda s: F.struct(F.round(s[0] * s[1], 6).alias("area"), F.least(s[0], s[1]).alias("short")))
 
-    spans = F.transform(F.filter(pairs, lambda d: d["n"] > 0), lambda d: F.transform(sides(d), extent))
-    return F.transform(spans, lambda s: F.struct(F.round(s[0] * s[1], 6).alias("area"), F.least(s[0], s[1]).alias("short")))
+    return F.transform(F.array(convex_hull(p)), along_edges)[0]
 
 
 def valid(p: Column | str, least: int = 3) -> Column:
@@ -118,6 +134,6 @@ def contains(p: Column | str, x: Column, y: Column) -> Column:
     return (count % 2 == 1) | F.exists(edges, on_edge)
 
 
-def minor_area(p: Column | str, most_vertices: int = 64) -> Column:
+def minor_area(p: Column | str) -> Column:
     """Area of the least rectangle around the polygon (see ``minor_axis``)."""
-    return F.coalesce(F.array_min(_rectangles(p, most_vertices))["area"], F.lit(0.0))
+    return F.coalesce(F.array_min(_rectangles(p))["area"], F.lit(0.0))

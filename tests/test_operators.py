@@ -186,3 +186,19 @@ def test_empty_tables(spark):
     assert spatial.cross_tile_dedup(empty).count() == 0
     assert clustering.area_dbscan(empty.selectExpr("image_id", "mask_id as idx", "area"), 1.0, 2).count() == 0
     assert filters.masks_by_area(empty).count() == 0
+
+
+def test_least_rectangle_of_polygons_of_many_vertices(spark):
+    rng, rows, want = np.random.default_rng(1), [], []
+    for k, n in enumerate([65, 200, 300]):
+        turn = np.linspace(0, 2 * np.pi, n, endpoint=False)
+        ring = np.stack([90 * np.cos(turn), 30 * np.sin(turn)], 1) * rng.uniform(0.8, 1, (n, 1)) @ np.array([[0.8, 0.6], [-0.6, 0.8]])
+        rows.append((k, [(float(x), float(y)) for x, y in ring]))
+        i, j = np.triu_indices(n, 1)
+        d = (ring[j] - ring[i]) / np.hypot(*(ring[j] - ring[i]).T)[:, None]
+        u, v = np.ptp(d @ ring.T, axis=1), np.ptp(d @ np.array([[0, 1], [-1, 0]]) @ ring.T, axis=1)
+        best = np.argmin(u * v)
+        want.append((u[best] * v[best], min(u[best], v[best])))
+    got = spark.createDataFrame(rows, "k long, p array<struct<x: double, y: double>>").select("k", poly.minor_area("p").alias("r"), poly.minor_axis("p").alias("m")).orderBy("k").collect()
+    for row, (rect, short) in zip(got, want, strict=True):
+        assert row.r == pytest.approx(rect, abs=1e-5) and row.m == pytest.approx(short)
