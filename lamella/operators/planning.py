@@ -43,10 +43,13 @@ def tile_plan_resolved(requests: DataFrame, hosts: DataFrame, preview_px: int =
     )
 
 
-def prompt_grid(tiles: DataFrame, pps: int, most: int = 6000) -> DataFrame:
-    """pps x pps points of each tile, x fastest; beyond ``most`` per tile every ceil(n / most)-th is kept."""
+def prompt_grid(tiles: DataFrame, pps: int, most: int | None = None) -> DataFrame:
+    """pps x pps points of each tile, x fastest.
+
+    For display, ``most`` thins them: beyond that number per tile every ceil(n / most)-th is kept.
+    """
     n = pps * pps
-    step = -(-n // most) if n > most else 1
+    step = -(-n // most) if most and n > most else 1
     points = tiles.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(n - 1), F.lit(step))))
     i, j = F.col("p") % pps, F.expr(f"p div {pps}")
     return points.select("image_id", "tile_idx", F.col("p").cast("long").alias("point_idx"), (F.col("x0") + (i + 0.5) / pps * F.col("w")).alias("x"), (F.col("y0") + (j + 0.5) / pps * F.col("h")).alias("y"))

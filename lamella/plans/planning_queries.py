@@ -41,7 +41,7 @@ def tile_plan_resolved(fx):
 
 @query("prompt_grid", TILES + "select image_id, tile_idx, p as point_idx, x0 + (p % 90 + 0.5e0) / 90 * w as x, y0 + (p // 90 + 0.5e0) / 90 * h as y from tiles, unnest(range(0, 8100, 2)) as t(p) where tile_idx = 0")
 def prompt_grid(fx):
-    return plan.prompt_grid(plan.tile_plan(fx.images, 1024).where("tile_idx = 0"), 90)
+    return plan.prompt_grid(plan.tile_plan(fx.images, 1024).where("tile_idx = 0"), 90, most=6000)
 
 
 @query(

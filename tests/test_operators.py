@@ -202,3 +202,9 @@ def test_least_rectangle_of_polygons_of_many_vertices(spark):
     got = spark.createDataFrame(rows, "k long, p array<struct<x: double, y: double>>").select("k", poly.minor_area("p").alias("r"), poly.minor_axis("p").alias("m")).orderBy("k").collect()
     for row, (rect, short) in zip(got, want, strict=True):
         assert row.r == pytest.approx(rect, abs=1e-5) and row.m == pytest.approx(short)
+
+
+def test_prompt_grid_thins_on_request_only(spark):
+    tiles = spark.createDataFrame([(1, 0, 0, 0, 900, 900), (1, 1, 900, 0, 900, 900)], "image_id long, tile_idx long, x0 long, y0 long, w long, h long")
+    assert planning.prompt_grid(tiles, 90).count() == 2 * 8100
+    assert planning.prompt_grid(tiles, 90, most=6000).count() == 2 * 4050
