@@ -35,6 +35,14 @@ def test_stages_take_odd_rows(spark, small):
         assert stages[name](spark, rows.limit(0), small).count() == 0
 
 
+def test_near_duplicate_tells_texts_of_one_id_apart(spark, small):
+    said = lambda name, n=60: " ".join(f"{name}{i}" for i in range(n))
+    rows = [(1, said("a")), (2, said("a") + " more"), (2, said("b")), (None, said("c")), (None, said("c") + " more")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text[0]) for r in corpus_pipeline.near_duplicate(spark, docs, small).collect()]
+    assert sorted(got, key=str) == [(1, "a"), (2, "b"), (None, "c")]
+
+
 def test_stages_and_columns(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     columns, kept = docs.columns, {}
