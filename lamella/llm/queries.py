@@ -20,6 +20,10 @@ from .suffix_dedup import suffix_dedup
 from .token_store import read_ids, write_ids
 
 
+#: Least bytes of a repeated passage that op6 reports beside what it removes.
+PASSAGE_BYTES = 200
+
+
 def vocabulary(name: str) -> str:
     """Where a public vocabulary file lies; ``LAMELLA_TOKENIZERS`` names another folder."""
     if folder := os.environ.get("LAMELLA_TOKENIZERS"):
@@ -56,7 +60,7 @@ def op5_huffman_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup(table(spark, sf_dir, "documents"), with_text=False)
+    return suffix_dedup(table(spark, sf_dir, "documents"), passage=PASSAGE_BYTES, with_text=False)
 
 
 def op7_subword_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,6 +29,7 @@ The three steps read one shuffle of the texts.  Matches never cross documents.
 from __future__ import annotations
 
 import hashlib
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,13 @@ _SPLIT = 4
 _KEY = np.uint64(0x9FB21C651E98DF25)
 
 
+class Rule(NamedTuple):
+    """Strings of ``window`` bytes that stand more than once are covered, the first one too unless ``first_stays``."""
+
+    window: int
+    first_stays: bool = False
+
+
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     """The least of each ``width`` consecutive values."""
     size, block = 1, values
@@ -56,33 +64,47 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 class _Anchors:
-    """Anchors of all windows of a group: place, first and last window start, gram, context fingerprint."""
+    """Anchors of all strings of one rule in a group: place, first and last string start, gram, context fingerprint."""
 
-    def __init__(self, rows: pa.Table, window: int):
-        self.of = of = Group(rows)
-        self.window = window
-        found = [self._of_texts(i, j) for i, j in text_runs(of.offs)]
+    def __init__(self, of: Group, rule: Rule, found: list[tuple[np.ndarray, ...]]):
+        self.of, self.rule, self.window = of, rule, rule.window
         self.place, self.low, self.high, self.gram, self.context = map(np.concatenate, zip(*found, strict=True))
 
-    def _of_texts(self, i: int, j: int) -> tuple[np.ndarray, ...]:
-        base, window = self.of.offs[i], self.window
-        buf, offs = self.of.buf[base : self.of.offs[j]], self.of.offs[i : j + 1] - base
-        starts, _ = tb.starts_of(offs, window)
-        if not len(starts):
-            none = np.zeros(0, np.int64)
-            return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+    @classmethod
+    def of_rules(cls, rows: pa.Table, rules: list[Rule]) -> list[_Anchors]:
+        """One for each rule; the grams of a text are fingerprinted once."""
+        of = Group(rows)
+        found = [cls._of_texts(of, i, j, rules) for i, j in text_runs(of.offs)]
+        return [cls(of, rule, list(x)) for rule, x in zip(rules, zip(*found, strict=True), strict=True)]
+
+    @staticmethod
+    def _of_texts(of: Group, i: int, j: int, rules: list[Rule]) -> list[tuple[np.ndarray, ...]]:
+        base = of.offs[i]
+        buf, offs = of.buf[base : of.offs[j]], of.offs[i : j + 1] - base
         assert len(buf) < 1 << 32
         grams = tb.gram_hashes(tb.BYTE_VALUE[buf], GRAM)
         keyed = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
-        least = sliding_least(keyed, window - GRAM + 1)[starts]
-        at = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        new = np.ones(len(at), bool)
-        new[1:] = at[1:] != at[:-1]
-        first = np.flatnonzero(new)
-        place, low = at[first], starts[first]
-        high = starts[np.append(first[1:], len(starts)) - 1]
-        context = tb.mix(tb.span_hash(buf, low, high + window) + (place - low).astype(np.uint64))
-        return place + base, low + base, high + base, grams[place], context
+        out = []
+        for window in (r.window for r in rules):
+            starts, _ = tb.starts_of(offs, window)
+            if not len(starts):
+                none = np.zeros(0, np.int64)
+                out.append((none, none, none, none.astype(np.uint64), none.astype(np.uint64)))
+                continue
+            least = sliding_least(keyed, window - GRAM + 1)[starts]
+            at = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            new = np.ones(len(at), bool)
+            new[1:] = at[1:] != at[:-1]
+            first = np.flatnonzero(new)
+            place, low = at[first], starts[first]
+            high = starts[np.append(first[1:], len(starts)) - 1]
+            context = tb.mix(tb.span_hash(buf, low, high + window) + (place - low).astype(np.uint64))
+            out.append((place + base, low + base, high + base, grams[place], context))
+        return out
+
+    def ids_at(self, place: np.ndarray) -> np.ndarray:
+        """The document id at each place (the largest number where it is null)."""
+        return self.of.ids[np.searchsorted(self.of.offs, place, "right") - 1]
 
     def span_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Fingerprints of spans that lie in one text each."""
@@ -95,7 +117,9 @@ class _Anchors:
         return out
 
     def codes(self, answers: dict[int, bytes], n_buckets: int, split_above: int) -> np.ndarray:
-        """For each anchor: unique gram, covered context, open context, or covered and standing for its class."""
+        """For each anchor: unique gram, covered context, open context, or covered and standing for its class.
+
+        Where the first stays, what stands for a class of equal contexts is its first member, which is open."""
         gram, of_gram = np.unique(self.gram, return_inverse=True)
         context, first, of_context, held = np.unique(self.context, return_index=True, return_inverse=True, return_counts=True)
         kinds, seen = np.zeros(len(gram), np.int64), np.zeros(len(context), np.uint8)
@@ -111,7 +135,10 @@ class _Anchors:
         stands = np.zeros(len(self.gram), bool)
         stands[first[seen != _AFTER]] = True
         kinds = kinds[of_gram]
-        code = np.where(again, np.where(stands & (kinds > 1), _STANDS, _COVERED), np.where(kinds > 1, _OPEN, _UNIQUE))
+        if self.rule.first_stays:
+            code = np.where(again & ~stands, _COVERED, np.where(kinds > 1, _OPEN, _UNIQUE))
+        else:
+            code = np.where(again, np.where(stands & (kinds > 1), _STANDS, _COVERED), np.where(kinds > 1, _OPEN, _UNIQUE))
         return (code + _SPLIT * (kinds > split_above)).astype(np.uint8)
 
 
@@ -132,9 +159,9 @@ def judge_grams(gram: np.ndarray, least: np.ndarray, most: np.ndarray, count: np
     return out
 
 
-def judge_contexts(context: np.ndarray, g: np.ndarray) -> np.ndarray:
-    """For each context of each group, whether others have it and whether this group is the first."""
-    order = np.lexsort((g, context))
+def judge_contexts(context: np.ndarray, doc: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """For each context of each group, whether others have it and whether this group is the first, by document and group."""
+    order = np.lexsort((g, doc, context))
     new = np.ones(len(context), bool)
     new[1:] = context[order][1:] != context[order][:-1]
     size = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1]
@@ -182,7 +209,7 @@ class _Parts:
         kind = np.cumsum(new) - 1
         asked, same = np.empty(len(order), np.int64), np.empty(len(order), bool)
         asked[order] = order[new][kind]
-        same[order] = np.bincount(kind)[kind] > 1
+        same[order] = ~new if a.rule.first_stays else np.bincount(kind)[kind] > 1
         self.asked = np.concatenate([self.asked, asked + len(plain)])
         self.same = np.concatenate([self.same, same])
         self.place, self.low, self.high, self.key = (np.concatenate(x) for x in ((self.place, place), (self.low, low), (self.high, high), (self.key, key)))
@@ -216,8 +243,32 @@ def intervals(lcp: np.ndarray) -> list[tuple[int, int, int]]:
     return out
 
 
-def repeats(gram: np.ndarray, right: np.ndarray, right_len: np.ndarray, left: np.ndarray, left_len: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each context how far left and right of its anchor it is covered by repeats of ``window`` bytes."""
+def nearest_earlier(between: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """For each member of a line the longest common extension with a member of lower order (-1: none).
+
+    ``between`` holds the common extensions of neighbours.  The best partner is the next one of lower
+    order on either side, which a scan with a stack finds."""
+    best = np.full(len(order), -1, np.int64)
+    for step in (1, -1):
+        stack: list[tuple[int, int]] = []  # (order, extension shared with the one below)
+        line = range(len(order)) if step == 1 else range(len(order) - 1, -1, -1)
+        for t in line:
+            shared = -1
+            if stack:
+                shared = int(between[t - 1] if step == 1 else between[t])
+            while stack and stack[-1][0] > order[t]:
+                shared = min(shared, stack.pop()[1])
+            best[t] = max(best[t], shared if stack else -1)
+            stack.append((int(order[t]), shared))
+    return best
+
+
+def repeats(gram: np.ndarray, right: np.ndarray, right_len: np.ndarray, left: np.ndarray, left_len: np.ndarray, window: int, earlier: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For each context how far left and right of its anchor it is covered by repeats of ``window`` bytes.
+
+    With ``earlier``, a number per context in the order of the corpus, only repeats of lower ones count.
+    Depths grow along a branch of the tree and are at most ``window``, which bounds the work per context.
+    """
     n = len(gram)
     lo, hi = np.zeros(n, np.int64), np.zeros(n, np.int64)
     if n < 2:
@@ -236,17 +287,21 @@ def repeats(gram: np.ndarray, right: np.ndarray, right_len: np.ndarray, left: np
                 x, y = y, x
             reach = int(left_lcp[x:y].min())
             if reach >= need:
-                for i in (order[a], order[z]):
+                pair = (order[a], order[z])
+                if earlier is not None:
+                    pair = (max(pair, key=earlier.__getitem__),)
+                for i in pair:
                     lo[i], hi[i] = max(lo[i], reach), max(hi[i], depth)
             continue
         r = np.sort(rank_of[a : z + 1])
         between = np.minimum.reduceat(left_lcp, r)[:-1]
-        members = by_left[r]
-        if between.min() >= need:  # no diversity within reach: one repeat
-            hi[members] = np.maximum(hi[members], depth)
-        elif between.max() < need:
+        if between.max() < need:  # left contexts differ too early everywhere
             continue
-        best = np.maximum(np.append(between, -1), np.append(-1, between))
+        members = by_left[r]
+        if earlier is not None:
+            best = nearest_earlier(between, earlier[members])
+        else:
+            best = np.maximum(np.append(between, -1), np.append(-1, between))
         ok = best >= need
         chosen = members[ok]
         lo[chosen] = np.maximum(lo[chosen], best[ok])
@@ -254,87 +309,167 @@ def repeats(gram: np.ndarray, right: np.ndarray, right_len: np.ndarray, left: np
     return lo, hi
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 400, with_text: bool = True, carry: tuple[str, ...] = (), split_above: int = 2000) -> DataFrame:
-    """Returns ``id_col, n_bytes, n_removed, n_spans, kept_sha256`` for each row, and with
-    ``with_text`` also ``kept_text`` and ``spans`` (start, end in bytes).
+def covered_bytes(a: _Anchors, code: np.ndarray, answers: dict[int, bytes], n_buckets: int) -> np.ndarray:
+    """Which bytes of the group the rule covers."""
+    n, window = len(a.of.buf), a.window
+    edge = np.zeros(n + 1, np.int32)
+    if len(code):
+        whole = np.isin(code % _SPLIT, (_COVERED, _STANDS))
+        np.add.at(edge, a.low[whole], 1)
+        np.add.at(edge, a.high[whole] + window, -1)
+        p = _Parts(a, code)
+        np.add.at(edge, p.low[p.same], 1)
+        np.add.at(edge, p.high[p.same] + window, -1)
+        reach = np.zeros((2, len(p.place)), np.int64)
+        pick = np.unique(p.asked)
+        order, to = deal(p.key[pick], n_buckets)
+        for b, blob in answers.items():
+            reach[:, pick[order[to[b] : to[b + 1]]]] = np.frombuffer(blob, "<u2").reshape(2, -1)
+        lo, hi = reach[:, p.asked]
+        some = lo + hi >= window
+        np.add.at(edge, (p.place - lo)[some], 1)
+        np.add.at(edge, (p.place + hi)[some], -1)
+    return np.cumsum(edge[:-1]) > 0
+
+
+def runs(flags: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of the maximal runs of flagged bytes, none of which crosses a text."""
+    start, end = flags.copy(), flags.copy()
+    start[1:] &= ~flags[:-1]
+    end[:-1] &= ~flags[1:]
+    firsts = offs[:-1][offs[:-1] < len(flags)]
+    start[firsts] = flags[firsts]
+    lasts = offs[1:][offs[1:] > 0] - 1
+    end[lasts] = flags[lasts]
+    return np.flatnonzero(start), np.flatnonzero(end) + 1
+
+
+def whole_words(start: np.ndarray, end: np.ndarray, word_start: np.ndarray, word_end: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The runs that hold ``least`` whole words or more, cut to those words."""
+    first, last = np.searchsorted(word_start, start), np.searchsorted(word_end, end, "right")
+    some = last - first >= max(least, 1)
+    return word_start[first[some]], word_end[last[some] - 1]
+
+
+def suffix_dedup(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 400, first_stays: bool = False, least_words: int = 0, passage: int | None = None, passage_words: int = 50,
+    with_text: bool = True, carry: tuple[str, ...] = (), split_above: int = 2000,
+) -> DataFrame:
+    """Returns ``id_col, n_bytes, n_removed, n_spans, kept_sha256`` for each row, with ``passage``
+    also ``n_passages, n_passage_bytes``, and with ``with_text`` also ``kept_text`` and ``spans``
+    (start, end in bytes).
 
     A byte goes if a string of ``window`` bytes that covers it also starts anywhere else,
     in the same text or another; overlaps count and all strings are judged on the input.
+    With ``first_stays`` it goes only if such a string starts earlier: in a lower id, or before
+    it in the same text.  With ``least_words`` a maximal run of such bytes goes only if it
+    holds that many whole words, and is cut to them.
     n_spans counts the maximal removed runs.  kept_sha256 is of the remaining bytes.
     kept_text never cuts a character: a span that ends within one leaves that character.
+    n_passages counts the runs of ``passage_words`` whole words or more in what strings of ``passage``
+    bytes that stand more than once cover, first copies included; nothing is removed for them.
     The columns named in ``carry`` come along; a gram of more than ``split_above`` contexts is split.
 
     Cases: null and empty texts have no bytes; texts under ``window`` bytes lose nothing;
-    rows that repeat (also in their id) count as documents of their own, so their texts go
-    if long enough.  Null ids are allowed.  Other columns of docs are ignored.
+    rows that repeat (also in their id) count as documents of their own, in the order of their
+    texts, so their texts go if long enough.  Null ids are allowed and come last.  An empty table
+    gives an empty result.  A very long text is worked on whole.  Other columns of docs are ignored.
     """
-    if window < 2 * GRAM:
-        raise ValueError(f"window must be at least {2 * GRAM} bytes")
+    rules = [Rule(window, first_stays)] + ([Rule(passage)] if passage else [])
+    if min(r.window for r in rules) < 2 * GRAM:
+        raise ValueError(f"strings must have at least {2 * GRAM} bytes")
     texts, n_buckets = grouped(docs, id_col, text_col, carry)
-
-    def answers_of(table: pa.Table) -> dict[int, bytes]:
-        return dict(zip(table.column("bucket").to_pylist(), table.column("blob").to_pylist(), strict=True))
+    span = 2 * n_buckets  # buckets of a rule: for grams, and then for contexts
+
+    def by_rule(table: pa.Table) -> list[dict[int, bytes]]:
+        """The answers about each rule, by bucket; a group's own notes have bucket -1."""
+        out: list[dict[int, bytes]] = [{} for _ in rules]
+        for b, blob in zip(table.column("bucket").to_pylist(), table.column("blob").to_pylist(), strict=True):
+            if b >= _OWN:
+                out[b // _OWN - 1][-1] = blob
+            else:
+                out[b // span][b % span] = blob
+        return out
 
     def ask_grams(rows: pa.Table) -> pa.Table:
-        a = _Anchors(rows, window)
         out = {}
-        order = np.lexsort((a.context, a.gram))
-        g, c = a.gram[order], a.context[order]
-        new_g, new_c = np.ones(len(g), bool), np.ones(len(g), bool)
-        new_g[1:] = g[1:] != g[:-1]
-        new_c[1:] = new_g[1:] | (c[1:] != c[:-1])
-        at = np.flatnonzero(new_g)
-        if len(at):
-            columns = [g[at].astype("<u8"), c[at].astype("<u8"), c[np.append(at[1:], len(g)) - 1].astype("<u8"), np.add.reduceat(new_c, at, dtype="<i8")]
-            order, to = deal(columns[0], n_buckets)
-            columns = [x[order] for x in columns]
-            out = {b: b"".join(x[to[b] : to[b + 1]].tobytes() for x in columns) for b in range(n_buckets) if to[b] < to[b + 1]}
-        context = np.unique(a.context)
-        order, to = deal(context, n_buckets)
-        context = context[order].astype("<u8")
-        out |= {n_buckets + b: context[to[b] : to[b + 1]].tobytes() for b in range(n_buckets) if to[b] < to[b + 1]}
-        return sent(a.of.g, out)
+        for k, a in enumerate(_Anchors.of_rules(rows, rules)):
+            order = np.lexsort((a.context, a.gram))
+            g, c = a.gram[order], a.context[order]
+            new_g, new_c = np.ones(len(g), bool), np.ones(len(g), bool)
+            new_g[1:] = g[1:] != g[:-1]
+            new_c[1:] = new_g[1:] | (c[1:] != c[:-1])
+            at = np.flatnonzero(new_g)
+            if len(at):
+                columns = [g[at].astype("<u8"), c[at].astype("<u8"), c[np.append(at[1:], len(g)) - 1].astype("<u8"), np.add.reduceat(new_c, at, dtype="<i8")]
+                order, to = deal(columns[0], n_buckets)
+                columns = [x[order] for x in columns]
+                out |= {k * span + b: b"".join(x[to[b] : to[b + 1]].tobytes() for x in columns) for b in range(n_buckets) if to[b] < to[b + 1]}
+            context, first = np.unique(a.context, return_index=True)
+            order, to = deal(context, n_buckets)
+            columns = [context[order].astype("<u8")]
+            if a.rule.first_stays:
+                columns.append(a.ids_at(a.place[first[order]]).astype("<i8"))
+            out |= {k * span + n_buckets + b: b"".join(x[to[b] : to[b + 1]].tobytes() for x in columns) for b in range(n_buckets) if to[b] < to[b + 1]}
+            of = a.of
+        return sent(of.g, out)
 
     def judge(rows: pa.Table) -> pa.Table:
         gs, buckets, blobs = (rows.column(c).to_pylist() for c in ("g", "bucket", "blob"))
-        if buckets[0] < n_buckets:
+        k, b = divmod(buckets[0], span)
+        if b < n_buckets:
             asked = [np.frombuffer(x, "<u8").reshape(4, -1) for x in blobs]
             gram, least, most, count = np.concatenate(asked, axis=1)
             said, sizes = judge_grams(gram, least, most, count.astype(np.int64)), [x.shape[1] for x in asked]
         else:
-            asked = [np.frombuffer(x, "<u8") for x in blobs]
-            sizes = [len(x) for x in asked]
-            said = judge_contexts(np.concatenate(asked), np.repeat(gs, sizes))
+            asked = [np.frombuffer(x, "<u8").reshape(1 + rules[k].first_stays, -1) for x in blobs]
+            sizes = [x.shape[1] for x in asked]
+            both = np.concatenate(asked, axis=1)
+            doc = both[1].view(np.int64) if rules[k].first_stays else np.zeros(both.shape[1], np.int64)
+            said = judge_contexts(both[0], doc, np.repeat(gs, sizes))
         return answered(gs, buckets, [x.tobytes() for x in np.split(said, np.cumsum(sizes)[:-1])])
 
     def ask_contexts(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        a = _Anchors(rows, window)
-        code = a.codes(answers_of(answers), n_buckets, split_above)
-        out = {_OWN + a.of.g: code.tobytes()}
-        p = _Parts(a, code)
-        pick = np.unique(p.asked)
-        order, to = deal(p.key[pick], n_buckets)
-        pick = pick[order]
-        for b in range(n_buckets):
-            mine = pick[to[b] : to[b + 1]]
-            if len(mine):
-                left, size = p.place[mine] - p.low[mine], p.high[mine] + window - p.low[mine]
-                out[b] = np.array([len(mine)], "<i4").tobytes() + p.key[mine].astype("<u8").tobytes() + left.astype("<u2").tobytes() + size.astype("<u2").tobytes() + a.of.buf[tb.ranges(p.low[mine], size)].tobytes()
-        return sent(a.of.g, out)
+        out = {}
+        for k, (a, got) in enumerate(zip(_Anchors.of_rules(rows, rules), by_rule(answers), strict=True)):
+            code = a.codes(got, n_buckets, split_above)
+            out[_OWN * (k + 1) + a.of.g] = code.tobytes()
+            p = _Parts(a, code)
+            pick = np.unique(p.asked)
+            order, to = deal(p.key[pick], n_buckets)
+            pick = pick[order]
+            for b in range(n_buckets):
+                mine = pick[to[b] : to[b + 1]]
+                if len(mine):
+                    left, size = p.place[mine] - p.low[mine], p.high[mine] + a.window - p.low[mine]
+                    columns = [p.key[mine].astype("<u8")]
+                    if a.rule.first_stays:
+                        columns += [a.ids_at(p.place[mine]).astype("<i8"), p.place[mine].astype("<i8")]
+                    columns += [left.astype("<u2"), size.astype("<u2"), a.of.buf[tb.ranges(p.low[mine], size)]]
+                    out[k * span + b] = np.array([len(mine)], "<i4").tobytes() + b"".join(x.tobytes() for x in columns)
+            of = a.of
+        return sent(of.g, out)
 
     def compare(rows: pa.Table) -> pa.Table:
         gs, buckets, blobs = (rows.column(c).to_pylist() for c in ("g", "bucket", "blob"))
         if buckets[0] >= _OWN:
             return answered(gs, buckets, blobs)
-        gram, left, size, data, counts = [], [], [], [], []
+        rule = rules[buckets[0] // span]
+        kinds = ["<u8", "<i8", "<i8", "<u2", "<u2"] if rule.first_stays else ["<u8", "<u2", "<u2"]
+        counts, fields = [], [[] for _ in range(len(kinds) + 1)]
         for blob in blobs:
-            k = int(np.frombuffer(blob, "<i4", 1)[0])
+            k, at = int(np.frombuffer(blob, "<i4", 1)[0]), 4
             counts.append(k)
-            gram.append(np.frombuffer(blob, "<u8", k, 4))
-            left.append(np.frombuffer(blob, "<u2", k, 4 + 8 * k))
-            size.append(np.frombuffer(blob, "<u2", k, 4 + 10 * k))
-            data.append(np.frombuffer(blob, np.uint8, -1, 4 + 12 * k))
-        gram, left, size, data = np.concatenate(gram), np.concatenate(left).astype(np.int64), np.concatenate(size).astype(np.int64), np.concatenate(data)
+            for field, kind in zip(fields, kinds, strict=False):
+                field.append(np.frombuffer(blob, kind, k, at))
+                at += field[-1].nbytes
+            fields[-1].append(np.frombuffer(blob, np.uint8, -1, at))
+        gram, *where, left, size, data = map(np.concatenate, fields)
+        left, size = left.astype(np.int64), size.astype(np.int64)
+        earlier = None
+        if rule.first_stays:
+            earlier = np.empty(len(gram), np.int64)
+            earlier[np.lexsort((where[1], np.repeat(gs, counts), where[0]))] = np.arange(len(gram))
         start = np.cumsum(size) - size
         lo, hi = np.zeros(len(gram), np.int64), np.zeros(len(gram), np.int64)
         by_gram = np.argsort(gram, kind="stable")
@@ -345,54 +480,44 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             to = max(at + 1, int(np.searchsorted(edges, edges[at] + 8000, "right")) - 1)
             mine = by_gram[edges[at] : edges[to]]
             r_len, l_len = size[mine] - left[mine], left[mine]
-            right = np.zeros((len(mine), window), np.uint8)
-            back = np.zeros((len(mine), window), np.uint8)
+            right = np.zeros((len(mine), rule.window), np.uint8)
+            back = np.zeros((len(mine), rule.window), np.uint8)
             row = np.repeat(np.arange(len(mine)), r_len)
             right[row, tb.ranges(np.zeros(len(mine), np.int64), r_len)] = data[tb.ranges(start[mine] + l_len, r_len)]
             row, col = np.repeat(np.arange(len(mine)), l_len), tb.ranges(np.zeros(len(mine), np.int64), l_len)
             back[row, col] = data[(start[mine] + l_len - 1)[row] - col]
-            lo[mine], hi[mine] = repeats(gram[mine], right, r_len, back, l_len, window)
+            lo[mine], hi[mine] = repeats(gram[mine], right, r_len, back, l_len, rule.window, None if earlier is None else earlier[mine])
             at = to
         parts = np.split(np.stack([lo, hi]).astype("<u2"), np.cumsum(counts)[:-1], axis=1)
         return answered(gs, buckets, [np.ascontiguousarray(x).tobytes() for x in parts])
 
     def remove(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        a = _Anchors(rows, window)
-        of, n = a.of, len(a.of.buf)
-        got = answers_of(answers)
-        code = np.frombuffer(got.pop(_OWN + of.g, b""), np.uint8)
-        edge = np.zeros(n + 1, np.int32)
-        if len(code):
-            whole = np.isin(code % _SPLIT, (_COVERED, _STANDS))
-            np.add.at(edge, a.low[whole], 1)
-            np.add.at(edge, a.high[whole] + window, -1)
-            p = _Parts(a, code)
-            np.add.at(edge, p.low[p.same], 1)
-            np.add.at(edge, p.high[p.same] + window, -1)
-            reach = np.zeros((2, len(p.place)), np.int64)
-            pick = np.unique(p.asked)
-            order, to = deal(p.key[pick], n_buckets)
-            for b, blob in got.items():
-                reach[:, pick[order[to[b] : to[b + 1]]]] = np.frombuffer(blob, "<u2").reshape(2, -1)
-            lo, hi = reach[:, p.asked]
-            some = lo + hi >= window
-            np.add.at(edge, (p.place - lo)[some], 1)
-            np.add.at(edge, (p.place + hi)[some], -1)
-        gone = np.cumsum(edge[:-1]) > 0
-        start_flag = gone.copy()
-        start_flag[1:] &= ~gone[:-1]
-        firsts = of.offs[:-1][of.offs[:-1] < n]
-        start_flag[firsts] = gone[firsts]
-        removed, spans = tb.segment_sum(gone, of.offs), tb.segment_sum(start_flag, of.offs)
+        masks = []
+        for a, got in zip(_Anchors.of_rules(rows, rules), by_rule(answers), strict=True):
+            masks.append(covered_bytes(a, np.frombuffer(got.pop(-1, b""), np.uint8), got, n_buckets))
+            of = a.of
+        n, gone = len(of.buf), masks[0]
+        spans_of = lambda at: np.diff(np.searchsorted(at, of.offs))
+        if least_words or passage:
+            word_start, word_end, _ = tb.words(of.buf, of.offs)
+        start, end = runs(gone, of.offs)
+        if least_words:
+            start, end = whole_words(start, end, word_start, word_end, least_words)
+            gone = np.zeros(n, bool)
+            gone[tb.ranges(start, end - start)] = True
         kept_at = np.concatenate([[0], np.cumsum(~gone)])[of.offs]
         left_over = of.buf[~gone].tobytes()
         out = {
             id_col: of.id_column,
             "n_bytes": np.diff(of.offs),
-            "n_removed": removed,
-            "n_spans": spans,
+            "n_removed": tb.segment_sum(gone, of.offs),
+            "n_spans": spans_of(start),
             "kept_sha256": [hashlib.sha256(left_over[x:y]).hexdigest() for x, y in zip(kept_at[:-1].tolist(), kept_at[1:].tolist(), strict=True)],
         }
+        if passage:
+            first, last = whole_words(*runs(masks[1], of.offs), word_start, word_end, passage_words)
+            out["n_passages"] = spans_of(first)
+            out["n_passage_bytes"] = tb.segment_sum(last - first, np.searchsorted(first, of.offs))
         if with_text:
             # a character stays whole if any byte of it stays
             lead = (of.buf & 0xC0) != 0x80
@@ -402,14 +527,9 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             leave = ~whole[char] if n else np.zeros(0, bool)
             text_at = np.concatenate([[0], np.cumsum(leave)])[of.offs].astype(np.int32)
             out["kept_text"] = pa.StringArray.from_buffers(len(of.ids), pa.py_buffer(text_at), pa.py_buffer(of.buf[leave].tobytes()))
-            end_flag = gone.copy()
-            end_flag[:-1] &= ~gone[1:]
-            lasts = of.offs[1:][of.offs[1:] > 0] - 1
-            end_flag[lasts] = gone[lasts]
-            s, e = np.flatnonzero(start_flag), np.flatnonzero(end_flag) + 1
-            base = np.repeat(of.offs[:-1], spans)
-            items = pa.StructArray.from_arrays([pa.array(s - base), pa.array(e - base)], ["start", "end"])
-            out["spans"] = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(spans)]).astype(np.int32), items)
+            base = np.repeat(of.offs[:-1], out["n_spans"])
+            items = pa.StructArray.from_arrays([pa.array(start - base), pa.array(end - base)], ["start", "end"])
+            out["spans"] = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(out["n_spans"])]).astype(np.int32), items)
         for k, name in enumerate(carry):
             out[name] = of.rows.column(f"c{k}")
         return pa.table(out)
@@ -417,6 +537,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     grams = texts.groupBy("g").applyInArrow(ask_grams, BALLOT).groupBy("bucket").applyInArrow(judge, ANSWER)
     contexts = texts.groupBy("g").cogroup(grams.groupBy("g")).applyInArrow(ask_contexts, BALLOT).groupBy("bucket").applyInArrow(compare, ANSWER)
     schema = f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    if passage:
+        schema += ", n_passages long, n_passage_bytes long"
     if with_text:
         schema += ", kept_text string, spans array<struct<start: long, end: long>>"
     schema += "".join(f", `{name}` {docs.schema[name].dataType.simpleString()}" for name in carry)

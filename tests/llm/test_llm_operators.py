@@ -200,32 +200,56 @@ def test_substring_dedup(docs):
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
 
 
-@pytest.mark.parametrize("split_above", [2000, 0, 3])
-def test_suffix_dedup(docs, split_above):
-    rows = pairs_of(docs)
-    count = collections.Counter()
+def covered_runs(rows, window, first_stays=False):
+    """Runs of bytes of each text that strings of ``window`` bytes found elsewhere (or earlier) cover."""
+    count, seen, out = collections.Counter(), set(), []
     for _, t in rows:
         b = (t or "").encode()
-        count.update(b[k : k + 400] for k in range(len(b) - 399))
-    want = collections.Counter()
-    for i, t in rows:
+        count.update(b[k : k + window] for k in range(len(b) - window + 1))
+    for _, t in rows:
         b = (t or "").encode()
         gone, end = bytearray(len(b)), 0
-        for k in range(len(b) - 399):
-            if count[b[k : k + 400]] > 1:
-                s = max(k, end)
-                gone[s : k + 400] = b"\1" * (k + 400 - s)
-                end = k + 400
-        kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
-        want[i, len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest()] += 1
-    got = suffix_dedup(docs, split_above=split_above).collect()
-    assert collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want
+        for k in range(len(b) - window + 1):
+            s = b[k : k + window]
+            if s in seen if first_stays else count[s] > 1:
+                a = max(k, end)
+                gone[a : k + window] = b"\1" * (k + window - a)
+                end = k + window
+            if first_stays:
+                seen.add(s)
+        out.append((b, [m.span() for m in re.finditer(b"\1+", bytes(gone))]))
+    return out
+
+
+def in_words(text, spans, least):
+    """The spans that hold that many whole words, cut to them."""
+    words, out = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", text)], []
+    for a, z in spans:
+        mine = [w for w in words if a <= w[0] and w[1] <= z]
+        if len(mine) >= max(least, 1):
+            out.append((mine[0][0], mine[-1][1]))
+    return out
+
+
+@pytest.mark.parametrize("split_above", [2000, 0, 3])
+@pytest.mark.parametrize("first_stays, least_words", [(False, 0), (True, 0), (True, 12)])
+def test_suffix_dedup(docs, split_above, first_stays, least_words):
+    rows = sorted(pairs_of(docs), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+    want = collections.Counter()
+    for (i, _), (b, spans), (_, shorter) in zip(rows, covered_runs(rows, 400, first_stays), covered_runs(rows, 100), strict=True):
+        spans = in_words(b, spans, least_words) if least_words else spans
+        passages = in_words(b, shorter, 15)
+        kept = b"".join(b[z:a] for (_, z), (a, _) in zip([(0, 0), *spans], [*spans, (len(b), 0)], strict=True))
+        want[i, len(b), len(b) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), len(passages), sum(z - a for a, z in passages)] += 1
+    got = suffix_dedup(docs, first_stays=first_stays, least_words=least_words, passage=100, passage_words=15, split_above=split_above).collect()
+    assert collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.n_passages, r.n_passage_bytes) for r in got) == want
     for r in got:
         assert sum(s.end - s.start for s in r.spans) == r.n_removed and len(r.kept_text.encode()) >= r.n_bytes - r.n_removed
 
 
 @pytest.mark.parametrize("split_above", [2000, 0, 3])
-def test_suffix_dedup_of_edited_copies(spark, split_above):
+@pytest.mark.parametrize("first_stays", [False, True])
+def test_suffix_dedup_of_edited_copies(spark, split_above, first_stays):
     """Repeats whose ends lie anywhere around the anchors."""
     rng = np.random.RandomState(8)
     base = "".join(chr(97 + c) for c in rng.randint(0, 26, 1500))
@@ -233,7 +257,7 @@ def test_suffix_dedup_of_edited_copies(spark, split_above):
     for k in range(1, 30):
         a, z = sorted(rng.randint(0, 1500, 2))
         rows.append((k, "".join(chr(65 + c) for c in rng.randint(0, 26, 60)) + base[a:z] + "".join(chr(65 + c) for c in rng.randint(0, 26, 60))))
-    test_suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string"), split_above)
+    test_suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string"), split_above, first_stays, 0)
 
 
 def test_token_store(docs, spark):
