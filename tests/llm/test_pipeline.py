@@ -6,7 +6,9 @@ import re
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from lamella.llm.queries import PASSAGE_BYTES
 from lamella.llm.shared import written
+from test_llm_operators import covered_runs, in_words
 
 
 def test_stages_take_odd_rows(spark, small):
@@ -35,6 +37,16 @@ def test_stages_take_odd_rows(spark, small):
         assert stages[name](spark, rows.limit(0), small).count() == 0
 
 
+def test_passages_keep_their_first_copy(spark, small):
+    passage = " ".join(f"some{i}" for i in range(51))
+    alone = lambda name: " ".join(f"{name}{i}" for i in range(40))
+    texts = {1: f"{alone('a')} {passage} {alone('b')}", 2: f"{alone('c')} {passage} {alone('d')}", 3: f"{passage} {alone('e')}", 4: f"{alone('f')} {' '.join(passage.split()[:45])} {alone('g')}"}
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.repeated_bytes(spark, docs, small).collect()}
+    assert got[1] == texts[1] and got[4] == texts[4] and passage not in got[2] + got[3]
+    assert got[2].split() == (alone("c") + " " + alone("d")).split() and got[3].split() == alone("e").split()
+
+
 def test_near_duplicate_tells_texts_of_one_id_apart(spark, small):
     said = lambda name, n=60: " ".join(f"{name}{i}" for i in range(n))
     rows = [(1, said("a")), (2, said("a") + " more"), (2, said("b")), (None, said("c")), (None, said("c") + " more")]
@@ -72,27 +84,12 @@ def test_stages_and_columns(spark, small):
                 root[max(x, y)] = min(x, y)
     second = {r.doc_id: r.text for r in kept["near_duplicate"].collect()}
     assert set(second) == {i for i in ids if find(i) == i}
-    # repeated strings of 400 bytes; texts here are cut at whole characters
-    count = collections.Counter()
-    for t in second.values():
-        b = t.encode()
-        count.update(b[k : k + 400] for k in range(len(b) - 399))
+    # repeated passages, but for their first copy
     third = {r.doc_id: r.text for r in kept["repeated_bytes"].collect()}
-    for i, t in second.items():
-        b = t.encode()
-        gone, end = bytearray(len(b)), 0
-        for k in range(len(b) - 399):
-            if count[b[k : k + 400]] > 1:
-                s = max(k, end)
-                gone[s : k + 400] = b"\1" * (k + 400 - s)
-                end = k + 400
-        at, left = 0, []
-        for c in t:
-            n = len(c.encode())
-            if not all(gone[at : at + n]):
-                left.append(c)
-            at += n
-        assert third[i] == "".join(left)
+    rows = sorted(second.items())
+    for (i, _), (b, spans) in zip(rows, covered_runs(rows, PASSAGE_BYTES, first_stays=True), strict=True):
+        spans = in_words(b, spans, corpus_pipeline.PASSAGE_WORDS)
+        assert third[i] == b"".join(b[z:a] for (_, z), (a, _) in zip([(0, 0), *spans], [*spans, (len(b), 0)], strict=True)).decode()
     # benchmark items
     items = [{tuple(w[k : k + 5]) for w in [low(r.text)] for k in range(len(w) - 4)} for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
     clean = set()
