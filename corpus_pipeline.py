@@ -15,10 +15,12 @@ from lamella.llm.decontaminate import contained_items
 from lamella.llm.language_id import fit_on, identify
 from lamella.llm.near_dedup import near_duplicates
 from lamella.llm.packing import numbered, pack
-from lamella.llm.queries import vocabulary
+from lamella.llm.queries import PASSAGE_BYTES, vocabulary
 from lamella.llm.shared import written
 from lamella.llm.suffix_dedup import suffix_dedup
 
+#: Words of the shortest passage that counts as a repeat.
+PASSAGE_WORDS = 50
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -48,11 +50,12 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def repeated_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes repeated strings of 400 bytes; documents stay with what is left of them.
+    """Removes passages of 50 words or more that an earlier document, or an earlier place, has; the first copy stays.
 
-    Every row stays a row, whatever its id; a null text becomes an empty one."""
-    kept = suffix_dedup(docs, carry=("lang", "source")).withColumnRenamed("kept_text", "text")
-    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    A passage is a run of whole words covered by repeated strings of PASSAGE_BYTES.
+    Every row stays a row with what is left of its text, whatever its id; a null text becomes an empty one."""
+    kept = suffix_dedup(docs, window=PASSAGE_BYTES, first_stays=True, least_words=PASSAGE_WORDS, carry=("lang", "source"))
+    return kept.withColumnRenamed("kept_text", "text").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
