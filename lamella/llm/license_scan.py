@@ -4,7 +4,7 @@ A text is cut into pieces after line feeds and after ``. ! ? ; : )`` before whit
 A known licence sentence is a run of whole pieces without a blank line between, so that
 it may be wrapped over lines; the longest that fits at a piece is taken.  Sentences are
 compared as their lower-case runs of ASCII letters and digits (with inner dots, as in
-``2.0``), so that comment marks without letters are left out (``dnl`` and ``REM`` are
+``2.0``, and a plus after a digit), so that comment marks without letters are left out (``dnl`` and ``REM`` are
 not).  The identifiers of a text, in order, are matched against ordered rules: the first
 rule that fits at a place takes its sentences.
 
@@ -49,15 +49,44 @@ SENTENCES: list[tuple[str, str]] = [
     ("gpl2-grant", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
     ("gpl-hope", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."),
     ("gpl-see", "See the GNU General Public License for more details."),
+    ("gpl2-only-grant", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."),
+    ("gpl2-only-grant", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; version 2 of the License."),
+    ("gpl3-only-grant", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 3."),
+    ("lgpl3-grant", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("lgpl3-grant", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("lgpl21-grant", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("lgpl-hope", "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."),
+    ("lgpl-see", "See the GNU Lesser General Public License for more details."),
+    ("agpl3-grant", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("agpl-see", "See the GNU Affero General Public License for more details."),
+    ("mpl2-grant", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("mpl2-copy", "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("mpl2-copy", "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("epl2-grant", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("epl1-grant", "All rights reserved. This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html"),
+    ("isc-grant", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("isc-grant", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("0bsd-grant", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."),
+    ("isc-warranty", 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.'),
+    ("unlicense-free", "This is free and unencumbered software released into the public domain."),
+    ("unlicense-anyone", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("zlib-asis", "This software is provided 'as-is', without any express or implied warranty."),
+    ("zlib-damages", "In no event will the authors be held liable for any damages arising from the use of this software."),
+    ("zlib-grant", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"),
+    ("bsl1-grant", 'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:'),
+    ("bsl1-line", "Distributed under the Boost Software License, Version 1.0."),
+    ("bsd-advertise", "All advertising materials mentioning features or use of this software must display the following acknowledgement:"),
+    ("wtfpl-do", "You just DO WHAT THE FUCK YOU WANT TO."),
+    ("ccby4-work", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("ccbysa4-work", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("ccbync4-work", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("ccbyncsa4-work", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("ccbynd4-work", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("ccbyncnd4-work", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
     ("ccbync4-line", "Licensed under CC BY-NC 4.0."),
     ("ccby4-line", "Licensed under CC BY 4.0."),
     ("ccbysa4-line", "Licensed under CC BY-SA 4.0."),
     ("cc0-line", "Dedicated to the public domain under CC0 1.0."),
-    ("spdx-mit", "SPDX-License-Identifier: MIT"),
-    ("spdx-apache2", "SPDX-License-Identifier: Apache-2.0"),
-    ("spdx-gpl3", "SPDX-License-Identifier: GPL-3.0-only"),
-    ("spdx-gpl3+", "SPDX-License-Identifier: GPL-3.0-or-later"),
-    ("spdx-bsd3", "SPDX-License-Identifier: BSD-3-Clause"),
     ("all-rights", "All rights reserved."),
 ]
 
@@ -67,11 +96,44 @@ RULES: list[tuple[str, bool, tuple[str, ...]]] = [
     ("MIT", False, ("mit-title", "mit-grant", "mit-notice", "mit-warranty")),
     ("MIT", False, ("mit-grant", "mit-notice", "mit-warranty")),
     ("BSD-3-Clause", False, ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse")),
+    ("BSD-4-Clause", False, ("bsd-grant", "bsd-source", "bsd-binary", "bsd-advertise")),
     ("BSD-2-Clause", False, ("bsd-grant", "bsd-source", "bsd-binary")),
     ("GPL-3.0-or-later", True, ("gpl-grant", "gpl-hope", "gpl-see")),
     ("GPL-2.0-or-later", True, ("gpl2-grant", "gpl-hope", "gpl-see")),
+    ("BSD-1-Clause", False, ("bsd-grant", "bsd-source")),
+    ("GPL-2.0-only", True, ("gpl2-only-grant", "gpl-hope", "gpl-see")),
+    ("GPL-3.0-only", True, ("gpl3-only-grant", "gpl-hope", "gpl-see")),
+    ("LGPL-3.0-or-later", True, ("lgpl3-grant", "lgpl-hope", "lgpl-see")),
+    ("LGPL-3.0-or-later", True, ("lgpl3-grant", "gpl-hope", "lgpl-see")),
+    ("LGPL-2.1-or-later", True, ("lgpl21-grant", "lgpl-hope", "lgpl-see")),
+    ("AGPL-3.0-or-later", True, ("agpl3-grant", "gpl-hope", "agpl-see")),
     ("GPL-3.0-or-later", True, ("gpl-grant",)),
     ("GPL-2.0-or-later", True, ("gpl2-grant",)),
+    ("GPL-2.0-only", True, ("gpl2-only-grant",)),
+    ("GPL-3.0-only", True, ("gpl3-only-grant",)),
+    ("LGPL-3.0-or-later", True, ("lgpl3-grant",)),
+    ("LGPL-2.1-or-later", True, ("lgpl21-grant",)),
+    ("AGPL-3.0-or-later", True, ("agpl3-grant",)),
+    ("MPL-2.0", True, ("mpl2-grant", "mpl2-copy")),
+    ("MPL-2.0", True, ("mpl2-grant",)),
+    ("EPL-2.0", True, ("epl2-grant",)),
+    ("EPL-1.0", True, ("epl1-grant",)),
+    ("ISC", False, ("isc-grant", "isc-warranty")),
+    ("ISC", False, ("isc-grant",)),
+    ("0BSD", False, ("0bsd-grant", "isc-warranty")),
+    ("0BSD", False, ("0bsd-grant",)),
+    ("Unlicense", False, ("unlicense-free", "unlicense-anyone")),
+    ("Unlicense", False, ("unlicense-free",)),
+    ("Zlib", False, ("zlib-asis", "zlib-damages", "zlib-grant")),
+    ("BSL-1.0", False, ("bsl1-grant",)),
+    ("BSL-1.0", False, ("bsl1-line",)),
+    ("WTFPL", False, ("wtfpl-do",)),
+    ("CC-BY-4.0", False, ("ccby4-work",)),
+    ("CC-BY-SA-4.0", True, ("ccbysa4-work",)),
+    ("CC-BY-NC-4.0", True, ("ccbync4-work",)),
+    ("CC-BY-NC-SA-4.0", True, ("ccbyncsa4-work",)),
+    ("CC-BY-ND-4.0", True, ("ccbynd4-work",)),
+    ("CC-BY-NC-ND-4.0", True, ("ccbyncnd4-work",)),
     ("GPL-3.0-only", True, ("gpl3-line",)),
     ("Apache-2.0", False, ("apache2-line",)),
     ("Apache-2.0", False, ("apache2-grant",)),
@@ -82,14 +144,83 @@ RULES: list[tuple[str, bool, tuple[str, ...]]] = [
     ("CC-BY-SA-4.0", True, ("ccbysa4-line",)),
     ("CC-BY-4.0", False, ("ccby4-line",)),
     ("CC0-1.0", False, ("cc0-line",)),
-    ("MIT", False, ("spdx-mit",)),
-    ("Apache-2.0", False, ("spdx-apache2",)),
-    ("GPL-3.0-only", True, ("spdx-gpl3",)),
-    ("GPL-3.0-or-later", True, ("spdx-gpl3+",)),
-    ("BSD-3-Clause", False, ("spdx-bsd3",)),
     ("All-Rights-Reserved", True, ("all-rights",)),
 ]
 
+# Public licence identifiers, whether they restrict use for training, and their names.
+NAMES: list[tuple[str, bool, tuple[str, ...]]] = [
+    ("0BSD", False, ("Zero-Clause BSD License", "BSD Zero Clause License")),
+    ("AFL-3.0", False, ("Academic Free License 3.0",)),
+    ("AGPL-3.0-only", True, ()),
+    ("AGPL-3.0-or-later", True, ("GNU Affero General Public License v3.0", "AGPL-3.0", "AGPLv3")),
+    ("Apache-1.1", False, ("Apache License 1.1",)),
+    ("Apache-2.0", False, ("Apache License 2.0", "Apache License, Version 2.0", "Apache 2.0 License")),
+    ("Artistic-2.0", False, ("Artistic License 2.0",)),
+    ("BSD-2-Clause", False, ("BSD 2-Clause License", "Simplified BSD License", "2-clause BSD license")),
+    ("BSD-3-Clause", False, ("BSD 3-Clause License", "New BSD License", "3-clause BSD license", "Modified BSD License")),
+    ("BSD-4-Clause", False, ("BSD 4-Clause License", "Original BSD License")),
+    ("BSL-1.0", False, ("Boost Software License 1.0", "Boost Software License - Version 1.0")),
+    ("CC-BY-3.0", False, ("CC BY 3.0", "Creative Commons Attribution 3.0")),
+    ("CC-BY-4.0", False, ("CC BY 4.0", "Creative Commons Attribution 4.0", "Creative Commons Attribution 4.0 International")),
+    ("CC-BY-SA-3.0", True, ("CC BY-SA 3.0", "Creative Commons Attribution-ShareAlike 3.0")),
+    ("CC-BY-SA-4.0", True, ("CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0")),
+    ("CC-BY-NC-3.0", True, ("CC BY-NC 3.0",)),
+    ("CC-BY-NC-4.0", True, ("CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0")),
+    ("CC-BY-NC-SA-3.0", True, ("CC BY-NC-SA 3.0",)),
+    ("CC-BY-NC-SA-4.0", True, ("CC BY-NC-SA 4.0", "Creative Commons Attribution-NonCommercial-ShareAlike 4.0")),
+    ("CC-BY-ND-4.0", True, ("CC BY-ND 4.0", "Creative Commons Attribution-NoDerivatives 4.0")),
+    ("CC-BY-NC-ND-4.0", True, ("CC BY-NC-ND 4.0", "Creative Commons Attribution-NonCommercial-NoDerivatives 4.0")),
+    ("CC0-1.0", False, ("CC0 1.0", "CC0 1.0 Universal")),
+    ("CDDL-1.0", True, ("Common Development and Distribution License 1.0",)),
+    ("CECILL-2.1", True, ("CeCILL Free Software License Agreement v2.1",)),
+    ("ECL-2.0", False, ("Educational Community License v2.0",)),
+    ("EPL-1.0", True, ("Eclipse Public License 1.0", "Eclipse Public License - v 1.0")),
+    ("EPL-2.0", True, ("Eclipse Public License 2.0", "Eclipse Public License - v 2.0")),
+    ("EUPL-1.2", True, ("European Union Public License 1.2", "European Union Public Licence v. 1.2")),
+    ("GFDL-1.3-or-later", True, ("GNU Free Documentation License",)),
+    ("GPL-2.0-only", True, ("GNU General Public License, version 2", "GNU General Public License v2.0", "GPL-2.0", "GPLv2")),
+    ("GPL-2.0-or-later", True, ("GPL-2.0+",)),
+    ("GPL-3.0-only", True, ("GNU General Public License, version 3", "GNU General Public License v3.0", "GPL-3.0", "GPLv3")),
+    ("GPL-3.0-or-later", True, ("GPL-3.0+",)),
+    ("ISC", False, ("ISC License",)),
+    ("LGPL-2.1-only", True, ("GNU Lesser General Public License v2.1", "LGPL-2.1", "LGPLv2.1")),
+    ("LGPL-2.1-or-later", True, ("LGPL-2.1+",)),
+    ("LGPL-3.0-only", True, ("GNU Lesser General Public License v3.0", "LGPL-3.0", "LGPLv3")),
+    ("LGPL-3.0-or-later", True, ("LGPL-3.0+",)),
+    ("LPPL-1.3c", False, ("LaTeX Project Public License v1.3c",)),
+    ("MIT", False, ("MIT License", "The MIT License", "The MIT License (MIT)")),
+    ("MIT-0", False, ("MIT No Attribution",)),
+    ("MPL-1.1", True, ("Mozilla Public License 1.1", "Mozilla Public License Version 1.1")),
+    ("MPL-2.0", True, ("Mozilla Public License 2.0", "Mozilla Public License Version 2.0", "Mozilla Public License, v. 2.0")),
+    ("MS-PL", False, ("Microsoft Public License",)),
+    ("NCSA", False, ("University of Illinois/NCSA Open Source License",)),
+    ("OFL-1.1", False, ("SIL Open Font License 1.1", "SIL Open Font License, Version 1.1")),
+    ("OSL-3.0", True, ("Open Software License 3.0",)),
+    ("PostgreSQL", False, ("PostgreSQL License",)),
+    ("PSF-2.0", False, ("Python Software Foundation License Version 2",)),
+    ("Unlicense", False, ("The Unlicense", "Unlicense")),
+    ("UPL-1.0", False, ("Universal Permissive License v1.0", "Universal Permissive License, Version 1.0")),
+    ("WTFPL", False, ("Do What The F*ck You Want To Public License",)),
+    ("Zlib", False, ("zlib License",)),
+]
+#: How a licence is named in one line: its name alone is a title, the rest are notices.
+LINES = ("{}", "Licensed under {}.", "Licensed under the {}.", "Released under {}.", "Released under the {}.", "This project is licensed under the {}.", "This work is licensed under the {}.", "This software is licensed under the {}.", "Distributed under the {}.", "{} licensed.")
+
+
+def named_lines() -> tuple[list[tuple[str, str]], list[tuple[str, bool, tuple[str, ...]]]]:
+    """Sentences and rules of one line for each of NAMES: its SPDX line, its title and its notices."""
+    sentences, rules, taken = [], [], {normalise(s) for _, s in SENTENCES}
+    for licence, restricts, names in NAMES:
+        lines = [f"SPDX-License-Identifier: {licence}"] + [line.format(name) for name in names for line in LINES]
+        lines += [f"SPDX-License-Identifier: {name}" for name in names if " " not in name]
+        for line in lines:
+            if (plain := normalise(line)) not in taken:
+                taken.add(plain)
+                sentences.append((f"line:{licence}", line))
+        rules.append((licence, restricts, (f"line:{licence}",)))
+    return sentences, rules
+
+
 _ALNUM = np.zeros(256, bool)
 _ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
 _STOP = np.zeros(256, bool)
@@ -98,8 +229,13 @@ _NUMBER = re.compile(rb"[^0-9A-Za-z]*(?:[0-9]{1,3}|[A-Za-z])[.)]\s*")
 
 
 def normalise(sentence: str) -> str:
-    """The sentence's lower-case runs of ASCII letters and digits, joined by spaces."""
-    return " ".join(re.findall(r"[a-z0-9]+(?:\.[0-9]+)*", re.sub("[A-Z]", lambda m: m[0].lower(), sentence)))
+    """The sentence's lower-case runs of ASCII letters and digits, joined by spaces; a plus after a digit (``GPL-2.0+``) stays."""
+    return " ".join(re.findall(r"[a-z0-9]+(?:\.[0-9]+)*(?:(?<=[0-9])\+)?", re.sub("[A-Z]", lambda m: m[0].lower(), sentence)))
+
+
+_sentences, _rules = named_lines()
+SENTENCES += _sentences
+RULES += _rules
 
 
 def split_sentences(text: str, known: Container[str] | None = None) -> list[str]:

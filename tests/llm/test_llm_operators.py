@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lamella.llm.decontaminate import contained_items
 from lamella.llm.language_id import fit_on, identify
-from lamella.llm.license_scan import SENTENCES, license_scan, normalise, split_sentences
+from lamella.llm.license_scan import NAMES, RULES, SENTENCES, license_scan, normalise, split_sentences
 from lamella.llm.near_dedup import near_duplicates
 from lamella.llm.packing import pack
 from lamella.llm.quality_rules import quality_rules
@@ -181,6 +181,24 @@ def test_license_headers_wrapped_over_lines(spark, mark):
         assert got[i].n_known_sentences == [3, 3, 3, 4, 3, 5][i]
 
 
+@pytest.mark.parametrize("width", [None, 72, 80])
+@pytest.mark.parametrize("mark", ["", "# ", "// ", " * "])
+def test_license_texts_of_many_licences(spark, width, mark):
+    """Each licence is found as one paragraph, wrapped, and behind comment marks; so are one-line notices."""
+    text = collections.defaultdict(list)
+    for name, said in SENTENCES:
+        text[name].append(said)
+    wanted = {licence: need for licence, _, need in reversed(RULES) if not need[0].startswith("line:")}
+    rows = [(licence, " ".join(text[k][0] for k in need)) for licence, need in wanted.items()]
+    rows += [(licence, line) for licence, _, names in NAMES for line in [f"SPDX-License-Identifier: {licence}", *names[:1]]]
+    rows += [("MPL-2.0", "Licensed under the Mozilla Public License 2.0."), ("LGPL-2.1-only", "This project is licensed under the GNU Lesser General Public License v2.1.")]
+    wrap = lambda t: textwrap.wrap(t, width) if width else [t]
+    docs = spark.createDataFrame([(i, "\n".join(mark + x for x in wrap(t))) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r.licenses for r in license_scan(docs).collect()}
+    assert [(rows[i], got[i]) for i in range(len(rows)) if got[i] != [rows[i][0]]] == []
+    assert len({licence for licence, _ in rows}) >= 50
+
+
 def test_substring_dedup(docs):
     rows = sorted(pairs_of(docs), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
     got = collections.defaultdict(list)
