@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import split_join, written
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     """(id, component) for each id of ``edges(a, b)``; component is the smallest id reachable.
 
     Large-star and small-star rounds (Kiveris et al., 2014): each is a minimum per
-    node and a join back to the edges, so no neighbourhood is ever gathered in one
-    task.  Rounds end when the edge set no longer changes; each is written to the
+    node and a join back to the edges, in which the edges of a hub are split, so no
+    neighbourhood is ever gathered in one task.  Rounds end when the edge set no longer changes; each is written to the
     shared folder.
     """
 
@@ -23,11 +23,11 @@ def connected_components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     def both(df: DataFrame) -> DataFrame:
         return df.select("a", "b").union(df.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
-    def star(df: DataFrame, large: bool) -> DataFrame:
+    def star(df: DataFrame, large: bool, total: int) -> DataFrame:
         # large: each u links its larger neighbours to its least one; small: its smaller ones and itself
         near = both(df) if large else df.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        moved = near.join(least, "a")
+        least = near.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("__n")).select("a", F.least("a", "m").alias("m"), "__n")
+        moved = split_join(near, least, ["a"], 2 * total, ["b"])
         if large:
             out = moved.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         else:
@@ -38,7 +38,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     now = written(now, "edges")
     was = print_of(now)
     for _ in range(most_rounds):
-        now = written(star(star(now, True), False), "edges")
+        now = written(star(star(now, True, was[0]), False, was[0]), "edges")
         mark = print_of(now)
         if mark == was:
             break

@@ -13,6 +13,8 @@ each table bucket everyone is compared with the bucket's least class (its pivot)
 with everyone.  What a pivot does not settle is compared pairwise only where the
 triangle inequality of the Jaccard distance leaves a link possible, so no link is lost.
 Links are confirmed on the full shingle sets, streamed per pivot in salted parts.
+Joins on what very many documents can share (a half key, a table key, a pivot, a class)
+split such a key over several tasks.
 """
 
 from __future__ import annotations
@@ -26,11 +28,9 @@ from pyspark.sql import functions as F
 
 from . import textbits as tb
 from .components import connected_components
-from .shared import tasks, written
+from .shared import parts_of, split_join, tasks, written
 
 SIGNATURE = "id long, n_shingles long, set_a long, set_b long, half_a array<long>, half_b array<long>"
-#: Members of one pivot that are verified in one run of rows.
-SALT_ROWS = 256
 #: Rows of either side of a block of unsettled pairs.
 BLOCK_ROWS = 256
 
@@ -68,16 +68,16 @@ def signatures(docs: DataFrame, shingle: int = 5, halves: int = 12, hashes_per_h
     return docs.select("id", "text").mapInArrow(run, SIGNATURE)
 
 
-def verify(pairs: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
-    """Exact (x, p, inter, n_x, n_p) of the shingle sets for ``pairs(x, p)``.
+def verify(pairs: DataFrame, docs: DataFrame, shingle: int, total: int) -> DataFrame:
+    """Exact (x, p, inter, n_x, n_p) of the shingle sets for ``pairs(x, p)``, at most ``total`` of them.
 
     Rows are dealt by (p, salt); in each run the pivot's text comes first and its set
-    stays in memory while the members stream past.
+    stays in memory while the members stream past.  The parts of a pivot are bounded by
+    the number of tasks, and so are the copies of its text.
     """
     spark = docs.sparkSession
-    salted = pairs.select("x", "p", F.pmod(F.xxhash64("x"), F.lit(1 << 20)).alias("r"))
-    load = pairs.groupBy("p").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("parts"))
-    members = salted.join(load, "p").select(F.col("x").alias("id"), "p", F.pmod("r", "parts").cast("int").alias("salt"), F.lit(1).alias("role"))
+    load = pairs.groupBy("p").agg(F.count("*").alias("__n")).withColumn("parts", parts_of("__n", total, spark))
+    members = split_join(pairs, load, ["p"], total, ["x"]).select(F.col("x").alias("id"), "p", F.pmod(F.xxhash64("x"), F.col("parts")).cast("int").alias("salt"), F.lit(1).alias("role"))
     pivots = load.select(F.col("p").alias("id"), "p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(0).alias("role"))
     asked = members.union(pivots).join(docs.select("id", "text"), "id")
     dealt = asked.repartition(2 * tasks(spark), "p", "salt").sortWithinPartitions("p", "salt", "role")
@@ -118,12 +118,14 @@ def unsettled_links(tested: DataFrame, parts: DataFrame, classes: DataFrame, doc
     own = tested.select("p").distinct().select(F.col("p").alias("x"), "p", F.lit(0.0).alias("d"))
     circle = tested.select("x", "p", (1 - F.col("inter") / (F.col("n_x") + F.col("n_p") - F.col("inter"))).alias("d")).union(own)
     circle = circle.join(lab, "x", "left").withColumn("c", F.coalesce("c", "x"))
+    total = 2 * tested.count()
     centre = lab.select(F.col("x").alias("p"), F.col("c").alias("pc"))
-    circle = circle.join(centre, "p", "left").withColumn("pc", F.coalesce("pc", "p"))
+    centre = circle.groupBy("p").agg(F.count("*").alias("__n")).join(centre, "p", "left").withColumn("pc", F.coalesce("pc", "p"))
+    circle = split_join(circle, centre, ["p"], total, ["x"])
     circle = written(circle.withColumn("outside", F.col("c") != F.col("pc")), "circle")
-    load = circle.groupBy("p").agg(F.count_if("outside").alias("r"), F.count("*").alias("n")).where("r > 0")
-    load = load.select("p", F.ceil(F.col("r") / BLOCK_ROWS).cast("int").alias("nr"), F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("nb"))
-    rows = circle.join(load, "p").withColumn("h", F.pmod(F.xxhash64("x"), F.lit(1 << 30)))
+    load = circle.groupBy("p").agg(F.count_if("outside").alias("r"), F.count("*").alias("__n")).where("r > 0")
+    load = load.select("p", F.ceil(F.col("r") / BLOCK_ROWS).cast("int").alias("nr"), F.ceil(F.col("__n") / BLOCK_ROWS).cast("int").alias("nb"), "__n")
+    rows = split_join(circle, load, ["p"], total, ["x"]).withColumn("h", F.pmod(F.xxhash64("x"), F.lit(1 << 30)))
     full = written(rows.join(classes.withColumnRenamed("id", "x"), "x").join(docs.select(F.col("id").alias("x"), "text"), "x"), "circles")
     fields = ["p", "rb", "bb", "x", "c", "pc", "d", "half_a", "half_b", "text"]
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -184,24 +186,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sig = written(signatures(plain, shingle, halves, hashes_per_half), "signatures")
     known = sig.where("id is not null and n_shingles > 0")
     classes = written(
-        known.groupBy("set_a", "set_b", "n_shingles").agg(F.min(F.struct("id", "half_a", "half_b")).alias("s")).select("set_a", "set_b", "n_shingles", "s.*"), "classes"
+        known.groupBy("set_a", "set_b", "n_shingles").agg(F.min(F.struct("id", "half_a", "half_b")).alias("s"), F.count("*").alias("__n")).select("set_a", "set_b", "n_shingles", "s.*", "__n"), "classes"
     )
+    n_classes = classes.count()
 
     # half keys that at least two classes share
     def shared_halves(name: str) -> DataFrame:
         each = classes.select("id", F.explode(name).alias("h"))
-        twice = each.groupBy("h").count().where("count > 1").select("h")
-        return each.join(twice, "h").groupBy("id").agg(F.collect_list("h").alias(name))  # at most `halves` entries
+        twice = each.groupBy("h").agg(F.count("*").alias("__n")).where("__n > 1")
+        return split_join(each, twice, ["h"], n_classes * halves, ["id"]).groupBy("id").agg(F.collect_list("h").alias(name))  # at most `halves` entries
 
     met = shared_halves("half_a").join(shared_halves("half_b"), "id")
     cells = written(met.select("id", F.explode("half_a").alias("a"), "half_b").select("id", "a", F.explode("half_b").alias("b")).select("id", F.xxhash64("a", "b").alias("key")), "cells")
-    pivot = cells.groupBy("key").agg(F.min("id").alias("p"), F.count("*").alias("n")).where("n > 1").select("key", "p")
-    first = cells.join(pivot, "key").where("id <> p").select(F.col("id").alias("x"), "p").distinct()
+    n_cells = cells.count()
+    pivot = cells.groupBy("key").agg(F.min("id").alias("p"), F.count("*").alias("__n")).where("__n > 1")
+    first = split_join(cells, pivot, ["key"], n_cells, ["id"]).where("id <> p").select(F.col("id").alias("x"), "p").distinct()
     sizes = classes.select("id", "n_shingles", "half_a", "half_b")
     linked = f"100 * inter >= {similarity} * (n_x + n_p - inter)"
 
     # every table member against its pivot; what differs too much in size cannot be linked, but its distance is needed below
-    tested = written(verify(first, plain.join(sizes.select("id"), "id", "left_semi"), shingle).where("n_x > 0"), "tested")
+    tested = written(verify(first, plain.join(sizes.select("id"), "id", "left_semi"), shingle, n_cells).where("n_x > 0"), "tested")
     links = tested.where(linked).select(F.col("x").alias("a"), F.col("p").alias("b"))
     parts = written(connected_components(links), "parts")
 
@@ -209,9 +213,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = links.union(late)
     whole = written(connected_components(links), "whole").withColumnRenamed("id", "rep") if late.take(1) else parts.withColumnRenamed("id", "rep")
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    by_class = classes.select("set_a", "set_b", "n_shingles", F.col("id").alias("rep")).join(whole, "rep", "left").join(degree, "rep", "left")
-    by_class = by_class.select("set_a", "set_b", "n_shingles", "rep", F.coalesce("component", "rep").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    linkable = known.select("id", "n_shingles", "set_a", "set_b").join(by_class, ["set_a", "set_b", "n_shingles"])
+    by_class = classes.select("set_a", "set_b", "n_shingles", F.col("id").alias("rep"), "__n").join(whole, "rep", "left").join(degree, "rep", "left")
+    by_class = by_class.select("set_a", "set_b", "n_shingles", "rep", "__n", F.coalesce("component", "rep").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    linkable = split_join(known.select("id", "n_shingles", "set_a", "set_b"), by_class, ["set_a", "set_b", "n_shingles"], sig.count(), ["id"])
     alone = sig.where("id is null or n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component"), F.col("id").alias("rep"), F.lit(0).cast("long").alias("n_links"))
     rows = linkable.select("id", "n_shingles", "component", "rep", "n_links").union(alone)
     return rows.select(

@@ -17,7 +17,7 @@ from lamella.llm.near_dedup import near_duplicates
 from lamella.llm.packing import pack
 from lamella.llm.quality_rules import quality_rules
 from lamella.llm.queries import QUERIES, vocabulary
-from lamella.llm.shared import shared_folder
+from lamella.llm.shared import shared_folder, split_join
 from lamella.llm.sharding import balanced_shards
 from lamella.llm.substring_dedup import substring_dedup
 from lamella.llm.suffix_dedup import suffix_dedup
@@ -99,6 +99,23 @@ def test_near_duplicates_across_components(spark):
     test_near_duplicates(docs)
 
 
+def test_near_duplicates_of_a_hot_circle(spark):
+    """Over 1,000 texts in one circle: a third exact copies, a third near ones, a third that only share half keys."""
+    base = [f"t{i}" for i in range(40)]
+    rows = [(i, " ".join(base)) for i in range(400)]
+    rows += [(i, " ".join([*base, f"n{i}"])) for i in range(400, 900)]
+    rows += [(i, " ".join([*base, *(f"far{i % 30} {k}" for k in range(10)), f"m{i % 90}"])) for i in range(900, 1300)]
+    test_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+
+
+def test_split_joins_keep_all_rows(spark):
+    big = spark.range(6000).select((F.col("id") % 7 * (F.col("id") % 3)).alias("k"), F.col("id").alias("v"))
+    per_key = big.groupBy("k").agg(F.max("v").alias("m"), F.count("*").alias("__n")).where("k > 0")
+    got = split_join(big, per_key, ["k"], 6000, ["v"])
+    assert sorted(map(tuple, got.select("k", "v", "m").collect())) == sorted(map(tuple, big.join(per_key, "k").select("k", "v", "m").collect()))
+    assert got.select("v").distinct().count() == got.count()
+
+
 def test_quality_rules(docs):
     got = quality_rules(docs).collect()
     rows = collections.Counter(pairs_of(docs))
