@@ -397,17 +397,23 @@ def test_packing(docs):
 
 def test_contained_items(docs, spark, small):
     items = spark.read.parquet(f"{small}/benchmark.parquet")
-    more = spark.createDataFrame([(900, None), (901, ""), (902, "too few words"), (903, "same text of six words here"), (None, "no id here at all"), (904, " ".join(f"passage{i}" for i in range(10, 60)))], "item_id long, text string")
+    more = spark.createDataFrame([(900, None), (901, ""), (902, "too few words"), (905, "Here"), (906, "words two"), (907, "two Words"), (903, "same text of six words here"), (None, "no id here at all"), (904, " ".join(f"passage{i}" for i in range(10, 60)))], "item_id long, text string")
     items = items.select("item_id", "text").union(more)
-    shingles = lambda t: {tuple(w[k : k + 5]) for w in [WORDS(LOWER(t))] for k in range(len(w) - 4)}
-    wanted = {(r.item_id): shingles(r.text) for r in items.collect() if r.item_id is not None}
+
+    def shingles(t):
+        w = WORDS(LOWER(t))
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    wanted = [(r.item_id, shingles(r.text)) for r in items.collect()]
     want = collections.Counter()
     for i, t in pairs_of(docs):
-        own = shingles(t)
-        for k, s in wanted.items():
-            if i is not None and s and 100 * len(s & own) >= 75 * len(s):
-                want[i, k, len(s & own), len(s)] += 1
-    got = collections.Counter((r.doc_id, r.item_id, r.n_shared, r.n_item) for r in contained_items(docs, items, block_items=20).collect())
+        w = WORDS(LOWER(t))
+        own = {n: {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} for n in range(1, 6)}
+        for k, s in wanted:
+            n = len(next(iter(s), ()))
+            if s and 100 * len(s & own[n]) >= 75 * len(s):
+                want[i, k, len(s & own[n]), len(s), n < 5] += 1
+    got = collections.Counter((r.doc_id, r.item_id, r.n_shared, r.n_item, r.short_item) for r in contained_items(docs, items, block_items=20).collect())
     assert got == want and want
 
 
