@@ -17,7 +17,7 @@ that the rounds end):
 The rounds go on until neither moves a member.  A group only moves to shards where it
 has members already, and shards swap in pairs, not in longer cycles.  Then documents
 without links fill the shards to exactly ``floor`` or ``ceil`` of rows / shards.  The
-driver sees one row per shard only.
+driver sees one row per shard only.  The rows of a hot text are split over tasks wherever they are joined.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .packing import numbered
-from .shared import tasks, written
+from .shared import split_join, tasks, written
 
 
 def balanced_shards(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", text_col: str = "text", rounds: int | None = None) -> DataFrame:
@@ -58,9 +58,9 @@ def balanced_shards(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id",
     low, extra = divmod(total, n_shards)
     capacity = [low + (s < extra) for s in range(n_shards)]
     # start: by hash, in the way a plain writer would place them
-    sizes = rows.groupBy("key").agg(F.count("*").alias("members"))
-    linked = sizes.where("members > 1")
-    grouped = rows.join(linked, "key").select("key", "members", "n")
+    sizes = rows.groupBy("key").agg(F.count("*").alias("members"), F.min("n").alias("n0"))
+    linked = written(sizes.where("members > 1").withColumn("__n", F.col("members")), "linked")
+    grouped = split_join(rows.select("key", "n"), linked.drop("n0"), ["key"], total, ["n"])
     # a row of votes per (group, shard); members of a group are told apart by their number only
     votes = written(grouped.groupBy("key", "members", F.pmod(F.xxhash64("n"), F.lit(n_shards)).cast("int").alias("shard")).agg(F.count("*").alias("held")), "votes")
     cap = _per_shard(capacity)
@@ -91,10 +91,9 @@ def balanced_shards(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id",
     used = {r["shard"]: r["used"] for r in final.groupBy("shard").agg(F.sum("held").alias("used")).collect()}
     # members of a group by their number: first the largest holding, and so on
     runs = final.withColumn("start", F.sum("held").over(Window.partitionBy("key").orderBy(F.desc("held"), "shard")) - F.col("held"))
-    first = grouped.groupBy("key").agg(F.min("n").alias("n0"))
-    spans = runs.join(first, "key").select("key", "shard", (F.col("n0") + F.col("start")).alias("a"), (F.col("n0") + F.col("start") + F.col("held")).alias("z"))
+    spans = runs.join(linked.select("key", "n0"), "key").select("key", "shard", (F.col("n0") + F.col("start")).alias("a"), (F.col("n0") + F.col("start") + F.col("held")).alias("z"))
     spans = spans.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("a", "z", "shard"))).alias("spans"))  # at most n_shards entries
-    placed = rows.join(spans, "key", "left").withColumn("hit", F.expr("try_element_at(filter(spans, s -> s.a <= n and n < s.z), 1).shard"))
+    placed = split_join(rows, spans.join(linked.select("key", "__n"), "key"), ["key"], total, ["n"], "left").withColumn("hit", F.expr("try_element_at(filter(spans, s -> s.a <= n and n < s.z), 1).shard"))
     placed = written(placed.select("id", "size", "text_crc32", "key", "n", F.col("hit").alias("shard")), "placed")
     # the others fill what is free, in order
     gaps, edge = [], 0

@@ -45,8 +45,8 @@ def parts_of(n: str | Column, total: int, spark: SparkSession) -> Column:
     return F.greatest(F.lit(1), F.ceil((F.col(n) if isinstance(n, str) else n) / share)).cast("int")
 
 
-def split_join(big: DataFrame, per_key: DataFrame, key: list[str], total: int, by: list[str]) -> DataFrame:
-    """``big`` joined with ``per_key``: one row for each value of ``key``, with the number ``__n`` of its rows in big.
+def split_join(big: DataFrame, per_key: DataFrame, key: list[str], total: int, by: list[str], how: str = "inner") -> DataFrame:
+    """``big`` joined (``inner`` or ``left``) with ``per_key``: one row for each value of ``key``, with the number ``__n`` of its rows in big.
 
     The rows of a key that has more than its share are dealt by a hash of ``by``, and
     its row in per_key goes to each part.  ``total`` rows, of big or more, can have at
@@ -56,4 +56,4 @@ def split_join(big: DataFrame, per_key: DataFrame, key: list[str], total: int, b
     hot = F.broadcast(sized.where("__parts > 1").select(*key, "__parts"))
     dealt = big.join(hot, key, "left").withColumn("__salt", F.coalesce(F.pmod(F.xxhash64(*by), F.col("__parts")), F.lit(0)).cast("int")).drop("__parts")
     each = sized.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))).drop("__parts", "__n")
-    return dealt.join(each, [*key, "__salt"]).drop("__salt")
+    return dealt.join(each, [*key, "__salt"], how).drop("__salt")
