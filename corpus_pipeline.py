@@ -59,11 +59,11 @@ def repeated_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that contain a benchmark item.
+    """Drops the documents that contain a benchmark item of five words or more.
 
     Rows go by their text, named by its fingerprint, so null and repeated ids do not matter."""
     named = docs.select(*COLUMNS).withColumn("__text", F.xxhash64("text"))
-    leaks = contained_items(named, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="__text").select("__text").distinct()
+    leaks = contained_items(named, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="__text").where("not short_item").select("__text").distinct()
     return named.join(leaks, "__text", "left_anti").select(*COLUMNS)
 
 
