@@ -53,17 +53,17 @@ class ItemBlock:
                 order = np.argsort(whole)
                 self.short.append((n, whole[order], mine[order]))
         size = np.diff(to)
+        some = np.flatnonzero(size)
         self.parts: list[tuple[int, list[tuple[np.ndarray, np.ndarray]]]] = []
-        u = 4
+        if not len(some):
+            return
+        least = [np.minimum.reduceat(sets * _FACTOR[k] + _SHIFT[k], to[:-1][some]) for k in range(hashes)]
+        size, u = size[some], 4
         while u == 4 or (size > u / 2).any():
             mine = np.flatnonzero((size > (u / 2 if u > 4 else 0)) & (size <= u))
             if len(mine):
-                keys = []
-                for k in range(hashes):
-                    least = np.minimum.reduceat(sets * _FACTOR[k] + _SHIFT[k], to[:-1][mine])
-                    order = np.argsort(least)
-                    keys.append((least[order], mine[order]))
-                self.parts.append((u, keys))
+                order = [mine[np.argsort(x[mine])] for x in least]
+                self.parts.append((u, [(x[o], some[o]) for x, o in zip(least, order, strict=True)]))
             u *= 2
 
 

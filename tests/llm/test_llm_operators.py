@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lamella.llm.decontaminate import contained_items
+from lamella.llm.decontaminate import ItemBlock, contained_items
 from lamella.llm.language_id import fit_on, identify
 from lamella.llm.license_scan import NAMES, RULES, SENTENCES, license_scan, normalise, split_sentences
 from lamella.llm.near_dedup import near_duplicates
@@ -395,6 +395,14 @@ def test_packing(docs):
     assert sorted(lanes) == list(range(len(lanes)))
 
 
+def test_item_values_are_those_of_the_item_alone():
+    texts = [" ".join(f"{k}w{i}" for i in range(n)) for k, n in enumerate((30, 5, 200, 3, 0, 9, 31, 6, 200))]
+    together, alone = ItemBlock(list(range(9)), texts, 5, 8), [ItemBlock([0], [t], 5, 8) for t in texts]
+    for u, keys in together.parts:
+        for k, (values, items) in enumerate(keys):
+            assert [dict(alone[i].parts)[u][k][0][0] for i in items] == values.tolist()
+
+
 def test_contained_items(docs, spark, small):
     items = spark.read.parquet(f"{small}/benchmark.parquet")
     more = spark.createDataFrame([(900, None), (901, ""), (902, "too few words"), (905, "Here"), (906, "words two"), (907, "two Words"), (903, "same text of six words here"), (None, "no id here at all"), (904, " ".join(f"passage{i}" for i in range(10, 60)))], "item_id long, text string")
