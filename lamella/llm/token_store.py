@@ -1,10 +1,11 @@
 """Token-id files under a canonical, length-limited Huffman code.
 
-Writing is one Spark plan.  Documents are tokenised where they are read and dealt by
-ranges of their id; the ids' global counts give code lengths (package-merge, so that
-no code is longer than the decoding table is wide); every range packs its ids into
-blocks.  Both read the same shuffle.  A block stands for itself: it holds its code
-lengths, its documents' ids and counts, its bits, and a bit offset for each
+Documents are tokenised where they are read, and their ids written once to the shared
+folder with the range of document ids that each belongs to.  The ids' global counts
+give code lengths (package-merge, so that no code is longer than the decoding table is
+wide).  The ranges, whose number follows the bytes of text, are sorted and stream
+through a packer that holds one block at a time, so that memory does not grow with
+the size of a range.  A block stands for itself: it holds its code lengths, its documents' ids and counts, its bits, and a bit offset for each
 ``CHECKPOINT`` ids, from which decoding starts at many places at once.
 
 The files are Parquet with one row per block, so any store that Spark reaches will do.
@@ -22,13 +23,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textbits as tb
-from .shared import tasks
+from .shared import tasks, written
 from .tokens import encoder, with_end
 
 CHECKPOINT = 256
 BLOCK_IDS = 1 << 20
+#: Bytes of text in a range of document ids, on average and at most.
+RANGE_BYTES = 4 << 30
 #: Longest code in bits; the decoding table has 2**LONGEST entries.
 LONGEST = 16
+CODED = "part int, id long, width int, ids binary"
 BLOCK = "part int, block int, n_ids long, doc_ids binary, doc_tokens binary, missing_id boolean, code_lengths binary, checkpoints binary, bits binary"
 
 
@@ -110,15 +114,18 @@ def unpack_bits(bits: bytes, checkpoints: np.ndarray, n: int, lengths: np.ndarra
     return out.T.ravel()[:n] if len(out) == CHECKPOINT else out[:, 0]
 
 
-def write_ids(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1) -> None:
-    """Writes the ids of every text (tokenizer's, then ``end_id``) in ascending order of id.
+def write_ids(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, block_ids: int = BLOCK_IDS) -> None:
+    """Writes the ids of every text (tokenizer's, then ``end_id``) in ascending order of id, in blocks of
+    whole texts with at most ``block_ids`` ids each (a longer text is a block alone).
 
     Cases: null and empty texts have the one id ``end_id``; rows that repeat an id stand next to
     each other, by their ids; null ids come last; an empty table gives an empty folder of files.
+    Other columns of docs are ignored.
     """
     spark = docs.sparkSession
-    n = tasks(spark)
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    size = plain.agg(F.sum(F.octet_length("text")).alias("s")).first()["s"] or 0
+    n = max(tasks(spark), -(-size // RANGE_BYTES))
     bounds = np.array(plain.approxQuantile("id", [i / n for i in range(1, n)], 0.2 / n) if n > 1 else [], np.float64)
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,15 +138,7 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id
             blobs = pa.BinaryArray.from_buffers(pa.binary(), len(key), [None, pa.py_buffer((first * width).astype(np.int32)), pa.py_buffer(narrow.tobytes())])
             yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(bounds, key).astype(np.int32)), batch.column("id"), pa.array(np.full(len(key), width, np.int32)), blobs], names=["part", "id", "width", "ids"])
 
-    coded = plain.mapInArrow(tokenise, "part int, id long, width int, ids binary").repartition(n, "part")
-
-    def flat(table: pa.Table | pa.RecordBatch) -> np.ndarray:
-        width = np.asarray(table.column("width"))
-        buf, offs = tb.text_buffer(table.column("ids"))
-        if not len(width) or (width == 2).all():
-            return np.frombuffer(buf.tobytes(), "<u2").astype(np.uint32)
-        raw = buf.tobytes()
-        return np.concatenate([np.frombuffer(raw[a:z], f"<u{w}").astype(np.uint32) for a, z, w in zip(offs[:-1], offs[1:], width, strict=True)])
+    coded = written(plain.mapInArrow(tokenise, CODED), "coded")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
@@ -153,42 +152,64 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["token", "n"])
 
-    def lengths_of(rows: pa.Table) -> pa.Table:  # one row per id of the vocabulary
-        token = np.asarray(rows.column("token"))
-        counts = np.zeros(int(token.max()) + 1, np.int64)
-        counts[token] = np.asarray(rows.column("n"))
-        return pa.table({"lengths": pa.array([zlib.compress(code_lengths(counts).tobytes())], pa.binary())})
-
-    counts = coded.mapInArrow(count, "token int, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    book = counts.withColumn("all", F.pmod("token", F.lit(1))).groupBy("all").applyInArrow(lengths_of, "lengths binary")
-    books = book.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("part"), "lengths")
-
-    def pack(rows: pa.Table, books: pa.Table) -> pa.Table:
-        out: dict[str, list] = {c.split()[0]: [] for c in BLOCK.split(", ")}
-        if rows.num_rows:
-            rows = rows.take(pc.sort_indices(rows.select(["id", "ids"]), sort_keys=[("id", "ascending"), ("ids", "ascending")]))
-            packed_book = books.column("lengths")[0].as_py()
-            lengths = np.frombuffer(zlib.decompress(packed_book), np.uint8)
-            codes = canonical(lengths)
-            tokens = np.asarray(pc.binary_length(rows.column("ids"))).astype(np.int64) // np.asarray(rows.column("width"))
-            upto = np.cumsum(tokens)
-            at = 0
-            while at < rows.num_rows:
-                to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + BLOCK_IDS, "right")))
-                mine = rows.slice(at, to - at)
-                ids = flat(mine)
-                bits, marks = pack_bits(ids, lengths, codes)
-                doc_ids = mine.column("id")
-                values = (rows.column("part")[0].as_py(), len(out["part"]), len(ids), np.asarray(pc.fill_null(doc_ids, 0)).astype("<i8").tobytes(), tokens[at:to].astype("<i8").tobytes(), doc_ids.null_count > 0, packed_book, marks.astype("<u4").tobytes() if len(bits) < 1 << 28 else marks.astype("<u8").tobytes(), bits)
-                for k, v in zip(out, values, strict=True):
-                    out[k].append(v)
-                if doc_ids.null_count:  # null ids are marked by a bit each
-                    out["doc_ids"][-1] += np.packbits(np.asarray(pc.is_null(doc_ids))).tobytes()
+    seen = coded.select("width", "ids").mapInArrow(count, "token int, n long").groupBy("token").agg(F.sum("n").alias("n")).toArrow()  # one row per id of the vocabulary
+    counts = np.zeros(int(pc.max(seen.column("token")).as_py() or 0) + 1, np.int64)
+    counts[np.asarray(seen.column("token"))] = np.asarray(seen.column("n"))
+    book = spark.sparkContext.broadcast(code_lengths(counts))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come in the order of (part, id, ids), whatever their number, and leave a block at a time."""
+        lengths = book.value
+        codes, packed_book = canonical(lengths), zlib.compress(lengths.tobytes())
+        waiting, held, part, number = [], 0, None, 0
+
+        def block() -> pa.RecordBatch:
+            mine = pa.Table.from_batches(waiting).combine_chunks()
+            ids, doc_ids = flat(mine), mine.column("id")
+            tokens = tokens_of(mine)
+            bits, marks = pack_bits(ids, lengths, codes)
+            names = np.asarray(pc.fill_null(doc_ids, 0)).astype("<i8").tobytes()
+            if doc_ids.null_count:  # null ids are marked by a bit each
+                names += np.packbits(np.asarray(pc.is_null(doc_ids))).tobytes()
+            values = (part, number, len(ids), names, tokens.astype("<i8").tobytes(), doc_ids.null_count > 0, packed_book, marks.astype("<u4").tobytes() if len(bits) < 1 << 28 else marks.astype("<u8").tobytes(), bits)
+            kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_()}
+            columns = [c.split() for c in BLOCK.split(", ")]
+            return pa.RecordBatch.from_arrays([pa.array([v], kinds[k]) for v, (_, k) in zip(values, columns, strict=True)], names=[c for c, _ in columns])
+
+        for batch in batches:
+            tokens, parts = tokens_of(batch), np.asarray(batch.column("part"))
+            upto, at = np.cumsum(tokens), 0
+            while at < batch.num_rows:
+                if held and (parts[at] != part or held + tokens[at] > block_ids):
+                    yield block()
+                    waiting, held, number = [], 0, number + 1
+                if parts[at] != part:
+                    part, number = int(parts[at]), 0
+                before = upto[at] - tokens[at]
+                to = max(at + 1, int(np.searchsorted(upto, before + block_ids - held, "right")))
+                to = min(to, int(np.searchsorted(parts, part, "right")))
+                waiting.append(batch.slice(at, to - at))
+                held += int(upto[to - 1] - before)
                 at = to
-        kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_()}
-        return pa.table({c.split()[0]: pa.array(out[c.split()[0]], kinds[c.split()[1]]) for c in BLOCK.split(", ")})
+        if held:
+            yield block()
+
+    ordered = coded.repartitionById(n, "part").sortWithinPartitions("part", F.asc_nulls_last("id"), "ids")
+    ordered.mapInArrow(pack, BLOCK).write.option("compression", "none").parquet(path)
+
+
+def flat(table: pa.Table | pa.RecordBatch) -> np.ndarray:
+    """The ids of all rows of CODED, end to end."""
+    width = np.asarray(table.column("width"))
+    buf, offs = tb.text_buffer(table.column("ids"))
+    if not len(width) or (width == 2).all():
+        return np.frombuffer(buf.tobytes(), "<u2").astype(np.uint32)
+    raw = buf.tobytes()
+    return np.concatenate([np.frombuffer(raw[a:z], f"<u{w}").astype(np.uint32) for a, z, w in zip(offs[:-1], offs[1:], width, strict=True)])
+
 
-    coded.groupBy("part").cogroup(books.groupBy("part")).applyInArrow(pack, BLOCK).write.option("compression", "none").parquet(path)
+def tokens_of(table: pa.Table | pa.RecordBatch) -> np.ndarray:
+    return np.asarray(pc.binary_length(table.column("ids"))).astype(np.int64) // np.asarray(table.column("width"))
 
 
 def read_ids(spark: SparkSession, path: str, with_ids: bool = True, id_col: str = "doc_id") -> DataFrame:

@@ -295,12 +295,15 @@ def test_suffix_dedup_of_edited_copies(spark, split_above, first_stays):
     test_suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string"), split_above, first_stays, 0)
 
 
-def test_token_store(docs, spark):
+@pytest.mark.parametrize("block_ids", [1 << 20, 2000])
+def test_token_store(docs, spark, block_ids):
     from tokenizers import Tokenizer
 
     path = shared_folder(spark, "test-ids")
     name = vocabulary("word_bpe_49k.json")
-    write_ids(docs, path, name)
+    write_ids(docs, path, name, block_ids=block_ids)
+    blocks = spark.read.parquet(path)
+    assert (blocks.agg(F.max("block")).first()[0] > 0) == (block_ids == 2000)
     plain = Tokenizer.from_file(name)
     got = sorted(read_ids(spark, path).collect(), key=lambda r: r.start)
     assert [r.doc_id for r in got] == sorted((i for i, _ in pairs_of(docs)), key=lambda i: (i is None, i or 0))
