@@ -11,6 +11,7 @@ from .decontaminate import contained_items
 from .language_id import fit_on, identify
 from .license_scan import license_scan
 from .near_dedup import near_duplicates
+from .oracle import ORACLE_SQL  # noqa: F401
 from .packing import pack
 from .quality_rules import quality_rules
 from .shared import shared_folder
@@ -38,11 +39,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("n_links")
 
 
 def op2_suffix_array_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(table(spark, sf_dir, "documents"))
+    return quality_rules(table(spark, sf_dir, "documents")).drop("n_repeats")
 
 
 def op3_sentence_rule_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,4 +99,3 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
