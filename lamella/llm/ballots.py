@@ -7,7 +7,8 @@ order of the ballot; the answers return to the group.
 
 Scale.  A group sends each fingerprint once, however often it holds it, so the most
 frequent one costs a bucket one entry per group.  Buckets are even because fingerprints
-are.  The numbers of groups and buckets follow the bytes of text, which bounds both.
+are.  The numbers of groups and buckets follow the bytes of text, which bounds both and
+the size of a ballot (``dealing``).
 """
 
 from __future__ import annotations
@@ -23,9 +24,24 @@ from .shared import tasks
 
 BALLOT = "bucket int, g int, blob binary"
 ANSWER = "g int, bucket int, blob binary"
-#: Most bytes of text per group, and of the corpus per bucket, on average.
+#: Bytes of text per group, and of the corpus per bucket, that fit a task's memory.
 GROUP_BYTES = 32 << 20
 BUCKET_BYTES = 1 << 30
+#: Below these no more groups or buckets are made, however many tasks there could be.
+LEAST_GROUP_BYTES = 2 << 20
+LEAST_BUCKET_BYTES = 8 << 20
+#: Bytes of a group's text for each bucket, so that a ballot holds some dozens of fingerprints.
+BALLOT_BYTES = 1 << 11
+
+
+def dealing(size: int, least: int) -> tuple[int, int]:
+    """Numbers of groups and buckets for ``size`` bytes of text where ``least`` tasks could run at once.
+
+    Ballots number groups times buckets, so neither follows the tasks alone; where there
+    are many buckets the groups are larger (200 MB at 100 TB), and the ballots stay of a size."""
+    buckets = max(1, -(-size // BUCKET_BYTES), min(least, size // LEAST_BUCKET_BYTES))
+    groups = max(1, -(-size // max(GROUP_BYTES, BALLOT_BYTES * buckets)), min(4 * least, size // LEAST_GROUP_BYTES))
+    return groups, buckets
 
 
 def grouped(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
@@ -33,13 +49,12 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...]
     hash of their id, with the columns ``carry`` beside them."""
     text = F.col(text_col).cast("string")
     size = docs.agg(F.sum(F.octet_length(text)).alias("s")).first()["s"] or 0
-    least = tasks(docs.sparkSession)
-    n = max(4 * least, -(-size // GROUP_BYTES))
+    n, n_buckets = dealing(size, tasks(docs.sparkSession))
     # rows without an id are told apart by their text
     of = F.pmod(F.when(F.col("id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("id")), F.lit(n))
     beside = [F.col(c).alias(f"c{k}") for k, c in enumerate(carry)]
     plain = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), *beside)
-    return plain.select(of.cast("int").alias("g"), "id", "text", *[f"c{k}" for k in range(len(carry))]), max(least, -(-size // BUCKET_BYTES))
+    return plain.select(of.cast("int").alias("g"), "id", "text", *[f"c{k}" for k in range(len(carry))]), n_buckets
 
 
 class Group:

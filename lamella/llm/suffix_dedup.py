@@ -84,7 +84,7 @@ class _Anchors:
         assert len(buf) < 1 << 32
         grams = tb.gram_hashes(tb.BYTE_VALUE[buf], GRAM)
         keyed = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
-        out = []
+        spans, out = tb.span_hashes(buf), []
         for window in (r.window for r in rules):
             starts, _ = tb.starts_of(offs, window)
             if not len(starts):
@@ -98,7 +98,7 @@ class _Anchors:
             first = np.flatnonzero(new)
             place, low = at[first], starts[first]
             high = starts[np.append(first[1:], len(starts)) - 1]
-            context = tb.mix(tb.span_hash(buf, low, high + window) + (place - low).astype(np.uint64))
+            context = tb.mix(spans(low, high + window) + (place - low).astype(np.uint64))
             out.append((place + base, low + base, high + base, grams[place], context))
         return out
 

@@ -8,7 +8,7 @@ is null counts as empty.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -107,15 +107,22 @@ def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return start, end, np.searchsorted(start, offs)
 
 
-def span_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
-    """A 64-bit fingerprint of buf[start:end] for many spans at once."""
-    if not len(start):
-        return np.zeros(0, _U)
+def span_hashes(buf: np.ndarray, lower: bool = False) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A function of many spans' starts and ends that gives 64-bit fingerprints of buf[start:end]."""
     n = len(buf)
     sums = np.zeros(n + 1, _U)
     np.cumsum((LOWER_VALUE if lower else BYTE_VALUE)[buf] * powers(_BASE, n), out=sums[1:])
-    value = (sums[end] - sums[start]) * powers(_INV, n + 1)[start]
-    return mix(value ^ (end - start).astype(_U) * _U(0xD6E8FEB86659FD93))
+
+    def of(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        value = (sums[end] - sums[start]) * powers(_INV, n + 1)[start]
+        return mix(value ^ (end - start).astype(_U) * _U(0xD6E8FEB86659FD93))
+
+    return of
+
+
+def span_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
+    """A 64-bit fingerprint of buf[start:end] for many spans at once."""
+    return span_hashes(buf, lower)(start, end) if len(start) else np.zeros(0, _U)
 
 
 def word_hashes(buf: np.ndarray, offs: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:

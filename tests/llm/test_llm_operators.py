@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lamella.llm import ballots
 from lamella.llm.decontaminate import ItemBlock, contained_items
 from lamella.llm.language_id import fit_on, identify
 from lamella.llm.license_scan import NAMES, RULES, SENTENCES, license_scan, normalise, split_sentences
@@ -48,6 +49,21 @@ def empty(spark):
     return spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
 
 
+@pytest.fixture(autouse=True)
+def many_groups(monkeypatch):
+    """Small tables are dealt into several groups and buckets too."""
+    monkeypatch.setattr(ballots, "LEAST_GROUP_BYTES", 20_000)
+    monkeypatch.setattr(ballots, "LEAST_BUCKET_BYTES", 60_000)
+
+
+def test_ballots_follow_the_bytes_of_text(monkeypatch):
+    monkeypatch.undo()
+    for size, tasks in ((0, 4), (50_000_000, 211), (1 << 30, 200), (1 << 40, 2000), (10**14, 10_000)):
+        groups, buckets = ballots.dealing(size, tasks)
+        assert groups >= 1 <= buckets and (groups == 1 or size / groups > 40_000) and groups * buckets < 50 + size / 500
+        assert size / buckets <= ballots.BUCKET_BYTES and size / groups <= max(ballots.GROUP_BYTES, 256 << 20)
+
+
 @pytest.fixture(params=["small", "edge"])
 def docs(request, spark, small):
     return documents(spark, small) if request.param == "small" else edge_rows(spark)
