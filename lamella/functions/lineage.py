@@ -5,23 +5,27 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the folder of ``spark.checkpoint.dir`` and read again.
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new path below ``spark.checkpoint.dir``.
 
     Where the setting is absent (one machine, as in tests) a temporary folder is used.
     """
-    spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = _own.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="spark-")
         _own[spark.sparkContext.applicationId] = base
-    path = f"{base.rstrip('/')}/round-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the folder of ``spark.checkpoint.dir`` and read again."""
+    spark, path = df.sparkSession, work_folder(df.sparkSession, "round")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -97,4 +97,4 @@ def contrast_apply(pixels: DataFrame, cuts: DataFrame, gamma: float | None = Non
     """Pixel values stretched to 0..255 between the image's cuts; gamma is skipped if null or 0."""
     unit = _clip((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")), 0.0, 1.0)
     unit = F.pow(unit, F.lit(gamma)) if gamma else unit
-    return pixels.join(F.broadcast(cuts), "image_id").withColumn("byte", F.floor(unit * 255).cast("long")).drop("lo", "hi")
+    return pixels.join(cuts, "image_id").withColumn("byte", F.floor(unit * 255).cast("long")).drop("lo", "hi")

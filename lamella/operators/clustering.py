@@ -59,7 +59,9 @@ def consensus(masks: DataFrame, steps: DataFrame, min_samples: list[int]) -> Dat
     best = sets.groupBy("image_id", "ord").agg(F.max_by(F.struct("label", "n", "s", "b", "eps", "min_samples"), F.struct("n", -F.col("label"))).alias("c")).select("image_id", "ord", "c.*")
     votes = best.groupBy("image_id", "n", "s", "b").agg(F.count("*").alias("votes"), F.min_by(F.struct("ord", "label", "eps", "min_samples"), "ord").alias("first"))
     won = votes.groupBy("image_id").agg(F.max_by("first", F.struct("votes", -F.col("first.ord"))).alias("w")).select("image_id", "w.*")
-    return labelled.select("image_id", "ord", "label", "idx").join(won, ["image_id", "ord", "label"]).select("image_id", "idx", "eps", "min_samples")
+    # the winner alone is labelled again, which is cheaper than keeping every trial's labels
+    again = masks.select("image_id", "idx", "area").join(won.select("image_id", "eps", "min_samples", F.col("label").alias("wanted")), "image_id")
+    return labels(neighbour_counts(again, ["image_id"]), ["image_id"]).where("label = wanted").select("image_id", "idx", "eps", "min_samples")
 
 
 def area_sweep_consensus(masks: DataFrame, eps: list[float], min_samples: list[int]) -> DataFrame:

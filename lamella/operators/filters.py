@@ -21,7 +21,7 @@ def stability_score(logits: DataFrame, threshold: float = 0.0, offset: float = 1
 
 def tile_edge_reject(masks: DataFrame, tiles: DataFrame, images: DataFrame, margin: int = 2) -> DataFrame:
     """Drops masks (tile-local bx, by, bw, bh) that touch a tile edge which is not an image border."""
-    frame = tiles.join(F.broadcast(images.select("image_id", "size_x", "size_y")), "image_id")
+    frame = tiles.join(images.select("image_id", "size_x", "size_y"), "image_id")
     rows = masks.join(frame, ["image_id", "tile_idx"])
     left = (F.col("bx") <= margin) & (F.col("x0") > 0)
     top = (F.col("by") <= margin) & (F.col("y0") > 0)
@@ -45,7 +45,7 @@ def median_band(masks: DataFrame, low: float = 0.2, high: float = 5.0) -> DataFr
 def shape_gate(sections: DataFrame, images: DataFrame, most_ratio: float = 8.0, least_fill: float = 0.4, most_cover: float = 0.5) -> DataFrame:
     """Drops polygons that are too elongated, too concave or cover most of the image."""
     rows = sections.where(poly.valid("polygon")).withColumn("__a", poly.area("polygon")).withColumn("__s", poly.minor_axis("polygon")).withColumn("__r", poly.minor_area("polygon"))
-    rows = rows.join(F.broadcast(images.select("image_id", "size_x", "size_y")), "image_id")
+    rows = rows.join(images.select("image_id", "size_x", "size_y"), "image_id")
     long_side = F.col("__r") / F.nullif(F.col("__s"), F.lit(0.0))
     ok = (long_side / F.nullif(F.col("__s"), F.lit(0.0)) <= most_ratio) & (F.col("__a") / F.nullif(F.col("__r"), F.lit(0.0)) >= least_fill) & (F.col("__a") <= most_cover * F.col("size_x") * F.col("size_y"))
     return rows.where(ok).select(*sections.columns)

@@ -1,9 +1,10 @@
-"""Queries of the log and edit operators, in batch form over event tables."""
+"""Queries of the log and edit operators: streams over files, and the same functions over event tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.lineage import work_folder
 from ..streaming import logs
 from .registry import query
 
@@ -13,9 +14,12 @@ LINES = """select user_id as run_id, ts, event_id,
       when 'signup' then 'STIM_TILES [[0, 0, 5, 5], [5, 0, 5, 5]]' when 'purchase' then 'STIM_DONE: 4 sections' when 'error' then 'STIM_ERROR: x' else '' end as line from events"""
 
 
+def _lines():
+    return (LINES.replace("from events", "from {events}").replace('{"', '{{"').replace('"area": 3.0}]}', '"area": 3.0}}]}}').replace(".25}", ".25}}").replace("[1, 2, 3, 4]}", "[1, 2, 3, 4]}}"))
+
+
 def _events(fx):
-    lines = fx.spark.sql(LINES.replace("from events", "from {events}").replace('{"', '{{"').replace('"area": 3.0}]}', '"area": 3.0}}]}}').replace(".25}", ".25}}").replace("[1, 2, 3, 4]}", "[1, 2, 3, 4]}}"), events=fx.events)
-    return logs.parse_log(lines)
+    return logs.parse_log(fx.spark.sql(_lines(), events=fx.events))
 
 
 PARSED = "with e as (select user_id as run_id, ts, event_id, event_type as t, event_id % 9 + 1 as k, event_id % 3 = 0 as bad from events)"
@@ -27,9 +31,26 @@ def _shown(events):
     return events.select("run_id", "event_id", "type", "k", "n", n("sections").alias("n_sections"), n("tiles").alias("n_tiles"))
 
 
-@query("detection_log_source", PARSED + TYPES)
+def _followed(stream, schema, name, timeout_s=3600):
+    """The rows that a stream gives until its source is read, written as a table."""
+    spark, path = stream.sparkSession, work_folder(stream.sparkSession, name)
+    writer = stream.writeStream.format("parquet").option("checkpointLocation", f"{path}/check").option("path", f"{path}/rows").trigger(availableNow=True)
+    ask = writer.start()
+    ask.awaitTermination(timeout_s)
+    return spark.read.schema(schema).parquet(f"{path}/rows")
+
+
+@query("detection_log_source", PARSED + ", l as (" + TYPES + ") select cast(run_id as varchar) as run_id, type, count(*) as n_lines, sum(k) as sum_k, sum(n_sections) as n_sections, sum(n_tiles) as n_tiles from l group by run_id, type")
 def detection_log_source(fx):
-    return _shown(_events(fx))
+    """Log files, one folder a run, followed as a stream and parsed as they are read."""
+    folder = work_folder(fx.spark, "logs")
+    lines = fx.spark.sql(_lines(), events=fx.events).select(F.col("run_id").cast("string").alias("run_id"), "line")
+    lines.repartition("run_id").write.partitionBy("run_id").text(folder)
+    events = logs.parse_log(logs.log_source(fx.spark, folder)).drop("ts")
+    rows = _followed(events, events.schema, "log-events")
+    n = lambda c: F.when(F.col(c).isNotNull(), F.size(c)).cast("long")
+    shown = rows.select("run_id", "type", "k", n("sections").alias("n_sections"), n("tiles").alias("n_tiles"))
+    return shown.groupBy("run_id", "type").agg(F.count("*").alias("n_lines"), F.sum("k").alias("sum_k"), F.sum("n_sections").alias("n_sections"), F.sum("n_tiles").alias("n_tiles"))
 
 
 @query("stream_parse", PARSED + TYPES)
@@ -79,12 +100,29 @@ DEDUP = """with recursive r as (select *, row_number() over (partition by image_
 
 @query("stream_dedup", DEDUP)
 def stream_dedup(fx):
-    rows = fx.detections.select(F.col("image_id").cast("string").alias("run_id"), F.col("tile_idx").alias("k"), "mask_id", F.col("cx").alias("x"), F.col("cy").alias("y"), "area", F.lit(True).alias("last"))
-    return logs.stream_dedup(rows).select("run_id", "mask_id")
-
-
-@query("stream_finalize", PARSED + ", done as (select distinct run_id from e where t in ('purchase', 'error')) select run_id, count(*) as n_sections from e where t = 'view' and run_id in (select run_id from done) group by run_id")
+    """Tiles of all runs as files of a stream, a few a batch; the state per run resolves them in their order."""
+    cols = ["run_id", "k", "mask_id", "x", "y", "area", "last"]
+    found = fx.detections.select(F.col("image_id").cast("string").alias("run_id"), F.col("tile_idx").alias("k"), "mask_id", F.col("cx").alias("x"), F.col("cy").alias("y"), "area", F.lit(False).alias("last"))
+    none = F.lit(0.0)
+    told = found.select("run_id").distinct().withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(8).cast("long"))))
+    told = told.select("run_id", "k", F.lit(None).cast("long").alias("mask_id"), none.alias("x"), none.alias("y"), none.alias("area"), (F.col("k") == 8).alias("last"))
+    folder = work_folder(fx.spark, "tiles")
+    # every third tile to one file, so that a run's tiles come in several batches and not in order
+    found.select(*cols).union(told.select(*cols)).repartition(3, F.pmod("k", F.lit(3))).write.parquet(folder)
+    stream = fx.spark.readStream.schema(found.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    return _followed(logs.stream_dedup(stream), logs.KEPT, "kept").select("run_id", "mask_id")
+
+
+@query("stream_finalize", PARSED + ", done as (select distinct run_id from e where t in ('purchase', 'error')) select cast(run_id as varchar) as run_id, count(*) as n_sections from e where t = 'view' and run_id in (select run_id from done) group by run_id")
 def stream_finalize(fx):
-    events = _events(fx)
-    ended = events.where("type in ('done', 'error')").select("run_id").distinct()
-    return logs.live_sections(events).join(ended, "run_id", "left_semi").groupBy("run_id").agg(F.count("*").alias("n_sections"))
+    """A stream of log lines whose last file ends the runs; what ends is finalised from all that came before."""
+    folder, path = work_folder(fx.spark, "lines"), work_folder(fx.spark, "final")
+    lines = fx.spark.sql(_lines(), events=fx.events).select(F.col("run_id").cast("string").alias("run_id"), "ts", "line")
+    ends = F.col("line").rlike("^STIM_(DONE|ERROR)")
+    lines.where(~ends).repartition(3).write.parquet(folder)
+    lines.where(ends).coalesce(1).write.mode("append").parquet(folder)
+    stream = logs.parse_log(fx.spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 3).parquet(folder))
+    count = lambda sections: sections.groupBy("run_id").agg(F.count("*").alias("n_sections"))
+    ask = stream.writeStream.foreachBatch(logs.finalize_ended(path, count)).option("checkpointLocation", f"{path}/check").trigger(availableNow=True).start()
+    ask.awaitTermination(3600)
+    return fx.spark.read.schema("n_sections long, run_id string").parquet(f"{path}/final").select("run_id", "n_sections")
