@@ -34,9 +34,11 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import textbits as tb
 from .ballots import ANSWER, BALLOT, Group, answered, deal, grouped, sent, text_runs
+from .shared import split_join, written
 
 GRAM = 32
 CLASSES = 8
@@ -116,6 +118,21 @@ class _Anchors:
                 out[mine] = tb.span_hash(self.of.buf[base:stop], start[mine] - base, end[mine] - base)
         return out
 
+    def gram_ballots(self, n_buckets: int) -> dict[int, bytes]:
+        """For each bucket its grams, with their least and greatest context and the number of contexts."""
+        order = np.lexsort((self.context, self.gram))
+        g, c = self.gram[order], self.context[order]
+        new_g, new_c = np.ones(len(g), bool), np.ones(len(g), bool)
+        new_g[1:] = g[1:] != g[:-1]
+        new_c[1:] = new_g[1:] | (c[1:] != c[:-1])
+        at = np.flatnonzero(new_g)
+        if not len(at):
+            return {}
+        columns = [g[at].astype("<u8"), c[at].astype("<u8"), c[np.append(at[1:], len(g)) - 1].astype("<u8"), np.add.reduceat(new_c, at, dtype="<i8")]
+        order, to = deal(columns[0], n_buckets)
+        columns = [x[order] for x in columns]
+        return {b: b"".join(x[to[b] : to[b + 1]].tobytes() for x in columns) for b in range(n_buckets) if to[b] < to[b + 1]}
+
     def codes(self, answers: dict[int, bytes], n_buckets: int, split_above: int) -> np.ndarray:
         """For each anchor: unique gram, covered context, open context, or covered and standing for its class.
 
@@ -159,6 +176,15 @@ def judge_grams(gram: np.ndarray, least: np.ndarray, most: np.ndarray, count: np
     return out
 
 
+def judged_grams(rows: pa.Table) -> pa.Table:
+    """Answers to all groups' ``gram_ballots`` of one bucket."""
+    gs, buckets, blobs = (rows.column(c).to_pylist() for c in ("g", "bucket", "blob"))
+    asked = [np.frombuffer(x, "<u8").reshape(4, -1) for x in blobs]
+    gram, least, most, count = np.concatenate(asked, axis=1)
+    said = judge_grams(gram, least, most, count.astype(np.int64))
+    return answered(gs, buckets, [x.tobytes() for x in np.split(said, np.cumsum([x.shape[1] for x in asked])[:-1])])
+
+
 def judge_contexts(context: np.ndarray, doc: np.ndarray, g: np.ndarray) -> np.ndarray:
     """For each context of each group, whether others have it and whether this group is the first, by document and group."""
     order = np.lexsort((g, doc, context))
@@ -243,6 +269,46 @@ def intervals(lcp: np.ndarray) -> list[tuple[int, int, int]]:
     return out
 
 
+def _surroundings(data: np.ndarray, start: np.ndarray, left: np.ndarray, size: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of bytes to the right of each anchor, and of those to its left from the anchor on, with their lengths."""
+    n, r_len = len(start), size - left
+    right, back = np.zeros((n, window), np.uint8), np.zeros((n, window), np.uint8)
+    row = np.repeat(np.arange(n), r_len)
+    right[row, tb.ranges(np.zeros(n, np.int64), r_len)] = data[tb.ranges(start + left, r_len)]
+    row, col = np.repeat(np.arange(n), left), tb.ranges(np.zeros(n, np.int64), left)
+    back[row, col] = data[(start + left - 1)[row] - col]
+    return right, r_len, back, left
+
+
+def maximal_groups(gram: np.ndarray, right: np.ndarray, right_len: np.ndarray, left: np.ndarray, left_len: np.ndarray, window: int) -> list[tuple[int, int, np.ndarray]]:
+    """(bytes left of the anchor, bytes right of it, contexts) of every maximal repeat of ``window`` bytes or more.
+
+    In each common-prefix interval the members are put in the order of their left contexts,
+    whose common extensions form a tree as well.  A node of it is a maximal repeat if its
+    members agree on no more to the left than it says (they are a node) and go on differently
+    to the right (they do not all lie in one child of the interval)."""
+    out: list[tuple[int, int, np.ndarray]] = []
+    if len(gram) < 2:
+        return out
+    order, lcp = _ordered(gram, right, right_len)
+    by_left, left_lcp = _ordered(gram, left, left_len)
+    rank = np.empty(len(gram), np.int64)
+    rank[by_left] = np.arange(len(gram))
+    rank_of = rank[order]
+    left_lcp = np.append(left_lcp, -1)
+    for depth, a, z in intervals(lcp):
+        child = np.concatenate([[0], np.cumsum(lcp[a:z] == depth)])
+        in_left = np.argsort(rank_of[a : z + 1])
+        r, child = rank_of[a : z + 1][in_left], child[in_left]
+        between = np.minimum.reduceat(left_lcp, r)[:-1]
+        if between.max() + depth < window:
+            continue
+        for reach, p, q in intervals(between):
+            if reach + depth >= window and child[p : q + 1].min() < child[p : q + 1].max():
+                out.append((reach, depth, by_left[r[p : q + 1]]))
+    return out
+
+
 def nearest_earlier(between: np.ndarray, order: np.ndarray) -> np.ndarray:
     """For each member of a line the longest common extension with a member of lower order (-1: none).
 
@@ -394,17 +460,7 @@ def suffix_dedup(
     def ask_grams(rows: pa.Table) -> pa.Table:
         out = {}
         for k, a in enumerate(_Anchors.of_rules(rows, rules)):
-            order = np.lexsort((a.context, a.gram))
-            g, c = a.gram[order], a.context[order]
-            new_g, new_c = np.ones(len(g), bool), np.ones(len(g), bool)
-            new_g[1:] = g[1:] != g[:-1]
-            new_c[1:] = new_g[1:] | (c[1:] != c[:-1])
-            at = np.flatnonzero(new_g)
-            if len(at):
-                columns = [g[at].astype("<u8"), c[at].astype("<u8"), c[np.append(at[1:], len(g)) - 1].astype("<u8"), np.add.reduceat(new_c, at, dtype="<i8")]
-                order, to = deal(columns[0], n_buckets)
-                columns = [x[order] for x in columns]
-                out |= {k * span + b: b"".join(x[to[b] : to[b + 1]].tobytes() for x in columns) for b in range(n_buckets) if to[b] < to[b + 1]}
+            out |= {k * span + b: blob for b, blob in a.gram_ballots(n_buckets).items()}
             context, first = np.unique(a.context, return_index=True)
             order, to = deal(context, n_buckets)
             columns = [context[order].astype("<u8")]
@@ -418,15 +474,12 @@ def suffix_dedup(
         gs, buckets, blobs = (rows.column(c).to_pylist() for c in ("g", "bucket", "blob"))
         k, b = divmod(buckets[0], span)
         if b < n_buckets:
-            asked = [np.frombuffer(x, "<u8").reshape(4, -1) for x in blobs]
-            gram, least, most, count = np.concatenate(asked, axis=1)
-            said, sizes = judge_grams(gram, least, most, count.astype(np.int64)), [x.shape[1] for x in asked]
-        else:
-            asked = [np.frombuffer(x, "<u8").reshape(1 + rules[k].first_stays, -1) for x in blobs]
-            sizes = [x.shape[1] for x in asked]
-            both = np.concatenate(asked, axis=1)
-            doc = both[1].view(np.int64) if rules[k].first_stays else np.zeros(both.shape[1], np.int64)
-            said = judge_contexts(both[0], doc, np.repeat(gs, sizes))
+            return judged_grams(rows)
+        asked = [np.frombuffer(x, "<u8").reshape(1 + rules[k].first_stays, -1) for x in blobs]
+        sizes = [x.shape[1] for x in asked]
+        both = np.concatenate(asked, axis=1)
+        doc = both[1].view(np.int64) if rules[k].first_stays else np.zeros(both.shape[1], np.int64)
+        said = judge_contexts(both[0], doc, np.repeat(gs, sizes))
         return answered(gs, buckets, [x.tobytes() for x in np.split(said, np.cumsum(sizes)[:-1])])
 
     def ask_contexts(rows: pa.Table, answers: pa.Table) -> pa.Table:
@@ -479,13 +532,7 @@ def suffix_dedup(
         while at < len(edges) - 1:  # runs of whole grams, about 8,000 contexts each
             to = max(at + 1, int(np.searchsorted(edges, edges[at] + 8000, "right")) - 1)
             mine = by_gram[edges[at] : edges[to]]
-            r_len, l_len = size[mine] - left[mine], left[mine]
-            right = np.zeros((len(mine), rule.window), np.uint8)
-            back = np.zeros((len(mine), rule.window), np.uint8)
-            row = np.repeat(np.arange(len(mine)), r_len)
-            right[row, tb.ranges(np.zeros(len(mine), np.int64), r_len)] = data[tb.ranges(start[mine] + l_len, r_len)]
-            row, col = np.repeat(np.arange(len(mine)), l_len), tb.ranges(np.zeros(len(mine), np.int64), l_len)
-            back[row, col] = data[(start[mine] + l_len - 1)[row] - col]
+            right, r_len, back, l_len = _surroundings(data, start[mine], left[mine], size[mine], rule.window)
             lo[mine], hi[mine] = repeats(gram[mine], right, r_len, back, l_len, rule.window, None if earlier is None else earlier[mine])
             at = to
         parts = np.split(np.stack([lo, hi]).astype("<u2"), np.cumsum(counts)[:-1], axis=1)
@@ -543,3 +590,89 @@ def suffix_dedup(
         schema += ", kept_text string, spans array<struct<start: long, end: long>>"
     schema += "".join(f", `{name}` {docs.schema[name].dataType.simpleString()}" for name in carry)
     return texts.groupBy("g").cogroup(contexts.groupBy("g")).applyInArrow(remove, schema)
+
+
+def repeat_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 400) -> DataFrame:
+    """Returns ``repeat_id, id_col, start, n_bytes``: every occurrence of every maximal repeat of ``window`` bytes or more.
+
+    A repeat is named by a fingerprint of its bytes; start counts bytes of the text.  The
+    bytes around an anchor are seen up to ``window`` to the right and ``window - 32`` to the
+    left, so a longer repeat comes as a chain of repeats that overlap.  For each string of
+    ``window`` bytes that stands more than once there is a repeat with all its occurrences.
+
+    Each group sends a distinct context once; occurrences join their context afterwards,
+    and those of a hot context are split over tasks.
+
+    Cases: null, empty and short texts have no repeats; rows that repeat are texts of their
+    own; null ids stay null; an empty table gives an empty result.  Other columns are ignored.
+    """
+    rules = [Rule(window)]
+    texts, n_buckets = grouped(docs, id_col, text_col)
+
+    def ask_grams(rows: pa.Table) -> pa.Table:
+        (a,) = _Anchors.of_rules(rows, rules)
+        return sent(a.of.g, a.gram_ballots(n_buckets))
+
+    def places(rows: pa.Table) -> pa.Table:
+        (a,) = _Anchors.of_rules(rows, rules)
+        row = np.searchsorted(a.of.offs, a.place, "right") - 1
+        return pa.table({"context": a.context.view(np.int64), "id": a.of.id_column.take(pa.array(row)), "row": row, "low": a.low - a.of.offs[row], "at_left": a.place - a.low, "size": a.high + window - a.low})
+
+    def ask_contexts(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        (a,) = _Anchors.of_rules(rows, rules)
+        gram, of_gram = np.unique(a.gram, return_inverse=True)
+        kinds = np.zeros(len(gram), np.int64)
+        order, to = deal(gram, n_buckets)
+        for b, blob in zip(answers.column("bucket").to_pylist(), answers.column("blob").to_pylist(), strict=True):
+            kinds[order[to[b] : to[b + 1]]] = np.frombuffer(blob, "<i8")
+        open_ = np.flatnonzero(kinds[of_gram] > 1)
+        pick = open_[np.unique(a.context[open_], return_index=True)[1]]
+        order, to = deal(a.gram[pick], n_buckets)
+        pick, out = pick[order], {}
+        for b in range(n_buckets):
+            mine = pick[to[b] : to[b + 1]]
+            if len(mine):
+                size = a.high[mine] + window - a.low[mine]
+                columns = [a.gram[mine].astype("<u8"), a.context[mine].astype("<u8"), (a.place[mine] - a.low[mine]).astype("<u2"), size.astype("<u2"), a.of.buf[tb.ranges(a.low[mine], size)]]
+                out[b] = np.array([len(mine)], "<i4").tobytes() + b"".join(x.tobytes() for x in columns)
+        return sent(a.of.g, out)
+
+    def compare(rows: pa.Table) -> pa.Table:
+        fields = [[] for _ in range(5)]
+        for blob in rows.column("blob").to_pylist():
+            k, at = int(np.frombuffer(blob, "<i4", 1)[0]), 4
+            for field, kind in zip(fields, ("<u8", "<u8", "<u2", "<u2"), strict=False):
+                field.append(np.frombuffer(blob, kind, k, at))
+                at += field[-1].nbytes
+            fields[4].append(np.frombuffer(blob, np.uint8, -1, at))
+        gram, context, left, size, data = map(np.concatenate, fields)
+        left, size = left.astype(np.int64), size.astype(np.int64)
+        start = np.cumsum(size) - size
+        single = np.unique(context, return_index=True)[1]
+        single = single[np.argsort(gram[single], kind="stable")]
+        edges = np.append(np.flatnonzero(np.append(True, gram[single][1:] != gram[single][:-1])), len(single))
+        who, lo, hi, at = [], [], [], 0
+        while at < len(edges) - 1:
+            to = max(at + 1, int(np.searchsorted(edges, edges[at] + 8000, "right")) - 1)
+            mine = single[edges[at] : edges[to]]
+            right, r_len, back, l_len = _surroundings(data, start[mine], left[mine], size[mine], window)
+            for reach, depth, members in maximal_groups(gram[mine], right, r_len, back, l_len, window):
+                who.append(mine[members])
+                lo.append(np.full(len(members), reach))
+                hi.append(np.full(len(members), depth))
+            at = to
+        who, lo, hi = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (who, lo, hi))
+        name = tb.span_hash(data, (start + left)[who] - lo, (start + left)[who] + hi)
+        return pa.table({"context": context[who].view(np.int64), "repeat_id": name.view(np.int64), "shift": left[who] - lo, "n_bytes": lo + hi})
+
+    grams = texts.groupBy("g").applyInArrow(ask_grams, BALLOT).groupBy("bucket").applyInArrow(judged_grams, ANSWER)
+    asked = texts.groupBy("g").cogroup(grams.groupBy("g")).applyInArrow(ask_contexts, BALLOT)
+    parts = written(asked.groupBy("bucket").applyInArrow(compare, "context long, repeat_id long, shift long, n_bytes long").distinct(), "parts")
+    found = written(texts.groupBy("g").applyInArrow(places, "context long, id long, row long, low long, at_left long, size long"), "places")
+    # a context that stands more than once is a repeat as a whole
+    counts = found.groupBy("context").agg(F.count("*").alias("__n"), F.max("size").alias("size"))
+    whole = counts.where("__n > 1").select("context", F.col("context").alias("repeat_id"), F.lit(0).cast("long").alias("shift"), F.col("size").alias("n_bytes"))
+    of_context = parts.union(whole).groupBy("context").agg(F.collect_list(F.struct("repeat_id", "shift", "n_bytes")).alias("in"))  # at most window ** 2
+    rows = split_join(found, of_context.join(counts.select("context", "__n"), "context"), ["context"], found.count(), ["id", "row", "low"])
+    each = rows.select("id", "row", "low", F.explode("in").alias("p")).select(F.col("p.repeat_id").alias("repeat_id"), "id", "row", (F.col("low") + F.col("p.shift")).alias("start"), F.col("p.n_bytes").alias("n_bytes"))
+    return each.distinct().select("repeat_id", F.col("id").alias(id_col), "start", "n_bytes")

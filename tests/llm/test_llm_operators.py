@@ -21,7 +21,7 @@ from lamella.llm.queries import QUERIES, vocabulary
 from lamella.llm.shared import shared_folder, split_join
 from lamella.llm.sharding import balanced_shards
 from lamella.llm.substring_dedup import substring_dedup
-from lamella.llm.suffix_dedup import suffix_dedup
+from lamella.llm.suffix_dedup import repeat_groups, suffix_dedup
 from lamella.llm.token_store import read_ids, write_ids
 
 WORDS = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or "")
@@ -311,6 +311,30 @@ def test_suffix_dedup_of_edited_copies(spark, split_above, first_stays):
     test_suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string"), split_above, first_stays, 0)
 
 
+def test_repeat_groups_have_all_occurrences(spark):
+    rng = np.random.RandomState(3)
+    base = "".join(chr(97 + c) for c in rng.randint(0, 26, 700))
+    texts = {0: base, 1: base, 2: "", 3: None, 4: "x" * 300, 5: base[:400] + base[300:]}
+    for k in range(6, 30):
+        a, z = sorted(rng.randint(0, 700, 2))
+        texts[k] = f"<{k}>" + base[a:z] + f"({k})"
+    got = collections.defaultdict(set)
+    for r in repeat_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), window=100).collect():
+        got[r.repeat_id, r.n_bytes].add((r.doc_id, r.start))
+    strings = {}
+    for (name, n), places in got.items():
+        said = {texts[i][a : a + n] for i, a in places}
+        assert len(said) == 1 and len(places) > 1 and n >= 100
+        strings[name, n] = said.pop()
+    where = collections.defaultdict(set)
+    for i, t in texts.items():
+        for k in range(len(t or "") - 99):
+            where[t[k : k + 100]].add((i, k))
+    for w, places in where.items():
+        if len(places) > 1:
+            assert any(all((i, k - o) in got[g] for i, k in places) for g, t in strings.items() for o in [m.start() for m in re.finditer(f"(?={re.escape(w)})", t)])
+
+
 @pytest.mark.parametrize("block_ids", [1 << 20, 2000])
 def test_token_store(docs, spark, block_ids):
     from tokenizers import Tokenizer
