@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .shared import split_join, written
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
+def connected_components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
     """(id, component) for each id of ``edges(a, b)``; component is the smallest id reachable.
 
     Large-star and small-star rounds (Kiveris et al., 2014): each is a minimum per

@@ -170,12 +170,15 @@ def train(rows: list, dim: int = 16, epochs: int = 5, rate: float = 0.2, lost: f
 def fit_on(docs: DataFrame, sample_rows: int = 2000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """Trains on at most ``sample_rows`` rows of docs with a label, chosen by a hash of their id.
 
-    The bound is on what the classifier is fitted to; every text is predicted.
+    The bound is on what the classifier is fitted to; every text is predicted.  Rows with a null
+    id, text or label are not learned from; rows that repeat count once.  Without any labelled
+    row the model knows no language.
     """
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    known = plain.where(F.col("id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull())
-    chosen = known.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(sample_rows)
-    sample = known.join(F.broadcast(chosen), "id")  # at most sample_rows ids
+    known = plain.where(F.col("id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull()).withColumn("of", F.xxhash64("text"))
+    row = ["id", "of", "lang"]
+    chosen = known.select(*row).distinct().orderBy(F.xxhash64("id"), *row).limit(sample_rows)
+    sample = known.join(F.broadcast(chosen), row).groupBy(*row).agg(F.any_value("text").alias("text"))
     return train(sample_counts(sample).collect())
 
 
@@ -184,8 +187,9 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
 
     lang_pred is a learned language, or ``und`` if the text is null, has no letter, or nothing was
     learned; then score is 0 and the row is not accepted.  accepted: score is at least the
-    model's threshold.  Repeated rows share a result; null ids are kept.  The columns named in
-    ``carry`` come along.
+    model's threshold.  Repeated rows share a result; null ids are kept.  An empty table gives an
+    empty result.  A very long text is read whole.  The columns named in ``carry`` come along,
+    others are ignored.
     """
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(model)  # BUCKETS x languages floats, whatever the corpus

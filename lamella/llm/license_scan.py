@@ -311,7 +311,8 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     looked up first, and what fits is normalised and compared in full.
 
     Cases: null and empty texts, and texts without known sentences, have empty lists and
-    false.  Repeated rows and null ids have results like any other row.  Other columns are ignored.
+    false.  Repeated rows and null ids have results like any other row.  An empty table gives an
+    empty result.  Other columns are ignored.
     """
     table = {normalise(s): name for name, s in (SENTENCES if sentences is None else sentences)}
     ordered = RULES if rules is None else rules

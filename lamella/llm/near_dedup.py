@@ -179,8 +179,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Cases: a null, empty or white-space text has n_shingles 0 and no link.  A row with a
     null id is never linked: component_id and class_id are null, kept is true.  Repeated
-    rows share one result each.  An empty table gives an empty result.  Other columns of
-    docs are ignored, whatever their names.
+    rows share one result each.  An empty table gives an empty result.  A very long text is
+    compared whole.  Ids are expected to name one text; where an id stands on different
+    texts, each keeps its own set, and they share the component that the id belongs to
+    (the pipeline gives such rows keys of their own).  Other columns of docs are ignored,
+    whatever their names.
     """
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sig = written(signatures(plain, shingle, halves, hashes_per_half), "signatures")

@@ -165,7 +165,7 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
 
     Cases: null and empty texts have the one id ``end_id``.  Rows that repeat are packed
     each for itself; a null id is kept as null.  An empty table gives an empty result.
-    Other columns of docs are ignored.
+    A very long text fills windows of its own but for its rest.  Other columns of docs are ignored.
     """
     spark = docs.sparkSession
     if window % step:

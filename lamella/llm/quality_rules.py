@@ -122,7 +122,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Cases: null and empty texts count 0 everywhere and fail the base rule.  Lines are parts
     between line feeds, compared byte by byte.  Repeated rows and null ids have results like any
-    other row.  Other columns of docs are ignored.
+    other row.  An empty table gives an empty result.  A very long text is judged whole, in a
+    batch of its own.  Other columns of docs are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

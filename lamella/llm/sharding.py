@@ -40,7 +40,8 @@ def balanced_shards(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id",
 
     Cases: a null text has size 16 and the crc of no bytes, 0; null texts
     are linked with each other, and so are empty ones.  Rows that repeat are rows of their own.  A null id is kept and
-    sorts first.  An empty table gives an empty result.  Other columns are ignored.
+    sorts first.  An empty table gives an empty result.  A text's length does not matter beyond its
+    size.  Other columns are ignored.
     """
     text = F.col(text_col).cast("string")
     base = docs.select(

@@ -119,7 +119,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Cases: null, empty and short texts have nothing removed.  Rows that repeat an id are
     ordered by their text, then arbitrarily, and count as separate documents.  Rows with a
-    null id come last, in an order fixed by their texts.  Other columns of docs are ignored.
+    null id come last, in an order fixed by their texts.  An empty table gives an empty result.
+    A very long text is worked on whole.  Other columns of docs are ignored.
     """
     texts, n_buckets = grouped(docs, id_col, text_col)
 

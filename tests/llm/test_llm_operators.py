@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lamella.llm import ballots
 from lamella.llm.decontaminate import ItemBlock, contained_items
-from lamella.llm.language_id import fit_on, identify
+from lamella.llm.language_id import BUCKETS, PRIOR, fit_on, identify
 from lamella.llm.license_scan import NAMES, RULES, SENTENCES, license_scan, normalise, split_sentences
 from lamella.llm.near_dedup import near_duplicates
 from lamella.llm.packing import pack
@@ -22,6 +22,7 @@ from lamella.llm.shared import shared_folder, split_join
 from lamella.llm.sharding import balanced_shards
 from lamella.llm.substring_dedup import substring_dedup
 from lamella.llm.suffix_dedup import repeat_groups, suffix_dedup
+from lamella.llm.textbits import mix
 from lamella.llm.token_store import read_ids, write_ids
 
 WORDS = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or "")
@@ -369,6 +370,27 @@ def test_language_id(spark, small):
     assert {r.lang_pred for r in identify(docs, fit_on(empty(spark))).collect()} == {"und"}
 
 
+def test_predictions_are_those_of_plain_counting(spark, small):
+    """Subwords of a text counted one by one, their mean score through the softmax."""
+    docs = documents(spark, small).limit(80).union(spark.createDataFrame([(90_001, "Ab  c", "en", "s", 0), (90_002, "é", None, "s", 0), (90_003, "x", "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long"))
+    model = fit_on(docs)
+    got = {r.doc_id: r for r in identify(docs, model).collect()}
+
+    def bucket(code, n):
+        value = 0
+        for c in code:
+            value = (value * 257 + c) % (1 << 64)
+        return int(mix(np.array([(value + (n << 40)) % (1 << 64)], np.uint64))[0]) % BUCKETS
+
+    for i, t in pairs_of(docs):
+        code = [b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 0 for b in t.encode()]
+        grams = [bucket(code[k : k + n], n) for n in (2, 3, 4) for k in range(len(code) - n + 1) if code[k] or code[k + 1]]
+        z = (model.scores[grams].sum(axis=0, dtype=np.float64) / (len(grams) + PRIOR) + model.bias) / model.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert got[i].lang_pred == model.languages[p.argmax()] and abs(got[i].score - p.max()) < 1e-6
+        assert got[i].accepted == (got[i].score >= model.threshold)
+
+
 def test_sharding(docs):
     rows = pairs_of(docs)
     got = balanced_shards(docs, 5).collect()
