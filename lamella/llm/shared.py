@@ -37,6 +37,8 @@ def tasks(spark: SparkSession) -> int:
 
 #: Rows of one key that a join leaves together, however many tasks there are.
 HOT_ROWS = 256
+#: Rows of ids and numbers that a single task joins without effort; joins of fewer are plain.
+FEW_ROWS = 20_000
 
 
 def parts_of(n: str | Column, total: int, spark: SparkSession) -> Column:
@@ -52,6 +54,8 @@ def split_join(big: DataFrame, per_key: DataFrame, key: list[str], total: int, b
     its row in per_key goes to each part.  ``total`` rows, of big or more, can have at
     most four such keys for each task, which bounds the broadcast list of them.
     """
+    if total <= FEW_ROWS:
+        return big.join(per_key.drop("__n"), key, how)
     sized = per_key.withColumn("__parts", parts_of("__n", total, big.sparkSession))
     hot = F.broadcast(sized.where("__parts > 1").select(*key, "__parts"))
     dealt = big.join(hot, key, "left").withColumn("__salt", F.coalesce(F.pmod(F.xxhash64(*by), F.col("__parts")), F.lit(0)).cast("int")).drop("__parts")

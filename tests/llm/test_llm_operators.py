@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lamella.llm import ballots
+from lamella.llm import ballots, components, shared
 from lamella.llm.decontaminate import ItemBlock, contained_items
 from lamella.llm.language_id import BUCKETS, PRIOR, fit_on, identify
 from lamella.llm.license_scan import NAMES, RULES, SENTENCES, license_scan, normalise, split_sentences
@@ -116,7 +116,13 @@ def test_near_duplicates_across_components(spark):
     test_near_duplicates(docs)
 
 
-def test_near_duplicates_of_a_hot_circle(spark):
+@pytest.fixture
+def every_join_splits(monkeypatch):
+    monkeypatch.setattr(shared, "FEW_ROWS", 0)
+    monkeypatch.setattr(components, "FEW_EDGES", 0)
+
+
+def test_near_duplicates_of_a_hot_circle(spark, every_join_splits):
     """Over 1,000 texts in one circle: a third exact copies, a third near ones, a third that only share half keys."""
     base = [f"t{i}" for i in range(40)]
     rows = [(i, " ".join(base)) for i in range(400)]
@@ -125,7 +131,7 @@ def test_near_duplicates_of_a_hot_circle(spark):
     test_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
 
 
-def test_split_joins_keep_all_rows(spark):
+def test_split_joins_keep_all_rows(spark, every_join_splits):
     big = spark.range(6000).select((F.col("id") % 7 * (F.col("id") % 3)).alias("k"), F.col("id").alias("v"))
     per_key = big.groupBy("k").agg(F.max("v").alias("m"), F.count("*").alias("__n")).where("k > 0")
     got = split_join(big, per_key, ["k"], 6000, ["v"])
