@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lamella.llm.decontaminate import contained_items
 from lamella.llm.language_id import fit_on, identify
 from lamella.llm.near_dedup import near_duplicates
-from lamella.llm.packing import numbered, pack
+from lamella.llm.packing import pack
 from lamella.llm.queries import PASSAGE_BYTES, vocabulary
 from lamella.llm.shared import written
 from lamella.llm.suffix_dedup import suffix_dedup
@@ -37,16 +37,13 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Keeps one document of each near-duplicate group, the one with the least id.
 
     Of rows that repeat an id and a text one stays, that with the least other columns.
-    Each distinct (id, text) is a document of its own; null ids come first."""
-    named = docs.select(*COLUMNS).withColumn("__text", F.xxhash64("text"))
-    same = Window.partitionBy("doc_id", "__text").orderBy("lang", "source", "n_chars")
-    single = F.pmod(F.col("__text"), F.lit(1)).alias("__one")
-    keys = numbered(named.select("doc_id", "__text", single).distinct(), "__one", ["doc_id", "__text"], "__key")
-    keys = written(keys.select(F.col("doc_id").alias("__id"), F.col("__text").alias("__of"), "__key"), "keys")
-    rest = named.withColumn("__nth", F.row_number().over(same)).where("__nth = 1")
-    rest = written(rest.join(keys, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__of"))).select(*COLUMNS, "__key"), "rows")
-    gone = near_duplicates(rest, id_col="__key").where("not kept").select("__key")
-    return rest.join(gone, "__key", "left_anti").select(*COLUMNS)
+    Each distinct (id, text) is a document of its own, named by a fingerprint of both; null ids come first."""
+    named = docs.select(*COLUMNS).withColumn("__key", F.xxhash64(F.isnull("doc_id"), "doc_id", F.isnull("text"), "text"))
+    groups = near_duplicates(named, id_col="__key").select("__key", "component_id").distinct()
+    ids = named.select("__key", "doc_id").distinct()
+    stays = groups.join(ids, "__key").groupBy("component_id").agg(F.min(F.struct(F.isnotnull("doc_id").alias("named"), "doc_id", "__key")).alias("s")).select("s.__key")
+    same = Window.partitionBy("__key").orderBy("lang", "source", "n_chars")
+    return named.join(stays, "__key", "left_semi").withColumn("__nth", F.row_number().over(same)).where("__nth = 1").select(*COLUMNS)
 
 
 def repeated_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
