@@ -28,8 +28,8 @@ ANSWER = "g int, bucket int, blob binary"
 GROUP_BYTES = 32 << 20
 BUCKET_BYTES = 1 << 30
 #: Below these no more groups or buckets are made, however many tasks there could be.
-LEAST_GROUP_BYTES = 2 << 20
-LEAST_BUCKET_BYTES = 8 << 20
+LEAST_GROUP_BYTES = 1 << 20
+LEAST_BUCKET_BYTES = 3 << 20
 #: Bytes of a group's text for each bucket, so that a ballot holds some dozens of fingerprints.
 BALLOT_BYTES = 1 << 11
 

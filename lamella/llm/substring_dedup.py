@@ -56,7 +56,8 @@ def recompress(values: np.ndarray, first: np.ndarray, rounds: int = 3) -> tuple[
     left[edge] = -_FAR
     right[np.append(edge[1:], True)] = _FAR
     for r in range(rounds):
-        side = (tb.mix(names + np.uint64(r + 1) * _RUN) >> np.uint64(63)).astype(bool)  # False: left
+        turn = np.uint64((r + 1) * int(_RUN) % (1 << 64))
+        side = (tb.mix(names + turn) >> np.uint64(63)).astype(bool)  # False: left
         tied = np.zeros(len(names), bool)  # with the next one
         tied[:-1] = ~side[:-1] & side[1:] & (owner[:-1] == owner[1:])
         taken = np.zeros(len(names), bool)
