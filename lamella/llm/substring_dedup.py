@@ -10,17 +10,21 @@ words of its *context* (its own words and the neighbours that decided its form).
 1. Groups of documents send their distinct top symbols; buckets answer which occur
    in two groups.
 2. A window that holds the whole context of a symbol that occurs once cannot repeat.
-   Of the other windows each group sends the first of each kind, as 96-bit fingerprints
-   of all their words, which verifies them; buckets answer which have an earlier
-   occurrence in another group (by id).
-3. Each group removes the words that such windows cover.
+   Of the other windows each group sends the first of each kind, as a fingerprint of all
+   its words; buckets answer which start earlier (by id), and where.
+3. Each group tells the groups where its windows start first what it takes their words to
+   be: runs of windows, by place and a cryptographic digest of the words themselves.
+4. These verify them against their own words, and each group removes the words that such
+   windows cover.  If two different windows ever had one fingerprint, the job would fail
+   and say so; nothing is removed for a fingerprint alone.
 
-All three read one shuffle of the texts.  Windows never cross documents.
+All four read one shuffle of the texts.  Windows never cross documents.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +34,9 @@ from . import textbits as tb
 from .ballots import ANSWER, BALLOT, Group, answered, deal, grouped, repeated, sent
 
 _FAR = 1 << 40
+#: Bytes of the digest that verifies a run of words.
+DIGEST = 16
+CLASH = "two different windows have one fingerprint; change the constants of textbits.py and run again"
 #: Buckets from here on carry a group's own notes back to it.
 _OWN = 1 << 24
 _RUN = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -74,23 +81,18 @@ def recompress(values: np.ndarray, first: np.ndarray, rounds: int = 3) -> tuple[
     return names, left, right
 
 
-def first_of_kind(full: np.ndarray, check: np.ndarray) -> np.ndarray:
-    """True at the first place of each (full, check)."""
-    out = np.zeros(len(full), bool)
-    order = np.lexsort((check, full))
-    new = np.ones(len(full), bool)
-    new[1:] = (full[order][1:] != full[order][:-1]) | (check[order][1:] != check[order][:-1])
-    out[order[new]] = True
-    return out
-
-
 class _Words:
+    """The words of a group's texts."""
+
     def __init__(self, rows: pa.Table, window: int):
         self.of = of = Group(rows)
         self.start, self.end, self.first = tb.words(of.buf, of.offs)
-        self.values = tb.span_hash(of.buf, self.start, self.end)
         self.window = window
 
+    @cached_property
+    def values(self) -> np.ndarray:
+        return tb.span_hash(self.of.buf, self.start, self.end)
+
     def candidates(self, answers: dict[int, bytes], n_buckets: int) -> np.ndarray:
         """Window starts that hold no whole context of a name that occurs once."""
         names, left, right = recompress(self.values, self.first)
@@ -108,6 +110,21 @@ class _Words:
         at, _ = tb.starts_of(self.first, self.window)
         return at[~dead[at]]
 
+    def joined(self, stay: np.ndarray | None = None) -> tuple[bytes, np.ndarray]:
+        """The words (those that stay) each followed by a space, and where each ends with its space."""
+        start, end = (self.start, self.end) if stay is None else (self.start[stay], self.end[stay])
+        size = end - start + 1
+        ends = np.cumsum(size)
+        line = np.append(self.of.buf, np.uint8(32))[tb.ranges(start, size)] if len(start) else np.zeros(0, np.uint8)
+        line[ends - 1] = 32
+        return line.tobytes(), ends
+
+
+def digests(line: bytes, ends: np.ndarray, first: np.ndarray, count: np.ndarray) -> list[bytes]:
+    """A cryptographic digest of the words first .. first + count - 1 of ``joined``, for many runs."""
+    begin = np.append(0, ends)[first]
+    return [hashlib.blake2b(line[a:z], digest_size=DIGEST).digest() for a, z in zip(begin.tolist(), ends[first + count - 1].tolist(), strict=True)]
+
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, with_text: bool = True) -> DataFrame:
     """Returns ``id_col, n_words, n_removed, n_windows, kept_sha256`` for each row, and with
@@ -140,30 +157,30 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def ask_windows(rows: pa.Table, answers: pa.Table) -> pa.Table:
         w = _Words(rows, window)
-        at = w.candidates(dict(zip(answers.column("bucket").to_pylist(), answers.column("blob").to_pylist(), strict=True)), n_buckets)
-        full = tb.gram_hashes(w.values, window)[at]
-        check = (tb.gram_hashes(tb.mix(w.values ^ _RUN), window)[at] >> np.uint64(32)).astype("<u4")
-        new = first_of_kind(full, check)
-        out = {_OWN + w.of.g: np.array([len(at)], "<i4").tobytes() + at.astype("<i4").tobytes() + np.packbits(new).tobytes()}
-        at, full, check = at[new], full[new], check[new]
+        at = w.candidates(by_bucket(answers), n_buckets)
+        full, first = np.unique(tb.gram_hashes(w.values, window)[at], return_index=True)
+        out = {_OWN + w.of.g: at.astype("<i4").tobytes()}
+        by_place = np.argsort(first)
+        full, asked = full[by_place], at[first[by_place]]
         order, to = deal(full, n_buckets)
-        row = (np.searchsorted(w.first, at, "right") - 1)[order]
-        full, check = full[order].astype("<u8"), check[order]
+        full, asked = full[order].astype("<u8"), asked[order]
+        row = np.searchsorted(w.first, asked, "right") - 1
         for b in range(n_buckets):
             a, z = to[b], to[b + 1]
             if a < z:
                 cut = np.flatnonzero(np.append(True, row[a + 1 : z] != row[a : z - 1]))
                 runs = np.diff(np.append(cut, z - a)).astype("<i4")
                 ids = w.of.ids[row[a:z][cut]].astype("<i8")
-                out[b] = np.array([len(cut)], "<i4").tobytes() + ids.tobytes() + runs.tobytes() + full[a:z].tobytes() + check[a:z].tobytes()
+                out[b] = np.array([len(cut)], "<i4").tobytes() + ids.tobytes() + runs.tobytes() + full[a:z].tobytes() + asked[a:z].astype("<i4").tobytes()
         return sent(w.of.g, out)
 
     def windows_before(rows: pa.Table) -> pa.Table:
+        """For each window asked about a bit, whether it starts earlier, and then the group and the word of its first start."""
         gs, buckets, blobs = (rows.column(c).to_pylist() for c in ("g", "bucket", "blob"))
         if buckets[0] >= _OWN:
             return answered(gs, buckets, blobs)
         order = sorted(range(len(gs)), key=gs.__getitem__)
-        ids, runs, full, check, sizes = [], [], [], [], []
+        ids, runs, full, place, sizes = [], [], [], [], []
         for blob in (blobs[i] for i in order):
             k = int(np.frombuffer(blob, "<i4", 1)[0])
             run = np.frombuffer(blob, "<i4", k, 4 + 8 * k)
@@ -171,50 +188,87 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             ids.append(np.frombuffer(blob, "<i8", k, 4))
             runs.append(run)
             full.append(np.frombuffer(blob, "<u8", m, 4 + 12 * k))
-            check.append(np.frombuffer(blob, "<u4", m, 4 + 12 * k + 8 * m))
+            place.append(np.frombuffer(blob, "<i4", m, 4 + 12 * k + 8 * m))
             sizes.append(m)
-        ids, runs, full, check = map(np.concatenate, (ids, runs, full, check))
+        owner = np.repeat(np.array([gs[i] for i in order], np.int32), sizes)
+        ids, runs, full, place = map(np.concatenate, (ids, runs, full, place))
         by_id = np.argsort(ids, kind="stable")
         start = np.cumsum(runs) - runs
-        place = tb.ranges(start[by_id], runs[by_id].astype(np.int64))  # corpus order
-        full, check = full[place], check[place]
-        key = full ^ tb.mix(check.astype(np.uint64))  # equal windows have equal keys; 64 of the 96 bits group, the rest confirms
-        o = np.argsort(key, kind="stable")
-        same = (full[o][1:] == full[o][:-1]) & (check[o][1:] == check[o][:-1])
-        later = np.zeros(len(o), bool)
-        later[o[1:][same]] = True
-        flags = np.zeros(len(o), bool)
-        flags[place] = later
-        return answered([gs[i] for i in order], [buckets[i] for i in order], [np.packbits(x).tobytes() for x in np.split(flags, np.cumsum(sizes)[:-1])])
-
-    def remove(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        corpus = tb.ranges(start[by_id], runs[by_id].astype(np.int64))  # corpus order
+        o = corpus[np.argsort(full[corpus], kind="stable")]
+        new = np.ones(len(o), bool)
+        new[1:] = full[o][1:] != full[o][:-1]
+        earliest = np.empty(len(o), np.int64)
+        earliest[o] = o[new][np.cumsum(new) - 1]
+        later = earliest != np.arange(len(o))
+        out = []
+        for a, z in zip(np.cumsum(sizes) - sizes, np.cumsum(sizes), strict=True):
+            source = earliest[a:z][later[a:z]]
+            out.append(np.packbits(later[a:z]).tobytes() + owner[source].astype("<i4").tobytes() + place[source].astype("<i4").tobytes())
+        return answered([gs[i] for i in order], [buckets[i] for i in order], out)
+
+    def claim(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        """Rows for the group itself (g -1: which words go) and for the groups where its windows start first:
+        runs of windows with their place there and a digest of their words."""
         w = _Words(rows, window)
-        of = w.of
-        got = dict(zip(answers.column("bucket").to_pylist(), answers.column("blob").to_pylist(), strict=True))
-        note = got.pop(_OWN + of.g, bytes(4))
-        k = int(np.frombuffer(note, "<i4", 1)[0])
-        at = np.frombuffer(note, "<i4", k, 4).astype(np.int64)
-        asked = np.flatnonzero(np.unpackbits(np.frombuffer(note, np.uint8, -1, 4 + 4 * k), count=k)) if k else at
-        order, to = deal(tb.gram_hashes(w.values, window)[at[asked]], n_buckets)
-        later = np.ones(k, bool)  # what is not the first of its kind here has an earlier one here
-        for b, bits in got.items():
-            later[asked[order[to[b] : to[b + 1]]]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=to[b + 1] - to[b]).astype(bool)
-        gone = tb.covered(at[later], window, len(w.values))
-        start, end = w.start[~gone], w.end[~gone]
-        kept_first = np.concatenate([[0], np.cumsum(~gone)])[w.first]
-        size = end - start + 1
-        ends = np.cumsum(size)
-        line = np.append(of.buf, np.uint8(32))[tb.ranges(start, size)] if len(start) else np.zeros(0, np.uint8)
-        line[ends - 1] = 32
-        byte = np.concatenate([[0], ends])[kept_first]
-        joined = line.tobytes()
+        got, g = by_bucket(answers), w.of.g
+        at = np.frombuffer(got.pop(_OWN + g, b""), "<i4").astype(np.int64)
+        full, first, kind = np.unique(tb.gram_hashes(w.values, window)[at], return_index=True, return_inverse=True)
+        # in the group itself the first of a kind stands for the others
+        source_g, source = np.full(len(at), g), at[first[kind]]
+        later = np.ones(len(at), bool)
+        later[first] = False
+        by_place = np.argsort(first)
+        order, to = deal(full[by_place], n_buckets)
+        asked = first[by_place][order]
+        for b, blob in got.items():
+            mine = asked[to[b] : to[b + 1]]
+            n = -(-len(mine) // 8)
+            hit = mine[np.unpackbits(np.frombuffer(blob, np.uint8, n), count=len(mine)).astype(bool)]
+            later[hit] = True
+            source_g[hit], source[hit] = np.frombuffer(blob, "<i4", -1, n).reshape(2, -1)
+        gone = tb.covered(at[later], window, len(w.start))
+        starts = np.zeros(len(w.start), bool)
+        starts[at[later]] = True
+        out_to, out_g, blobs = [g], [-1], [np.packbits(np.stack([gone, starts]), axis=1).tobytes()]
+        # neighbours whose first starts are neighbours too are told together
+        d, s, t = at[later], source[later], source_g[later]
+        head = np.flatnonzero(np.append(True, (d[1:] != d[:-1] + 1) | (s[1:] != s[:-1] + 1) | (t[1:] != t[:-1]))[: len(d)])
+        count = np.diff(np.append(head, len(d))) + window - 1
+        d, s, t = d[head], s[head], t[head]
+        line, ends = w.joined()
+        mine = np.flatnonzero(t == g)
+        if digests(line, ends, d[mine], count[mine]) != digests(line, ends, s[mine], count[mine]):
+            raise RuntimeError(CLASH)
+        for target in np.unique(t[t != g]).tolist():
+            mine = np.flatnonzero(t == target)
+            out_to.append(target)
+            out_g.append(g)
+            blobs.append(np.array([len(mine)], "<i4").tobytes() + s[mine].astype("<i4").tobytes() + count[mine].astype("<i4").tobytes() + b"".join(digests(line, ends, d[mine], count[mine])))
+        return pa.table({"bucket": pa.array(out_to, pa.int32()), "g": pa.array(out_g, pa.int32()), "blob": pa.array(blobs, pa.binary())})
+
+    def remove(rows: pa.Table, claims: pa.Table) -> pa.Table:
+        """Verifies what other groups say about this group's words, and removes what goes from its own."""
+        w = _Words(rows, window)
+        of, n = w.of, len(w.start)
+        line, ends = w.joined()
+        gone = starts = np.zeros(n, bool)
+        for g, blob in zip(claims.column("g").to_pylist(), claims.column("blob").to_pylist(), strict=True):
+            if g == -1:
+                gone, starts = np.unpackbits(np.frombuffer(blob, np.uint8).reshape(2, -1), axis=1, count=n).astype(bool)
+                continue
+            k = int(np.frombuffer(blob, "<i4", 1)[0])
+            place, count = np.frombuffer(blob, "<i4", 2 * k, 4).reshape(2, -1).astype(np.int64)
+            if b"".join(digests(line, ends, place, count)) != blob[4 + 8 * k :]:
+                raise RuntimeError(CLASH)
+        joined, ends = w.joined(~gone)
+        byte = np.append(0, ends)[np.append(0, np.cumsum(~gone))[w.first]]
         kept = [joined[a : z - 1] if a < z else b"" for a, z in zip(byte[:-1].tolist(), byte[1:].tolist(), strict=True)]
-        hits = np.searchsorted(at[later], w.first)
         out = {
             id_col: of.id_column,
             "n_words": np.diff(w.first),
             "n_removed": tb.segment_sum(gone, w.first),
-            "n_windows": np.diff(hits),
+            "n_windows": tb.segment_sum(starts, w.first),
             "kept_sha256": [hashlib.sha256(x).hexdigest() for x in kept],
         }
         if with_text:
@@ -223,5 +277,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     names = texts.groupBy("g").applyInArrow(ask_names, BALLOT).groupBy("bucket").applyInArrow(names_twice, ANSWER)
     windows = texts.groupBy("g").cogroup(names.groupBy("g")).applyInArrow(ask_windows, BALLOT).groupBy("bucket").applyInArrow(windows_before, ANSWER)
+    claims = texts.groupBy("g").cogroup(windows.groupBy("g")).applyInArrow(claim, BALLOT)
     schema = f"`{id_col}` long, n_words long, n_removed long, n_windows long, kept_sha256 string" + (", kept_text string" if with_text else "")
-    return texts.groupBy("g").cogroup(windows.groupBy("g")).applyInArrow(remove, schema)
+    return texts.groupBy("g").cogroup(claims.groupBy("bucket")).applyInArrow(remove, schema)
+
+
+def by_bucket(answers: pa.Table) -> dict[int, bytes]:
+    return dict(zip(answers.column("bucket").to_pylist(), answers.column("blob").to_pylist(), strict=True))

@@ -12,7 +12,7 @@ from lamella.llm.ballots import repeated
 from lamella.llm.packing import combinations, least_squares, plan
 from lamella.llm.quality_rules import suffix_array
 from lamella.llm.queries import vocabulary
-from lamella.llm.substring_dedup import recompress
+from lamella.llm.substring_dedup import digests, recompress
 from lamella.llm.suffix_dedup import intervals, sliding_least
 
 TEXTS = ["a b\tc  d e f", "", None, "x", "Hello  World é à\nfoo bar baz qux", " ", "a b c d e f a b c d e f", "\x0b\x0cz\r", "日本 語\n語"]
@@ -154,3 +154,10 @@ def test_packing_plan_uses_no_length_too_often():
         assert (used <= hist).all()
     assert len(combinations(np.arange(1, 9), 8, 3)) == 10  # partitions of 8 into at most three parts
     assert (least_squares(combinations(np.array([3, 5]), 8, 2), np.array([0, 0, 0, 10, 0, 10, 0, 0, 0], float)) > 9.9).all()
+
+
+def test_digests_are_those_of_the_words():
+    words = ["ab", "c", "ab", "c", "abc"]
+    line, ends = "".join(w + " " for w in words).encode(), np.cumsum([len(w) + 1 for w in words])
+    a, b, c, d = digests(line, ends, np.array([0, 2, 1, 4]), np.array([2, 2, 2, 1]))
+    assert a == b and len({a, c, d}) == 3
