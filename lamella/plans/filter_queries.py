@@ -222,12 +222,12 @@ def _calibration_sql(stats: str, settings_name: str, prefix: str) -> str:
 
 
 EXAMPLES = RING.replace("with v as", "v as") + ", pa as (select image_id, mask_id, abs(sum(x * coalesce(ny, fy) - coalesce(nx, fx) * y)) / 2 as a from v group by image_id, mask_id), " + MINOR
-STATS = "ex as (select image_id, count(*) as n, median(a) as ma, median(minor_axis) as mi from pa join minor using (image_id, mask_id) where a > 0 and mask_id % 6 = 1 group by image_id)"
+STATS = "ex as (select image_id, count(*) as n, median(a) as ma, median(minor_axis) as mi from pa join minor using (image_id, mask_id) where a > 0 group by image_id)"
 CALIBRATED = "with " + HOST + ", " + SETTINGS + ", " + EXAMPLES + ", " + STATS + ", " + _calibration_sql("ex", "st", "q")
 
 
 def examples(fx):
-    return fx.sections.where("mask_id % 6 = 1").select("image_id", "polygon")
+    return fx.sections.select("image_id", "polygon")
 
 
 #: Doubles that went through medians and roots are rounded on both sides.
@@ -247,7 +247,7 @@ def calibrate(fx):
 @query(
     "calibrate_two_pass",
     CALIBRATED + """, redo as (select st.*, recommended_overview, recommended_overview / ov_given as r from st join qc using (image_id) where is_slide and recommended_overview is not null and recommended_overview <> ov_given),
-    ex2 as (select image_id, count(*) as n, median(a * r * r) as ma, median(minor_axis * r) as mi from pa join minor using (image_id, mask_id) join redo using (image_id) where a > 0 and mask_id % 6 = 1 group by image_id),
+    ex2 as (select image_id, count(*) as n, median(a * r * r) as ma, median(minor_axis * r) as mi from pa join minor using (image_id, mask_id) join redo using (image_id) where a > 0 group by image_id),
     st2 as (select image_id, coalesce(nullif(zoom, 0), 1.0e0) * r as zoom, recommended_overview as ov_given, tile_cap, batch, model, is_slide from redo), """ + _calibration_sql("ex2", "st2", "w")
     + " select *" + REPLACE + ", 1 as pass from qc where image_id not in (select image_id from redo) union all select *" + REPLACE + ", 2 from wc",
 )

@@ -39,9 +39,17 @@ def tile_plan_resolved(fx):
     return plan.tile_plan_resolved(_asked(fx), costs.host_budget(fx.hosts).select("host_id", "tile_cap_px"))
 
 
-@query("prompt_grid", TILES + "select image_id, tile_idx, p as point_idx, x0 + (p % 90 + 0.5e0) / 90 * w as x, y0 + (p // 90 + 0.5e0) / 90 * h as y from tiles, unnest(range(0, 8100, 2)) as t(p) where tile_idx = 0")
+@query(
+    "prompt_grid",
+    TILES + """select image_id, tile_idx, count(*) as n_points, min(x) as first_x, max(x) as last_x, min(y) as first_y, max(y) as last_y, sum(x) as sum_x, sum(y) as sum_y, sum(p * x) as moment_x, sum(p * y) as moment_y
+    from (select image_id, tile_idx, p, x0 + (p % 32 + 0.5e0) / 32 * w as x, y0 + (p // 32 + 0.5e0) / 32 * h as y from tiles, unnest(range(0, 1024)) as t(p)) group by image_id, tile_idx""",
+)
 def prompt_grid(fx):
-    return plan.prompt_grid(plan.tile_plan(fx.images, 1024).where("tile_idx = 0"), 90, most=6000)
+    """The points of all tiles, told by a row of sums for each tile (exact, as 32 divides them in binary)."""
+    points = plan.prompt_grid(plan.tile_plan(fx.images, 1024), 32)
+    ends = [f(c).alias(f"{name}_{c}") for c in ("x", "y") for name, f in (("first", F.min), ("last", F.max), ("sum", F.sum))]
+    moments = [F.sum(F.col("point_idx") * F.col(c)).alias(f"moment_{c}") for c in ("x", "y")]
+    return points.groupBy("image_id", "tile_idx").agg(F.count("*").alias("n_points"), *ends, *moments)
 
 
 @query(
