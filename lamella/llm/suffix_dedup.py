@@ -8,7 +8,8 @@ strings that it is the anchor of.
 
 1. Groups send their distinct contexts, by fingerprint, and for each gram how many
    contexts it has.  A gram of one context drops out; contexts that occur twice are
-   repeats as a whole, and one of them stands for all.
+   repeats as a whole, and one of them stands for all.  Digests of their bytes verify
+   this in the next step; if a fingerprint ever joined two contexts, the job would fail.
 2. The distinct contexts of the grams that remain meet in buckets.  There an enhanced
    suffix array (suffixes from the anchor on, longest common prefixes) is scanned with
    a stack into the tree of common-prefix intervals.  Each interval's left contexts
@@ -47,6 +48,7 @@ _UNIQUE, _COVERED, _OPEN, _STANDS = range(4)
 #: Added to the code of an anchor whose gram is split into classes.
 _SPLIT = 4
 _KEY = np.uint64(0x9FB21C651E98DF25)
+CLASH = "two different byte strings have one fingerprint; change the constants of textbits.py and run again"
 
 
 class Rule(NamedTuple):
@@ -133,8 +135,15 @@ class _Anchors:
         columns = [x[order] for x in columns]
         return {b: b"".join(x[to[b] : to[b + 1]].tobytes() for x in columns) for b in range(n_buckets) if to[b] < to[b + 1]}
 
-    def codes(self, answers: dict[int, bytes], n_buckets: int, split_above: int) -> np.ndarray:
-        """For each anchor: unique gram, covered context, open context, or covered and standing for its class.
+    def digests(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Cryptographic digests of the bytes themselves, two numbers for each span."""
+        raw = memoryview(np.ascontiguousarray(self.of.buf))
+        said = b"".join(hashlib.blake2b(raw[a:z], digest_size=16).digest() for a, z in zip(start.tolist(), end.tolist(), strict=True))
+        return np.frombuffer(said, "<u8").reshape(-1, 2)
+
+    def codes(self, answers: dict[int, bytes], n_buckets: int, split_above: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each anchor: unique gram, covered context, open context, or covered and standing for its class;
+        and whether its context stands more than once.
 
         Where the first stays, what stands for a class of equal contexts is its first member, which is open."""
         gram, of_gram = np.unique(self.gram, return_inverse=True)
@@ -156,7 +165,7 @@ class _Anchors:
             code = np.where(again & ~stands, _COVERED, np.where(kinds > 1, _OPEN, _UNIQUE))
         else:
             code = np.where(again, np.where(stands & (kinds > 1), _STANDS, _COVERED), np.where(kinds > 1, _OPEN, _UNIQUE))
-        return (code + _SPLIT * (kinds > split_above)).astype(np.uint8)
+        return (code + _SPLIT * (kinds > split_above)).astype(np.uint8), again
 
 
 #: Answers about a context: in this group only, in others too and this is the first, or not the first.
@@ -329,6 +338,16 @@ def nearest_earlier(between: np.ndarray, order: np.ndarray) -> np.ndarray:
     return best
 
 
+def verify(blobs: list[bytes]) -> None:
+    """Raises an error if one context fingerprint stands for different bytes (fingerprints, then digests, in each blob)."""
+    context = np.concatenate([np.frombuffer(x, "<u8", len(x) // 24) for x in blobs])
+    digest = np.concatenate([np.frombuffer(x, "<u8", -1, len(x) // 3).reshape(-1, 2) for x in blobs])
+    order = np.argsort(context, kind="stable")
+    context, digest = context[order], digest[order]
+    if ((context[1:] == context[:-1]) & (digest[1:] != digest[:-1]).any(axis=1)).any():
+        raise RuntimeError(CLASH)
+
+
 def repeats(gram: np.ndarray, right: np.ndarray, right_len: np.ndarray, left: np.ndarray, left_len: np.ndarray, window: int, earlier: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """For each context how far left and right of its anchor it is covered by repeats of ``window`` bytes.
 
@@ -485,9 +504,19 @@ def suffix_dedup(
     def ask_contexts(rows: pa.Table, answers: pa.Table) -> pa.Table:
         out = {}
         for k, (a, got) in enumerate(zip(_Anchors.of_rules(rows, rules), by_rule(answers), strict=True)):
-            code = a.codes(got, n_buckets, split_above)
+            code, again = a.codes(got, n_buckets, split_above)
             out[_OWN * (k + 1) + a.of.g] = code.tobytes()
             p = _Parts(a, code)
+            # what counts as equal by its fingerprint is verified on its bytes: here, and between groups in the buckets
+            again = np.flatnonzero(again)
+            digest = a.digests(a.low[again], a.high[again] + a.window)
+            context, first, kind = np.unique(a.context[again], return_index=True, return_inverse=True)
+            stands = np.flatnonzero(p.asked != np.arange(len(p.asked)))
+            if (digest != digest[first[kind]]).any() or (a.digests(p.low[stands], p.high[stands] + a.window) != a.digests(p.low[p.asked[stands]], p.high[p.asked[stands]] + a.window)).any():
+                raise RuntimeError(CLASH)
+            order, to = deal(context, n_buckets)
+            context, digest = context[order].astype("<u8"), digest[first[order]]
+            out |= {k * span + n_buckets + b: context[to[b] : to[b + 1]].tobytes() + digest[to[b] : to[b + 1]].tobytes() for b in range(n_buckets) if to[b] < to[b + 1]}
             pick = np.unique(p.asked)
             order, to = deal(p.key[pick], n_buckets)
             pick = pick[order]
@@ -507,6 +536,9 @@ def suffix_dedup(
         gs, buckets, blobs = (rows.column(c).to_pylist() for c in ("g", "bucket", "blob"))
         if buckets[0] >= _OWN:
             return answered(gs, buckets, blobs)
+        if buckets[0] % span >= n_buckets:
+            verify(blobs)
+            return answered([], [], [])
         rule = rules[buckets[0] // span]
         kinds = ["<u8", "<i8", "<i8", "<u2", "<u2"] if rule.first_stays else ["<u8", "<u2", "<u2"]
         counts, fields = [], [[] for _ in range(len(kinds) + 1)]
