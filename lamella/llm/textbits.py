@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at once; a longer text is one slice alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 #: The six ASCII white-space bytes of the word rule ``[^\x20\x09-\x0D]+``.
 WHITE = np.zeros(256, bool)
