@@ -7,6 +7,7 @@ is null counts as empty.
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -108,7 +109,8 @@ def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 def span_hashes(buf: np.ndarray, lower: bool = False) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
-    """A function of many spans' starts and ends that gives 64-bit fingerprints of buf[start:end]."""
+    """A function of many spans' starts and ends that gives 64-bit fingerprints of buf[start:end], for spans that
+    overlap.  Fingerprints of one value must be told apart by what they name (see ``span_hash``)."""
     n = len(buf)
     sums = np.zeros(n + 1, _U)
     np.cumsum((LOWER_VALUE if lower else BYTE_VALUE)[buf] * powers(_BASE, n), out=sums[1:])
@@ -120,9 +122,43 @@ def span_hashes(buf: np.ndarray, lower: bool = False) -> Callable[[np.ndarray, n
     return of
 
 
+#: Spans of more bytes are named by a digest each.
+LANE_BYTES = 64
+_BYTE = np.arange(256, dtype=np.uint8)
+_LOWER = _BYTE.copy()
+_LOWER[65:91] = _BYTE[97:123]
+
+
 def span_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
-    """A 64-bit fingerprint of buf[start:end] for many spans at once."""
-    return span_hashes(buf, lower)(start, end) if len(start) else np.zeros(0, _U)
+    """A 64-bit fingerprint of buf[start:end] for many spans at once, A-Z read as a-z where ``lower``.
+
+    Eight bytes after eight go through ``mix``, which is not linear: sums of byte values times powers
+    of a base modulo 2**64 give some words the same value whatever the base is (such as the Thue-Morse
+    word of 1,024 letters and its complement).  Spans of over LANE_BYTES take a cryptographic digest.
+    """
+    n = len(start)
+    if not n:
+        return np.zeros(0, _U)
+    length = end - start
+    text = _LOWER[buf] if lower else buf
+    padded = np.concatenate([text, np.zeros(8, np.uint8)])
+    lanes = np.ndarray((len(buf) + 1,), "<u8", padded.data, 0, (1,))
+    out = mix(length.astype(_U) * _U(0xD6E8FEB86659FD93) + _U(_BASE))
+    for j in range(0, min(int(length.max(initial=0)), LANE_BYTES), 8):
+        mine = np.flatnonzero((length > j) & (length <= LANE_BYTES)) if j or length.max() > LANE_BYTES else np.flatnonzero(length > 0)
+        if not len(mine):
+            break
+        lane = np.take(lanes, start[mine] + j)
+        short = length[mine] - j
+        tail = short < 8
+        lane[tail] &= (_U(1) << (short[tail].astype(_U) * _U(8))) - _U(1)
+        out[mine] = mix((out[mine] ^ lane) + _U(_BASE))
+    wide = np.flatnonzero(length > LANE_BYTES)
+    if len(wide):
+        raw = memoryview(np.ascontiguousarray(text))
+        named = b"".join(hashlib.blake2b(raw[a:z], digest_size=8).digest() for a, z in zip(start[wide].tolist(), end[wide].tolist(), strict=True))
+        out[wide] = np.frombuffer(named, "<u8")
+    return out
 
 
 def word_hashes(buf: np.ndarray, offs: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:

@@ -1,8 +1,8 @@
 """Token ids of whole texts through the ``tokenizers`` library, a batch at a time.
 
 A text is cut into pieces only where the tokenizer itself always ends a pre-token:
-before a space that a visible character follows, around a line feed between visible
-characters, and between an ASCII letter and ASCII punctuation.  The ids of a text are
+before a space that a visible character follows, around a line feed that a visible
+character follows, and between an ASCII letter and ASCII punctuation.  The ids of a text are
 those of its pieces in order.  Every Python worker remembers the ids of the pieces it
 has met under a 64-bit fingerprint, so the library encodes a distinct piece once.
 """
@@ -17,8 +17,8 @@ import pyarrow as pa
 
 from . import textbits as tb
 
-#: Pieces that a worker remembers before it starts anew (about 40 bytes each).
-MEMORY_PIECES = 2_000_000
+#: Pieces, and ids of pieces, that a worker remembers before it starts anew (about 20 bytes and 4 bytes each).
+MEMORY_PIECES, MEMORY_IDS = 2_000_000, 16_000_000
 
 _SPACE, _FEED, _QUOTE = 32, 10, 39
 _INK = np.zeros(256, bool)
@@ -97,8 +97,10 @@ class PieceEncoder:
         cut = np.zeros(n, bool)
         here, after = buf[:-1], buf[1:]
         ahead, feed = _AHEAD[after], here == _FEED
+        edges = offs[1:-1]
+        ahead[edges[(edges > 0) & (edges < n)] - 1] = False  # what follows is another text
         cut[:-1] = (here == _SPACE) & ahead
-        cut[1:-1] |= feed[1:] & _INK[here[:-1]] & ahead[1:]
+        cut[1:-1] |= feed[1:] & ahead[1:]  # white space before it is a pre-token of its own
         cut[1:] |= feed & ahead
         if not special:
             letter, punct = _LETTER[buf], _PUNCT[buf]
@@ -109,7 +111,7 @@ class PieceEncoder:
         hashes = tb.span_hash(buf, start, end, lower=self.fold and not special)
         coded = pa.array(hashes).dictionary_encode()
         index, keys = np.asarray(coded.indices), np.asarray(coded.dictionary)
-        if len(self.keys) + len(keys) > MEMORY_PIECES:
+        if len(self.keys) + len(keys) > MEMORY_PIECES or self.used > MEMORY_IDS:
             self._forget()
         at = np.searchsorted(self.keys, keys)
         known = np.zeros(len(keys), bool)

@@ -1,5 +1,6 @@
 """Helpers against their plain versions."""
 
+import itertools
 import re
 
 import numpy as np
@@ -16,7 +17,7 @@ from lamella.llm.substring_dedup import digests, recompress
 from lamella.llm.suffix_dedup import intervals, sliding_least, verify
 
 TEXTS = ["a b\tc  d e f", "", None, "x", "Hello  World é à\nfoo bar baz qux", " ", "a b c d e f a b c d e f", "\x0b\x0cz\r", "日本 語\n語"]
-ODD = ["", "  a  b \n\n c\n d's 'll  é   x　 y\n", "<|endoftext|> a <|endoftext|>b <|ENDOFTEXT|>", "á b ́c ≠ a≠", "tab\t x\r\n y", " lead", "trail ", "x\n", "\n", "日本 語\n語 テ", "ΣΑΣ ΣΑΣ\nΣ", "a   b \nc", "it's 'S 'T we'Ll 123 45\n6!! ?? \n?", "a,b;c''s x'd 'd,'d×ab÷c é,é ß.ß", "İ I i̇ K", "0 a0b 00"]
+ODD = ["", "  a  b \n\n c\n d's 'll  é   x　 y\n", "<|endoftext|> a <|endoftext|>b <|ENDOFTEXT|>", "á b ́c ≠ a≠", "tab\t x\r\n y", " lead", "trail ", "x\n", "\n", "日本 語\n語 テ", "ΣΑΣ ΣΑΣ\nΣ", "a   b \nc", "it's 'S 'T we'Ll 123 45\n6!! ?? \n?", "a,b;c''s x'd 'd,'d×ab÷c é,é ß.ß", "İ I i̇ K", "0 a0b 00", "First paragraph.\n\nSecond paragraph.", "a\n\na", "\n\nStart", "a,\n\n- b", "x\r\n\r\ny", "a\n\n"]
 
 
 def test_words_are_those_of_the_rule():
@@ -55,6 +56,43 @@ def test_pieces_encode_like_whole_texts(name):
             assert ids[first[i] : first[i + 1]].tolist() == plain.encode(x, add_special_tokens=False).ids, x
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+@pytest.mark.parametrize("symbols", [["a", "S", " ", "\n", "\t", "'", ".", "1", "é", "\u3000"], ["t", " ", "\n", "\r", "\u0301", "\x0b", "\u2028", "語", "<|endoftext|>", "!"]])
+def test_all_short_strings_encode_like_the_library(name, symbols):
+    from tokenizers import Tokenizer
+
+    path = vocabulary(name)
+    plain, mine = Tokenizer.from_file(path), tokens.PieceEncoder(path)
+    for n in range(1, 6):
+        texts = ["".join(x) for x in itertools.product(symbols, repeat=n)]
+        ids, first = mine.encode(*tb.text_buffer(pa.array(texts)))
+        for i, want in enumerate(plain.encode_batch_fast(texts, add_special_tokens=False)):
+            assert ids[first[i] : first[i + 1]].tolist() == want.ids, repr(texts[i])
+
+
+def thue_morse(n, letters="ab"):
+    """Two words whose polynomial hashes modulo 2**64 are equal, whatever the base."""
+    return tuple("".join(letters[(bin(k).count("1") + f) % 2] for k in range(n)) for f in (0, 1))
+
+
+@pytest.mark.parametrize("n", [3, 8, 9, 32, 64, 65, 1024, 4096])
+def test_words_of_the_thue_morse_kind_have_their_own_fingerprints(n):
+    for lower in (False, True):
+        for letters in ("ab", "é語"):
+            buf, offs = tb.text_buffer(pa.array([" ".join(thue_morse(n, letters))]))
+            assert len(set(tb.word_hashes(buf, offs, lower)[0].tolist())) == 2
+    buf, offs = tb.text_buffer(pa.array(["Ab" * n, "aB" * n]))
+    assert len(set(tb.word_hashes(buf, offs, True)[0].tolist())) == 1 and len(set(tb.word_hashes(buf, offs)[0].tolist())) == 2
+
+
+def test_fingerprints_tell_all_short_words_apart():
+    words = ["".join(x) for n in range(1, 5) for x in itertools.product("ab\x00é1", repeat=n)]
+    buf, offs = tb.text_buffer(pa.array(words))
+    assert len(set(tb.span_hash(buf, offs[:-1], offs[1:]).tolist())) == len(words)
+    both, edge = tb.text_buffer(pa.array([f"..{w}!" for w in words]))
+    assert (tb.span_hash(both, edge[:-1] + 2, edge[1:] - 1) == tb.span_hash(buf, offs[:-1], offs[1:])).all()
+
+
 @pytest.mark.parametrize("counts", [[1, 1, 1, 1_000_000], [5] * 49_000, [0, 7], [3, 0, 2], list(range(1, 3000))])
 def test_huffman_round_trip(counts):
     counts = np.array(counts)
