@@ -3,7 +3,7 @@
 The statements state the rules plainly (all shingles, all windows) and are meant for
 small tables.  Not here: 3, 5, 7, 8 and 9 (tables of sentences, tokenizers, a trained
 model, an iterative layout), 6 (a row per byte string needs more memory than a small
-machine has, even on the smallest tables) and the pipeline.
+machine has, even on the smallest tables), 11 (a tokenizer) and the pipeline.
 """
 
 from __future__ import annotations
@@ -125,9 +125,62 @@ select doc_id, item_id, 1::bigint, 1::bigint, true
 from docs d join items i on len(i.w) between 1 and 4 and contains(' ' || array_to_string(d.w, ' ') || ' ', ' ' || array_to_string(i.w, ' ') || ' ')
 """
 
+_FINITE = "{0} is not null and len(list_filter({0}, lambda x: x is null or not isfinite(x))) = 0"
+
+
+def _moved(r: int) -> str:
+    """Round r of the clustering: every vector to its nearest centroid, every centroid with vectors to their floored mean."""
+    return f"""
+near{r} as materialized (
+    select row_id, arg_min(c, (d, c)) as c, min(d) as d from (
+        select e.row_id, m.c, sum((e.x - m.x) * (e.x - m.x))::bigint as d from comps e join means{r} m using (k) group by e.row_id, m.c) group by row_id
+), means{r + 1} as materialized (
+    select m.c, m.k, coalesce(n.x, m.x) as x from means{r} m
+    left join (select c, k, floor(sum(x)::double / count(*))::bigint as x from comps join near{r} using (row_id) group by c, k) n on n.c = m.c and n.k = m.k
+)"""
+
+
+CENTROIDS = f"""
+with kept as materialized (
+    select row_number() over () as row_id, vec_id, [floor(64 * x::double)::bigint for x in embedding] as v
+    from embeddings where len(embedding) = 64 and {_FINITE.format("embedding")}
+), comps as materialized (
+    select row_id, unnest(v) as x, unnest(range(1, 65)) as k from kept
+), first as (
+    select row_number() over (order by h) - 1 as c, v from (select v, sha256('1:' || vec_id) as h from kept where vec_id is not null order by h limit 16)
+), means0 as materialized (
+    select c, unnest(v) as x, unnest(range(1, 65)) as k from first
+),{",".join(_moved(r) for r in range(4))},
+told as (
+    select c, sha256(array_to_string(list(x order by k), ',')) as sha from means3 group by c
+)
+select vec_id, c::int as cluster, d as distance, (sum(d) over (partition by c))::bigint as cluster_inertia, (sum(d) over ())::bigint as inertia, sha as centroid_sha256
+from near3 join kept using (row_id) join told using (c)
+"""
+
+HARD_NEGATIVES = f"""
+with rows as materialized (
+    select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, [floor(256 * x::double)::bigint for x in embedding] as v
+    from embeddings where vec_id is not null and label is not null and {_FINITE.format("embedding")}
+), comps as materialized (
+    select vec_id, label, unnest(v) as x, unnest(range(len(v))) as k from rows
+), scores as materialized (
+    select a.vec_id as a, b.vec_id as b, a.label = b.label as same, sum(a.x * b.x)::bigint as score
+    from comps a join comps b on a.k = b.k and a.vec_id % 100 = 0 and a.vec_id <> b.vec_id group by a.vec_id, b.vec_id, a.label, b.label
+), positives as (
+    select a, b, score from (select *, row_number() over (partition by a order by score desc, b) as nth from scores where same) where nth <= 5
+), found as (
+    select p.a, p.b, p.score as ps, s.b as n, s.score as ns, row_number() over (partition by p.a, p.b order by s.score desc, s.b) as nth
+    from positives p join scores s on s.a = p.a and not s.same and 80 * p.score <= 100 * s.score and 100 * s.score <= 100 * p.score
+)
+select a as anchor_id, b as positive_id, nth::int as rank, n as negative_id, ps as positive_score, ns as negative_score from found where nth <= 5
+"""
+
 ORACLE_SQL = {
     "op1_minhash_near_dedup": NEAR_DUPLICATES,
     "op2_suffix_array_quality_rules": QUALITY,
     "op4_recompression_substring_dedup": SUBSTRING,
     "op10_minhash_containment_decontamination": CONTAINED,
+    "op12_laesa_centroids": CENTROIDS,
+    "op13_segment_hard_negatives": HARD_NEGATIVES,
 }

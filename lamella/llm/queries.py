@@ -7,7 +7,10 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import bpe_digests
+from .centroids import centroid_clusters
 from .decontaminate import contained_items
+from .hard_negatives import hard_negatives
 from .language_id import fit_on, identify
 from .license_scan import license_scan
 from .near_dedup import near_duplicates
@@ -83,6 +86,20 @@ def op10_minhash_containment_decontamination(spark: SparkSession, sf_dir: str) -
     return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+def op12_laesa_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters(table(spark, sf_dir, "embeddings"))
+
+
+def op13_segment_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives(rows, rows.where("vec_id % 100 = 0"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -96,6 +113,9 @@ QUERIES = {
         op8_balanced_label_propagation,
         op9_nnls_packing,
         op10_minhash_containment_decontamination,
+        op11_tree_bpe,
+        op12_laesa_centroids,
+        op13_segment_hard_negatives,
     )
 }
 
