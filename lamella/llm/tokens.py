@@ -93,12 +93,14 @@ class PieceEncoder:
         n = len(buf)
         if not n:
             return np.zeros(0, np.uint32), np.zeros(len(offs), np.int64)
-        special = bool(((buf[:-1] == 60) & (buf[1:] == 124)).any())  # "<|": a special token may stand here
-        cut = np.zeros(n, bool)
         here, after = buf[:-1], buf[1:]
+        opens = (here == 60) & (after == 124)  # "<|": a special token may stand here
+        special = bool(opens.any())
+        cut = np.zeros(n, bool)
         ahead, feed = _AHEAD[after], here == _FEED
         edges = offs[1:-1]
         ahead[edges[(edges > 0) & (edges < n)] - 1] = False  # what follows is another text
+        ahead[:-1] &= ~opens[1:]  # white space before a special token ends its text
         cut[:-1] = (here == _SPACE) & ahead
         cut[1:-1] |= feed[1:] & ahead[1:]  # white space before it is a pre-token of its own
         cut[1:] |= feed & ahead
