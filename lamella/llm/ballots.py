@@ -46,12 +46,11 @@ def dealing(size: int, least: int) -> tuple[int, int]:
 
 def grouped(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
     """(g, id, text, c0, c1, ..) and the number of buckets: documents dealt into groups by a
-    hash of their id, with the columns ``carry`` beside them."""
+    hash of their id and text, so that an id of many texts is spread, with the columns ``carry`` beside them."""
     text = F.col(text_col).cast("string")
     size = docs.agg(F.sum(F.octet_length(text)).alias("s")).first()["s"] or 0
     n, n_buckets = dealing(size, tasks(docs.sparkSession))
-    # rows without an id are told apart by their text
-    of = F.pmod(F.when(F.col("id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("id")), F.lit(n))
+    of = F.pmod(F.xxhash64("id", "text"), F.lit(n))
     beside = [F.col(c).alias(f"c{k}") for k, c in enumerate(carry)]
     plain = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), *beside)
     return plain.select(of.cast("int").alias("g"), "id", "text", *[f"c{k}" for k in range(len(carry))]), n_buckets

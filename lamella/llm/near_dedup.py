@@ -73,7 +73,8 @@ def verify(pairs: DataFrame, docs: DataFrame, shingle: int, total: int) -> DataF
 
     Rows are dealt by (p, salt); in each run the pivot's text comes first and its set
     stays in memory while the members stream past.  The parts of a pivot are bounded by
-    the number of tasks, and so are the copies of its text.
+    the number of tasks, and so are the copies of its text.  Where an id stands on several
+    texts, all of a pivot's sets stay, and each of them meets each of a member's.
     """
     spark = docs.sparkSession
     load = pairs.groupBy("p").agg(F.count("*").alias("__n")).withColumn("parts", parts_of("__n", total, spark))
@@ -83,7 +84,7 @@ def verify(pairs: DataFrame, docs: DataFrame, shingle: int, total: int) -> DataF
     dealt = asked.repartition(2 * tasks(spark), "p", "salt").sortWithinPartitions("p", "salt", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivot, held = None, None
+        pivot, held = None, []
         for batch in tb.slices(batches):
             buf, offs = tb.text_buffer(batch.column("text"))
             sets, to = tb.distinct(*tb.shingles(*tb.word_hashes(buf, offs, lower=True), shingle))
@@ -92,13 +93,17 @@ def verify(pairs: DataFrame, docs: DataFrame, shingle: int, total: int) -> DataF
             for i in range(len(x)):
                 mine = sets[to[i] : to[i + 1]]
                 if role[i] == 0:
-                    pivot, held = (p[i], salt[i]), mine.copy()
+                    if pivot != (p[i], salt[i]):
+                        pivot, held = (p[i], salt[i]), []
+                    if not any(np.array_equal(mine, other) for other in held):
+                        held.append(mine.copy())
                     continue
                 assert pivot == (p[i], salt[i]), "a pivot's row precedes its members"
-                small, large = (mine, held) if len(mine) <= len(held) else (held, mine)
-                at = np.searchsorted(large, small)
-                at[at == len(large)] = 0
-                out.append((x[i], p[i], int((large[at] == small).sum()) if len(large) else 0, len(mine), len(held)))
+                for other in held:
+                    small, large = (mine, other) if len(mine) <= len(other) else (other, mine)
+                    at = np.searchsorted(large, small)
+                    at[at == len(large)] = 0
+                    out.append((x[i], p[i], int((large[at] == small).sum()) if len(large) else 0, len(mine), len(other)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["x", "p", "inter", "n_x", "n_p"])
 
@@ -181,8 +186,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     null id is never linked: component_id and class_id are null, kept is true.  Repeated
     rows share one result each.  An empty table gives an empty result.  A very long text is
     compared whole.  Ids are expected to name one text; where an id stands on different
-    texts, each keeps its own set, and they share the component that the id belongs to
-    (the pipeline gives such rows keys of their own).  Other columns of docs are ignored,
+    texts, each keeps its own set, is compared for itself, and what links with any of them is in the
+    component that the id belongs to (the pipeline gives such rows keys of their own).  Other columns of docs are ignored,
     whatever their names.
     """
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))

@@ -10,15 +10,14 @@ words of its *context* (its own words and the neighbours that decided its form).
 1. Groups of documents send their distinct top symbols; buckets answer which occur
    in two groups.
 2. A window that holds the whole context of a symbol that occurs once cannot repeat.
-   Of the other windows each group sends the first of each kind, as a fingerprint of all
-   its words; buckets answer which start earlier (by id), and where.
-3. Each group tells the groups where its windows start first what it takes their words to
-   be: runs of windows, by place and a cryptographic digest of the words themselves.
-4. These verify them against their own words, and each group removes the words that such
-   windows cover.  If two different windows ever had one fingerprint, the job would fail
-   and say so; nothing is removed for a fingerprint alone.
-
-All four read one shuffle of the texts.  Windows never cross documents.
+   Of the other windows each group sends the first of each kind, named by a 128-bit
+   cryptographic digest of its words; buckets answer which start earlier (by id).
+3. Each group removes the words that such windows cover.
+
+Windows of one name are equal, so names need no verification; a symbol's fingerprint
+only rules windows out that hold a symbol which occurs once, and an accident there
+(two symbols of one fingerprint) only lets more windows be asked about.
+All steps read one shuffle of the texts.  Windows never cross documents.
 """
 
 from __future__ import annotations
@@ -34,9 +33,8 @@ from . import textbits as tb
 from .ballots import ANSWER, BALLOT, Group, answered, deal, grouped, repeated, sent
 
 _FAR = 1 << 40
-#: Bytes of the digest that verifies a run of words.
+#: Bytes of the digest that names a window.
 DIGEST = 16
-CLASH = "two different windows have one fingerprint; change the constants of textbits.py and run again"
 #: Buckets from here on carry a group's own notes back to it.
 _OWN = 1 << 24
 _RUN = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -120,13 +118,15 @@ class _Words:
         return line.tobytes(), ends
 
 
-def digests(line: bytes, ends: np.ndarray, first: np.ndarray, count: np.ndarray) -> list[bytes]:
-    """A cryptographic digest of the words first .. first + count - 1 of ``joined``, for many runs."""
+def digests(line: bytes, ends: np.ndarray, first: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """A cryptographic digest of the ``count`` words from each of ``first`` on in ``joined``, as two numbers."""
     begin = np.append(0, ends)[first]
-    return [hashlib.blake2b(line[a:z], digest_size=DIGEST).digest() for a, z in zip(begin.tolist(), ends[first + count - 1].tolist(), strict=True)]
+    said = b"".join(hashlib.blake2b(line[a:z], digest_size=DIGEST).digest() for a, z in zip(begin.tolist(), ends[first + count - 1].tolist(), strict=True))
+    high, low = np.frombuffer(said, "<u8").reshape(-1, 2).T
+    return high, low
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, with_text: bool = True) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, with_text: bool = True, name_bits: int = 64) -> DataFrame:
     """Returns ``id_col, n_words, n_removed, n_windows, kept_sha256`` for each row, and with
     ``with_text`` also ``kept_text``.
 
@@ -136,10 +136,12 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     words by one space; n_windows counts the windows that start earlier elsewhere.
 
     Cases: null, empty and short texts have nothing removed.  Rows that repeat an id are
-    ordered by their text, then arbitrarily, and count as separate documents.  Rows with a
-    null id come last, in an order fixed by their texts.  An empty table gives an empty result.
+    ordered in a way fixed by their texts, and count as separate documents.  Rows with a
+    null id come last, likewise.  An empty table gives an empty result.
     A very long text is worked on whole.  Other columns of docs are ignored.
+    ``name_bits`` cuts the first half of a name, which deals it; results do not depend on it.
     """
+    mask = np.uint64((1 << name_bits) - 1)
     texts, n_buckets = grouped(docs, id_col, text_col)
 
     def ask_names(rows: pa.Table) -> pa.Table:
@@ -158,12 +160,13 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def ask_windows(rows: pa.Table, answers: pa.Table) -> pa.Table:
         w = _Words(rows, window)
         at = w.candidates(by_bucket(answers), n_buckets)
-        full, first = np.unique(tb.gram_hashes(w.values, window)[at], return_index=True)
+        name, check = digests(*w.joined(), at, window)
+        name = name & mask
+        first = np.sort(tb.unique_pairs(name, check)[0])
         out = {_OWN + w.of.g: at.astype("<i4").tobytes()}
-        by_place = np.argsort(first)
-        full, asked = full[by_place], at[first[by_place]]
-        order, to = deal(full, n_buckets)
-        full, asked = full[order].astype("<u8"), asked[order]
+        order, to = deal(name[first], n_buckets)
+        first = first[order]
+        name, check, asked = name[first].astype("<u8"), check[first].astype("<u8"), at[first]
         row = np.searchsorted(w.first, asked, "right") - 1
         for b in range(n_buckets):
             a, z = to[b], to[b + 1]
@@ -171,96 +174,51 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 cut = np.flatnonzero(np.append(True, row[a + 1 : z] != row[a : z - 1]))
                 runs = np.diff(np.append(cut, z - a)).astype("<i4")
                 ids = w.of.ids[row[a:z][cut]].astype("<i8")
-                out[b] = np.array([len(cut)], "<i4").tobytes() + ids.tobytes() + runs.tobytes() + full[a:z].tobytes() + asked[a:z].astype("<i4").tobytes()
+                out[b] = np.array([len(cut)], "<i4").tobytes() + ids.tobytes() + runs.tobytes() + name[a:z].tobytes() + check[a:z].tobytes()
         return sent(w.of.g, out)
 
     def windows_before(rows: pa.Table) -> pa.Table:
-        """For each window asked about a bit, whether it starts earlier, and then the group and the word of its first start."""
+        """For each window asked about a bit, whether it starts earlier."""
         gs, buckets, blobs = (rows.column(c).to_pylist() for c in ("g", "bucket", "blob"))
         if buckets[0] >= _OWN:
             return answered(gs, buckets, blobs)
         order = sorted(range(len(gs)), key=gs.__getitem__)
-        ids, runs, full, place, sizes = [], [], [], [], []
+        ids, runs, name, check, sizes = [], [], [], [], []
         for blob in (blobs[i] for i in order):
             k = int(np.frombuffer(blob, "<i4", 1)[0])
             run = np.frombuffer(blob, "<i4", k, 4 + 8 * k)
             m = int(run.sum())
             ids.append(np.frombuffer(blob, "<i8", k, 4))
             runs.append(run)
-            full.append(np.frombuffer(blob, "<u8", m, 4 + 12 * k))
-            place.append(np.frombuffer(blob, "<i4", m, 4 + 12 * k + 8 * m))
+            name.append(np.frombuffer(blob, "<u8", m, 4 + 12 * k))
+            check.append(np.frombuffer(blob, "<u8", m, 4 + 12 * k + 8 * m))
             sizes.append(m)
-        owner = np.repeat(np.array([gs[i] for i in order], np.int32), sizes)
-        ids, runs, full, place = map(np.concatenate, (ids, runs, full, place))
+        ids, runs, name, check = map(np.concatenate, (ids, runs, name, check))
         by_id = np.argsort(ids, kind="stable")
         start = np.cumsum(runs) - runs
         corpus = tb.ranges(start[by_id], runs[by_id].astype(np.int64))  # corpus order
-        o = corpus[np.argsort(full[corpus], kind="stable")]
-        new = np.ones(len(o), bool)
-        new[1:] = full[o][1:] != full[o][:-1]
-        earliest = np.empty(len(o), np.int64)
-        earliest[o] = o[new][np.cumsum(new) - 1]
-        later = earliest != np.arange(len(o))
-        out = []
-        for a, z in zip(np.cumsum(sizes) - sizes, np.cumsum(sizes), strict=True):
-            source = earliest[a:z][later[a:z]]
-            out.append(np.packbits(later[a:z]).tobytes() + owner[source].astype("<i4").tobytes() + place[source].astype("<i4").tobytes())
-        return answered([gs[i] for i in order], [buckets[i] for i in order], out)
+        later = np.ones(len(corpus), bool)
+        later[corpus[tb.unique_pairs(name[corpus], check[corpus])[0]]] = False
+        parts = np.split(later, np.cumsum(sizes)[:-1])
+        return answered([gs[i] for i in order], [buckets[i] for i in order], [np.packbits(x).tobytes() for x in parts])
 
-    def claim(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        """Rows for the group itself (g -1: which words go) and for the groups where its windows start first:
-        runs of windows with their place there and a digest of their words."""
+    def remove(rows: pa.Table, answers: pa.Table) -> pa.Table:
         w = _Words(rows, window)
-        got, g = by_bucket(answers), w.of.g
-        at = np.frombuffer(got.pop(_OWN + g, b""), "<i4").astype(np.int64)
-        full, first, kind = np.unique(tb.gram_hashes(w.values, window)[at], return_index=True, return_inverse=True)
-        # in the group itself the first of a kind stands for the others
-        source_g, source = np.full(len(at), g), at[first[kind]]
-        later = np.ones(len(at), bool)
+        got, of = by_bucket(answers), w.of
+        at = np.frombuffer(got.pop(_OWN + of.g, b""), "<i4").astype(np.int64)
+        name, check = digests(*w.joined(), at, window)
+        name = name & mask
+        first = np.sort(tb.unique_pairs(name, check)[0])
+        later = np.ones(len(at), bool)  # in the group itself the first of a kind stands for the others
         later[first] = False
-        by_place = np.argsort(first)
-        order, to = deal(full[by_place], n_buckets)
-        asked = first[by_place][order]
+        order, to = deal(name[first], n_buckets)
+        asked = first[order]
         for b, blob in got.items():
             mine = asked[to[b] : to[b + 1]]
-            n = -(-len(mine) // 8)
-            hit = mine[np.unpackbits(np.frombuffer(blob, np.uint8, n), count=len(mine)).astype(bool)]
-            later[hit] = True
-            source_g[hit], source[hit] = np.frombuffer(blob, "<i4", -1, n).reshape(2, -1)
+            later[mine[np.unpackbits(np.frombuffer(blob, np.uint8), count=len(mine)).astype(bool)]] = True
         gone = tb.covered(at[later], window, len(w.start))
         starts = np.zeros(len(w.start), bool)
         starts[at[later]] = True
-        out_to, out_g, blobs = [g], [-1], [np.packbits(np.stack([gone, starts]), axis=1).tobytes()]
-        # neighbours whose first starts are neighbours too are told together
-        d, s, t = at[later], source[later], source_g[later]
-        head = np.flatnonzero(np.append(True, (d[1:] != d[:-1] + 1) | (s[1:] != s[:-1] + 1) | (t[1:] != t[:-1]))[: len(d)])
-        count = np.diff(np.append(head, len(d))) + window - 1
-        d, s, t = d[head], s[head], t[head]
-        line, ends = w.joined()
-        mine = np.flatnonzero(t == g)
-        if digests(line, ends, d[mine], count[mine]) != digests(line, ends, s[mine], count[mine]):
-            raise RuntimeError(CLASH)
-        for target in np.unique(t[t != g]).tolist():
-            mine = np.flatnonzero(t == target)
-            out_to.append(target)
-            out_g.append(g)
-            blobs.append(np.array([len(mine)], "<i4").tobytes() + s[mine].astype("<i4").tobytes() + count[mine].astype("<i4").tobytes() + b"".join(digests(line, ends, d[mine], count[mine])))
-        return pa.table({"bucket": pa.array(out_to, pa.int32()), "g": pa.array(out_g, pa.int32()), "blob": pa.array(blobs, pa.binary())})
-
-    def remove(rows: pa.Table, claims: pa.Table) -> pa.Table:
-        """Verifies what other groups say about this group's words, and removes what goes from its own."""
-        w = _Words(rows, window)
-        of, n = w.of, len(w.start)
-        line, ends = w.joined()
-        gone = starts = np.zeros(n, bool)
-        for g, blob in zip(claims.column("g").to_pylist(), claims.column("blob").to_pylist(), strict=True):
-            if g == -1:
-                gone, starts = np.unpackbits(np.frombuffer(blob, np.uint8).reshape(2, -1), axis=1, count=n).astype(bool)
-                continue
-            k = int(np.frombuffer(blob, "<i4", 1)[0])
-            place, count = np.frombuffer(blob, "<i4", 2 * k, 4).reshape(2, -1).astype(np.int64)
-            if b"".join(digests(line, ends, place, count)) != blob[4 + 8 * k :]:
-                raise RuntimeError(CLASH)
         joined, ends = w.joined(~gone)
         byte = np.append(0, ends)[np.append(0, np.cumsum(~gone))[w.first]]
         kept = [joined[a : z - 1] if a < z else b"" for a, z in zip(byte[:-1].tolist(), byte[1:].tolist(), strict=True)]
@@ -277,9 +235,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     names = texts.groupBy("g").applyInArrow(ask_names, BALLOT).groupBy("bucket").applyInArrow(names_twice, ANSWER)
     windows = texts.groupBy("g").cogroup(names.groupBy("g")).applyInArrow(ask_windows, BALLOT).groupBy("bucket").applyInArrow(windows_before, ANSWER)
-    claims = texts.groupBy("g").cogroup(windows.groupBy("g")).applyInArrow(claim, BALLOT)
     schema = f"`{id_col}` long, n_words long, n_removed long, n_windows long, kept_sha256 string" + (", kept_text string" if with_text else "")
-    return texts.groupBy("g").cogroup(claims.groupBy("bucket")).applyInArrow(remove, schema)
+    return texts.groupBy("g").cogroup(windows.groupBy("g")).applyInArrow(remove, schema)
 
 
 def by_bucket(answers: pa.Table) -> dict[int, bytes]:

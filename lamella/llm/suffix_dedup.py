@@ -6,10 +6,9 @@ at the same distance, so it is enough to compare the surroundings of anchors: on
 suffix in about ``window / 2`` bytes.  An anchor's *context* is the union of the
 strings that it is the anchor of.
 
-1. Groups send their distinct contexts, by fingerprint, and for each gram how many
-   contexts it has.  A gram of one context drops out; contexts that occur twice are
-   repeats as a whole, and one of them stands for all.  Digests of their bytes verify
-   this in the next step; if a fingerprint ever joined two contexts, the job would fail.
+1. Groups send their distinct contexts, named by 128-bit cryptographic digests of their
+   bytes, and for each gram how many contexts it has.  A gram of one context drops out;
+   contexts that occur twice are repeats as a whole, and one of them stands for all.
 2. The distinct contexts of the grams that remain meet in buckets.  There an enhanced
    suffix array (suffixes from the anchor on, longest common prefixes) is scanned with
    a stack into the tree of common-prefix intervals.  Each interval's left contexts
@@ -48,7 +47,6 @@ _UNIQUE, _COVERED, _OPEN, _STANDS = range(4)
 #: Added to the code of an anchor whose gram is split into classes.
 _SPLIT = 4
 _KEY = np.uint64(0x9FB21C651E98DF25)
-CLASH = "two different byte strings have one fingerprint; change the constants of textbits.py and run again"
 
 
 class Rule(NamedTuple):
@@ -56,6 +54,7 @@ class Rule(NamedTuple):
 
     window: int
     first_stays: bool = False
+    name_bits: int = 64
 
 
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -67,12 +66,19 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(block[: len(values) - width + 1], block[width - size : width - size + len(values) - width + 1])
 
 
+def named(raw: memoryview, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Cryptographic digests of raw[start:end], two numbers for each span."""
+    said = b"".join(hashlib.blake2b(raw[a:z], digest_size=16).digest() for a, z in zip(start.tolist(), end.tolist(), strict=True))
+    return np.frombuffer(said, "<u8").reshape(-1, 2)
+
+
 class _Anchors:
-    """Anchors of all strings of one rule in a group: place, first and last string start, gram, context fingerprint."""
+    """Anchors of all strings of one rule in a group: place, first and last string start, gram, and the context's
+    name: two numbers of a cryptographic digest, so that contexts of one name are equal."""
 
     def __init__(self, of: Group, rule: Rule, found: list[tuple[np.ndarray, ...]]):
         self.of, self.rule, self.window = of, rule, rule.window
-        self.place, self.low, self.high, self.gram, self.context = map(np.concatenate, zip(*found, strict=True))
+        self.place, self.low, self.high, self.gram, self.context, self.check = map(np.concatenate, zip(*found, strict=True))
 
     @classmethod
     def of_rules(cls, rows: pa.Table, rules: list[Rule]) -> list[_Anchors]:
@@ -88,12 +94,13 @@ class _Anchors:
         assert len(buf) < 1 << 32
         grams = tb.gram_hashes(tb.BYTE_VALUE[buf], GRAM)
         keyed = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
-        spans, out = tb.span_hashes(buf), []
-        for window in (r.window for r in rules):
+        raw, out = memoryview(np.ascontiguousarray(buf)), []
+        for rule in rules:
+            window = rule.window
             starts, _ = tb.starts_of(offs, window)
             if not len(starts):
                 none = np.zeros(0, np.int64)
-                out.append((none, none, none, none.astype(np.uint64), none.astype(np.uint64)))
+                out.append((none, none, none, *[none.astype(np.uint64)] * 3))
                 continue
             least = sliding_least(keyed, window - GRAM + 1)[starts]
             at = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
@@ -102,24 +109,14 @@ class _Anchors:
             first = np.flatnonzero(new)
             place, low = at[first], starts[first]
             high = starts[np.append(first[1:], len(starts)) - 1]
-            context = tb.mix(spans(low, high + window) + (place - low).astype(np.uint64))
-            out.append((place + base, low + base, high + base, grams[place], context))
+            context, check = named(raw, low, high + window).T
+            out.append((place + base, low + base, high + base, grams[place], tb.mix(context + (place - low).astype(np.uint64)) & np.uint64((1 << rule.name_bits) - 1), check))
         return out
 
     def ids_at(self, place: np.ndarray) -> np.ndarray:
         """The document id at each place (the largest number where it is null)."""
         return self.of.ids[np.searchsorted(self.of.offs, place, "right") - 1]
 
-    def span_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Fingerprints of spans that lie in one text each."""
-        out = np.zeros(len(start), np.uint64)
-        for i, j in text_runs(self.of.offs):
-            base, stop = self.of.offs[i], self.of.offs[j]
-            mine = np.flatnonzero((start >= base) & (start < stop))
-            if len(mine):
-                out[mine] = tb.span_hash(self.of.buf[base:stop], start[mine] - base, end[mine] - base)
-        return out
-
     def gram_ballots(self, n_buckets: int) -> dict[int, bytes]:
         """For each bucket its grams, with their least and greatest context and the number of contexts."""
         order = np.lexsort((self.context, self.gram))
@@ -135,22 +132,15 @@ class _Anchors:
         columns = [x[order] for x in columns]
         return {b: b"".join(x[to[b] : to[b + 1]].tobytes() for x in columns) for b in range(n_buckets) if to[b] < to[b + 1]}
 
-    def digests(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Cryptographic digests of the bytes themselves, two numbers for each span."""
-        raw = memoryview(np.ascontiguousarray(self.of.buf))
-        said = b"".join(hashlib.blake2b(raw[a:z], digest_size=16).digest() for a, z in zip(start.tolist(), end.tolist(), strict=True))
-        return np.frombuffer(said, "<u8").reshape(-1, 2)
-
-    def codes(self, answers: dict[int, bytes], n_buckets: int, split_above: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each anchor: unique gram, covered context, open context, or covered and standing for its class;
-        and whether its context stands more than once.
+    def codes(self, answers: dict[int, bytes], n_buckets: int, split_above: int) -> np.ndarray:
+        """For each anchor: unique gram, covered context, open context, or covered and standing for its class.
 
         Where the first stays, what stands for a class of equal contexts is its first member, which is open."""
         gram, of_gram = np.unique(self.gram, return_inverse=True)
-        context, first, of_context, held = np.unique(self.context, return_index=True, return_inverse=True, return_counts=True)
-        kinds, seen = np.zeros(len(gram), np.int64), np.zeros(len(context), np.uint8)
+        first, of_context, held = tb.unique_pairs(self.context, self.check)
+        kinds, seen = np.zeros(len(gram), np.int64), np.zeros(len(first), np.uint8)
         by_gram, to_gram = deal(gram, n_buckets)
-        by_context, to_context = deal(context, n_buckets)
+        by_context, to_context = deal(self.context[first], n_buckets)
         for b, blob in answers.items():
             if b < n_buckets:
                 kinds[by_gram[to_gram[b] : to_gram[b + 1]]] = np.frombuffer(blob, "<i8")
@@ -165,7 +155,7 @@ class _Anchors:
             code = np.where(again & ~stands, _COVERED, np.where(kinds > 1, _OPEN, _UNIQUE))
         else:
             code = np.where(again, np.where(stands & (kinds > 1), _STANDS, _COVERED), np.where(kinds > 1, _OPEN, _UNIQUE))
-        return (code + _SPLIT * (kinds > split_above)).astype(np.uint8), again
+        return (code + _SPLIT * (kinds > split_above)).astype(np.uint8)
 
 
 #: Answers about a context: in this group only, in others too and this is the first, or not the first.
@@ -194,11 +184,11 @@ def judged_grams(rows: pa.Table) -> pa.Table:
     return answered(gs, buckets, [x.tobytes() for x in np.split(said, np.cumsum([x.shape[1] for x in asked])[:-1])])
 
 
-def judge_contexts(context: np.ndarray, doc: np.ndarray, g: np.ndarray) -> np.ndarray:
+def judge_contexts(context: np.ndarray, check: np.ndarray, doc: np.ndarray, g: np.ndarray) -> np.ndarray:
     """For each context of each group, whether others have it and whether this group is the first, by document and group."""
-    order = np.lexsort((g, doc, context))
+    order = np.lexsort((g, doc, check, context))
     new = np.ones(len(context), bool)
-    new[1:] = context[order][1:] != context[order][:-1]
+    new[1:] = (context[order][1:] != context[order][:-1]) | (check[order][1:] != check[order][:-1])
     size = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1]
     out = np.empty(len(context), np.uint8)
     out[order] = np.where(size == 1, _ALONE, np.where(new, _FIRST, _AFTER))
@@ -235,12 +225,13 @@ class _Parts:
             last.append(at + window - most)
             of_class.append(np.full(len(at), j, np.uint64))
         place, low, high, first, last, of_class = map(np.concatenate, (place, low, high, first, last, of_class))
-        prints = a.span_hash(np.concatenate([first, low]), np.concatenate([last, high + window]))
-        key = tb.mix(prints[: len(place)] + of_class * _KEY)
-        context = tb.mix(prints[len(place) :] + (place - low).astype(np.uint64))
-        order = np.lexsort((context, key))
+        raw = memoryview(np.ascontiguousarray(a.of.buf))
+        key = tb.mix(named(raw, first, last)[:, 0] + of_class * _KEY)
+        context, check = named(raw, low, high + window).T
+        context = tb.mix(context + (place - low).astype(np.uint64))
+        order = np.lexsort((check, context, key))
         new = np.ones(len(order), bool)
-        new[1:] = (key[order][1:] != key[order][:-1]) | (context[order][1:] != context[order][:-1])
+        new[1:] = (key[order][1:] != key[order][:-1]) | (context[order][1:] != context[order][:-1]) | (check[order][1:] != check[order][:-1])
         kind = np.cumsum(new) - 1
         asked, same = np.empty(len(order), np.int64), np.empty(len(order), bool)
         asked[order] = order[new][kind]
@@ -338,16 +329,6 @@ def nearest_earlier(between: np.ndarray, order: np.ndarray) -> np.ndarray:
     return best
 
 
-def verify(blobs: list[bytes]) -> None:
-    """Raises an error if one context fingerprint stands for different bytes (fingerprints, then digests, in each blob)."""
-    context = np.concatenate([np.frombuffer(x, "<u8", len(x) // 24) for x in blobs])
-    digest = np.concatenate([np.frombuffer(x, "<u8", -1, len(x) // 3).reshape(-1, 2) for x in blobs])
-    order = np.argsort(context, kind="stable")
-    context, digest = context[order], digest[order]
-    if ((context[1:] == context[:-1]) & (digest[1:] != digest[:-1]).any(axis=1)).any():
-        raise RuntimeError(CLASH)
-
-
 def repeats(gram: np.ndarray, right: np.ndarray, right_len: np.ndarray, left: np.ndarray, left_len: np.ndarray, window: int, earlier: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """For each context how far left and right of its anchor it is covered by repeats of ``window`` bytes.
 
@@ -438,7 +419,7 @@ def whole_words(start: np.ndarray, end: np.ndarray, word_start: np.ndarray, word
 
 def suffix_dedup(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 400, first_stays: bool = False, least_words: int = 0, passage: int | None = None, passage_words: int = 50,
-    with_text: bool = True, carry: tuple[str, ...] = (), split_above: int = 2000,
+    with_text: bool = True, carry: tuple[str, ...] = (), split_above: int = 2000, name_bits: int = 64,
 ) -> DataFrame:
     """Returns ``id_col, n_bytes, n_removed, n_spans, kept_sha256`` for each row, with ``passage``
     also ``n_passages, n_passage_bytes``, and with ``with_text`` also ``kept_text`` and ``spans``
@@ -454,13 +435,14 @@ def suffix_dedup(
     n_passages counts the runs of ``passage_words`` whole words or more in what strings of ``passage``
     bytes that stand more than once cover, first copies included; nothing is removed for them.
     The columns named in ``carry`` come along; a gram of more than ``split_above`` contexts is split.
+    ``name_bits`` cuts the first half of a context's name, which deals it; results do not depend on it.
 
     Cases: null and empty texts have no bytes; texts under ``window`` bytes lose nothing;
     rows that repeat (also in their id) count as documents of their own, in the order of their
     texts, so their texts go if long enough.  Null ids are allowed and come last.  An empty table
     gives an empty result.  A very long text is worked on whole.  Other columns of docs are ignored.
     """
-    rules = [Rule(window, first_stays)] + ([Rule(passage)] if passage else [])
+    rules = [Rule(window, first_stays, name_bits)] + ([Rule(passage, name_bits=name_bits)] if passage else [])
     if min(r.window for r in rules) < 2 * GRAM:
         raise ValueError(f"strings must have at least {2 * GRAM} bytes")
     texts, n_buckets = grouped(docs, id_col, text_col, carry)
@@ -480,11 +462,12 @@ def suffix_dedup(
         out = {}
         for k, a in enumerate(_Anchors.of_rules(rows, rules)):
             out |= {k * span + b: blob for b, blob in a.gram_ballots(n_buckets).items()}
-            context, first = np.unique(a.context, return_index=True)
-            order, to = deal(context, n_buckets)
-            columns = [context[order].astype("<u8")]
+            first = tb.unique_pairs(a.context, a.check)[0]
+            order, to = deal(a.context[first], n_buckets)
+            first = first[order]
+            columns = [a.context[first].astype("<u8"), a.check[first].astype("<u8")]
             if a.rule.first_stays:
-                columns.append(a.ids_at(a.place[first[order]]).astype("<i8"))
+                columns.append(a.ids_at(a.place[first]).astype("<i8"))
             out |= {k * span + n_buckets + b: b"".join(x[to[b] : to[b + 1]].tobytes() for x in columns) for b in range(n_buckets) if to[b] < to[b + 1]}
             of = a.of
         return sent(of.g, out)
@@ -494,29 +477,19 @@ def suffix_dedup(
         k, b = divmod(buckets[0], span)
         if b < n_buckets:
             return judged_grams(rows)
-        asked = [np.frombuffer(x, "<u8").reshape(1 + rules[k].first_stays, -1) for x in blobs]
+        asked = [np.frombuffer(x, "<u8").reshape(2 + rules[k].first_stays, -1) for x in blobs]
         sizes = [x.shape[1] for x in asked]
         both = np.concatenate(asked, axis=1)
-        doc = both[1].view(np.int64) if rules[k].first_stays else np.zeros(both.shape[1], np.int64)
-        said = judge_contexts(both[0], doc, np.repeat(gs, sizes))
+        doc = both[2].view(np.int64) if rules[k].first_stays else np.zeros(both.shape[1], np.int64)
+        said = judge_contexts(both[0], both[1], doc, np.repeat(gs, sizes))
         return answered(gs, buckets, [x.tobytes() for x in np.split(said, np.cumsum(sizes)[:-1])])
 
     def ask_contexts(rows: pa.Table, answers: pa.Table) -> pa.Table:
         out = {}
         for k, (a, got) in enumerate(zip(_Anchors.of_rules(rows, rules), by_rule(answers), strict=True)):
-            code, again = a.codes(got, n_buckets, split_above)
+            code = a.codes(got, n_buckets, split_above)
             out[_OWN * (k + 1) + a.of.g] = code.tobytes()
             p = _Parts(a, code)
-            # what counts as equal by its fingerprint is verified on its bytes: here, and between groups in the buckets
-            again = np.flatnonzero(again)
-            digest = a.digests(a.low[again], a.high[again] + a.window)
-            context, first, kind = np.unique(a.context[again], return_index=True, return_inverse=True)
-            stands = np.flatnonzero(p.asked != np.arange(len(p.asked)))
-            if (digest != digest[first[kind]]).any() or (a.digests(p.low[stands], p.high[stands] + a.window) != a.digests(p.low[p.asked[stands]], p.high[p.asked[stands]] + a.window)).any():
-                raise RuntimeError(CLASH)
-            order, to = deal(context, n_buckets)
-            context, digest = context[order].astype("<u8"), digest[first[order]]
-            out |= {k * span + n_buckets + b: context[to[b] : to[b + 1]].tobytes() + digest[to[b] : to[b + 1]].tobytes() for b in range(n_buckets) if to[b] < to[b + 1]}
             pick = np.unique(p.asked)
             order, to = deal(p.key[pick], n_buckets)
             pick = pick[order]
@@ -536,9 +509,6 @@ def suffix_dedup(
         gs, buckets, blobs = (rows.column(c).to_pylist() for c in ("g", "bucket", "blob"))
         if buckets[0] >= _OWN:
             return answered(gs, buckets, blobs)
-        if buckets[0] % span >= n_buckets:
-            verify(blobs)
-            return answered([], [], [])
         rule = rules[buckets[0] // span]
         kinds = ["<u8", "<i8", "<i8", "<u2", "<u2"] if rule.first_stays else ["<u8", "<u2", "<u2"]
         counts, fields = [], [[] for _ in range(len(kinds) + 1)]

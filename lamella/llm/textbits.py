@@ -241,6 +241,16 @@ def distinct(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndar
     return values, np.searchsorted(owner, np.arange(len(first)))
 
 
+def unique_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs (a[i], b[i]) in their order: the first place of each, which pair each place has, and how often each stands."""
+    order = np.lexsort((b, a))
+    new = np.ones(len(order), bool)
+    new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+    kind = np.empty(len(order), np.int64)
+    kind[order] = np.cumsum(new) - 1
+    return order[new], kind, np.bincount(kind, minlength=int(new.sum()))
+
+
 def segment_sum(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """The sum of values[first[i]:first[i+1]] for each i (0 where empty)."""
     sums = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])

@@ -239,6 +239,48 @@ def test_license_texts_of_many_licences(spark, width, mark):
     assert len({licence for licence, _ in rows}) >= 50
 
 
+THUE_MORSE = ["".join("ab"[(bin(k).count("1") + f) % 2] for k in range(1024)) for f in (0, 1)]
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    """A Thue-Morse word and its complement, alone, among equal words, as lines and as whole texts."""
+    a, b = THUE_MORSE
+    said = " ".join(f"w{i}" for i in range(19))
+    rows = [(1, a), (2, b), (3, f"{said} {a}"), (4, f"{said} {b}"), (5, f"{a}\n{b}"), (6, f"{a}\n{a}"), (7, f"{said} {a} end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    near = {r.doc_id: r.component_id for r in near_duplicates(docs).collect()}
+    assert near[1] == 1 and near[2] == 2
+    lines = {r.doc_id: r.n_dup_lines for r in quality_rules(docs).collect()}
+    assert lines[5] == 0 and lines[6] == 1
+    gone = {r.doc_id: r.n_removed for r in substring_dedup(docs).collect()}
+    assert gone[4] == 0 and gone[7] == 20 and gone[3] == 0
+    leaks = contained_items(docs, spark.createDataFrame([(1, f"{said} {a}")], "item_id long, text string"))
+    assert {(r.doc_id, r.n_shared) for r in leaks.collect()} == {(3, 16), (7, 16), (4, 15)}
+
+
+@pytest.mark.parametrize("bits", [0, 12])
+def test_names_that_share_a_half_are_told_apart(docs, bits):
+    plain = lambda df: sorted((r.doc_id or -1, r.n_removed, r.kept_sha256) for r in df.collect())
+    assert plain(substring_dedup(docs, name_bits=bits)) == plain(substring_dedup(docs))
+    for rule in ({}, {"first_stays": True, "split_above": 2}):
+        assert plain(suffix_dedup(docs, name_bits=bits, **rule)) == plain(suffix_dedup(docs, **rule))
+
+
+def test_near_duplicates_of_an_id_on_several_texts(spark):
+    said = lambda name, n=60: " ".join(f"{name}{i}" for i in range(n))
+    rows = [(1, said("a")), (1, said("b")), (2, said("a") + " x"), (3, said("b") + " y"), (4, said("c")), (4, said("d")), (5, said("d") + " z"), (6, said("e"))]
+    for order in (rows, rows[::-1]):
+        got = {(r.doc_id, r.component_id) for r in near_duplicates(spark.createDataFrame(order, "doc_id long, text string")).collect()}
+        assert got == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 6)}
+
+
+def test_substring_dedup_of_one_id_on_many_texts(spark):
+    said = lambda name: " ".join(f"{name}{i}" for i in range(30))
+    rows = [(7, f"{said('same')} {said(f't{k}')}") for k in range(40)] + [(1, said("own"))]
+    got = substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.n_removed for r in got) == [0, 0] + [30] * 39
+
+
 def test_substring_dedup(docs):
     rows = sorted(pairs_of(docs), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
     got = collections.defaultdict(list)

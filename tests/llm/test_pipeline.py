@@ -55,6 +55,18 @@ def test_near_duplicate_tells_texts_of_one_id_apart(spark, small):
     assert sorted(got, key=str) == [(1, "a"), (2, "b"), (None, "c")]
 
 
+def test_keys_are_those_of_different_rows(spark, monkeypatch):
+    rows = [(1, "a"), (1, "b"), (None, "a"), (None, None), (None, ""), (11, "|a"), (1, "1|a"), (2, None), (2, ""), (1, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for halved in (False, True):
+        if halved:  # first halves of four values only, so that rows must be told apart by the second ones
+            conv = F.conv
+            monkeypatch.setattr(F, "conv", lambda c, a, b: F.pmod(conv(c, a, b).cast("long"), F.when(F.lit("__sha, 1," in str(c)), 4).otherwise(1 << 62)))
+        got = corpus_pipeline.keyed(docs, "doc_id", "text").collect()
+        by_key = {r["__key"]: (r.doc_id, r.text) for r in got}
+        assert len(by_key) == len(set(rows)) and all(by_key[r["__key"]] == (r.doc_id, r.text) for r in got)
+
+
 def test_stages_and_columns(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     columns, kept = docs.columns, {}
