@@ -49,7 +49,7 @@ def keyed(docs: DataFrame, *names: str) -> DataFrame:
     shared = rows.groupBy("__key").agg(F.min("__other").alias("a"), F.max("__other").alias("z")).where("a <> z").select("__key", F.lit(True).alias("__shared"))
     shared = written(shared, "shared-keys")
     if n := shared.count():
-        rows = rows.join(F.broadcast(shared) if n <= FEW_KEYS else shared, "__key", "left").withColumn("__key", F.when("__shared", F.col("__other")).otherwise(F.col("__key"))).drop("__shared")
+        rows = rows.join(F.broadcast(shared) if n <= FEW_KEYS else shared, "__key", "left").withColumn("__key", F.when(F.col("__shared"), F.col("__other")).otherwise(F.col("__key"))).drop("__shared")
     return rows.drop("__other")
 
 

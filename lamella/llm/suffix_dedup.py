@@ -118,9 +118,10 @@ class _Anchors:
         return self.of.ids[np.searchsorted(self.of.offs, place, "right") - 1]
 
     def gram_ballots(self, n_buckets: int) -> dict[int, bytes]:
-        """For each bucket its grams, with their least and greatest context and the number of contexts."""
-        order = np.lexsort((self.context, self.gram))
-        g, c = self.gram[order], self.context[order]
+        """For each bucket its grams, with their least and greatest context (by the second half of its name,
+        which is enough among contexts of one gram) and the number of contexts."""
+        order = np.lexsort((self.check, self.gram))
+        g, c = self.gram[order], self.check[order]
         new_g, new_c = np.ones(len(g), bool), np.ones(len(g), bool)
         new_g[1:] = g[1:] != g[:-1]
         new_c[1:] = new_g[1:] | (c[1:] != c[:-1])
