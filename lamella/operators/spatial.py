@@ -6,7 +6,7 @@ square cells instead, so every join here is an equi-join on (image_id, cell).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import polygons as poly
@@ -24,7 +24,7 @@ def resolve(items: DataFrame, edges: DataFrame, most_rounds: int = 1000) -> Data
     waiting = lambda e: e.select(F.col("later").alias("id")).distinct()
     fresh = cut(items.select("id").join(waiting(left), "id", "left_anti"))
     kept = fresh
-    for _ in range(most_rounds):
+    for n in range(most_rounds):
         if not left.take(1):
             return kept
         dropped = cut(left.join(fresh.withColumnRenamed("id", "earlier"), "earlier", "left_semi").select(F.col("later").alias("id")).distinct())
@@ -32,6 +32,8 @@ def resolve(items: DataFrame, edges: DataFrame, most_rounds: int = 1000) -> Data
         # who waited, was not dropped and waits for nobody now is kept
         fresh = cut(waiting(left).join(dropped, "id", "left_anti").join(waiting(shorter), "id", "left_anti"))
         kept, left = kept.union(fresh), shorter
+        if (n + 1) % 20 == 0:
+            kept = cut(kept)  # so that the plan does not grow with the rounds
     raise RuntimeError(f"undecided after {most_rounds} rounds")
 
 
@@ -41,6 +43,7 @@ def _cell(v: Column, size: Column | float) -> Column:
 
 def conflict_edges(points: DataFrame) -> DataFrame:
     """(later, earlier) for points(id, image_id, rank, x, y, r): abs(dx) < r and abs(dy) < r with the later one's r.
+    ``rank`` is a number or a struct that tells the order; it is compared inside cells only, so no image is sorted.
 
     Cells are powers of two at least r wide; earlier points stand once in the grid of each
     class that their image has, later ones probe three by three cells of their own class.
@@ -60,14 +63,14 @@ def conflict_edges(points: DataFrame) -> DataFrame:
 def cross_tile_dedup(sections: DataFrame) -> DataFrame:
     """Greedy de-duplication in the order (tile_idx, area descending, mask_id): a section goes if a kept
     earlier one lies within half the root of its own area on both axes.  sections(image_id, mask_id, tile_idx, area, cx, cy)."""
-    rank = F.row_number().over(Window.partitionBy("image_id").orderBy("tile_idx", F.desc("area"), "mask_id"))
+    rank = F.struct("tile_idx", (-F.col("area")).alias("a"), "mask_id")
     points = cut(sections.select(F.col("mask_id").alias("id"), "image_id", rank.alias("rank"), F.col("cx").alias("x"), F.col("cy").alias("y"), (0.5 * F.sqrt(F.greatest("area", F.lit(1.0)))).alias("r")))
     kept = resolve(points, conflict_edges(points))
     return sections.join(kept.withColumnRenamed("id", "mask_id"), "mask_id", "left_semi")
 
 
 def overlap_edges(boxes: DataFrame, threshold: float, cell: float = 64.0) -> DataFrame:
-    """(later, earlier) for boxes(id, image_id, rank, x0, y0, x1, y1) with intersection over union above the threshold."""
+    """(later, earlier) for boxes(id, image_id, rank, x0, y0, x1, y1) with intersection over union above the threshold; rank as in ``conflict_edges``."""
     cells = lambda a, z: F.explode(F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(z) / cell)))
     spread = boxes.withColumn("gx", cells("x0", "x1")).withColumn("gy", cells("y0", "y1"))
     other = spread.select("image_id", "gx", "gy", F.col("id").alias("earlier"), F.col("rank").alias("er"), *[F.col(c).alias(f"e{c}") for c in ("x0", "y0", "x1", "y1")])
@@ -82,7 +85,7 @@ def overlap_edges(boxes: DataFrame, threshold: float, cell: float = 64.0) -> Dat
 
 def box_nms(masks: DataFrame, threshold: float = 0.7, order: str = "pred_iou") -> DataFrame:
     """Non-maximum suppression of boxes (cx, cy, w, h) by descending ``order``, then mask_id."""
-    rank = F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc(order), "mask_id"))
+    rank = F.struct((-F.col(order)).alias("o"), "mask_id")
     x0, y0 = F.col("cx") - F.col("w") / 2, F.col("cy") - F.col("h") / 2
     boxes = cut(masks.select(F.col("mask_id").alias("id"), "image_id", rank.alias("rank"), x0.alias("x0"), y0.alias("y0"), (x0 + F.col("w")).alias("x1"), (y0 + F.col("h")).alias("y1")))
     kept = resolve(boxes, overlap_edges(boxes, threshold))

@@ -1,22 +1,16 @@
 """Detection logs as streams: parsing, live sections, progress, debounced edits, throughput.
 
 Every function maps a DataFrame to a DataFrame and works on a stream as on a table; what
-needs state across batches uses watermarks, or ``applyInPandasWithState`` keyed by run.
+needs state across batches uses watermarks, or keyed state (``state``).
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from ..functions.lineage import cut
-from ..operators.spatial import conflict_edges, resolve
+from .log_files import growing_lines
+from .state import stream_edit_state as stream_edit_state
 
 SECTION = "struct<poly: array<array<double>>, area: double>"
 PAYLOAD = f"k long, n long, box array<long>, sections array<{SECTION}>"
@@ -25,13 +19,12 @@ GAPS = {"edit": "1500 milliseconds", "frame": "500 milliseconds", "hover": "60 m
 
 
 def log_source(spark: SparkSession, folder: str) -> DataFrame:
-    """A stream of lines(run_id, ts, line) from text files; run_id is the file's stem, or the value of its
-    folder where that is named ``run_id=..``; ts is the file's modification time."""
-    lines = spark.readStream.format("text").load(f"{folder.rstrip('/')}/*")
-    stem = F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "")
-    beneath = F.regexp_extract(F.col("_metadata.file_path"), r"/run_id=([^/]*)/[^/]*$", 1)
-    stem = F.when(beneath != "", beneath).otherwise(stem)
-    return lines.select(stem.alias("run_id"), F.col("_metadata.file_modification_time").alias("ts"), F.col("value").alias("line"))
+    """A stream of lines(run_id, ts, line) from text files, also of lines that are appended while the stream runs (``growing_lines``);
+    run_id is the file's stem, or the value of its folder where that is named ``run_id=..``; ts is the file's modification time."""
+    lines = growing_lines(spark, folder)
+    stem = F.regexp_replace(F.regexp_extract("path", "([^/]*)$", 1), r"\.[^.]*$", "")
+    beneath = F.regexp_extract("path", r"/run_id=([^/]*)/[^/]*$", 1)
+    return lines.select(F.when(beneath != "", beneath).otherwise(stem).alias("run_id"), F.col("modified").alias("ts"), F.col("value").alias("line"))
 
 
 def parse_log(lines: DataFrame) -> DataFrame:
@@ -67,8 +60,10 @@ def progress(events: DataFrame) -> DataFrame:
 
 
 def throughput(events: DataFrame, size: str = "1 minute", slide: str | None = None, lateness: str | None = "10 minutes") -> DataFrame:
-    """Tiles and sections per time window; late rows are dropped after ``lateness``."""
+    """Tiles and sections per time window; rows whose window ended ``lateness`` before the latest row are dropped.
+    On a stream ``observe`` counts the tiles that were seen, as ``seen`` under the name ``tiles``."""
     tiles = events.where("type = 'tile'")
+    tiles = tiles.observe("tiles", F.count("*").alias("seen")) if events.isStreaming else tiles
     tiles = tiles.withWatermark("ts", lateness) if lateness and events.isStreaming else tiles
     w = F.window("ts", size, slide) if slide else F.window("ts", size)
     firm = F.size(F.filter("sections", lambda s: F.size(s["poly"]) >= 3))
@@ -77,129 +72,20 @@ def throughput(events: DataFrame, size: str = "1 minute", slide: str | None = No
 
 def edit_debounce(edits: DataFrame, kind: str, lateness: str = "10 minutes") -> DataFrame:
     """One save per (image_id, burst of edits of this kind): the last value after a quiet gap.
-    edits(image_id, ts, seq, kind, value)."""
+    edits(image_id, ts, seq, kind, value).  On a stream ``observe`` counts the edits that were seen, as ``seen`` under the
+    name ``edits``; those whose gap was over ``lateness`` before the latest edit are dropped."""
     rows = edits.where(F.col("kind") == kind)
+    rows = rows.observe("edits", F.count("*").alias("seen")) if edits.isStreaming else rows
     rows = rows.withWatermark("ts", lateness) if edits.isStreaming else rows
     saved = rows.groupBy("image_id", F.session_window("ts", GAPS[kind]).alias("w")).agg(F.count("*").alias("n_edits"), F.max_by("value", "seq").alias("value"))
     return saved.select("image_id", F.col("w.start").alias("start"), "n_edits", "value")
 
 
-#: Folders by run of the sections that wait for their run's end.
-BUCKETS = 64
-KEPT = "run_id string, mask_id long, k long, x double, y double, area double"
-
-
-def stream_dedup(sections: DataFrame, silence_ms: int | None = None) -> DataFrame:
-    """Greedy de-duplication per run as tiles arrive.  sections(run_id, k, mask_id, x, y, area, last): ``last`` marks a row of the
-    run's last tile, or with a null k that the run failed.
-
-    State per run: kept centres, and tiles that came before their turn.  A tile is resolved once all
-    smaller k (from 0) are there, so rows may come in any order of tiles; a run is over after its last tile.
-    When it fails, or nothing comes for ``silence_ms`` where that is given, what is waiting is resolved in order:
-    partial results are kept, and the state of the run goes.  A stream with a silence never runs out of batches,
-    so it is for streams that follow a source, not for those that stop when it is read.
-    On a table the same rule is resolved by binned joins.
-    """
-    if not sections.isStreaming:
-        rank = F.row_number().over(Window.partitionBy("run_id").orderBy("k", F.desc("area"), "mask_id"))
-        points = cut(sections.where("mask_id is not null").select(F.struct("run_id", "mask_id").alias("id"), F.col("run_id").alias("image_id"), rank.alias("rank"), "x", "y", (0.5 * F.sqrt(F.greatest("area", F.lit(1.0)))).alias("r"), "k", "area"))
-        kept = points.join(resolve(points, conflict_edges(points)), "id", "left_semi")
-        return kept.select(F.col("image_id").alias("run_id"), "id.mask_id", "k", "x", "y", "area")
-    schema = "next_k long, end_k long, waiting string, kx array<double>, ky array<double>"
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut and not state.exists:
-            return
-        next_k, end_k, waiting, kx, ky = state.get if state.exists else (0, -1, "[]", [], [])
-        held = pd.read_json(_text(waiting), orient="records") if waiting != "[]" else pd.DataFrame()
-        rows = pd.concat([f for f in (held, *frames) if len(f)], ignore_index=True)
-        marks = rows[rows["last"].astype(bool)] if len(rows) else rows
-        failed = state.hasTimedOut or (bool(len(marks)) and bool(marks["k"].isna().any()))
-        end_k = int(max([end_k, *marks["k"].dropna()])) if len(marks) else end_k
-        kept, out = _Kept(kx, ky), []
-        have = set(rows["k"].dropna()) if len(rows) else set()
-        ready = []
-        while next_k in have:
-            ready.append(next_k)
-            next_k += 1
-        if failed:
-            ready = sorted(have)
-        ended = failed or 0 <= end_k < next_k
-        for k in ready:
-            tile = rows[(rows["k"] == k) & rows["mask_id"].notna()].sort_values(["area", "mask_id"], ascending=[False, True])
-            for r in tile.itertuples():
-                if kept.admits(r.x, r.y, 0.5 * math.sqrt(max(r.area, 1))):
-                    out.append((str(key[0]), int(r.mask_id), int(k), float(r.x), float(r.y), float(r.area)))
-        if ended:
-            state.remove()
-        else:
-            rest = rows[~rows["k"].isin(ready)] if len(rows) else rows
-            state.update((int(next_k), end_k, rest.to_json(orient="records") if len(rest) else "[]", kept.x, kept.y))
-            if silence_ms:
-                state.setTimeoutDuration(silence_ms)
-        yield pd.DataFrame(out, columns=["run_id", "mask_id", "k", "x", "y", "area"])
-
-    return sections.groupBy("run_id").applyInPandasWithState(step, KEPT, schema, "append", GroupStateTimeout.ProcessingTimeTimeout if silence_ms else GroupStateTimeout.NoTimeout)
-
-
-class _Kept:
-    """Centres of what a run keeps, in square cells, so that a new one is compared with its neighbourhood only."""
-
-    CELL = 64.0
-
-    def __init__(self, x: list[float], y: list[float]):
-        self.x, self.y, self.cells = list(x), list(y), {}
-        for i in range(len(self.x)):
-            self._enter(i)
-
-    def _enter(self, i: int) -> None:
-        self.cells.setdefault((self.x[i] // self.CELL, self.y[i] // self.CELL), []).append(i)
-
-    def admits(self, x: float, y: float, reach: float) -> bool:
-        """Keeps the centre if none is nearer than ``reach`` in both directions, and says so."""
-        cx, cy = (range(int((v - reach) // self.CELL), int((v + reach) // self.CELL) + 1) for v in (x, y))
-        wide = len(cx) * len(cy) > len(self.cells)
-        near = self.cells.values() if wide else (self.cells.get((float(a), float(b)), ()) for a in cx for b in cy)
-        if any(abs(x - self.x[i]) < reach and abs(y - self.y[i]) < reach for cell in near for i in cell):
-            return False
-        self.x.append(float(x))
-        self.y.append(float(y))
-        self._enter(len(self.x) - 1)
-        return True
-
-
-def _text(s: str):  # noqa: ANN202
-    import io
-
-    return io.StringIO(s)
-
-
-def stream_edit_state(edits: DataFrame) -> DataFrame:
-    """Live state of edits(image_id, key, seq, op, value): the last event per key; removed keys are filtered on reading.
-    On a stream use the update or complete mode."""
-    last = edits.groupBy("image_id", "key").agg(F.max_by(F.struct("op", "value"), "seq").alias("e"))
-    return last.select("image_id", "key", "e.op", "e.value", (F.col("e.op") != "remove").alias("present"))
-
-
-def finalize_ended(path: str, finalize):  # noqa: ANN001, ANN201
-    """A ``foreachBatch`` function: runs that end in this batch (done or error) are finalised from all that
-    arrived, and written under run_id, so that a repeated batch overwrites its own rows only.
-
-    The batch is a table of events; sections of earlier batches are kept under ``path``/raw in BUCKETS
-    folders by run, of which only those with ended runs are read.
-    """
-
-    def run(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        rows = live_sections(batch).withColumn("mask_id", F.xxhash64("run_id", "k", "idx"))
-        bucket = F.pmod(F.xxhash64("run_id"), F.lit(BUCKETS)).cast("int").alias("bucket")
-        rows.select("*", F.lit(epoch).alias("epoch"), bucket).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "epoch").parquet(f"{path}/raw")
-        ended = batch.where("type in ('done', 'error')").select("run_id", bucket).distinct()
-        touched = [r["bucket"] for r in ended.select("bucket").distinct().collect()]  # at most BUCKETS
-        if not touched:
-            return
-        raw = spark.read.schema(StructType([*rows.schema.fields, StructField("epoch", LongType()), StructField("bucket", IntegerType())])).parquet(f"{path}/raw")
-        everything = raw.where(F.col("bucket").isin(touched)).join(ended.select("run_id"), "run_id", "left_semi").drop("bucket")
-        finalize(everything).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(f"{path}/final")
-
-    return run
+def run_events(events: DataFrame) -> DataFrame:
+    """Rows for ``ended_runs`` of ``parse_log``'s events: the live sections of each run, and a row with ``ended`` when it is done or fails."""
+    rows = events.where("type in ('tile', 'done', 'error')")
+    found = F.when(F.col("type") == "tile", F.col("sections")).otherwise(F.array(F.lit(None).cast(SECTION)))
+    each = rows.select("run_id", "type", "k", F.posexplode(found).alias("idx", "s")).where((F.col("type") != "tile") | (F.size("s.poly") >= 3))
+    ended = F.col("type") != "tile"
+    mask = F.when(~ended, F.xxhash64("run_id", "k", "idx"))
+    return each.select("run_id", ended.alias("ended"), mask.alias("mask_id"), F.when(~ended, F.col("k")).alias("k"), F.round("s.area", 1).alias("area"))

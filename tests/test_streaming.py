@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lamella.plans.fixtures import Fixtures
-from lamella.streaming import logs
+from lamella.streaming import log_files, logs, state, tables
+from lamella.streaming.counts import ObservedCounts
 
 LINES = [
     (1, "STIM_TILES [[0, 0, 5, 5]]"), (2, 'STIM_TILESTART {"k": 1, "n": 2, "box": [0, 0, 5, 5]}'),
@@ -22,7 +23,8 @@ def run(spark, df, out, parts, path, mode="append"):
     df.repartitionByRange(parts, df.columns[0]).sortWithinPartitions(*df.columns).write.parquet(f"{path}/in")
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
     name = f"t{abs(hash(str(path)))}"
-    q = out(stream).writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", f"{path}/check").start()
+    with state.keyed_state(spark):
+        q = out(stream).writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", f"{path}/check").start()
     q.processAllAvailable()
     q.stop()
     return spark.table(name)
@@ -49,15 +51,15 @@ def test_stream_dedup_equals_the_table(spark, small, tmp_path, parts):
     runs = rows.select("run_id").distinct()
     every = runs.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(8)))).select(F.col("k").cast("long").alias("k"), "run_id", F.lit(None).cast("long").alias("mask_id"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("area"), (F.col("k") == 8).alias("last"))  # every tile is told
     both = rows.union(every)
-    want = {(r.run_id, r.mask_id) for r in logs.stream_dedup(rows).collect()}
-    got = {(r.run_id, r.mask_id) for r in run(spark, both, logs.stream_dedup, parts, tmp_path).collect()}
+    want = {(r.run_id, r.mask_id) for r in state.stream_dedup(rows).collect()}
+    got = {(r.run_id, r.mask_id) for r in run(spark, both, state.stream_dedup, parts, tmp_path).collect()}
     assert got == want and want
 
 
 def test_stream_dedup_keeps_what_a_failed_run_has(spark, tmp_path):
     rows = [(2, "r", 1, 0.0, 0.0, 100.0, False), (0, "r", 2, 50.0, 50.0, 100.0, False), (2, "r", 3, 1.0, 1.0, 90.0, False), (None, "r", None, 0.0, 0.0, 0.0, True)]
     df = spark.createDataFrame(rows, "k long, run_id string, mask_id long, x double, y double, area double, last boolean")
-    got = run(spark, df, logs.stream_dedup, 1, tmp_path).collect()
+    got = run(spark, df, state.stream_dedup, 1, tmp_path).collect()
     assert sorted(r.mask_id for r in got) == [1, 2]
 
 
@@ -70,19 +72,125 @@ def test_debounce_gaps(spark, tmp_path):
     assert sorted((r.n_edits, r.value) for r in got) == [(1, "v2"), (1, "v3"), (2, "v1")]
 
 
-def test_finalize_keeps_partial_results(spark, tmp_path):
-    done = finalize = logs.finalize_ended(str(tmp_path / "out"), lambda df: df.groupBy("run_id").agg(F.count("*").alias("n")))
-    events = logs.parse_log(lines(spark))
-    finalize(events.where("type = 'tile' and k = 1"), 0)
-    done(events.where("type = 'done'"), 1)
-    done(events.where("type = 'done'"), 1)  # a repeated batch
-    assert [(r.run_id, r.n) for r in spark.read.parquet(str(tmp_path / "out" / "final")).collect()] == [("r", 1)]
-
-
-def test_throughput_and_edit_state_on_a_stream(spark, tmp_path):
+def follow(spark, stream, path, batch=None, mode="append"):
+    """What a stream gives until its source is read; called again it goes on."""
+    with state.keyed_state(spark):
+        w = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/check").trigger(availableNow=True)
+        q = w.foreachBatch(batch).start() if batch else w.format("parquet").option("path", f"{path}/out").start()
+        q.awaitTermination()
+    return q
+
+
+def test_lines_of_growing_files_come_once(spark, tmp_path):
+    folder = tmp_path / "in"
+    (folder / "run_id=r7").mkdir(parents=True)
+    log, other = folder / "run_id=r7" / "a.log", folder / "b.log"
+    told = lambda: sorted((r.run_id, r.line) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    want = []
+
+    def step(*new):
+        follow(spark, logs.log_source(spark, str(folder)).drop("ts"), tmp_path)
+        want.extend(new)
+        assert told() == sorted(want)
+
+    log.write_text("one\ntwo\nthr")
+    step(("r7", "one"), ("r7", "two"))
+    with log.open("a") as f:
+        f.write("ee\n\nfour é\n")
+    other.write_text("no line yet")
+    (folder / "_hidden.log").write_text("x\n")
+    step(("r7", "three"), ("r7", ""), ("r7", "four é"))
+    step()
+    log.write_text("anew\n")  # started anew, shorter
+    with other.open("a") as f:
+        f.write(", now\n")
+    step(("r7", "anew"), ("b", "no line yet, now"))
+    log.write_text("other bytes, and longer than before\n" * 3)
+    step(*[("r7", "other bytes, and longer than before")] * 3)
+    other.unlink()
+    step()
+
+
+@pytest.mark.parametrize("size", [1, 3, 7, 64])
+def test_pieces_of_a_file_share_its_lines(tmp_path, size):
+    path = tmp_path / "x.log"
+    lines = ["", "a", "bb" * 9, "", "ccc", "dé" * 4]
+    path.write_text("\n".join(lines) + "\nhalf")
+    reader = log_files.GrowingReader(str(tmp_path), size)
+    end = reader.latestOffset()
+    got = [v for p in reader.partitions({}, end) for b in reader.read(p) for v in b.column("value").to_pylist()]
+    assert got == lines and end["x.log"]["end"] == path.stat().st_size - 4
+    assert reader.partitions(end, end) == []
+
+
+def test_ended_runs_are_finalised_once_and_leave_the_state(spark, tmp_path):
+    schema = "run_id string, ended boolean, mask_id long, area double"
+    parts = [[("a", False, 1, 5.0), ("b", False, 2, None)], [("a", False, 3, 1.0)], [("a", True, None, None), ("c", True, None, None)], [("a", False, 4, 2.0), ("b", False, 5, 1.0)], [("b", True, None, None)]]
+    path, seen = str(tmp_path / "t"), []
+
+    def finalize(rows):
+        seen.append(sorted((r.run_id, r.mask_id, r.area) for r in rows.collect()))
+        return rows.groupBy("run_id").agg(F.count("*").alias("n"))
+
+    put = tables.finalize_into(path, finalize)
+    for k, rows in enumerate(parts):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        q = follow(spark, state.ended_runs(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))), tmp_path, put)
+        held = [o["numRowsTotal"] for p in q.recentProgress for o in p["stateOperators"]]
+        assert not held or held[-1] <= 4
+    assert seen == [[("a", 1, 5.0), ("a", 3, 1.0)], [("b", 2, None), ("b", 5, 1.0)]]
+    assert sorted((r.run_id, r.n) for r in tables.read_epochs(spark, f"{path}/final", "run_id string, n long").collect()) == [("a", 2), ("b", 2)]
+    assert [(r.run_id, r.mask_id) for r in tables.read_epochs(spark, f"{path}/late", "run_id string, mask_id long, area double").collect()] == [("a", 4)]
+    again = spark.createDataFrame([("a", 1, 5.0, False), ("a", 3, 1.0, False)], "run_id string, mask_id long, area double, late boolean")
+    put(again, 2)  # a repeated batch
+    assert tables.read_epochs(spark, f"{path}/final", "run_id string, n long").count() == 2
+
+
+def test_run_events_of_a_log(spark):
+    rows = logs.run_events(logs.parse_log(lines(spark))).collect()
+    assert sorted((r.ended, r.k, r.area) for r in rows if not r.ended) == [(False, 1, 0.5)] and [r.mask_id for r in rows if r.ended] == [None]
+
+
+def test_upserts_survive_repeated_batches_and_merges(spark, tmp_path):
+    path, schema = str(tmp_path / "t"), "k long, v string"
+    put = tables.upsert_into(path, ["k"], gone=F.col("v") == "gone", every=2)
+    batches = [[(1, "a"), (2, "b")], [(2, "c"), (3, "gone")], [(1, "d")], [(4, "e"), (2, None)], [(5, "f")]]
+    table = {}
+    for epoch, rows in enumerate(batches):
+        table |= dict(rows)
+        for _ in range(2):
+            put(spark.createDataFrame(rows, schema), epoch)
+        want = {k: v for k, v in table.items() if v != "gone"}
+        assert {r.k: r.v for r in tables.upserted(spark, path, spark.createDataFrame([], schema).schema, ["k"]).collect()} == (want if epoch else table)
+    assert len(tables._folders(spark, f"{path}/changes")) < len(batches)
+    assert tables.upserted(spark, str(tmp_path / "none"), spark.createDataFrame([], schema).schema, ["k"]).count() == 0
+
+
+def test_edit_state_forgets_what_was_removed(spark, tmp_path):
+    schema = "image_id long, key long, seq long, op string, value string, ts timestamp"
+    parts = [[(1, 5, 1, "add", "a", 10), (1, 6, 2, "add", "b", 11)], [(1, 5, 3, "remove", None, 20), (1, 6, 1, "add", "old", 12)], [(2, 1, 4, "add", "c", 5000)], [(2, 1, 5, "add", "d", 9000)]]
+    put, held = tables.upsert_into(str(tmp_path / "t"), ["image_id", "key"], "seq"), []
+    for rows in parts:
+        df = spark.createDataFrame(rows, schema.replace("ts timestamp", "s long")).selectExpr("image_id", "key", "seq", "op", "value", "timestamp_seconds(s) as ts")
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        live = state.stream_edit_state(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")))
+        q = follow(spark, live, tmp_path, put, "update")
+        held += [o["numRowsTotal"] for p in q.recentProgress for o in p["stateOperators"]]
+    rows = tables.upserted(spark, str(tmp_path / "t"), live.schema, ["image_id", "key"], "seq").collect()
+    assert sorted((r.image_id, r.key, r.value, r.present) for r in rows) == [(1, 5, None, False), (1, 6, "b", True), (2, 1, "d", True)]
+    assert max(held) >= 3 and held[-1] < max(held)  # 1/5 is forgotten
+
+
+def test_counts_of_a_stream_are_heard(spark, tmp_path):
+    spark.range(7).write.parquet(str(tmp_path / "in"))
+    heard = ObservedCounts("rows")
+    spark.streams.addListener(heard)
+    q = follow(spark, spark.readStream.schema("id long").parquet(str(tmp_path / "in")).observe("rows", F.count("*").alias("seen")), tmp_path)
+    heard.wait(q.runId)
+    spark.streams.removeListener(heard)
+    assert heard.sums["seen"] == 7
+
+
+def test_throughput_on_a_stream(spark, tmp_path):
     got = run(spark, lines(spark), lambda s: logs.throughput(logs.parse_log(s)), 1, tmp_path, mode="complete").collect()
     assert [(r.tiles, r.sections) for r in got] == [(2, 1)]
-    (tmp_path / "b").mkdir()
-    df = spark.createDataFrame([(1, 5, 1, "add", "a"), (1, 5, 2, "remove", None), (1, 6, 3, "add", "b")], "image_id long, key long, seq long, op string, value string")
-    rows = run(spark, df, logs.stream_edit_state, 1, tmp_path / "b", mode="complete").collect()
-    assert sorted((r.key, r.present) for r in rows) == [(5, False), (6, True)]
