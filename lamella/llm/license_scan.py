@@ -43,7 +43,9 @@ SENTENCES: list[tuple[str, str]] = [
     ("bsd-grant", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
     ("bsd-source", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
     ("bsd-binary", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
-    ("bsd-endorse", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("bsd-endorse", "Neither the name of <...> nor the names of <...> may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("bsd-endorse", "The name of <...> may not be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("bsd-endorse", "The names of <...> may not be used to endorse or promote products derived from this software without specific prior written permission."),
     ("gpl3-line", "This work is licensed under the GNU General Public License, version 3."),
     ("gpl-grant", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("gpl2-grant", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
@@ -233,6 +235,36 @@ def normalise(sentence: str) -> str:
     return " ".join(re.findall(r"[a-z0-9]+(?:\.[0-9]+)*(?:(?<=[0-9])\+)?", re.sub("[A-Z]", lambda m: m[0].lower(), sentence)))
 
 
+#: An open place in a sentence: from one to OPEN_WORDS words of any kind stand there (a holder's name).
+OPEN, OPEN_WORDS = "<...>", 12
+
+
+class Known(dict):
+    """Normal forms of known sentences and their identifiers; those with open places are found by what stands around them."""
+
+    def __init__(self, sentences: list[tuple[str, str]]):
+        super().__init__((normalise(s), name) for name, s in sentences if OPEN not in s)
+        self.patterns = [([normalise(x).split() for x in s.split(OPEN)], name) for name, s in sentences if OPEN in s]
+        self.most = max([len(x.split()) for x in self] + [sum(map(len, parts)) + OPEN_WORDS * (len(parts) - 1) for parts, _ in self.patterns], default=0)
+
+    def __missing__(self, said: str) -> str | None:
+        words = said.split()
+        return next((name for parts, name in self.patterns if fits(words, parts)), None)
+
+    def __contains__(self, said: object) -> bool:
+        return self[said] is not None
+
+
+def fits(words: list[str], parts: list[list[str]]) -> bool:
+    """Whether the words are the parts in their order, with 1 to OPEN_WORDS others between two of them."""
+    if words[: len(parts[0])] != parts[0]:
+        return False
+    if len(parts) == 1:
+        return len(words) == len(parts[0])
+    rest = words[len(parts[0]) :]
+    return any(fits(rest[k:], parts[1:]) for k in range(1, min(OPEN_WORDS, len(rest)) + 1))
+
+
 _sentences, _rules = named_lines()
 SENTENCES += _sentences
 RULES += _rules
@@ -240,9 +272,9 @@ RULES += _rules
 
 def split_sentences(text: str, known: Container[str] | None = None) -> list[str]:
     """The text's known sentences (those of ``SENTENCES`` by default), and the pieces between them."""
-    known = {normalise(s) for _, s in SENTENCES} if known is None else known
+    known = Known(SENTENCES) if known is None else known
     pieces, out, k = re.split(r"(?<=[.!?;:)])(?=[\x20\x09\x0B-\x0D])|(?<=\n)", text), [], 0
-    most = max((len(s.split()) for s in known), default=0)
+    most = known.most if isinstance(known, Known) else max((len(s.split()) for s in known), default=0)
     while k < len(pieces):
         end, _ = longest_known(k, len(pieces), lambda j: normalise(pieces[j]), lambda j: not j or pieces[j - 1].endswith("\n"), known, most)
         out.append("".join(pieces[k:end]))
@@ -311,13 +343,13 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     looked up first, and what fits is normalised and compared in full.
 
     Cases: null and empty texts, and texts without known sentences, have empty lists and
-    false.  Repeated rows and null ids have results like any other row.  An empty table gives an
+    false.  A very long text is scanned whole.  Repeated rows and null ids have results like any other row.  An empty table gives an
     empty result.  Other columns are ignored.
     """
-    table = {normalise(s): name for name, s in (SENTENCES if sentences is None else sentences)}
-    ordered = RULES if rules is None else rules
-    most = max((len(s.split()) for s in table), default=0)
-    openings = {n: np.unique(_openings([s for s in table if min(2, len(s.split())) == n], n)) for n in (1, 2)}
+    table = Known(SENTENCES if sentences is None else sentences)
+    ordered, most = RULES if rules is None else rules, table.most
+    begin = [*table, *(" ".join(parts[0]) for parts, _ in table.patterns)]  # an open place comes after two words or more
+    openings = {n: np.unique(_openings([s for s in begin if min(2, len(s.split())) == n], n)) for n in (1, 2)}
     kinds = "id long, n_known_sentences long, sentence_ids array<string>, licenses array<string>, restricted boolean, matches array<struct<license: string, first: long, last: long>>"
     match_type = pa.list_(pa.struct([("license", pa.string()), ("first", pa.int64()), ("last", pa.int64())]))
 

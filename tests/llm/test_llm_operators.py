@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lamella.llm import ballots, components, shared
 from lamella.llm.decontaminate import ItemBlock, contained_items
 from lamella.llm.language_id import BUCKETS, PRIOR, fit_on, identify
-from lamella.llm.license_scan import NAMES, RULES, SENTENCES, license_scan, normalise, split_sentences
+from lamella.llm.license_scan import NAMES, RULES, Known, SENTENCES, license_scan, normalise, split_sentences
 from lamella.llm.near_dedup import near_duplicates
 from lamella.llm.packing import pack
 from lamella.llm.quality_rules import quality_rules
@@ -185,7 +185,7 @@ def test_quality_rules_fail_long_repeats(spark):
 
 
 def test_license_scan(docs):
-    known = {normalise(s): n for n, s in SENTENCES}
+    known = Known(SENTENCES)
     by_id = {r.doc_id: r for r in license_scan(docs).collect()}
     for i, t in pairs_of(docs):
         want = [known[normalise(s)] for s in split_sentences(t or "") if normalise(s) in known]
@@ -193,7 +193,7 @@ def test_license_scan(docs):
 
 
 def test_license_rules_in_order(spark):
-    text = dict(SENTENCES)
+    text = {name: said.replace("<...>", "the copyright holder") for name, said in SENTENCES}
     mit = "\n".join(text[k] for k in ("mit-grant", "mit-notice", "mit-warranty"))
     docs = spark.createDataFrame([(1, "MIT License\n\n" + mit), (2, text["mit-warranty"]), (3, text["bsd-grant"] + " * " + text["bsd-source"] + "\n" + text["bsd-binary"] + " " + text["bsd-endorse"]), (4, "See the GNU General Public License for more details."), (5, "Licensed under CC BY-NC 4.0. And more.")], "doc_id long, text string")
     rows = {r.doc_id: r for r in license_scan(docs).collect()}
@@ -204,7 +204,7 @@ def test_license_rules_in_order(spark):
 
 @pytest.mark.parametrize("mark", ["", " * ", "# ", "// "])
 def test_license_headers_wrapped_over_lines(spark, mark):
-    text = dict(SENTENCES)
+    text = {name: said.replace("<...>", "the copyright holder") for name, said in SENTENCES}
     said = lambda *names: " ".join(text[k] for k in names)
     headers = [
         ("GPL-3.0-or-later", [said("gpl-grant"), said("gpl-hope", "gpl-see")]),
@@ -229,7 +229,7 @@ def test_license_texts_of_many_licences(spark, width, mark):
     for name, said in SENTENCES:
         text[name].append(said)
     wanted = {licence: need for licence, _, need in reversed(RULES) if not need[0].startswith("line:")}
-    rows = [(licence, " ".join(text[k][0] for k in need)) for licence, need in wanted.items()]
+    rows = [(licence, " ".join(text[k][0].replace("<...>", "the copyright holder") for k in need)) for licence, need in wanted.items()]
     rows += [(licence, line) for licence, _, names in NAMES for line in [f"SPDX-License-Identifier: {licence}", *names[:1]]]
     rows += [("MPL-2.0", "Licensed under the Mozilla Public License 2.0."), ("LGPL-2.1-only", "This project is licensed under the GNU Lesser General Public License v2.1.")]
     wrap = lambda t: textwrap.wrap(t, width) if width else [t]
@@ -239,6 +239,22 @@ def test_license_texts_of_many_licences(spark, width, mark):
     assert len({licence for licence, _ in rows}) >= 50
 
 
+@pytest.mark.parametrize("holder", ["the copyright holder", "Google Inc.", "Example University, its Regents", "<ORGANIZATION>", "A. B. van der Holder & Co"])
+def test_license_names_have_open_places(spark, holder):
+    text = collections.defaultdict(list)
+    for name, said in SENTENCES:
+        text[name].append(said)
+    body = [text[k][0] for k in ("bsd-grant", "bsd-source", "bsd-binary")]
+    end = "to endorse or promote products derived from this software without specific prior written permission."
+    rows = [
+        (1, [f"Neither the name of {holder} nor the names of its contributors may be used {end}"], "BSD-3-Clause"), (2, [f"The name of {holder} may not be used {end}"], "BSD-3-Clause"),
+        (3, [f"Neither the name of {holder} nor the names of contributors may be used {end}"], "BSD-3-Clause"), (4, [], "BSD-2-Clause"), (5, [f"Neither the name of {'x ' * 40} nor the names of its contributors may be used {end}"], "BSD-2-Clause"),
+    ]
+    docs = spark.createDataFrame([(i, "\n".join(textwrap.wrap(" ".join(body + more), 70))) for i, more, _ in rows], "doc_id long, text string")
+    got = {r.doc_id: r.licenses for r in license_scan(docs).collect()}
+    assert got == {i: [want] for i, _, want in rows}
+
+
 THUE_MORSE = ["".join("ab"[(bin(k).count("1") + f) % 2] for k in range(1024)) for f in (0, 1)]
 
 
