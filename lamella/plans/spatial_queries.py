@@ -242,7 +242,7 @@ GREEDY = "with recursive " + SIM + """, sums as (select image_id, i, round(sum(s
 
 @query("order_greedy", GREEDY + " select image_id, position, section_id from g")
 def order_greedy(fx):
-    return ordering.order_greedy(ordering.similarity_pairs(fx.thumbs))
+    return ordering.order_greedy(fx.thumbs)
 
 
 @query("order_sections", GREEDY + " select image_id, position, section_id from g")
@@ -264,4 +264,4 @@ def order_quality(fx):
 
 @query("order_spectral")
 def order_spectral(fx):
-    return ordering.order_sections(fx.thumbs, "spectral")[0]
+    return ordering.order_spectral(fx.thumbs).select("image_id", "position", "section_id", (F.col("residual") < 1e-6).alias("settled"))

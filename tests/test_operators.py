@@ -102,7 +102,7 @@ def test_ordering_handles_one_and_two_sections_nan_and_constant(spark):
     thumbs = spark.createDataFrame(rows, "image_id long, section_id long, vec array<double>")
     assert ordering.thumb_normalise(thumbs.where("image_id = 3 and section_id = 1")).first().vec == [0.0, 0.0]
     order, sim = ordering.order_sections(thumbs)
-    assert order.count() == 6 and ordering.order_spectral(sim).count() == 6
+    assert order.count() == 6 and ordering.order_spectral(thumbs).count() == 6
     with pytest.raises(ValueError):
         ordering.order_sections(thumbs, "other")
 
