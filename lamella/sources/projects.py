@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import polygons as poly
+from .named_files import write_named
 
 LAYERS = ("sections", "fiducials", "raw_sections", "calibration_examples")
 DOCUMENT = "image string, sections array<array<array<double>>>, fiducials array<array<double>>, raw_sections array<array<array<double>>>, calibration_examples array<array<array<double>>>"
@@ -59,6 +60,11 @@ def project_write(rows: DataFrame) -> DataFrame:
     return packed.select("image_id", F.to_json(F.struct(F.col("image_id").cast("string").alias("image"), *LAYERS)).alias("json"))
 
 
+def write_projects(documents: DataFrame, path: str) -> None:
+    """A project file ``<image_id>_stim_project.json`` for each of documents(image_id, json), all or none."""
+    write_named(documents, "image_id", "json", path, "_stim_project.json")
+
+
 def session_restore(images: DataFrame, projects: DataFrame, annotations: DataFrame, legacy: DataFrame) -> DataFrame:
     """Per image the rows(image_id, kind, idx, polygon) of the first source that qualifies: a project with
     sections, else annotations of a slide with geometry (sections or fiducials), else legacy rows with sections.
