@@ -258,8 +258,7 @@ def apply_order(fx):
 
 @query("order_quality", GREEDY + ", st as (select image_id, section_id as j, lag(section_id) over (partition by image_id order by position) as i from g) select st.image_id, round(avg(s), 6) as quality from st left join sim on sim.image_id = st.image_id and sim.i = st.i and sim.j = st.j group by st.image_id")
 def order_quality(fx):
-    order, sim = ordering.order_sections(fx.thumbs)
-    return ordering.order_quality(order, sim).withColumn("quality", F.round("quality", 6))
+    return ordering.order_quality(ordering.order_greedy(fx.thumbs), fx.thumbs).withColumn("quality", F.round("quality", 6))
 
 
 @query("order_spectral")

@@ -82,3 +82,14 @@ def test_orders_of_empty_tables_and_odd_rows(spark):
     odd = spark.createDataFrame([(1, 1, None), (1, 2, [1.0]), (1, 3, []), (1, None, [1.0]), (None, 1, [1.0])], "image_id long, section_id long, vec array<double>")
     assert [r.section_id for r in ordering.order_greedy(odd).orderBy("position").collect()] == [1, 2, 3]
     assert ordering.order_spectral(odd).count() == 3
+
+
+def test_quality_is_the_mean_of_neighbours_only(spark):
+    images = {1: series(9, 12), 2: ([3], series(1, 1)[1])}
+    thumbs = table(spark, images)
+    order = ordering.order_greedy(thumbs)
+    got = {r.image_id: r.quality for r in ordering.order_quality(order, thumbs).collect()}
+    ids, m = images[1]
+    rows = dict(zip(ids.tolist(), unit(m), strict=True))
+    path = sequential(ids, m)
+    assert got[2] is None and abs(got[1] - np.mean([rows[a] @ rows[b] for a, b in zip(path, path[1:], strict=False)])) < 1e-9
