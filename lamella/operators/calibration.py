@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import polygons as poly
+from .ranks import at_share, running
 
 #: Fixed values of the calibration rule.
 RESOLVE_PX, SAM_PX, TARGET_POINTS = 24.0, 1024.0, 2.0
@@ -87,9 +88,12 @@ def calibration_summary(calibrated: DataFrame) -> DataFrame:
 def contrast_cuts(pixels: DataFrame, low: float = 0.01, high: float = 0.995) -> DataFrame:
     """Cuts (lo, hi) per image at two exact percentiles.  If hi reaches the maximum, it is taken among
     the smaller values, if there are any; if hi does not exceed lo, it is lo + 1."""
-    first = pixels.groupBy("image_id").agg(F.percentile("v", low).alias("lo"), F.percentile("v", high).alias("hi"), F.max("v").alias("top"))
-    below = pixels.join(first, "image_id").where("v < top").groupBy("image_id").agg(F.percentile("v", high).alias("hi2"))
-    rows = first.join(below, "image_id", "left").withColumn("hi", F.when((F.col("hi") >= F.col("top")) & F.col("hi2").isNotNull(), F.col("hi2")).otherwise(F.col("hi")))
+    counts = pixels.where(F.col("v").isNotNull()).groupBy("image_id", "v").agg(F.count("*").alias("n"))
+    ranked, under = running(counts, ["v"], "n"), F.col("total") - F.col("n_top")
+    tops = ranked.where(F.col("before") + F.col("n") == F.col("total")).select("image_id", F.col("v").alias("top"), F.col("n").alias("n_top"))
+    cut_at = lambda share, total: at_share(share, "v", "before", "n", total)
+    rows = ranked.join(tops, "image_id").groupBy("image_id").agg(F.max("top").alias("top"), cut_at(low, F.col("total")).alias("lo"), cut_at(high, F.col("total")).alias("hi"), cut_at(high, under).alias("hi2"))
+    rows = rows.withColumn("hi", F.when((F.col("hi") >= F.col("top")) & F.col("hi2").isNotNull(), F.col("hi2")).otherwise(F.col("hi")))
     return rows.select("image_id", "lo", F.when(F.col("hi") <= F.col("lo"), F.col("lo") + 1).otherwise(F.col("hi")).alias("hi"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import polygons as poly
+from .ranks import percentiles, running
 
 
 def quality_gate(masks: DataFrame, iou: float = 0.7, stability: float = 0.92) -> DataFrame:
@@ -38,7 +39,7 @@ def size_band(masks: DataFrame, bands: DataFrame) -> DataFrame:
 
 def median_band(masks: DataFrame, low: float = 0.2, high: float = 5.0) -> DataFrame:
     """Keeps areas in [low, high] x the image's median area."""
-    middle = masks.groupBy("image_id").agg(F.percentile("area", 0.5).alias("median_area"))
+    middle = percentiles(masks, "area", {"median_area": 0.5})
     return masks.join(middle, "image_id").where(F.col("area").between(low * F.col("median_area"), high * F.col("median_area"))).drop("median_area")
 
 
@@ -65,7 +66,7 @@ def filter_funnel(masks: DataFrame, bands: DataFrame, kept: DataFrame) -> DataFr
 
 def masks_by_area(masks: DataFrame) -> DataFrame:
     """Adds the position (0, 1, ..) of each mask by descending area."""
-    return masks.withColumn("position", (F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("area"), "mask_id")) - 1).cast("long"))
+    return running(masks, [F.desc("area"), F.col("mask_id")]).withColumnRenamed("before", "position").drop("total")
 
 
 def section_ids(masks: DataFrame, order: str = "mask_id") -> DataFrame:
