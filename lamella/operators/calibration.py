@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import polygons as poly
+from ..functions.lineage import cut
 from .ranks import at_share, running
 
 #: Fixed values of the calibration rule.
@@ -24,7 +25,15 @@ def calibrate(examples: DataFrame, settings: DataFrame) -> DataFrame:
     ov_given null: the overview is chosen; caps and host columns may be null.  An image
     without usable examples has n_examples 0, error true and nulls.
     """
-    sized = examples.select("image_id", poly.area("polygon").alias("a"), poly.minor_axis("polygon").alias("m")).where("a > 0")
+    return _calibrated(_sized(examples), settings)
+
+
+def _sized(examples: DataFrame) -> DataFrame:
+    """(image_id, a, m): area and minor axis of the examples that count."""
+    return examples.select("image_id", poly.area("polygon").alias("a"), poly.minor_axis("polygon").alias("m")).where("a > 0")
+
+
+def _calibrated(sized: DataFrame, settings: DataFrame) -> DataFrame:
     stats = sized.groupBy("image_id").agg(F.count("*").alias("n_examples"), F.percentile("a", 0.5).alias("median_area"), F.percentile("m", 0.5).alias("minor_px"))
     c = F.col
     df = settings.join(stats, "image_id", "left").withColumn("n_examples", F.coalesce("n_examples", F.lit(0)).cast("long")).withColumn("error", c("n_examples") == 0)
@@ -65,13 +74,15 @@ def calibrate_two_pass(examples: DataFrame, settings: DataFrame) -> DataFrame:
 
     settings as for ``calibrate`` with is_slide.  Adds pass (1 or 2).
     """
-    once = calibrate(examples, settings)
+    sized = cut(_sized(examples))  # both passes need it
+    once = cut(_calibrated(sized, settings))
     ask = settings.join(once.select("image_id", "recommended_overview"), "image_id")
     again = F.col("is_slide") & F.col("recommended_overview").isNotNull() & (F.col("recommended_overview") != F.col("ov_given"))
     redo = ask.where(again).withColumn("r", F.col("recommended_overview") / F.col("ov_given"))
-    scaled = examples.join(redo.select("image_id", "r"), "image_id").withColumn("polygon", poly.moved("polygon", lambda x, y: x * F.col("r"), lambda x, y: y * F.col("r")))
+    # sizes are scaled, not corners: areas of moved corners differ in the last digit, which decides at the rule's thresholds
+    scaled = sized.join(redo.select("image_id", "r"), "image_id").select("image_id", (F.col("a") * F.col("r") * F.col("r")).alias("a"), (F.col("m") * F.col("r")).alias("m"))
     second = redo.withColumn("zoom", F.when(F.coalesce("zoom", F.lit(0.0)) == 0, 1.0).otherwise(F.col("zoom")) * F.col("r")).withColumn("ov_given", F.col("recommended_overview"))
-    twice = calibrate(scaled.select("image_id", "polygon"), second.select(*settings.columns))
+    twice = _calibrated(scaled, second.select(*settings.columns))
     first = once.join(redo.select("image_id"), "image_id", "left_anti")
     return first.withColumn("pass", F.lit(1)).union(twice.withColumn("pass", F.lit(2)))
 

@@ -141,6 +141,15 @@ def test_calibration_without_examples_is_an_error_row(spark):
     assert row.error and row.n_examples == 0 and row.tile_px is None
 
 
+def test_second_pass_scales_sizes_not_corners(spark):
+    """96 by 192 at a third: 2048 exactly, wherever the rectangle lies, so that 32 points a side are enough."""
+    box = "array(named_struct('x', a, 'y', b), named_struct('x', a + 96, 'y', b), named_struct('x', a + 96, 'y', b + 192), named_struct('x', a, 'y', b + 192))"
+    examples = spark.range(100).selectExpr("id as image_id", "cast(id as double) as a", "cast(id * 3 % 11 as double) as b").selectExpr("image_id", f"{box} as polygon")
+    settings = spark.range(100).selectExpr("id as image_id", "1.0e0 as zoom", "3072.0e0 as ov_given", "cast(null as long) as tile_cap", "cast(null as long) as batch", "cast(null as string) as model", "true as is_slide")
+    rows = calibration.calibrate_two_pass(examples, settings).collect()
+    assert {(r["pass"], r.pps, r.median_area) for r in rows} == {(2, 32.0, 2048.0)}
+
+
 def test_contrast_cuts_of_a_flat_image(spark):
     df = spark.createDataFrame([(1, 0, 0, 7), (1, 1, 0, 7)], "image_id long, x long, y long, v long")
     assert tuple(calibration.contrast_cuts(df).first()) == (1, 7.0, 8.0)
