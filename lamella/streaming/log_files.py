@@ -4,14 +4,16 @@ Spark's file source reads a file once.  This one keeps a byte offset for each fi
 stream's checkpoint, so that lines appended later arrive too: each batch reads what was
 added since the last, up to the last line feed, so that half a line waits for its rest.
 A file that became shorter, or that starts with other bytes than before, was started
-anew and is read from its beginning.  Long additions are read by several tasks.
+anew and is read from its beginning.  Long additions are read by several tasks, short
+ones of many files by one.
 """
 
 from __future__ import annotations
 
 import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timezone
 
 import pyarrow as pa
@@ -22,6 +24,8 @@ FORMAT = "growing_text"
 SCHEMA = "path string, modified timestamp, value string"
 #: Bytes at a file's start that tell it from another one, and bytes of a task.
 HEAD_BYTES, TASK_BYTES = 256, 16 << 20
+#: Bytes that opening a file counts for when short additions are dealt to tasks, and files that the driver looks into at a time.
+OPEN_BYTES, LOOKS = 16 << 10, 16
 _STEP = 1 << 16
 
 
@@ -39,6 +43,32 @@ class Piece(InputPartition):
         self.path, self.modified, self.start, self.end, self.whole = path, modified, start, end, whole
 
 
+class Pieces(InputPartition):
+    """What one task reads: pieces of some files."""
+
+    def __init__(self, pieces: list[Piece]):
+        self.pieces = pieces
+
+
+def dealt(pieces: list[Piece], task_bytes: int) -> list[Pieces]:
+    """Pieces in their order, so many to a task that their bytes and the cost of opening them stay within ``task_bytes``."""
+    out, room = [], 0
+    for piece in pieces:
+        cost = piece.end - piece.start + OPEN_BYTES
+        if not out or cost > room:
+            out.append(Pieces([]))
+            room = task_bytes
+        out[-1].pieces.append(piece)
+        room -= cost
+    return out
+
+
+def _each(look: Callable, items: list) -> list:
+    """look(item) of all items, several at a time: what it waits for is the file system."""
+    with ThreadPoolExecutor(LOOKS) as pool:
+        return list(pool.map(look, items))
+
+
 class GrowingText(DataSource):
     """``spark.readStream.format(FORMAT).load(folder)`` once the class is registered: rows of path, modified, value."""
 
@@ -73,59 +103,79 @@ class GrowingReader(DataSourceStreamReader):
 
     def latestOffset(self) -> dict:  # noqa: N802
         system, files = self._files()
-        out = {}
-        for name, info in files.items():
+
+        def look(name: str) -> dict:
+            info = files[name]
             mark = (info.size, info.mtime_ns or 0)
             if self.seen.get(name, (None,))[0] != mark:
                 with system.open_input_file(info.path) as f:
                     end = last_line_end(f, info.size)
                     head = min(end, HEAD_BYTES)
                     self.seen[name] = mark, {"end": end, "head": head, "crc": zlib.crc32(f.read_at(head, 0)) if head else 0}
-            if self.seen[name][1]["end"]:
-                out[name] = self.seen[name][1]
-        return out
+            return self.seen[name][1]
+
+        return {name: at for name, at in zip(files, _each(look, list(files)), strict=True) if at["end"]}
 
-    def partitions(self, start: dict, end: dict) -> list[Piece]:
+    def partitions(self, start: dict, end: dict) -> list[Pieces]:
         system, files = self._files()
-        out = []
-        for name, upto in sorted(end.items()):
-            before = start.get(name)
+
+        def look(name: str) -> list[Piece]:
+            before, upto = start.get(name), end[name]
             if before == upto or name not in files:
-                continue
+                return []
             path, at = files[name].path, 0
             with system.open_input_file(path) as f:
                 if zlib.crc32(f.read_at(upto["head"], 0)) != upto["crc"]:
-                    continue  # started anew since this offset was made: the next batch reads it
+                    return []  # started anew since this offset was made: the next batch reads it
                 if before and before["end"] <= upto["end"] and zlib.crc32(f.read_at(before["head"], 0)) == before["crc"]:
                     at = before["end"]
             modified = (files[name].mtime_ns or 0) // 1000
-            out += [Piece(path, modified, a, min(a + self.task_bytes, upto["end"]), a == at) for a in range(at, upto["end"], self.task_bytes)]
-        return out
+            return [Piece(path, modified, a, min(a + self.task_bytes, upto["end"]), a == at) for a in range(at, upto["end"], self.task_bytes)]
 
-    def read(self, partition: Piece) -> Iterator[pa.RecordBatch]:
-        """Lines that start in the piece; the last one may end behind it."""
-        system, _ = filesystem(self.folder)
-        time = datetime.fromtimestamp(partition.modified / 1e6, timezone.utc)
+        return dealt([piece for some in _each(look, sorted(end)) for piece in some], self.task_bytes)
+
+    def read(self, partition: Pieces | Piece) -> Iterator[pa.RecordBatch]:
+        """Lines that start in the pieces; the last one of a piece may end behind it."""
         kinds = pa.schema([("path", pa.string()), ("modified", pa.timestamp("us", "UTC")), ("value", pa.string())])
-        with system.open_input_file(partition.path) as f:
-            at, rest, lines = partition.start, b"", []
-            if not partition.whole:  # the line that reaches into the piece is its predecessor's
-                at = next_line(f, partition.start - 1)
-            while at < partition.end or rest:
+        held: list[tuple[str, datetime, list[str]]] = []
+        n = 0
+        for piece in partition.pieces if isinstance(partition, Pieces) else [partition]:
+            time = datetime.fromtimestamp(piece.modified / 1e6, timezone.utc)
+            for lines in self._lines(piece):
+                held.append((piece.path, time, lines))
+                n += len(lines)
+                if n >= 10_000:
+                    yield self._batch(held, kinds)
+                    held, n = [], 0
+        if n:
+            yield self._batch(held, kinds)
+
+    @staticmethod
+    def _batch(held: list[tuple[str, datetime, list[str]]], kinds: pa.Schema) -> pa.RecordBatch:
+        many = lambda k: [h[k] for h in held for _ in h[2]]
+        return pa.RecordBatch.from_arrays([pa.array(many(0)), pa.array(many(1), kinds.field(1).type), pa.array([x for h in held for x in h[2]], pa.string())], schema=kinds)
+
+    def _lines(self, piece: Piece) -> Iterator[list[str]]:
+        system, _ = filesystem(self.folder)
+        with system.open_input_file(piece.path) as f:
+            at, rest, lines = piece.start, b"", []
+            if not piece.whole:  # the line that reaches into the piece is its predecessor's
+                at = next_line(f, piece.start - 1)
+            while at < piece.end or rest:
                 block = f.read_at(_STEP, at + len(rest))
                 *full, rest = (rest + block).split(b"\n")
                 for line in full:
-                    if at >= partition.end:
+                    if at >= piece.end:
                         rest = b""
                         break
                     lines.append(line.decode("utf-8", "replace"))
                     at += len(line) + 1
-                if not block or at >= partition.end:
+                if not block or at >= piece.end:
                     rest = b""
                     if not block:
-                        at = partition.end
-                if len(lines) >= 10_000 or (lines and at >= partition.end):
-                    yield pa.RecordBatch.from_arrays([pa.array([partition.path] * len(lines)), pa.array([time] * len(lines), kinds.field(1).type), pa.array(lines)], schema=kinds)
+                        at = piece.end
+                if len(lines) >= 10_000 or (lines and at >= piece.end):
+                    yield lines
                     lines = []
 
     def commit(self, end: dict) -> None:

@@ -111,6 +111,15 @@ def test_lines_of_growing_files_come_once(spark, tmp_path):
     step()
 
 
+def test_many_short_files_are_read_by_few_tasks(tmp_path):
+    for n in range(300):
+        (tmp_path / f"r{n}.log").write_text(f"a{n}\nb{n}\n")
+    reader = log_files.GrowingReader(str(tmp_path), log_files.TASK_BYTES)
+    parts = reader.partitions({}, reader.latestOffset())
+    got = [(c["path"].rsplit("/", 1)[1], c["value"]) for p in parts for b in reader.read(p) for c in b.to_pylist()]
+    assert len(parts) == 1 and sorted(got) == sorted((f"r{n}.log", f"{x}{n}") for n in range(300) for x in "ab")
+
+
 @pytest.mark.parametrize("size", [1, 3, 7, 64])
 def test_pieces_of_a_file_share_its_lines(tmp_path, size):
     path = tmp_path / "x.log"
