@@ -93,3 +93,16 @@ def test_quality_is_the_mean_of_neighbours_only(spark):
     rows = dict(zip(ids.tolist(), unit(m), strict=True))
     path = sequential(ids, m)
     assert got[2] is None and abs(got[1] - np.mean([rows[a] @ rows[b] for a, b in zip(path, path[1:], strict=False)])) < 1e-9
+
+
+def test_similarities_are_products_of_blocks(spark):
+    """No row of the plan holds both vectors of a pair, which took a Spark expression for each pair."""
+    rows = [(k % 3, k, [float((k * 7 + j) % 11) for j in range(4)]) for k in range(30)]
+    df = spark.createDataFrame(rows, "image_id long, section_id long, vec array<double>")
+    got = ordering.similarity_pairs(df, block=4)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" in plan and "zip_with" not in plan
+    u = {k: np.array(v) - np.mean(v) for _, k, v in rows}
+    want = {(i, j): 1.0 if i == j else u[i] @ u[j] / np.linalg.norm(u[i]) / np.linalg.norm(u[j]) for i in u for j in u if i % 3 == j % 3}
+    have = {(r.i, r.j): r.s for r in got.collect()}
+    assert have.keys() == want.keys() and all(abs(have[p] - want[p]) < 1e-12 for p in want)
