@@ -132,9 +132,20 @@ def seed_coverage(points: DataFrame, sections: DataFrame, tile_px: float, pps: i
     return rows.select("image_id", "mask_id", F.coalesce("n", F.lit(0)).alias("n_points"), expected.alias("expected"), (F.coalesce("n", F.lit(0)) >= 2).alias("reached"))
 
 
+#: Fiducials of an image that meet all others in one task.
+FIDUCIALS = 256
+
+
 def fiducial_distances(fiducials: DataFrame) -> DataFrame:
-    """Distances of all i < j fiducials of an image, named fiducial_i-fiducial_j."""
-    a = fiducials.select("image_id", F.col("idx").alias("i"), F.col("x").alias("ax"), F.col("y").alias("ay"))
-    b = fiducials.select("image_id", F.col("idx").alias("j"), F.col("x").alias("bx"), F.col("y").alias("by"))
-    pairs = a.join(b, "image_id").where("i < j")
+    """Distances of all i < j fiducials of an image, named fiducial_i-fiducial_j.
+
+    An image's fiducials are dealt into parts, and each part meets all of them, so that a large image is many tasks.
+    """
+    n = fiducials.groupBy("image_id").agg(F.ceil(F.count("*") / FIDUCIALS).cast("int").alias("parts"))
+    a = fiducials.join(n, "image_id").select("image_id", F.pmod(F.xxhash64("idx"), F.col("parts")).cast("int").alias("part"), F.col("idx").alias("i"), F.col("x").alias("ax"), F.col("y").alias("ay"))
+    b = fiducials.join(n, "image_id").select("image_id", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("idx").alias("j"), F.col("x").alias("bx"), F.col("y").alias("by"))
+    # a given number of tasks on both sides: what is joined is small, its pairs are not
+    tasks = int(fiducials.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    deal = lambda df: df.repartition(tasks, "image_id", "part")
+    pairs = deal(a).join(deal(b).hint("merge"), ["image_id", "part"]).where("i < j")
     return pairs.select("image_id", F.concat(F.lit("fiducial_"), "i", F.lit("-fiducial_"), "j").alias("name"), F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")).alias("distance"))
