@@ -203,3 +203,37 @@ def test_counts_of_a_stream_are_heard(spark, tmp_path):
 def test_throughput_on_a_stream(spark, tmp_path):
     got = run(spark, lines(spark), lambda s: logs.throughput(logs.parse_log(s)), 1, tmp_path, mode="complete").collect()
     assert [(r.tiles, r.sections) for r in got] == [(2, 1)]
+
+
+class _Counted(dict):
+    """A map state that counts its calls."""
+
+    calls = 0
+
+    def _called(self, value=None):
+        _Counted.calls += 1
+        return value
+
+    def containsKey(self, k):  # noqa: N802
+        return self._called(k in self)
+
+    def getValue(self, k):  # noqa: N802
+        return self._called(self[k])
+
+    def updateValue(self, k, v):  # noqa: N802
+        self._called(self.update({k: v}))
+
+    def removeKey(self, k):  # noqa: N802
+        self._called(self.pop(k))
+
+    def iterator(self):
+        return self._called(list(self.items()))
+
+
+def test_dedup_asks_its_state_by_squares(tmp_path):
+    p = state._Dedup(None)
+    p.kept, p.waiting, _Counted.calls = _Counted(), _Counted(), 0
+    tile = [(n, 512.0 * (n % 16) / 16, 512.0 * (n // 16) / 16, 4.0) for n in range(256)]
+    assert len(p._resolve([0], {0: tile}, {}, False)) == 256
+    assert len(p._resolve([1], {1: [(1000 + m, x + 0.5, y, a) for m, x, y, a in tile]}, {}, False)) == 0  # each lies on a kept one
+    assert _Counted.calls < 50 and sum(len(xs) for xs, _ in p.kept.values()) == 256
