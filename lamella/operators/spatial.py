@@ -45,17 +45,16 @@ def conflict_edges(points: DataFrame) -> DataFrame:
     """(later, earlier) for points(id, image_id, rank, x, y, r): abs(dx) < r and abs(dy) < r with the later one's r.
     ``rank`` is a number or a struct that tells the order; it is compared inside cells only, so no image is sorted.
 
-    Cells are powers of two at least r wide; earlier points stand once in the grid of each
-    class that their image has, later ones probe three by three cells of their own class.
+    Cells are powers of four at least 2 * r wide, so that classes are few; earlier points stand once in the grid of each
+    class that their image has, later ones probe the cells of their own class that their reach touches, at most two by two.
     """
-    sized = points.withColumn("cls", F.ceil(F.log2(F.greatest("r", F.lit(1e-9)))).cast("int"))
+    sized = points.withColumn("cls", 2 * F.ceil((F.log2(F.greatest("r", F.lit(1e-9))) + 1) / 2).cast("int"))
     size = F.pow(F.lit(2.0), F.col("cls"))
     classes = sized.select("image_id", "cls").distinct()
     grid = points.select("image_id", F.col("id").alias("earlier"), F.col("rank").alias("er"), F.col("x").alias("ex"), F.col("y").alias("ey")).join(classes, "image_id")
     grid = grid.withColumn("cx", _cell(F.col("ex"), size)).withColumn("cy", _cell(F.col("ey"), size))
-    steps = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    probe = sized.withColumn("cx", _cell(F.col("x"), size)).withColumn("cy", _cell(F.col("y"), size))
-    probe = probe.withColumn("dx", F.explode(steps)).withColumn("dy", F.explode(steps)).withColumn("cx", F.col("cx") + F.col("dx")).withColumn("cy", F.col("cy") + F.col("dy"))
+    touched = lambda c: F.explode(F.sequence(_cell(F.col(c) - F.col("r"), size), _cell(F.col(c) + F.col("r"), size)))
+    probe = sized.withColumn("cx", touched("x")).withColumn("cy", touched("y"))
     met = probe.join(grid, ["image_id", "cls", "cx", "cy"]).where((F.col("er") < F.col("rank")) & (F.abs(F.col("x") - F.col("ex")) < F.col("r")) & (F.abs(F.col("y") - F.col("ey")) < F.col("r")))
     return met.select(F.col("id").alias("later"), "earlier")
 

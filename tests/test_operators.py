@@ -238,3 +238,17 @@ def test_csv_distances_are_sorted_in_ranges(spark):
     assert {r.image_id: r.distance for r in rows.collect()} == {7: "{" + ", ".join(entries) + "}", 8: ""}
     # what is collected in an image are the texts of ranges
     assert "range#" in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_points_probe_few_cells_in_few_grids(spark):
+    """Rows on both sides of the join: formerly nine probes, and a grid for each power of two."""
+    from lamella.operators.spatial import conflict_edges
+
+    rng = random.Random(5)
+    rows = [(k, 1, k, rng.uniform(-300, 300), rng.uniform(-300, 300), 2.0 ** rng.uniform(-1, 6.9)) for k in range(400)]
+    df = spark.createDataFrame(rows, "id long, image_id long, rank long, x double, y double, r double")
+    got = {(e.later, e.earlier) for e in conflict_edges(df).collect()}
+    assert got == {(a[0], b[0]) for a in rows for b in rows if b[2] < a[2] and abs(a[3] - b[3]) < a[5] and abs(a[4] - b[4]) < a[5]}
+    plan = conflict_edges(df)._jdf.queryExecution().optimizedPlan().toString()
+    cls = df.selectExpr("2 * ceil((log2(r) + 1) / 2) as c").distinct().count()
+    assert cls <= 5 and "array(-1, 0, 1)" not in plan and "[-1,0,1]" not in plan
