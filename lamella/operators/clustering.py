@@ -14,6 +14,8 @@ from .ranks import running
 
 #: Areas of one image that one task sorts.
 PIECE = 1 << 18
+#: Rows, repeated by eps, that one task sorts: several sorts of them are held at a time, of some KB a row together.
+TASK_ROWS = 1 << 18
 #: Stands for the name of a cluster that began in an earlier piece.
 EARLIER = float("-inf")
 FIRST = Window.unboundedPreceding
@@ -44,8 +46,9 @@ def assigned(base: DataFrame, per: DataFrame, min_samples: list[int | Column]) -
     """
     keys, area, eps, k = ["image_id", "piece", "step"], F.col("area"), F.col("eps"), range(len(min_samples))
     steps = base.select("image_id", "piece").distinct().join(per.select("image_id", F.posexplode("eps").alias("step", "eps"), *[c for c in per.columns if c not in ("image_id", "eps")]), "image_id")
-    # a fixed number of parts: rows grow by the number of steps after this exchange, which its size does not show
-    parts = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # the number of parts follows the rows times the steps, which the size of what is exchanged does not show
+    most = per.agg(F.max(F.size("eps"))).first()[0] or 1
+    parts = max(int(base.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-base.count() * most // TASK_ROWS))
     rows = base.repartition(parts, "image_id", "piece").join(steps, ["image_id", "piece"])
     least = [F.get("near", (m if isinstance(m, Column) else F.lit(m)) - 1) for m in min_samples]
     rows = rows.withColumn("core", F.array(*[F.coalesce(v <= eps, F.lit(False)) for v in least]))
@@ -57,7 +60,7 @@ def assigned(base: DataFrame, per: DataFrame, min_samples: list[int | Column]) -
     ends = ends.select(*keys, F.array(*[F.max(col("hi", j)).over(earlier) for j in k]).alias("under"), F.array(*[F.min(col("lo", j)).over(later) for j in k]).alias("over"))
     here = Window.partitionBy(*keys)
     up, down = here.orderBy("rank"), here.orderBy(F.desc("rank")).rowsBetween(FIRST, 0)
-    rows = rows.join(ends, keys).withColumn("next", F.array(*[F.coalesce(F.min(cores[j]).over(down), col("over", j)) for j in k]))
+    rows = rows.repartition(parts, *keys).join(ends, keys).withColumn("next", F.array(*[F.coalesce(F.min(cores[j]).over(down), col("over", j)) for j in k]))
     rows = rows.withColumn("prev", F.array(*[F.coalesce(F.max(cores[j]).over(up.rowsBetween(FIRST, -1)), col("under", j)) for j in k]))
     starts = [F.when(col("prev", j).isNull() | (area - col("prev", j) > eps), cores[j]) for j in k]
     rows = rows.withColumn("began", F.array(*[F.coalesce(F.max(starts[j]).over(up.rowsBetween(FIRST, 0)), F.lit(EARLIER)) for j in k]))

@@ -1,9 +1,11 @@
 """Clustering and percentiles of images that lie in many pieces, against sequential versions."""
 
 import random
+import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lamella.operators import calibration, clustering, filters, ranks
 
@@ -84,3 +86,12 @@ def test_positions_by_area_keep_the_columns(spark):
     out = filters.masks_by_area(rows)
     assert out.columns == [*rows.columns, "position"]
     assert {(r.mask_id, r.position, r.note) for r in out.collect()} == {(2, 0, "c"), (3, 1, "b"), (7, 2, "a"), (1, 0, "d")}
+
+
+def test_sweep_tasks_follow_the_rows_times_the_steps(spark, monkeypatch):
+    monkeypatch.setattr(clustering, "TASK_ROWS", 100)
+    masks = spark.range(60).selectExpr("id % 20 as image_id", "id as idx", "cast(id * 7 % 13 as double) as area")
+    per = masks.select("image_id").distinct().withColumn("eps", F.array(*[F.lit(float(e)) for e in range(20)]))
+    rows = clustering.assigned(clustering.pieces(masks, 2), per, [1, 2])
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"RepartitionByExpression \[image_id#\d+L?, piece#\d+L?, step#\d+\], 12", plan)  # 60 rows of 20 steps
