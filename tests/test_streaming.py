@@ -190,6 +190,28 @@ def test_edit_state_forgets_what_was_removed(spark, tmp_path):
     assert max(held) >= 3 and held[-1] < max(held)  # 1/5 is forgotten
 
 
+def test_edits_of_many_keys_share_entries_of_the_state(spark, tmp_path):
+    """A key of its own in the state took calls for each key, which did not end on a larger table."""
+    schema = "image_id long, key long, seq long, op string, value long, s long"
+    parts = [
+        [(i % 5, i, i, "add", i * 10, 10 + i) for i in range(100)],
+        [(i % 5, i, 1000 + i, "remove", None, 200 + i) for i in range(0, 100, 2)] + [(None, 7, 5, "add", 1, 200), (1, 1, 0, "add", 0, 200)],
+        [(9, 9, 5000, "add", 1, 90_000)], [(9, 9, 5001, "add", 2, 95_000)],
+    ]
+    put, held, every = tables.upsert_into(str(tmp_path / "t"), ["image_id", "key"], "seq"), [], None
+    for rows in parts:
+        df = spark.createDataFrame(rows, schema).selectExpr("image_id", "key", "seq", "op", "value", "timestamp_seconds(s) as ts")
+        every = df if every is None else every.union(df)
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        live = state.stream_edit_state(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), buckets=3)
+        q = follow(spark, live, tmp_path, put, "update")
+        held += [o["numRowsTotal"] for p in q.recentProgress for o in p["stateOperators"]]
+    columns = ["image_id", "key", "seq", "op", "value", "present"]
+    got = {tuple(r) for r in tables.upserted(spark, str(tmp_path / "t"), live.schema, ["image_id", "key"], "seq").select(columns).collect()}
+    assert got == {tuple(r) for r in state.stream_edit_state(every).select(columns).collect()} and len(got) == 102
+    assert max(held) <= 12  # three buckets and their timers, not a hundred keys
+
+
 def test_counts_of_a_stream_are_heard(spark, tmp_path):
     spark.range(7).write.parquet(str(tmp_path / "in"))
     heard = ObservedCounts("rows")
