@@ -1,4 +1,4 @@
-"""The spectral order of an image's sections, by Lanczos steps over blocks of the similarity matrix."""
+"""The spectral order of an image's sections, by block Lanczos steps over blocks of the similarity matrix."""
 
 from __future__ import annotations
 
@@ -12,50 +12,76 @@ from pyspark.sql import functions as F
 from ..functions.lineage import cut
 from .blocks import BLOCK, kind, numbers, over_pairs, packed
 
-#: Doubles of all vectors of a step up to which they are sent to every task (8 MB).
-SENT = 1 << 20
+#: Blocks of rows of the matrix that one task holds at a time.
+GROUP = 4
+#: Vectors of a step, for images of at least 64 times as many sections: each step costs a few jobs whatever they are, and
+#: takes with w vectors about as many steps as the gap to the w-th eigenvalue, and not to the next one, asks for.
+WIDTH = 32
+#: Vectors of all steps of an image at most: the small problem is a matrix of their number.
+VECTORS = 2048
 #: A new vector's length as a share of the largest degree, at which the space counts as exhausted.
-EXHAUSTED = 1e-10
-#: Rows of a step, one a block: basis holds the vectors so far, the constant one first; y the Laplacian times the newest;
-#: dots the block's share of y's products with the basis, later with itself too; alphas and betas are the tridiagonal matrix.
-STATE = "a int, n long, top double, degree binary, basis binary, y binary, dots array<double>, alphas array<double>, betas array<double>"
-#: The same rows with y made orthogonal: v is the new vector, none if the image has ended.
-NEXT = "a int, n long, top double, degree binary, basis binary, v binary, alphas array<double>, betas array<double>, ended boolean"
+EXHAUSTED = 1e-7
+#: Rows of a step, one a block: basis holds the vectors so far, the constant one first, of which the last ``width`` are new;
+#: y the Laplacian times the new ones; dots the block's shares of the products of basis and y, basis and new, y and y.
+STATE = "a int, n long, width int, degree binary, basis binary, y binary, dots binary"
+#: The same rows with the new vectors in the basis; off is the share of the products of y without its parts along the basis.
+NEXT = "a int, n long, width int, degree binary, basis binary, off binary"
+#: Rows of a step, one an image: products of the basis with the Laplacian times it, and with itself; what takes y off the basis and makes it new vectors.
+SMALL = "top double, h binary, nn binary, along binary, mix binary"
 
 
-def weights(blocks: DataFrame) -> DataFrame:
-    """(image_id, a, b, w): blocks of max(similarity, 0) without its diagonal."""
+def times(blocks: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(image_id, a, wv): the matrix max(similarity, 0) without its diagonal times vectors(image_id, a, v), by blocks of rows.
 
-    def positive(products: Iterator[tuple]) -> Iterator[dict]:
-        for image, a, _, b, _, s in products:
-            w = np.maximum(s, 0.0)
-            if a == b:
-                np.fill_diagonal(w, 0.0)
-            yield {"image_id": [image], "a": [a], "b": [b], "w": [w.tobytes()]}
-
-    return over_pairs(blocks, positive, f"image_id {kind(blocks, 'image_id')}, a int, b int, w binary")
-
-
-def times(w: DataFrame, vectors: DataFrame, small: bool) -> DataFrame:
-    """(image_id, a, wv): the matrix times vectors(image_id, a, v), by blocks of rows.  Vectors that are known to
-    be small are sent to the matrix, so that it is not shuffled."""
+    The matrix is made block by block where it is needed and never kept.  A task holds GROUP blocks of rows, by which
+    all blocks of the image come with their vectors.
+    """
+    group = F.floor(F.col("b") / GROUP).cast("int")
+    parts = 4 * int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sent = blocks.join(vectors.select("image_id", F.col("a").alias("b"), "v"), ["image_id", "b"]).withColumn("home", group)
+    sent = sent.join(blocks.select("image_id", group.alias("g")).distinct(), "image_id").repartition(parts, "image_id", "g").sortWithinPartitions("image_id", "g", F.col("home") != F.col("g"), "b")
 
     def multiply(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            out = []
-            for w_ab, v_b in zip(part["w"], part["v"], strict=True):
-                v = numbers(v_b)
-                out.append((numbers(w_ab, len(v)) @ v).tobytes())
-            yield pd.DataFrame({"image_id": part["image_id"], "a": part["a"], "wv": out})
-
-    def add(group: pd.DataFrame) -> pd.DataFrame:
-        total = np.sum([numbers(x) for x in group.sort_values("wv")["wv"]], axis=0)
-        return pd.DataFrame({"image_id": group["image_id"].iloc[:1], "a": group["a"].iloc[:1], "wv": [total.tobytes()]})
+        now, own, waiting, sums = None, [], [], []
+
+        def put(b: int, m: np.ndarray, v: np.ndarray) -> None:
+            for k, (a, rows) in enumerate(own):
+                w = rows @ m.T
+                np.clip(w, 0.0, 1.0, out=w)
+                if a == b:
+                    np.fill_diagonal(w, 0.0)
+                sums[k] += w @ v
+
+        def settle() -> None:
+            sums[:] = [np.zeros((len(m), v.shape[1])) for _, m, v in waiting]
+            for one in waiting:
+                put(*one)
+            waiting.clear()
+
+        def done() -> pd.DataFrame:
+            if waiting:
+                settle()
+            return pd.DataFrame({"image_id": [now[0]] * len(own), "a": [a for a, _ in own], "wv": [y.tobytes() for y in sums]})
 
-    schema = f"image_id {kind(w, 'image_id')}, a int, wv binary"
-    sent = vectors.select("image_id", F.col("a").alias("b"), "v")
-    joined = w.join(F.broadcast(sent) if small else sent, ["image_id", "b"]).select("image_id", "a", "w", "v")
-    return joined.mapInPandas(multiply, schema).groupBy("image_id", "a").applyInPandas(add, schema)
+        for part in parts:
+            for image, b, width, data, v, home, g in part[["image_id", "b", "width", "data", "v", "home", "g"]].itertuples(index=False):
+                m = numbers(data, width)
+                v = numbers(v).reshape(len(m), -1)
+                if (image, g) != now:
+                    if now is not None:
+                        yield done()
+                    now, own, sums = (image, g), [], []
+                if home == g:  # the task's own blocks come first
+                    own.append((b, m))
+                    waiting.append((b, m, v))
+                    continue
+                if waiting:
+                    settle()
+                put(b, m, v)
+        if now is not None:
+            yield done()
+
+    return sent.mapInPandas(multiply, f"image_id {kind(blocks, 'image_id')}, a int, wv binary")
 
 
 def _rows(df: DataFrame, change: Callable, schema: str) -> DataFrame:
@@ -69,12 +95,6 @@ def _rows(df: DataFrame, change: Callable, schema: str) -> DataFrame:
     return df.mapInPandas(run, schema)
 
 
-def _least(alphas: np.ndarray, betas: np.ndarray) -> tuple[np.ndarray, float]:
-    """The vector of the tridiagonal matrix's least eigenvalue, and a bound of what it lacks."""
-    _, vectors = np.linalg.eigh(np.diag(alphas) + np.diag(betas[:-1], 1) + np.diag(betas[:-1], -1))
-    return vectors[:, 0], abs(float(betas[-1] * vectors[-1, 0]))
-
-
 def _dense(blocks: DataFrame) -> DataFrame:
     """(image_id, section_id, x, residual) of images of one block, by a full decomposition."""
 
@@ -95,69 +115,120 @@ def _dense(blocks: DataFrame) -> DataFrame:
     return over_pairs(blocks, solve, f"image_id {kind(blocks, 'image_id')}, section_id long, x double, residual double")
 
 
-def _begin(large: DataFrame, w: DataFrame, block: int, small: bool) -> DataFrame:
-    """The first state: degrees, and a fixed start without its mean's direction taken off yet."""
-    image = f"image_id {kind(large, 'image_id')}"
-    sized = large.select("image_id", F.col("b").alias("a"), F.size("ids").alias("m"))
+def _shares(basis: np.ndarray, y: np.ndarray, width: int) -> bytes:
+    """The products of a block: basis and y, basis and its last ``width`` vectors, y and y."""
+    return np.concatenate([(basis @ y).ravel(), (basis @ basis[-width:].T).ravel(), (y.T @ y).ravel()]).tobytes()
+
+
+def _begin(blocks: DataFrame) -> DataFrame:
+    """The first state: degrees, and a fixed start whose constant part is not taken off yet."""
+    image = f"image_id {kind(blocks, 'image_id')}"
+    sized = blocks.select("image_id", F.col("b").alias("a"), F.size("ids").alias("m"))
     ones = _rows(sized, lambda r: (r.image_id, r.a, np.ones(r.m).tobytes()), f"{image}, a int, v binary")
-    n = sized.groupBy("image_id").agg(F.sum("m").alias("n"))
+    before = F.coalesce(F.sum("m").over(Window.partitionBy("image_id").orderBy("a").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sized = sized.withColumn("before", before).withColumn("n", F.sum("m").over(Window.partitionBy("image_id")))
 
     def start(r) -> tuple:  # noqa: ANN001
-        degree = numbers(r.wv)
-        k = np.arange(1.0, len(degree) + 1) + r.a * block
-        y, basis = np.sin(k * k * 1.7 + k), np.full(len(degree), 1 / np.sqrt(r.n))
-        return r.image_id, r.a, r.n, float(degree.max()), r.wv, basis.tobytes(), y.tobytes(), [float(basis @ y)], [], []
+        m = len(numbers(r.wv))
+        k, j = np.arange(1.0, m + 1)[:, None] + r.before, np.arange(max(1, min(WIDTH, r.n // 64)))
+        y, basis = np.sin(k * k * (1.7 + 0.37 * j) + k * (j + 1)), np.full((1, m), 1 / np.sqrt(r.n))
+        return r.image_id, r.a, r.n, 1, r.wv, basis.tobytes(), y.tobytes(), _shares(basis, y, 1)
 
-    return _rows(times(w, ones, small).join(n, "image_id"), start, f"{image}, {STATE}")
+    return _rows(times(blocks, ones).join(sized, ["image_id", "a"]), start, f"{image}, {STATE}")
 
 
-def _with_sums(state: DataFrame) -> DataFrame:
-    """Adds along and most: an image's sums of dots, and its largest degree."""
+def _small(state: DataFrame, before: DataFrame | None) -> DataFrame:
+    """The images' rows: sums of what the blocks told, put to those of the steps before."""
+    image = f"image_id {kind(state, 'image_id')}"
 
-    def add(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"image_id": group["image_id"].iloc[:1], "along": [np.sum(group.sort_values("a")["dots"].tolist(), axis=0)], "most": [group["top"].max()]})
+    def weigh(told: pd.DataFrame, old: pd.DataFrame | None) -> pd.DataFrame:
+        told = told.sort_values("a")
+        flat, c, width = np.sum([numbers(x) for x in told["dots"]], axis=0), int(told["c"].iloc[0]), int(told["width"].iloc[0])
+        p = int(told["p"].iloc[0])
+        along, new, yy = flat[: c * p].reshape(c, p), flat[c * p : c * (p + width)].reshape(c, width), flat[c * (p + width) :].reshape(p, p)
+        h, nn = np.zeros((c, c)), np.zeros((c, c))
+        nn[:, c - width :], nn[c - width :] = new, new.T
+        if old is not None:
+            h[:, c - width :], h[c - width :] = along, along.T
+            h[: c - width, : c - width], nn[: c - width, : c - width] = numbers(old["h"].iloc[0], c - width), numbers(old["nn"].iloc[0], c - width)
+        top, live = float(told["top"].max()), np.diag(nn) > 0.5
+        off = np.zeros((c, p))
+        off[live] = np.linalg.solve(nn[np.ix_(live, live)], along[live])
+        size, turn = np.linalg.eigh(yy - along.T @ off)
+        keep = size > (EXHAUSTED * top if old is not None else EXHAUSTED) ** 2
+        mix = turn * np.where(keep, 1 / np.sqrt(np.where(keep, size, 1.0)), 0.0)
+        return pd.DataFrame({"image_id": told["image_id"].iloc[:1], "top": [top], "h": [h.tobytes()], "nn": [nn.tobytes()], "along": [off.tobytes()], "mix": [mix.tobytes()]})
 
-    sums = state.select("image_id", "a", "dots", "top").groupBy("image_id").applyInPandas(add, f"image_id {kind(state, 'image_id')}, along array<double>, most double")
-    return state.join(sums, "image_id")
+    def share(r) -> tuple:  # noqa: ANN001
+        m = len(numbers(r.degree))
+        return r.image_id, r.a, r.width, len(numbers(r.basis)) // m, len(numbers(r.y)) // m, float(numbers(r.degree).max()), r.dots
 
+    told = _rows(state, share, f"{image}, a int, width int, c int, p int, top double, dots binary").groupBy("image_id")
+    if before is None:
+        return told.applyInPandas(lambda g: weigh(g, None), f"{image}, {SMALL}")
 
-def _orthogonal(state: DataFrame, tolerance: float) -> DataFrame:
-    """y without its parts along the basis, taken off twice, as what the first time leaves would grow with the steps."""
-    image = f"image_id {kind(state, 'image_id')}"
+    def both(told: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
+        return weigh(told, old) if len(told) else pd.DataFrame({c.split()[0]: [] for c in f"{image}, {SMALL}".split(", ")})
 
-    def once(r) -> tuple:  # noqa: ANN001
-        basis = numbers(r.basis, len(numbers(r.y)))
-        y = numbers(r.y) - np.asarray(r.along) @ basis
-        alphas = [*r.alphas, float(r.along[-1])] if len(basis) > 1 and 0.0 not in r.betas else r.alphas
-        return r.image_id, r.a, r.n, r.most, r.degree, r.basis, y.tobytes(), [*(basis @ y), float(y @ y)], alphas, r.betas
+    return told.cogroup(before.groupBy("image_id")).applyInPandas(both, f"{image}, {SMALL}")
 
-    def twice(r) -> tuple:  # noqa: ANN001
-        y, along, betas = numbers(r.y), np.asarray(r.along), list(r.betas)
-        basis = numbers(r.basis, len(y))
-        size = float(np.sqrt(max(along[-1] - np.sum(along[:-1] ** 2), 0.0)))
-        ended = len(basis) > 1
-        if ended and 0.0 not in betas:  # a 0 is the mark of a vector that is good enough: only zeros follow until the image leaves
-            lack = _least(np.array(r.alphas), np.array([*betas, size]))[1]
-            ended = min(lack / tolerance, size / EXHAUSTED) <= max(r.most, 1e-300)
-            betas.append(0.0 if ended else size)
-        v = np.zeros(len(y)) if ended else (y - along[:-1] @ basis) / max(size, 1e-300)
-        return r.image_id, r.a, r.n, r.most, r.degree, r.basis, v.tobytes(), r.alphas, betas, ended
 
-    return _rows(_with_sums(cut(_rows(_with_sums(state), once, f"{image}, {STATE}"))), twice, f"{image}, {NEXT}")
+def _orthogonal(state: DataFrame, small: DataFrame) -> DataFrame:
+    """y without its parts along the basis, made new vectors at its end."""
 
+    def take_off(r) -> tuple:  # noqa: ANN001
+        m = len(numbers(r.degree))
+        basis, y = numbers(r.basis, m), numbers(r.y).reshape(m, -1)
+        y = y - basis.T @ numbers(r.along, y.shape[1])
+        new = y @ numbers(r.mix, y.shape[1])
+        return r.image_id, r.a, r.n, y.shape[1], r.degree, np.vstack([basis, new.T]).tobytes(), (y.T @ y).tobytes()
+
+    return _rows(state.join(small.select("image_id", "along", "mix"), "image_id"), take_off, f"image_id {kind(state, 'image_id')}, {NEXT}")
+
+
+def _judged(ready: DataFrame, small: DataFrame, tolerance: float) -> DataFrame:
+    """(image_id, u, ended): the least vector in terms of the basis, and whether it lacks at most tolerance x (largest degree).
+
+    The products of the basis with itself take part, so rounding in its making costs no accuracy.
+    """
 
-def _onward(state: DataFrame, w: DataFrame, small: bool) -> DataFrame:
-    """The next state: the Laplacian times v, and v put to the basis."""
+    def judge(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("a")
+        p, off = int(group["width"].iloc[0]), np.sum([numbers(x) for x in group["off"]], axis=0)
+        c = int(np.sqrt(len(numbers(group["h"].iloc[0]))))
+        h, nn = numbers(group["h"].iloc[0], c), numbers(group["nn"].iloc[0], c)
+        live = np.diag(nn) > 0.5
+        live[0] = False
+        u = np.zeros(c)
+        if live.any():
+            low = np.linalg.inv(np.linalg.cholesky(nn[np.ix_(live, live)]))
+            a = low @ h[np.ix_(live, live)] @ low.T
+            u[live] = low.T @ np.linalg.eigh((a + a.T) / 2)[1][:, 0]
+        lack = float(np.sqrt(max(u[-p:] @ off.reshape(p, p) @ u[-p:], 0.0)))
+        return pd.DataFrame({"image_id": group["image_id"].iloc[:1], "u": [u.tobytes()], "ended": [lack <= max(tolerance * group["top"].iloc[0], 1e-300)]})
+
+    # the image's matrices stand beside one of its rows only
+    told = ready.select("image_id", "a", "width", "off").join(small.select("image_id", F.lit(0).alias("a"), "top", "h", "nn"), ["image_id", "a"], "left")
+    return told.groupBy("image_id").applyInPandas(judge, f"image_id {kind(ready, 'image_id')}, u binary, ended boolean")
+
+
+def _onward(ready: DataFrame, blocks: DataFrame) -> DataFrame:
+    """The next state: the Laplacian times the new vectors, put to the basis."""
+    image = f"image_id {kind(ready, 'image_id')}"
+
+    def newest(r) -> tuple:  # noqa: ANN001
+        return r.image_id, r.a, numbers(r.basis, len(numbers(r.degree)))[-r.width :].T.tobytes()
 
     def put(r) -> tuple:  # noqa: ANN001
-        v = numbers(r.v)
-        y, basis = numbers(r.degree) * v - numbers(r.wv), np.vstack([numbers(r.basis, len(v)), v])
-        return r.image_id, r.a, r.n, r.top, r.degree, basis.tobytes(), y.tobytes(), list(basis @ y), r.alphas, r.betas
+        degree = numbers(r.degree)
+        basis = numbers(r.basis, len(degree))
+        y = degree[:, None] * basis[-r.width :].T - numbers(r.wv, r.width)
+        return r.image_id, r.a, r.n, r.width, r.degree, r.basis, y.tobytes(), _shares(basis, y, r.width)
 
-    return _rows(state.join(times(w, state, small), ["image_id", "a"]), put, f"image_id {kind(state, 'image_id')}, {STATE}")
+    return _rows(ready.join(times(blocks, _rows(ready, newest, f"{image}, a int, v binary")), ["image_id", "a"]), put, f"{image}, {STATE}")
 
 
-def _with_residual(found: DataFrame, w: DataFrame, ids: DataFrame, small: bool) -> DataFrame:
+def _with_residual(found: DataFrame, blocks: DataFrame) -> DataFrame:
     """(image_id, section_id, x, residual) of found(image_id, a, degree, v)."""
     image = f"image_id {kind(found, 'image_id')}"
 
@@ -166,56 +237,52 @@ def _with_residual(found: DataFrame, w: DataFrame, ids: DataFrame, small: bool)
         lx = numbers(r.degree) * x - numbers(r.wv)
         return r.image_id, r.a, r.v, lx.tobytes(), float(x @ lx), float(x @ x)
 
-    rows = cut(_rows(found.join(times(w, found, small), ["image_id", "a"]), share, f"{image}, a int, v binary, lx binary, xlx double, xx double"))
+    rows = cut(_rows(found.join(times(blocks, found), ["image_id", "a"]), share, f"{image}, a int, v binary, lx binary, xlx double, xx double"))
     value = rows.groupBy("image_id").agg((F.sum("xlx") / F.sum("xx")).alias("value"))
     off = _rows(rows.join(value, "image_id"), lambda r: (r.image_id, float(np.sum((numbers(r.lx) - r.value * numbers(r.v)) ** 2))), f"{image}, off double")
     residual = off.groupBy("image_id").agg(F.sqrt(F.sum("off")).alias("residual"))
-    listed = _rows(rows.join(ids, ["image_id", "a"]), lambda r: (r.image_id, r.ids, numbers(r.v)), f"{image}, ids array<long>, x array<double>")
+    listed = _rows(rows.join(blocks.select("image_id", F.col("b").alias("a"), "ids"), ["image_id", "a"]), lambda r: (r.image_id, r.ids, numbers(r.v)), f"{image}, ids array<long>, x array<double>")
     pairs = listed.select("image_id", F.explode(F.arrays_zip("ids", "x")).alias("p")).select("image_id", F.col("p.ids").alias("section_id"), "p.x")
     return pairs.join(residual, "image_id")
 
 
-def spectral_vectors(thumbs: DataFrame, tolerance: float = 1e-8, steps: int = 400, check: int = 10, block: int = BLOCK) -> DataFrame:
+def spectral_vectors(thumbs: DataFrame, tolerance: float = 1e-8, steps: int = 400, check: int = 3, block: int = BLOCK) -> DataFrame:
     """(image_id, section_id, x, residual) of normalised thumbs: the unit eigenvector of the second-smallest eigenvalue of
     the Laplacian of max(similarity, 0), and the length of what the Laplacian times x lacks to a multiple of x.
 
-    Images of up to ``block`` sections are solved in one task each.  All larger ones take Lanczos steps together: a join of
-    matrix blocks with vector blocks and sums by image, each new vector orthogonal to all before it.  Every ``check`` steps
-    the images leave whose vector lacks at most tolerance x (largest degree); after ``steps`` steps all do, and the
-    residual tells how good they are.  A block of rows with its vectors is a row of at most 8 * block * (steps + 2) bytes.
+    Images of up to ``block`` sections are solved in one task each.  All larger ones take block Lanczos steps together: the matrix,
+    made where it is needed, times up to WIDTH vectors, and sums by image, each new vector orthogonal to all before it.  Every ``check``
+    steps the images leave whose vector lacks at most tolerance x (largest degree); after ``steps`` steps, or VECTORS vectors, all do, and
+    the residual tells how good they are.  A block of rows with its vectors is a row of at most 8 * block * (VECTORS + steps) bytes.
     """
     blocks = cut(packed(thumbs, block))
     wide = blocks.where("b > 0").select("image_id").distinct()
     out = _dense(blocks.join(wide, "image_id", "left_anti"))
-    large = blocks.join(wide, "image_id", "left_semi")
-    n = large.agg(F.sum(F.size("ids"))).first()[0]
-    if n is None:
+    large = cut(blocks.join(wide, "image_id", "left_semi"))
+    if large.isEmpty():
         return out
-    small = n <= SENT
-    w = cut(weights(large))
-    state, found = cut(_begin(large, w, block, small)), []
+    state, small, found = cut(_begin(large)), None, []
 
     def best(r) -> tuple:  # noqa: ANN001
-        length = len(numbers(r.degree))
-        mix, _ = _least(np.array(r.alphas), np.array(r.betas))
-        x = mix @ numbers(r.basis, length)[1 : len(mix) + 1]
-        return r.image_id, r.a, r.degree, x.tobytes()
-
-    for k in range(1, steps + 2):
-        last = k == steps + 1
-        judge = last or k % check == 0
-        ready = _orthogonal(state, tolerance)
-        if judge:
-            ready, leave = cut(ready), F.lit(True) if last else F.col("ended")
-            found.append(cut(_rows(ready.where(leave), best, f"image_id {kind(large, 'image_id')}, a int, degree binary, v binary")))
-            ready = ready.where(~leave)
-            if last or ready.isEmpty():
+        u = numbers(r.u)
+        return r.image_id, r.a, r.degree, (u @ numbers(r.basis, len(numbers(r.degree)))[: len(u)]).tobytes()
+
+    for k in range(steps + 1):
+        small = cut(_small(state, small))
+        ready = cut(_orthogonal(state, small))
+        if k and (k == steps or k % check == 0):
+            last = (F.col("width") * (k + check) > VECTORS) & (F.col("width") > 1) | F.lit(k == steps)
+            judged = cut(_judged(ready, small, tolerance))
+            ready = ready.join(judged, "image_id").withColumn("ended", F.col("ended") | last)
+            found.append(cut(_rows(ready.where("ended"), best, f"image_id {kind(large, 'image_id')}, a int, degree binary, v binary")))
+            ready = ready.where("not ended").drop("u", "ended")
+            if ready.isEmpty():
                 break
-        state = cut(_onward(ready, w, small))
+        state = cut(_onward(ready, large))
     every = found[0]
     for more in found[1:]:
         every = every.union(more)
-    return out.union(_with_residual(every, w, large.select("image_id", F.col("b").alias("a"), "ids"), small))
+    return out.union(_with_residual(every, large))
 
 
 def spectral_order(thumbs: DataFrame, **how) -> DataFrame:  # noqa: ANN003

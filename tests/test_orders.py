@@ -106,3 +106,17 @@ def test_similarities_are_products_of_blocks(spark):
     want = {(i, j): 1.0 if i == j else u[i] @ u[j] / np.linalg.norm(u[i]) / np.linalg.norm(u[j]) for i in u for j in u if i % 3 == j % 3}
     have = {(r.i, r.j): r.s for r in got.collect()}
     assert have.keys() == want.keys() and all(abs(have[p] - want[p]) < 1e-12 for p in want)
+
+
+def test_spectral_steps_take_several_vectors_and_keep_no_matrix(spark, monkeypatch):
+    """Steps of one vector took more rounds of jobs (here 30 with their checks), over a matrix that was written."""
+    rng, steps, onward, cut = np.random.default_rng(11), [], spectrum._onward, spectrum.cut
+    m, written = rng.normal(size=(320, 6)), set()
+    monkeypatch.setattr(spectrum, "_onward", lambda *a: steps.append(1) or onward(*a))
+    monkeypatch.setattr(spectrum, "cut", lambda df: written.update(df.columns) or cut(df))
+    got = {r.section_id: r for r in spectrum.spectral_vectors(ordering.thumb_normalise(table(spark, {1: (range(320), m)})), block=64).collect()}
+    w = np.maximum(np.clip(unit(m) @ unit(m).T, -1, 1), 0)
+    np.fill_diagonal(w, 0)
+    want = np.linalg.eigh(np.diag(w.sum(axis=1)) - w)[1][:, 1]
+    assert abs(abs(np.array([got[i].x for i in range(320)]) @ want) - 1) < 1e-9 and got[0].residual < 1e-5
+    assert len(steps) <= 20 and "w" not in written
