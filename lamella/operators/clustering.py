@@ -6,10 +6,14 @@ it, the nearest core on either side, and the name of the cluster that goes on.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegralType
 
 from ..functions.lineage import cut
+from . import sweeps
 from .ranks import running
 
 #: Areas of one image that one task sorts.
@@ -84,6 +88,16 @@ def named(parts: DataFrame) -> DataFrame:
     return parts.join(tops, keys).withColumn("name", F.when(F.col("run") == EARLIER, F.col("__last")).otherwise(F.col("run"))).drop("__last", "top")
 
 
+def _parted(base: DataFrame, work: Callable[[DataFrame], DataFrame], whole: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """work over the images of several pieces, and whole over those of one, which need no borders."""
+    if not isinstance(base.schema["idx"].dataType, IntegralType) or not isinstance(base.schema["area"].dataType, DoubleType):
+        return work(base)
+    wide = cut(base.where("piece > 0").select("image_id").distinct())
+    if wide.isEmpty():
+        return whole(base)
+    return whole(base.join(wide, "image_id", "left_anti")).unionByName(work(base.join(wide, "image_id", "left_semi")))
+
+
 def _top() -> Column:
     return F.max(F.when(F.col("core") & (F.col("run") > EARLIER), F.col("run"))).alias("top")
 
@@ -94,6 +108,11 @@ def clusters(base: DataFrame, per: DataFrame, min_samples: int | Column, ranked:
     A border row goes to the reachable cluster of smaller found.  label (if ranked) counts an image's clusters by found; noise has
     found null and label -1.
     """
+    out = _parted(base, lambda b: _wide_clusters(b, per, min_samples, ranked), lambda b: sweeps.clusters(b, per, min_samples))
+    return out if ranked else out.drop("label")
+
+
+def _wide_clusters(base: DataFrame, per: DataFrame, min_samples: int | Column, ranked: bool) -> DataFrame:
     t = F.col("trials")[0]
     rows = cut(assigned(base, per, [min_samples]).select("image_id", "piece", "idx", "area", t["core"].alias("core"), t["run"].alias("run"), t["other"].alias("other")))
     parts = rows.where("run is not null").withColumn("trial", F.lit(0)).groupBy("image_id", "trial", "piece", "run").agg(_top(), F.min(F.when(F.col("core"), F.col("idx"))).alias("f"), F.max("other").alias("other"))
@@ -109,8 +128,7 @@ def clusters(base: DataFrame, per: DataFrame, min_samples: int | Column, ranked:
     table = table.select("image_id", "piece", "run", a.alias("a"), F.least(a, "b").alias("b"))
     own = F.when(F.col("other").isNotNull(), F.col("b")).otherwise(F.col("a"))
     out = rows.join(table, ["image_id", "piece", "run"], "left").select("image_id", "idx", "area", own.alias("c"))
-    out = out.select("image_id", "idx", "area", "c.found", F.coalesce("c.label", F.lit(-1).cast("long")).alias("label"))
-    return out if ranked else out.drop("label")
+    return out.select("image_id", "idx", "area", "c.found", F.coalesce("c.label", F.lit(-1).cast("long")).alias("label"))
 
 
 def area_dbscan(masks: DataFrame, eps: float, min_samples: int, piece: int = PIECE) -> DataFrame:
@@ -127,6 +145,10 @@ def largest(base: DataFrame, per: DataFrame, min_samples: list[int]) -> DataFram
 
     x and y are xors of two fingerprints of the members' indices, so equal sets are told without lists.
     """
+    return _parted(base, lambda b: _wide_largest(b, per, min_samples), lambda b: sweeps.largest(b, per, min_samples))
+
+
+def _wide_largest(base: DataFrame, per: DataFrame, min_samples: list[int]) -> DataFrame:
     rows = assigned(base, per, min_samples).select("image_id", "piece", F.xxhash64("idx").alias("x"), F.xxhash64("idx", F.lit(1)).alias("y"), "idx", F.explode("trials").alias("t"))
     rows = rows.select("image_id", "piece", "idx", "x", "y", "t.*").where("run is not null")
     sure, open_ = F.col("other").isNull(), F.col("other").isNotNull()

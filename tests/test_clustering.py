@@ -95,3 +95,25 @@ def test_sweep_tasks_follow_the_rows_times_the_steps(spark, monkeypatch):
     rows = clustering.assigned(clustering.pieces(masks, 2), per, [1, 2])
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert re.search(r"RepartitionByExpression \[image_id#\d+L?, piece#\d+L?, step#\d+\], 12", plan)  # 60 rows of 20 steps
+
+
+@pytest.mark.parametrize("together", [16, 1 << 16])
+def test_images_of_one_piece_take_no_windows(spark, monkeypatch, together):
+    """Rows were repeated by every eps and went through sorts and windows, however small the images were."""
+    from lamella.operators import sweeps
+
+    monkeypatch.setattr(sweeps, "TOGETHER", together)
+    areas, eps, least = draw(21) | {20: [5.0, float("nan"), 6.0, None, 7.0]}, [0.0, 1.0, 2.0, 3.0], [1, 2, 4]
+    masks = table(spark, areas)
+    per = masks.select("image_id").distinct().withColumn("eps", F.array(*[F.lit(e) for e in eps]))
+    base = clustering.pieces(masks, 4)
+    plan = clustering.largest(base, per, least)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Generate" not in plan
+    columns = ["image_id", "trial", "found", "eps", "n", "x", "y"]
+    assert {tuple(r) for r in clustering.largest(base, per, least).select(columns).collect()} == {tuple(r) for r in clustering._wide_largest(base, per, least).select(columns).collect()}
+    got = {}
+    for r in clustering.area_sweep_consensus(masks, eps, least).where("image_id < 20").collect():
+        got.setdefault(r.image_id, set()).add((r.idx, r.eps, r.min_samples))
+    assert got == {image: sweep(xs, [(e, m) for e in eps for m in least]) for image, xs in areas.items() if image < 20}
+    labels = {(r.image_id, r.idx): r.label for r in clustering.area_dbscan(masks, 1.0, 3).where("image_id < 20").collect()}
+    assert labels == {(image, i): x for image, xs in areas.items() if image < 20 for i, x in enumerate(queue_dbscan(xs, 1.0, 3))}
