@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows of levels, which one task counts in a table of its own.
+TASK_ROWS = 1 << 20
+
+
 def edit_replay(events: DataFrame) -> DataFrame:
     """State after events(image_id, key, seq, op, value): the last event of each key counts; keys whose last
     event removes them are gone (removing what is not there changes nothing)."""
@@ -26,8 +30,12 @@ def run_cache_lookup(requests: DataFrame, cached: DataFrame) -> DataFrame:
 
 def pyramid_freshness(manifests: DataFrame, levels: DataFrame, sources: DataFrame) -> DataFrame:
     """(image_id, fresh): complete, every level there, and size and whole mtime as the source's."""
-    have = levels.where(F.col("level") >= 0).join(manifests.select("image_id", "n_levels"), "image_id").where("level < n_levels").groupBy("image_id").agg(F.countDistinct("level").alias("have"))
-    rows = manifests.join(have, "image_id", "left").join(sources.select("image_id", F.col("size").alias("s"), F.floor("mtime").alias("t")), "image_id", "left")
+    # the number of parts follows the rows, so that what a task counts stays as large as it is
+    parts = max(int(levels.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-levels.count() // TASK_ROWS))
+    dealt = manifests.repartition(parts, "image_id")
+    have = levels.where(F.col("level") >= 0).repartition(parts, "image_id").join(dealt.select("image_id", "n_levels"), "image_id").where("level < n_levels").groupBy("image_id").agg(F.countDistinct("level").alias("have"))
+    told = sources.select("image_id", F.col("size").alias("s"), F.floor("mtime").alias("t")).repartition(parts, "image_id")
+    rows = dealt.join(have, "image_id", "left").join(told, "image_id", "left")
     fresh = F.col("complete") & (F.coalesce("have", F.lit(0)) == F.col("n_levels")) & (F.col("size") == F.col("s")) & (F.floor("mtime") == F.col("t"))
     return rows.select("image_id", F.coalesce(fresh, F.lit(False)).alias("fresh"))
 

@@ -252,3 +252,14 @@ def test_points_probe_few_cells_in_few_grids(spark):
     plan = conflict_edges(df)._jdf.queryExecution().optimizedPlan().toString()
     cls = df.selectExpr("2 * ceil((log2(r) + 1) / 2) as c").distinct().count()
     assert cls <= 5 and "array(-1, 0, 1)" not in plan and "[-1,0,1]" not in plan
+
+
+def test_freshness_tasks_follow_the_levels(spark, monkeypatch):
+    """The parts stayed as many, so a task's table of levels grew with the input."""
+    monkeypatch.setattr(edits, "TASK_ROWS", 10)
+    m = spark.range(30).selectExpr("id as image_id", "true as complete", "3L as n_levels", "id as size", "0.5D as mtime")
+    levels = m.selectExpr("image_id", "explode(sequence(0, if(image_id % 5 = 2, 1, 2))) as level")
+    levels = levels.union(levels.where("image_id % 5 = 2")).union(levels.where("image_id = 2").selectExpr("image_id", "level + 7"))
+    got = edits.pyramid_freshness(m, levels, m.where("image_id <> 9"))
+    assert {r.image_id for r in got.where("not fresh").collect()} == {2, 7, 9, 12, 17, 22, 27}
+    assert "image_id" in got.columns and "RepartitionByExpression" in (plan := got._jdf.queryExecution().optimizedPlan().toString()) and ", 10\n" in plan
