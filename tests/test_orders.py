@@ -120,3 +120,13 @@ def test_spectral_steps_take_several_vectors_and_keep_no_matrix(spark, monkeypat
     want = np.linalg.eigh(np.diag(w.sum(axis=1)) - w)[1][:, 1]
     assert abs(abs(np.array([got[i].x for i in range(320)]) @ want) - 1) < 1e-9 and got[0].residual < 1e-5
     assert len(steps) <= 20 and "w" not in written
+
+
+def test_parts_follow_the_products_of_blocks(spark, monkeypatch):
+    """All blocks of a part were handed to Python at once, and parts stayed as many whatever came."""
+    from lamella.operators import blocks
+
+    monkeypatch.setattr(blocks, "PAIRS", 4)
+    thumbs = ordering.thumb_normalise(table(spark, {1: series(12, 50), 2: series(13, 20)}))
+    lists = walks.neighbour_lists(blocks.packed(thumbs, 8), 5)  # 7 and 3 blocks: 58 products
+    assert lists.rdd.getNumPartitions() == 15 and lists.count() == 70
