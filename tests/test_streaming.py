@@ -1,7 +1,9 @@
 """Streams give what tables give, however the rows are cut into batches."""
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lamella.plans.fixtures import Fixtures
 from lamella.streaming import log_files, logs, state, tables
@@ -155,6 +157,26 @@ def test_ended_runs_are_finalised_once_and_leave_the_state(spark, tmp_path):
     assert tables.read_epochs(spark, f"{path}/final", "run_id string, n long").count() == 2
 
 
+def test_runs_that_end_share_entries_of_the_state(spark, tmp_path):
+    """A key of its own in the state took calls for each run, whose time grew with the runs."""
+    schema, big = "run_id long, ended boolean, mask_id long, area double", 2**60 + 1  # a float has no such number
+    parts = [
+        [(r, False, big + 1000 * r + m, float(m)) for r in range(100) for m in range(3)] + [(None, False, 7, None)],
+        [(r, False, big + 1000 * r + 3, 3.0) for r in range(0, 100, 2)] + [(r, True, None, None) for r in range(0, 100, 4)],
+        [(4, False, big, 1.0), (4, True, None, None), (5, True, None, None), (5, False, big + 9, None)],
+        [(r, True, None, None) for r in [*range(100), None]],
+    ]
+    seen, held = [], []
+    for rows in parts:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = state.ended_runs(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), buckets=3)
+        q = follow(spark, stream, tmp_path, lambda batch, epoch: seen.append(sorted(map(tuple, batch.collect()), key=str)))
+        held += [o["numRowsTotal"] for p in q.recentProgress for o in p["stateOperators"]][-1:]
+    gone = [[(r, big + 1000 * r + m, float(m), False) for r in range(100) for m in range(3 if r % 2 else 4) if take(r)] for take in (lambda r: r % 4 == 0, lambda r: r == 5, lambda r: r % 4 and r != 5)]
+    assert seen == [sorted(x, key=str) for x in ([], gone[0], gone[1] + [(5, big + 9, None, False), (4, big, 1.0, True)], gone[2] + [(None, 7, None, False)])]
+    assert held == [3, 3 + 25, 3 + 26, 101]  # a chunk a bucket, not a hundred keys; then marks of those that are over
+
+
 def test_run_events_of_a_log(spark):
     rows = logs.run_events(logs.parse_log(lines(spark))).collect()
     assert sorted((r.ended, r.k, r.area) for r in rows if not r.ended) == [(False, 1, 0.5)] and [r.mask_id for r in rows if r.ended] == [None]
@@ -236,6 +258,9 @@ class _Counted(dict):
         _Counted.calls += 1
         return value
 
+    def exists(self):
+        return self._called(bool(self))
+
     def containsKey(self, k):  # noqa: N802
         return self._called(k in self)
 
@@ -259,3 +284,19 @@ def test_dedup_asks_its_state_by_squares(tmp_path):
     assert len(p._resolve([0], {0: tile}, {}, False)) == 256
     assert len(p._resolve([1], {1: [(1000 + m, x + 0.5, y, a) for m, x, y, a in tile]}, {}, False)) == 0  # each lies on a kept one
     assert _Counted.calls < 50 and sum(len(xs) for xs, _ in p.kept.values()) == 256
+
+
+def test_runs_leave_the_state_by_chunks(monkeypatch):
+    monkeypatch.setattr(state, "FRAME", 4)
+    p = state._Runs(StructType.fromDDL("run_id long, mask_id long"), None)
+    p.chunks, p.over = _Counted(), _Counted()
+    some = lambda runs, ended=False: pd.DataFrame([(str(r), None if ended else str(n), ended) for n, r in enumerate(runs)], columns=["run_id", "mask_id", "ended"], dtype=object)
+    call = lambda *frames: [tuple(r) for f in p.handleInputRows((0,), iter(frames), None) for r in f.itertuples(index=False)]
+    for runs in ([1] * 6, [2] * 3, [1], [3], [2], [3] * 4):
+        assert call(some(runs)) == []
+    assert all(len(ids) <= 4 for ids, _ in p.chunks.values()) and len(p.chunks) == 7
+    _Counted.calls = 0
+    assert sorted(call(some([1], True))) == sorted([(1, n, False) for n in range(6)] + [(1, 0, False)])
+    assert sorted(len(ids) for ids, _ in p.chunks.values()) == [2, 3, 4] and _Counted.calls < 20  # short chunks became one
+    assert call(some([2], True), some([2, 1])) == [(1, 1, True), *[(2, n, False) for n in (0, 0, 1, 2, 0)]]
+    assert len(call(some([3], True))) == 5 and not p.chunks and set(p.over) == {(1,), (2,), (3,)}
