@@ -99,7 +99,7 @@ def _dense(blocks: DataFrame) -> DataFrame:
     """(image_id, section_id, x, residual) of images of one block, by a full decomposition."""
 
     def solve(products: Iterator[tuple]) -> Iterator[dict]:
-        for image, _, ids, _, _, s in products:
+        for image, _, _, ids, _, _, s in products:
             w = np.maximum(s, 0.0)
             np.fill_diagonal(w, 0.0)
             lap = np.diag(w.sum(axis=1)) - w

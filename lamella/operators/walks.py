@@ -18,21 +18,19 @@ def neighbour_lists(blocks: DataFrame, most: int) -> DataFrame:
     smaller id first on ties of similarities rounded to 9 digits, and the sum over all, itself included."""
 
     def best(products: Iterator[tuple]) -> Iterator[dict]:
-        now, ids, near, ranks, total = None, None, None, None, None
-        for image, a, own, _, other, s in products:
-            if (image, a) != now:
-                if now is not None:
-                    yield lists(now[0], ids, near, total)
-                now, ids, near, ranks, total = (image, a), own, np.empty((len(own), 0), "i8"), np.empty((len(own), 0)), np.zeros(len(own))
-            total = total + s.sum(axis=1)
+        now, held = None, {}
+        for image, g, a, own, _, other, s in products:
+            if (image, g) != now:
+                yield from (lists(now[0], *one) for one in held.values())
+                now, held = (image, g), {}
+            ids, near, ranks, total = held.get(a) or (own, np.empty((len(own), 0), "i8"), np.empty((len(own), 0)), np.zeros(len(own)))
             names = np.concatenate([near, np.broadcast_to(other, s.shape)], axis=1)
             marks = np.concatenate([ranks, np.where(own[:, None] == other[None, :], np.inf, -np.round(s, 9))], axis=1)
             order = np.lexsort((names, marks), axis=1)[:, :most]
-            near, ranks = np.take_along_axis(names, order, 1), np.take_along_axis(marks, order, 1)
-        if now is not None:
-            yield lists(now[0], ids, near, total)
+            held[a] = ids, np.take_along_axis(names, order, 1), np.take_along_axis(marks, order, 1), total + s.sum(axis=1)
+        yield from (lists(now[0], *one) for one in held.values())
 
-    def lists(image, ids: np.ndarray, near: np.ndarray, total: np.ndarray) -> dict:  # noqa: ANN001
+    def lists(image, ids: np.ndarray, near: np.ndarray, _ranks: np.ndarray, total: np.ndarray) -> dict:  # noqa: ANN001
         others = [row[row != me] for me, row in zip(ids, near, strict=True)]  # itself is last, if the list is long enough for it
         return {"image_id": [image] * len(ids), "section_id": ids, "near": others, "total": np.round(total, 9)}
 

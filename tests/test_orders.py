@@ -130,3 +130,23 @@ def test_parts_follow_the_products_of_blocks(spark, monkeypatch):
     thumbs = ordering.thumb_normalise(table(spark, {1: series(12, 50), 2: series(13, 20)}))
     lists = walks.neighbour_lists(blocks.packed(thumbs, 8), 5)  # 7 and 3 blocks: 58 products
     assert lists.rdd.getNumPartitions() == 15 and lists.count() == 70
+
+
+def test_blocks_are_sent_to_groups_of_blocks(spark, monkeypatch):
+    """Every block was sent to every block of its image, so that what was sent grew with the square of the blocks."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from lamella.operators import blocks
+
+    sent, map_all = [], DataFrame.mapInPandas
+    monkeypatch.setattr(blocks, "GROUPS", 1, raising=False)
+    monkeypatch.setattr(DataFrame, "mapInPandas", lambda self, *a, **b: sent.append(self) or map_all(self, *a, **b))
+    images = {1: series(14, 80), 2: series(15, 3), 3: series(16, 7)}
+    got = {(r.image_id, r.i, r.j): r.s for r in ordering.similarity_pairs(table(spark, images), block=2).collect()}
+    assert sent[-1].count() == 40 * 3 + 2 + 4  # 40 * 40 + 2 * 2 + 4 * 4 before
+    for image, (ids, m) in images.items():
+        s = np.clip(unit(m) @ unit(m).T, -1, 1)
+        assert all(abs(got.pop((image, int(a), int(b))) - (1 if a == b else s[i, j])) < 1e-12 for i, a in enumerate(ids) for j, b in enumerate(ids))
+    assert not got
+    lists = walks.neighbour_lists(blocks.packed(ordering.thumb_normalise(table(spark, images)), 2), 5)
+    assert lists.count() == 90 and lists.agg(F.min(F.size("near"))).first()[0] == 2
