@@ -150,3 +150,25 @@ def test_blocks_are_sent_to_groups_of_blocks(spark, monkeypatch):
     assert not got
     lists = walks.neighbour_lists(blocks.packed(ordering.thumb_normalise(table(spark, images)), 2), 5)
     assert lists.count() == 90 and lists.agg(F.min(F.size("near"))).first()[0] == 2
+
+
+def test_spectral_steps_hold_few_vectors_and_leave_no_files(spark, monkeypatch):
+    """Every step wrote all vectors so far twice, and nothing was removed: the disk grew with the square of the steps."""
+    import os
+
+    from lamella.functions import lineage
+
+    wide, onward = [], spectrum._onward
+    monkeypatch.setattr(spectrum, "HELD", 40, raising=False)
+    monkeypatch.setattr(spectrum, "KEPT", 16, raising=False)
+    monkeypatch.setattr(spectrum, "_onward", lambda state, *a: wide.append(state.agg(F.max(F.length("basis") / F.length("degree"))).first()[0]) or onward(state, *a))
+    m = np.random.default_rng(17).normal(size=(320, 6))
+    top = os.path.dirname(lineage.work_folder(spark, "x"))
+    there = set(os.listdir(top))
+    got = {r.section_id: r for r in spectrum.spectral_vectors(ordering.thumb_normalise(table(spark, {1: (range(320), m)})), block=64).collect()}
+    left = {x for x in os.listdir(top) if x.startswith("round-")} - there
+    w = np.maximum(np.clip(unit(m) @ unit(m).T, -1, 1), 0)
+    np.fill_diagonal(w, 0)
+    want = np.linalg.eigh(np.diag(w.sum(axis=1)) - w)[1][:, 1]
+    assert abs(abs(np.array([got[i].x for i in range(320)]) @ want) - 1) < 1e-9 and got[0].residual < 1e-6
+    assert len(wide) > 10 and max(wide) <= 40 and len(left) < 20
