@@ -263,3 +263,26 @@ def test_freshness_tasks_follow_the_levels(spark, monkeypatch):
     got = edits.pyramid_freshness(m, levels, m.where("image_id <> 9"))
     assert {r.image_id for r in got.where("not fresh").collect()} == {2, 7, 9, 12, 17, 22, 27}
     assert "image_id" in got.columns and "RepartitionByExpression" in (plan := got._jdf.queryExecution().optimizedPlan().toString()) and ", 10\n" in plan
+
+
+def test_csv_distances_are_made_where_their_row_is(spark):
+    """Pairs were rows, written, sorted and sent as texts; now only fiducials travel, and each image's texts are a task's own."""
+    dots = spark.range(0, 31).selectExpr("if(id = 30, 8, 7) as image_id", "if(id = 30, 1, id + 1) as idx", "if(id = 4, null, id * 1.5e0) as x", "id * id * 0.1e0 as y")
+    twice = spark.createDataFrame([(9, k, float(x), 0.0) for k, x in ((1, 0), (1, 5), (2, 7), (10, 9), (None, 3))], "image_id long, idx long, x double, y double")
+    shapes = spark.createDataFrame([], "image_id long, section_id string, polygon array<struct<x: double, y: double>>")
+    for fiducials in (dots, twice):
+        made = annotations.coords_csv_rows(shapes, fiducials)
+        want = annotations.coords_csv_rows(shapes, fiducials, spatial.fiducial_distances(fiducials))
+        assert sorted(map(tuple, made.collect())) == sorted(map(tuple, want.collect()))
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert "fiducial_" in plan and "(i#" not in plan and "DIRECT_SHUFFLE_PARTITION_ID" in plan.upper()
+    many = spark.range(1, 13001).selectExpr("7L as image_id", "id as idx", "id * 1.0e0 as x", "0.0e0 as y")
+    with pytest.raises(Exception, match="more than a text can hold"):
+        annotations.coords_csv_rows(shapes, many).collect()
+
+
+def test_csv_query_sorts_no_pairs(spark, small):
+    from lamella.plans.registry import QUERIES
+
+    plan = QUERIES["coords_csv_write"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "fiducial_" in plan and "range#" not in plan and "collect_list(e#" not in plan
