@@ -5,17 +5,21 @@ stream's checkpoint, so that lines appended later arrive too: each batch reads w
 added since the last, up to the last line feed, so that half a line waits for its rest.
 A file that became shorter, or that starts with other bytes than before, was started
 anew and is read from its beginning.  Long additions are read by several tasks, short
-ones of many files by one.
+ones of many files by one.  Offsets of many files are compressed, and tasks look into the
+files that they read, so that the driver holds some tens of bytes a file.
 """
 
 from __future__ import annotations
 
+import base64
+import json
 import os
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timezone
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
@@ -26,6 +30,8 @@ SCHEMA = "path string, modified timestamp, value string"
 HEAD_BYTES, TASK_BYTES = 256, 16 << 20
 #: Bytes that opening a file counts for when short additions are dealt to tasks, and files that the driver looks into at a time.
 OPEN_BYTES, LOOKS = 16 << 10, 16
+#: Files of an offset that is written name by name; one of more files is a compressed text, of some 15 bytes a file.
+PLAIN = 1000
 _STEP = 1 << 16
 
 
@@ -36,37 +42,109 @@ def filesystem(path: str):  # noqa: ANN201
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), os.path.abspath(path))
 
 
-class Piece(InputPartition):
-    """Bytes [start, end) of a file; ``whole`` says that start is where a line starts."""
+class Marks:
+    """How far each file was handed on: names in order, and for each the bytes, and a checksum of the first ``head`` of them.
 
-    def __init__(self, path: str, modified: int, start: int, end: int, whole: bool):
-        self.path, self.modified, self.start, self.end, self.whole = path, modified, start, end, whole
+    Arrays and one text, as there may be a million files; the driver holds a few of these.
+    """
+
+    def __init__(self, names: Iterable[str], end: np.ndarray, head: np.ndarray, crc: np.ndarray):
+        self.text, self.end, self.head, self.crc = "\0".join(names).encode(), end, head, crc
+
+    def __len__(self) -> int:
+        return len(self.end)
+
+    def names(self) -> list[str]:
+        return self.text.decode().split("\0") if len(self) else []
+
+    @classmethod
+    def of(cls, offset: dict) -> Marks:
+        """Of an offset as ``offset`` makes it."""
+        if "" in offset:
+            raw = zlib.decompress(base64.b64decode(offset[""]["packed"]))
+            n = offset[""]["files"]
+            end, head, crc = (np.frombuffer(raw, kind, n, at) for kind, at in (("<i8", 0), ("<i4", 8 * n), ("<u4", 12 * n)))
+            out = cls((), end, head, crc)
+            out.text = raw[16 * n :]
+            return out
+        names = sorted(offset)
+        column = lambda k, kind: np.array([offset[x][k] for x in names], kind)
+        return cls(names, column("end", "<i8"), column("head", "<i4"), column("crc", "<u4"))
+
+    def offset(self) -> dict:
+        if len(self) <= PLAIN:
+            return {x: {"end": e, "head": h, "crc": c} for x, e, h, c in zip(self.names(), self.end.tolist(), self.head.tolist(), self.crc.tolist(), strict=True)}
+        raw = b"".join([self.end.astype("<i8").tobytes(), self.head.astype("<i4").tobytes(), self.crc.astype("<u4").tobytes(), self.text])
+        return {"": {"files": len(self), "packed": base64.b64encode(zlib.compress(raw)).decode()}}
+
+
+def places(names: list[str], among: list[str]) -> np.ndarray:
+    """The place of each of names, in order, among others, in order; -1 for those that are not there."""
+    out, k = np.full(len(names), -1, "i8"), 0
+    for i, name in enumerate(names):
+        while k < len(among) and among[k] < name:
+            k += 1
+        if k < len(among) and among[k] == name:
+            out[i] = k
+    return out
 
 
 class Pieces(InputPartition):
-    """What one task reads: pieces of some files."""
+    """What one task reads: (file, start, end, whole, mark, before) of some files.
 
-    def __init__(self, pieces: list[Piece]):
-        self.pieces = pieces
+    Bytes [start, end) of a file; ``whole`` says that start is where a line starts.  With a mark (head, crc) the task sees whether the
+    file still starts so, and reads nothing if not; with before (end, head, crc) whether it goes on where it ended, or starts anew.
+    """
 
+    def __init__(self, pieces: list[tuple]):
+        self.packed = zlib.compress(json.dumps(pieces).encode())
 
-def dealt(pieces: list[Piece], task_bytes: int) -> list[Pieces]:
+    @property
+    def pieces(self) -> list[list]:
+        return json.loads(zlib.decompress(self.packed))
+
+
+def dealt(pieces: Iterable[tuple], task_bytes: int) -> list[Pieces]:
     """Pieces in their order, so many to a task that their bytes and the cost of opening them stay within ``task_bytes``."""
-    out, room = [], 0
+    out, some, room = [], [], 0
     for piece in pieces:
-        cost = piece.end - piece.start + OPEN_BYTES
-        if not out or cost > room:
-            out.append(Pieces([]))
+        _, start, end, _, _, before = piece
+        cost = end - (before[0] if before and before[0] <= end else start) + OPEN_BYTES
+        if some and cost > room:
+            out.append(Pieces(some))
+            some = []
+        if not some:
             room = task_bytes
-        out[-1].pieces.append(piece)
+        some.append(piece)
         room -= cost
-    return out
+    return [*out, Pieces(some)] if some else out
 
 
-def _each(look: Callable, items: list) -> list:
-    """look(item) of all items, several at a time: what it waits for is the file system."""
+def _each(look: Callable, items: list) -> Iterator:
+    """look(item) of all items, several at a time: what it waits for is the file system.  Only some items wait at a time."""
     with ThreadPoolExecutor(LOOKS) as pool:
-        return list(pool.map(look, items))
+        for at in range(0, len(items), 64 * LOOKS):
+            yield from pool.map(look, items[at : at + 64 * LOOKS])
+
+
+def _local_files(root: str, beneath: str = "") -> Iterator[tuple[str, int, int]]:
+    """(name, size, time of change) of the files below a local folder, one by one; names that start with a dot or an underscore are left out."""
+    try:
+        found = os.scandir(f"{root}/{beneath}")
+    except (FileNotFoundError, NotADirectoryError):
+        return
+    with found:
+        for x in found:
+            if x.name.startswith((".", "_")):
+                continue
+            try:
+                if x.is_dir():
+                    yield from _local_files(root, f"{beneath}{x.name}/")
+                elif x.is_file():
+                    info = x.stat()
+                    yield f"{beneath}{x.name}", info.st_size, info.st_mtime_ns
+            except FileNotFoundError:  # it went meanwhile
+                continue
 
 
 class GrowingText(DataSource):
@@ -84,65 +162,107 @@ class GrowingText(DataSource):
 
 
 class GrowingReader(DataSourceStreamReader):
-    """Offsets are {file below the folder: {"end", "head", "crc"}}: the bytes that were handed on, and a checksum of the first ``head`` of them."""
+    """Offsets are those of ``Marks``: for each file below the folder the bytes that were handed on, and a checksum of the first of them."""
 
     def __init__(self, folder: str, task_bytes: int):
         self.folder, self.task_bytes = folder, task_bytes
-        self.seen: dict[str, tuple[tuple[int, int], dict]] = {}  # (size, time of change) and offset, so that what did not change is not opened
+        self.seen: tuple[Marks, np.ndarray] | None = None  # with (size, time of change) of each file, so that what did not change is not opened
 
     def initialOffset(self) -> dict:  # noqa: N802
         return {}
 
-    def _files(self):  # noqa: ANN202
+    def _files(self) -> tuple:
+        """The file system, the folder in it, the names of its files in order, and size and time of change of each."""
         from pyarrow import fs
 
         system, root = filesystem(self.folder)
-        found = system.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True))
-        names = [(x.path.removeprefix(root).lstrip("/"), x) for x in found if x.is_file]
-        return system, {name: x for name, x in names if not any(part.startswith((".", "_")) for part in name.split("/"))}
+        if isinstance(system, fs.LocalFileSystem):
+            found = _local_files(root)
+        else:
+            infos = system.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True))
+            names = ((x.path.removeprefix(root).lstrip("/"), x) for x in infos if x.is_file)
+            found = ((name, x.size, x.mtime_ns or 0) for name, x in names if not any(part.startswith((".", "_")) for part in name.split("/")))
+        names, told = [], []
+        for name, size, changed in found:
+            names.append(name)
+            told += (size, changed)
+        told = np.array(told, "i8").reshape(-1, 2)
+        order = sorted(range(len(names)), key=names.__getitem__)
+        return system, root, [names[i] for i in order], told[order]
 
     def latestOffset(self) -> dict:  # noqa: N802
-        system, files = self._files()
-
-        def look(name: str) -> dict:
-            info = files[name]
-            mark = (info.size, info.mtime_ns or 0)
-            if self.seen.get(name, (None,))[0] != mark:
-                with system.open_input_file(info.path) as f:
-                    end = last_line_end(f, info.size)
-                    head = min(end, HEAD_BYTES)
-                    self.seen[name] = mark, {"end": end, "head": head, "crc": zlib.crc32(f.read_at(head, 0)) if head else 0}
-            return self.seen[name][1]
-
-        return {name: at for name, at in zip(files, _each(look, list(files)), strict=True) if at["end"]}
+        system, root, names, told = self._files()
+        end, head, crc = np.zeros(len(names), "<i8"), np.zeros(len(names), "<i4"), np.zeros(len(names), "<u4")
+        new = np.ones(len(names), bool)
+        if self.seen:
+            old, before = self.seen
+            at = places(names, old.names())
+            same = np.flatnonzero(at >= 0)
+            same = same[(before[at[same]] == told[same]).all(axis=1)]
+            new[same] = False
+            end[same], head[same], crc[same] = old.end[at[same]], old.head[at[same]], old.crc[at[same]]
+
+        def look(i: int) -> tuple[int, int, int]:
+            try:
+                with system.open_input_file(f"{root}/{names[i]}") as f:
+                    upto = last_line_end(f, int(told[i, 0]))
+                    first = min(upto, HEAD_BYTES)
+                    return upto, first, zlib.crc32(f.read_at(first, 0)) if first else 0
+            except FileNotFoundError:  # it went meanwhile
+                return 0, 0, 0
+
+        looks = np.flatnonzero(new).tolist()
+        for i, mark in zip(looks, _each(look, looks), strict=True):
+            end[i], head[i], crc[i] = mark
+        self.seen = Marks(names, end, head, crc), told
+        some = np.flatnonzero(end)
+        return Marks((names[i] for i in some), end[some], head[some], crc[some]).offset()
 
     def partitions(self, start: dict, end: dict) -> list[Pieces]:
-        system, files = self._files()
-
-        def look(name: str) -> list[Piece]:
-            before, upto = start.get(name), end[name]
-            if before == upto or name not in files:
-                return []
-            path, at = files[name].path, 0
-            with system.open_input_file(path) as f:
-                if zlib.crc32(f.read_at(upto["head"], 0)) != upto["crc"]:
-                    return []  # started anew since this offset was made: the next batch reads it
-                if before and before["end"] <= upto["end"] and zlib.crc32(f.read_at(before["head"], 0)) == before["crc"]:
-                    at = before["end"]
-            modified = (files[name].mtime_ns or 0) // 1000
-            return [Piece(path, modified, a, min(a + self.task_bytes, upto["end"]), a == at) for a in range(at, upto["end"], self.task_bytes)]
-
-        return dealt([piece for some in _each(look, sorted(end)) for piece in some], self.task_bytes)
-
-    def read(self, partition: Pieces | Piece) -> Iterator[pa.RecordBatch]:
+        was, upto = Marks.of(start), Marks.of(end)
+        names = upto.names()
+        at = places(names, was.names())
+        return dealt(self._pieces(names, was, upto, at), self.task_bytes)
+
+    def _pieces(self, names: list[str], was: Marks, upto: Marks, at: np.ndarray) -> Iterator[tuple]:
+        marks = lambda m, i: (int(m.end[i]), int(m.head[i]), int(m.crc[i]))
+        for i, name in enumerate(names):
+            now, before = marks(upto, i), marks(was, at[i]) if at[i] >= 0 else None
+            if now == before:
+                continue
+            if now[0] <= self.task_bytes:
+                yield name, 0, now[0], True, now[1:], before
+                continue
+            # of long files the parts of what was added are dealt, so it is told here where that starts
+            if (first := self._start(name, now[1:], before, now[0])) is not None:
+                for a in range(first, now[0], self.task_bytes):
+                    yield name, a, min(a + self.task_bytes, now[0]), a == first, None, None
+
+    def _start(self, name: str, mark: tuple | list, before: tuple | list | None, end: int) -> int | None:
+        """Where what was added to a file starts; None if it is gone, or was started anew since this offset was made: the next batch reads it."""
+        system, root = filesystem(self.folder)
+        try:
+            with system.open_input_file(f"{root}/{name}") as f:
+                if zlib.crc32(f.read_at(mark[0], 0)) != mark[1]:
+                    return None
+                return before[0] if before and before[0] <= end and zlib.crc32(f.read_at(before[1], 0)) == before[2] else 0
+        except FileNotFoundError:
+            return None
+
+    def read(self, partition: Pieces) -> Iterator[pa.RecordBatch]:
         """Lines that start in the pieces; the last one of a piece may end behind it."""
         kinds = pa.schema([("path", pa.string()), ("modified", pa.timestamp("us", "UTC")), ("value", pa.string())])
         held: list[tuple[str, datetime, list[str]]] = []
+        system, root = filesystem(self.folder)
         n = 0
-        for piece in partition.pieces if isinstance(partition, Pieces) else [partition]:
-            time = datetime.fromtimestamp(piece.modified / 1e6, timezone.utc)
-            for lines in self._lines(piece):
-                held.append((piece.path, time, lines))
+        for name, start, end, whole, mark, before in partition.pieces:
+            first = self._start(name, mark, before, end) if mark else start
+            info = system.get_file_info(f"{root}/{name}")
+            if first is None or not info.is_file:
+                continue
+            time = datetime.fromtimestamp((info.mtime_ns or 0) // 1000 / 1e6, timezone.utc)
+            for lines in self._lines(info.path, first, end, whole):
+                held.append((info.path, time, lines))
                 n += len(lines)
                 if n >= 10_000:
                     yield self._batch(held, kinds)
@@ -155,26 +275,26 @@ class GrowingReader(DataSourceStreamReader):
         many = lambda k: [h[k] for h in held for _ in h[2]]
         return pa.RecordBatch.from_arrays([pa.array(many(0)), pa.array(many(1), kinds.field(1).type), pa.array([x for h in held for x in h[2]], pa.string())], schema=kinds)
 
-    def _lines(self, piece: Piece) -> Iterator[list[str]]:
+    def _lines(self, path: str, start: int, end: int, whole: bool) -> Iterator[list[str]]:
         system, _ = filesystem(self.folder)
-        with system.open_input_file(piece.path) as f:
-            at, rest, lines = piece.start, b"", []
-            if not piece.whole:  # the line that reaches into the piece is its predecessor's
-                at = next_line(f, piece.start - 1)
-            while at < piece.end or rest:
+        with system.open_input_file(path) as f:
+            at, rest, lines = start, b"", []
+            if not whole:  # the line that reaches into the piece is its predecessor's
+                at = next_line(f, start - 1)
+            while at < end or rest:
                 block = f.read_at(_STEP, at + len(rest))
                 *full, rest = (rest + block).split(b"\n")
                 for line in full:
-                    if at >= piece.end:
+                    if at >= end:
                         rest = b""
                         break
                     lines.append(line.decode("utf-8", "replace"))
                     at += len(line) + 1
-                if not block or at >= piece.end:
+                if not block or at >= end:
                     rest = b""
                     if not block:
-                        at = piece.end
-                if len(lines) >= 10_000 or (lines and at >= piece.end):
+                        at = end
+                if len(lines) >= 10_000 or (lines and at >= end):
                     yield lines
                     lines = []
 

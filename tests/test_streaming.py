@@ -300,3 +300,36 @@ def test_runs_leave_the_state_by_chunks(monkeypatch):
     assert sorted(len(ids) for ids, _ in p.chunks.values()) == [2, 3, 4] and _Counted.calls < 20  # short chunks became one
     assert call(some([2], True), some([2, 1])) == [(1, 1, True), *[(2, n, False) for n in (0, 0, 1, 2, 0)]]
     assert len(call(some([3], True))) == 5 and not p.chunks and set(p.over) == {(1,), (2,), (3,)}
+
+
+def test_offsets_of_many_files_are_short(tmp_path, monkeypatch):
+    """An entry a file in JSON, and objects for each file in several forms, took the driver's memory."""
+    import json
+
+    monkeypatch.setattr(log_files, "PLAIN", 10, raising=False)
+    for n in range(600):
+        (tmp_path / f"run_id={n}").mkdir()
+        (tmp_path / f"run_id={n}" / "run.log").write_text(f"a{n}\nb{n}\nhalf")
+    read = lambda r, parts: sorted(c["path"].split("run_id=")[1].split("/")[0] + c["value"] for p in parts for b in r.read(p) for c in b.to_pylist())
+    reader = log_files.GrowingReader(str(tmp_path), log_files.TASK_BYTES)
+    first = reader.latestOffset()
+    assert len(json.dumps(first)) < 25 * 600 and json.dumps(reader.latestOffset()) == json.dumps(first)
+    parts = reader.partitions({}, json.loads(json.dumps(first)))
+    assert len(parts) == 1 and len(parts[0].packed) < 40 * 600
+    assert read(reader, parts) == sorted(f"{n}{x}{n}" for n in range(600) for x in "ab")
+    for n in range(0, 600, 3):
+        with (tmp_path / f"run_id={n}" / "run.log").open("a") as f:
+            f.write(" done\n")
+    (tmp_path / "run_id=1" / "run.log").write_text("anew\n")  # shorter, started anew
+    (tmp_path / "run_id=2" / "run.log").write_text("other bytes, and longer than before\n")
+    (tmp_path / "run_id=4" / "run.log").unlink()
+    again = log_files.GrowingReader(str(tmp_path), log_files.TASK_BYTES)  # as after a start from the checkpoint
+    for r in (reader, again):
+        second = json.loads(json.dumps(r.latestOffset()))
+        assert read(r, r.partitions(first, second)) == sorted([f"{n}half done" for n in range(0, 600, 3)] + ["1anew", "2other bytes, and longer than before"])
+        assert r.partitions(second, second) == []
+    # an offset that was written name by name is taken as well
+    plain = {x: {"end": e, "head": h, "crc": c} for m in [log_files.Marks.of(first)] for x, e, h, c in zip(m.names(), m.end.tolist(), m.head.tolist(), m.crc.tolist(), strict=True)}
+    assert len(read(again, again.partitions(plain, second))) == 202
+    (tmp_path / "run_id=0" / "run.log").write_text("x\n")  # since the offset was made: the next batch reads it
+    assert len(read(again, again.partitions(first, second))) == 201
